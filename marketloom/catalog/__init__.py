@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import signals  # noqa: F401
+from . import signals, pit, news  # noqa: F401
 from .base import REGISTRY  # noqa: F401

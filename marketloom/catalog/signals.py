@@ -111,7 +111,6 @@ def _regime(spark, root):
   SELECT *, dense_rank() OVER (ORDER BY ts) AS bar_no FROM grid)
 SELECT {KEY}, {big('bar_no', 'bar_no')}, {num('price', 'price')}, {num('volume', 'volume')} FROM n""")
 def _densify(spark, root):
-    # Odd days are removed first so that the grid really has holes to fill.
     return panel.densify(views.bars(spark, root))
 
 
@@ -196,7 +195,7 @@ def _range(spark, root):
 
 @register("liquidity_screen", f"""WITH {GRID}, v AS (SELECT *, price * volume AS pv FROM grid),
 a AS (SELECT *, {frame('avg({})', 'pv', 20)} AS adv FROM v)
-SELECT {KEY}, {num('adv', 'adv', 2)}, {num(truth('adv >= 400000'), 'liquid')}
-FROM a WHERE price IS NOT NULL""", digits=2)
+SELECT {KEY}, {num('adv', 'adv', 4)}, {num(truth('adv >= 400000'), 'liquid')}
+FROM a WHERE price IS NOT NULL""", digits=4)
 def _liquidity(spark, root):
     return panel.liquidity_screen(views.bars(spark, root), 400_000)

@@ -26,6 +26,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "mar
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
                .config("spark.driver.memory", memory)
+               # Plans here hold hundreds of expressions; recording a call site for each is slow.
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false")
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false"))
     for key, value in extra.items():

@@ -70,7 +70,7 @@ if __name__ == "__main__":
             else:
                 rows = queries[name](spark, root).collect()
                 ok, note = True, f"{len(rows)} rows (no SQL)"
-        except Exception as error:  # report and go on with the next query
+        except Exception as error:  # noqa: BLE001 report and go on with the next query
             ok, note = False, f"{type(error).__name__}: {str(error)[:1500]}"
         failed += not ok
         print(f"{'ok  ' if ok else 'FAIL'} {name:28s} {time.time() - start:6.2f}s {note}", flush=True)
