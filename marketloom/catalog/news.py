@@ -245,25 +245,27 @@ def _pairs(spark, root):
     return neardup.near_dup_edges(versions(spark, root))
 
 
-# The sequential definition, one article per step, heads kept as a list.
-CLUSTERS = f"""{VERSIONS}, items AS (
+# The sequential definition: one article per step, against the list of heads so far.
+CLUSTERS = f"""{VERSIONS}, items AS MATERIALIZED (
   SELECT row_number() OVER (ORDER BY received_at, arrival_seq) AS i, id, version, received_at,
          {TOKENS_SQL} AS tokens, {URL_SQL} AS u FROM versions),
-run(i, id, version, heads, cluster_id) AS (
-  SELECT CAST(0 AS BIGINT), '', CAST(0 AS BIGINT),
-    CAST([] AS STRUCT(id VARCHAR, t TIMESTAMP, tokens VARCHAR[], u VARCHAR)[]), ''
+near AS MATERIALIZED (SELECT x.i, any_value(x.id) AS id, any_value(x.version) AS version,
+    list_sort(coalesce(list(h.i) FILTER (h.i IS NOT NULL), [])) AS matching
+  FROM items x LEFT JOIN items h ON h.i < x.i AND x.received_at - h.received_at <= INTERVAL 24 HOUR
+    AND ((x.u <> '' AND x.u = h.u) OR ({JACCARD_SQL.format(a='x.tokens', b='h.tokens')}) >= 0.85)
+  GROUP BY x.i),
+run(i, heads, head) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(0 AS BIGINT)
   UNION ALL
-  SELECT i, id, version, CASE WHEN len(hit) = 0 THEN list_append(old_heads,
-      struct_pack(id := id, t := received_at, tokens := tokens, u := u)) ELSE old_heads END,
-    CASE WHEN len(hit) = 0 THEN id ELSE hit[1].id END
-  FROM (SELECT x.i, x.id, x.version, x.received_at, x.tokens, x.u, r.heads AS old_heads,
-      list_filter(r.heads, lambda h: x.received_at - h.t <= INTERVAL 24 HOUR AND (
-        (x.u <> '' AND x.u = h.u) OR ({JACCARD_SQL.format(a='x.tokens', b='h.tokens')}) >= 0.85)) AS hit
-    FROM run r JOIN items x ON x.i = r.i + 1))"""
+  SELECT i, CASE WHEN hit IS NULL THEN list_append(heads, i) ELSE heads END, coalesce(hit, i)
+  FROM (SELECT n.i, r.heads, list_filter(n.matching, lambda m: list_contains(r.heads, m))[1] AS hit
+        FROM run r JOIN near n ON n.i = r.i + 1)),
+clustered AS (SELECT n.id, n.version, h.id AS cluster_id
+  FROM run r JOIN items n ON n.i = r.i JOIN items h ON h.i = r.head)"""
 
 
 @register("cluster_articles", f"""WITH RECURSIVE {CLUSTERS}
-SELECT id AS event_id, version, cluster_id FROM run WHERE i > 0""")
+SELECT id AS event_id, version, cluster_id FROM clustered""")
 def _clusters(spark, root):
     return neardup.cluster_articles(versions(spark, root)).select(
         "event_id", "version", "cluster_id")
@@ -273,7 +275,7 @@ def _clusters(spark, root):
 SELECT r.id AS event_id, r.version, cluster_id, row_number() OVER (PARTITION BY cluster_id
     ORDER BY v.received_at, v.arrival_seq) AS cluster_rank,
   {num('1.0 / row_number() OVER (PARTITION BY cluster_id ORDER BY v.received_at, v.arrival_seq)', 'novelty')}
-FROM run r JOIN versions v ON v.id = r.id AND v.version = r.version WHERE r.i > 0""")
+FROM clustered r JOIN versions v ON v.id = r.id AND v.version = r.version""")
 def _novelty(spark, root):
     clustered = neardup.cluster_articles(versions(spark, root))
     return news.cluster_novelty(clustered).select(

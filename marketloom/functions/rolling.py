@@ -22,6 +22,10 @@ class BarFrame:
         """The value exactly ``n`` bars ago, NULL when that cell is missing."""
         return F.max(column).over(self._base.rangeBetween(-n, -n))
 
+    def ahead(self, column: Column, n: int) -> Column:
+        """The value exactly ``n`` bars later; the panel needs a look-ahead halo for it."""
+        return F.max(column).over(self._base.rangeBetween(n, n))
+
     def full(self, aggregate, column: Column, n: int) -> Column:
         """``aggregate`` over the last ``n`` bars, NULL unless all ``n`` cells are present."""
         w = self._base.rangeBetween(1 - n, 0)

@@ -18,14 +18,14 @@ from ..plans.ordered import CHUNK_BARS, bar_calendar, drop_halo, number_bars, wi
 BARS_PER_YEAR = 252
 
 def prepare(bars: DataFrame, lookback: int, benchmark: str | None = None,
-            chunk_bars: int = CHUNK_BARS) -> DataFrame:
+            chunk_bars: int = CHUNK_BARS, lookahead: int = 0) -> DataFrame:
     """Numbered, chunked panel; with a benchmark, its price at the same bar as ``bench_price``."""
     panel = number_bars(bars)
     if benchmark is not None:
         bench = (bars.filter(F.col("symbol") == benchmark)
                  .select("ts", F.col("price").alias("bench_price")))
         panel = panel.join(bench, "ts", "left")
-    return with_halo(panel, lookback, chunk_bars=chunk_bars)
+    return with_halo(panel, lookback, chunk_bars=chunk_bars, lookahead=lookahead)
 
 
 # ------------------------------------------------------------ momentum
@@ -207,16 +207,21 @@ def breadth(bars: DataFrame, benchmark: str, n: int = 50,
             .select("ts", (F.col("_n") / universe).alias("regime_breadth")))
 
 
-def feature_table(bars: DataFrame, benchmark: str, chunk_bars: int = CHUNK_BARS) -> DataFrame:
-    """All per-symbol families in one windowed pass, one row per (symbol, ts)."""
+def feature_table(bars: DataFrame, benchmark: str, label_bars: int = 0,
+                  chunk_bars: int = CHUNK_BARS) -> DataFrame:
+    """All per-symbol families in one windowed pass, one row per (symbol, ts).
+
+    With ``label_bars`` the return over the following bars is added as ``forward_return``.
+    """
     f = BarFrame()
-    panel = prepare(bars, VOLATILITY_LOOKBACK, benchmark, chunk_bars)
+    panel = prepare(bars, VOLATILITY_LOOKBACK, benchmark, chunk_bars, label_bars)
     columns = {**momentum_columns(f), **mean_reversion_columns(f), **volume_columns(f)}
-    panel = _with_xsection(_with_volatility(panel.withColumns(columns), f), f)
+    label = {"forward_return": ratio(f.ahead(f.price, label_bars), f.price) - 1} if label_bars else {}
+    panel = _with_xsection(_with_volatility(panel.withColumns({**columns, **label}), f), f)
     panel = panel.withColumns({c: F.when(F.col("symbol") != benchmark, F.col(c))
                                for c in XSECTION})
     return drop_halo(panel).select("symbol", "ts", "price", "volume", "bar_no",
-                                   *columns, *VOLATILITY, *XSECTION)
+                                   *columns, *VOLATILITY, *XSECTION, *label)
 
 
 # --------------------------------------------- documented-only candidates
@@ -262,3 +267,4 @@ def range_features(ohlc: DataFrame, n: int = 14, chunk_bars: int = CHUNK_BARS) -
     panel = panel.withColumns({"atr_rel": ratio(atr, f.price),
                                "contraction": flag(F.col("_tr") < atr * 0.5)})
     return drop_halo(panel).select("symbol", "ts", "atr_rel", "contraction")
+

@@ -47,12 +47,11 @@ def number_bars(bars: DataFrame, ts: str = "ts") -> DataFrame:
 
 
 def with_halo(df: DataFrame, lookback: int, position: str = "bar_no",
-              chunk_bars: int = CHUNK_BARS) -> DataFrame:
-    """Add ``_chunk`` and ``_home``; rows needed by the following chunk are repeated there."""
-    home = F.floor(F.col(position) / chunk_bars)
-    last = F.floor((F.col(position) + lookback) / chunk_bars)
-    return (df.withColumn("_chunk", F.explode(F.sequence(home, last)))
-            .withColumn("_home", F.col("_chunk") == home))
+              chunk_bars: int = CHUNK_BARS, lookahead: int = 0) -> DataFrame:
+    """Add ``_chunk`` and ``_home``; rows that other chunks look at are repeated there."""
+    at = lambda shift: F.floor((F.col(position) + shift) / chunk_bars)
+    return (df.withColumn("_chunk", F.explode(F.sequence(at(-lookahead), at(lookback))))
+            .withColumn("_home", F.col("_chunk") == at(0)))
 
 
 def drop_halo(df: DataFrame) -> DataFrame:
@@ -153,20 +152,23 @@ def previous_row(out: str, value: Column) -> Scan:
 
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str, right_ts: str,
               take: Sequence[str], chunk_seconds: int = 86_400,
-              tolerance_seconds: float | None = None) -> DataFrame:
+              tolerance_seconds: float | None = None,
+              right_order: Sequence[str] = ()) -> DataFrame:
     """Each left row with the newest right row of the same key at or before its time.
 
     Both sides are stacked and scanned once, so no key is expanded and nothing is broadcast.
     ``take`` columns come from the right side; with a tolerance, older matches become NULL.
+    Right rows with equal times are ordered by ``right_order``; the last one is taken.
     """
     by = list(by)
     payload = F.struct(F.col(right_ts).alias("_rts"), *[F.col(c) for c in take])
     lefts = left.select(*by, F.col(left_ts).alias("_t"), F.lit(1).alias("_side"),
                         F.struct(*[F.col(c) for c in left.columns]).alias("_l"))
     rights = right.select(*by, F.col(right_ts).alias("_t"), F.lit(0).alias("_side"),
-                          payload.alias("_r"))
+                          payload.alias("_r"),
+                          F.struct(F.lit(0), *[F.col(c) for c in right_order]).alias("_o"))
     stacked = lefts.unionByName(rights, allowMissingColumns=True)
-    scanned = chunk_scan(stacked, by, seconds_chunk("_t", chunk_seconds), ["_t", "_side"],
+    scanned = chunk_scan(stacked, by, seconds_chunk("_t", chunk_seconds), ["_t", "_side", "_o"],
                          [last_known("_hit", F.col("_r"))]).filter("_side = 1")
     hit = F.col("_hit")
     if tolerance_seconds is not None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ordered import chunk_scan, ordinal
 
 BENCHMARK = "STANDARD"
@@ -17,15 +18,20 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, root: str) -> DataFrame:
-    """Weekly volume-weighted price and volume per part type."""
+    """Weekly volume-weighted price and volume per part type.
+
+    Checkpointed: a bar table is an input in its own right and plans refer to it many times
+    (calendar, benchmark, windows), which must not aggregate the line items again each time.
+    """
     lines = table(spark, root, "lineitem").select(
         "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate")
     parts = table(spark, root, "part").select(
         F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("symbol"))
-    return (lines.join(parts, "l_partkey")
-            .groupBy("symbol", F.date_trunc("week", "l_shipdate").cast("timestamp").alias("ts"))
-            .agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("price"),
-                 F.sum("l_quantity").alias("volume")))
+    return cut_lineage(lines.join(parts, "l_partkey")
+                       .groupBy("symbol", F.date_trunc("week", "l_shipdate").cast("timestamp")
+                                .alias("ts"))
+                       .agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("price"),
+                            F.sum("l_quantity").alias("volume")))
 
 
 def ohlc(spark: SparkSession, root: str) -> DataFrame:
@@ -40,7 +46,10 @@ def ohlc(spark: SparkSession, root: str) -> DataFrame:
 
 
 def fills(spark: SparkSession, root: str) -> DataFrame:
-    """One fill per line item; ``seq`` numbers an account's fills in ship-date order."""
+    """One fill per line item; ``seq`` numbers an account's fills in ship-date order.
+
+    Checkpointed, because real fills arrive numbered and the scans over them read them repeatedly.
+    """
     parts = table(spark, root, "part").select(
         F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("symbol"))
     lines = table(spark, root, "lineitem").withColumn("ts", F.col("l_shipdate").cast("timestamp"))
@@ -48,11 +57,12 @@ def fills(spark: SparkSession, root: str) -> DataFrame:
              "l_returnflag", "l_discount", "l_tax", "l_linestatus"]
     day = F.floor(F.unix_micros("ts") / 86_400_000_000)
     numbered = chunk_scan(lines, ["l_suppkey"], day, order, [ordinal("seq")])
-    return (numbered.join(parts, "l_partkey")
-            .select(F.col("l_suppkey").alias("account"), "seq", "symbol",
-                    F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("side"),
-                    F.col("l_quantity").alias("qty"),
-                    (F.col("l_extendedprice") / F.col("l_quantity")).alias("fill_price"), "ts"))
+    return cut_lineage(
+        numbered.join(parts, "l_partkey")
+        .select(F.col("l_suppkey").alias("account"), "seq", "symbol",
+                F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("side"),
+                F.col("l_quantity").alias("qty"),
+                (F.col("l_extendedprice") / F.col("l_quantity")).alias("fill_price"), "ts"))
 
 
 def ticks(spark: SparkSession, root: str, sessions: int = 4) -> DataFrame:
