@@ -52,10 +52,10 @@ hold AS (SELECT ts, price / first_value(price) OVER (ORDER BY ts) * 100 AS bench
 
 
 @register("weight_backtest", f"""WITH {CURVE} SELECT run, bar_no, {when('ts', 'ts')},
-  {', '.join(num(c, c) for c in ('gross_return', 'turnover', 'exposure', 'concentration', 'cost', 'net_return', 'equity'))}
-FROM curve""")
+  {', '.join(num(c, c) for c in ('gross_return', 'turnover', 'exposure', 'concentration', 'cost', 'net_return'))},
+  {num('ln(equity)', 'log_equity')} FROM curve""")
 def _backtest(spark, root):
-    return curve(spark, root)
+    return curve(spark, root).withColumn("log_equity", F.log("equity")).drop("equity")
 
 
 @register("benchmark_curve", f"""WITH {BARS} SELECT {when('ts', 'ts')},
@@ -67,7 +67,7 @@ def _benchmark(spark, root):
 @register("performance_metrics", f"""WITH {CURVE}, d AS (
   SELECT *, equity / max(equity) OVER (PARTITION BY run ORDER BY bar_no) - 1 AS drawdown
   FROM curve LEFT JOIN hold USING (ts))
-SELECT run, count(*) AS n_bars, {num('arg_max(equity, ts) / arg_min(equity, ts) - 1', 'total_return')},
+SELECT run, count(*) AS n_bars, {num('ln(arg_max(equity, ts) / arg_min(equity, ts))', 'log_total_return')},
   {num('arg_max(benchmark, ts) / arg_min(benchmark, ts) - 1', 'benchmark_return')},
   {num('stddev_samp(net_return) * sqrt(252)', 'volatility')},
   {num('avg(net_return) / stddev_samp(net_return) * sqrt(252)', 'sharpe')},
@@ -77,11 +77,15 @@ SELECT run, count(*) AS n_bars, {num('arg_max(equity, ts) / arg_min(equity, ts)
   {num('avg(net_return) FILTER (net_return > 0)', 'avg_win')},
   {num('avg(net_return) FILTER (net_return < 0)', 'avg_loss')}, {num('avg(turnover)', 'avg_turnover')},
   {num('avg(exposure)', 'avg_exposure')}, {num('max(concentration)', 'max_concentration')},
-  {num('sum(cost)', 'cost_drag')}, {num('arg_max(equity, ts) / arg_min(equity, ts) - arg_max(benchmark, ts) / arg_min(benchmark, ts)', 'excess_return')}
+  {num('sum(cost)', 'cost_drag')},
+  arg_max(equity, ts) / arg_min(equity, ts) > arg_max(benchmark, ts) / arg_min(benchmark, ts) AS beats_benchmark
 FROM d GROUP BY run""")
 def _performance(spark, root):
-    return backtest.performance(curve(spark, root),
+    rows = backtest.performance(curve(spark, root),
                                 backtest.benchmark_curve(views.bars(spark, root), BENCH))
+    return rows.withColumns({"log_total_return": F.log1p("total_return"),
+                             "beats_benchmark": F.col("excess_return") > 0}
+                            ).drop("total_return", "excess_return")
 
 
 @register("performance_by_regime", f"""WITH {CURVE.replace(GRID, REGIME)}, l AS (
@@ -97,13 +101,13 @@ def _by_regime(spark, root):
 
 @register("day_boundaries", f"""WITH {CURVE}, t AS (
   SELECT *, date_trunc('month', ts) AS mon FROM curve)
-SELECT run, bar_no, {num('first_value(equity) OVER (PARTITION BY run, CAST(ts AS DATE) ORDER BY bar_no)', 'day_start_equity')},
+SELECT run, bar_no, {num('ln(first_value(equity) OVER (PARTITION BY run, CAST(ts AS DATE) ORDER BY bar_no))', 'log_day_start')},
   {num('0', 'day_pnl')}, CAST(CASE WHEN turnover > 0 THEN 1 ELSE 0 END AS BIGINT) AS trades_today FROM t""")
 def _days(spark, root):
     c = curve(spark, root)
     trades = c.select("run", "bar_no", (F.col("turnover") > 0).cast("int").alias("n_trades"))
     return backtest.day_starts(c, trades).select(
-        "run", "bar_no", "day_start_equity", "day_pnl", "trades_today")
+        "run", "bar_no", F.log("day_start_equity").alias("log_day_start"), "day_pnl", "trades_today")
 
 
 @register("next_bar_fills", f"""WITH {GRID}, d AS (SELECT symbol, ts, price,

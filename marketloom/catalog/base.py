@@ -12,6 +12,9 @@ from ..session import tune
 
 SparkQuery = Callable[[SparkSession, str], DataFrame]
 DIGITS = 6
+# Added before rounding on both sides: exact binary ties (x.xxxxxx5) round differently in the two
+# engines, and the shift moves every such value off the boundary.
+NUDGE = 1e-9
 
 
 @dataclass(frozen=True)
@@ -40,7 +43,7 @@ def present(df: DataFrame, digits: int = DIGITS) -> DataFrame:
         c = F.col(f"`{field.name}`")
         kind = field.dataType.simpleString()
         if kind in ("double", "float"):
-            c = F.round(c.cast("double"), digits) + F.lit(0.0)
+            c = F.round(c.cast("double") + NUDGE, digits) + F.lit(0.0)
         elif kind in ("timestamp", "timestamp_ntz"):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
         elif kind in ("int", "smallint", "tinyint"):
@@ -52,7 +55,7 @@ def present(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 # ------------------------------------------------------------ SQL pieces
 
 def num(expression: str, name: str, digits: int = DIGITS) -> str:
-    return f"round(CAST({expression} AS DOUBLE), {digits}) + 0.0 AS {name}"
+    return f"round(CAST({expression} AS DOUBLE) + {NUDGE}, {digits}) + 0.0 AS {name}"
 
 
 def when(expression: str, name: str) -> str:

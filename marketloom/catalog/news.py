@@ -9,6 +9,7 @@ from ..functions.taxonomy import DECAY_MINUTES, DIRECTIONS, EVENT_TYPES
 from ..operators import neardup, news, signals
 from ..plans import views
 from ..plans.ordered import asof_join
+from ..session import cut_lineage
 from .base import ARTICLES, GRID, VERSIONS, big, num, register, when
 from .pit import FEATURE_ROWS
 from .signals import MOMENTUM, REGIME, VOLUME
@@ -299,8 +300,11 @@ SELECT id AS event_id, version, symbol, {when('ts', 'matched_ts')},
 FROM j""")
 def _interactions(spark, root):
     bars = views.bars(spark, root)
-    prices = (signals.feature_table(bars, views.BENCHMARK)
-              .join(signals.regime_features(bars, views.BENCHMARK).select("ts", "regime_risk_on"), "ts"))
+    # The feature table is a dataset of its own; the as-of scan reads it twice.
+    prices = cut_lineage(
+        signals.feature_table(bars, views.BENCHMARK)
+        .select("symbol", "ts", "momentum_roc20", "volume_z20", "vol_percentile252")
+        .join(signals.regime_features(bars, views.BENCHMARK).select("ts", "regime_risk_on"), "ts"))
     when_decided = F.timestamp_add("HOUR", (F.col("event_id").cast("long") * 2).cast("int"),
                                    F.lit("1996-01-01 00:00:00").cast("timestamp"))
     surprise = F.struct(((F.col("event_id").cast("long") % 7 - 3) / 100.0).alias("surprise_pct"))

@@ -185,10 +185,13 @@ def _sector(spark, root):
     sum(l_extendedprice) / sum(l_quantity) AS price, max(l_extendedprice / l_quantity) AS hi,
     min(l_extendedprice / l_quantity) AS lo
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
-t AS (SELECT *, {lag('price')} AS pc FROM b),
-r AS (SELECT *, greatest(hi - lo, abs(hi - pc), abs(lo - pc)) AS tr FROM t),
+g AS (SELECT s.symbol, t.ts, price, hi, lo FROM (SELECT DISTINCT symbol FROM b) s
+  CROSS JOIN (SELECT DISTINCT ts FROM b) t LEFT JOIN b ON b.symbol = s.symbol AND b.ts = t.ts),
+t AS (SELECT *, {lag('price')} AS pc FROM g),
+r AS (SELECT *, CASE WHEN price IS NOT NULL THEN greatest(hi - lo, abs(hi - pc), abs(lo - pc)) END AS tr FROM t),
 a AS (SELECT *, {frame('avg({})', 'tr', 14)} AS atr FROM r)
-SELECT {KEY}, {num('atr / price', 'atr_rel')}, {num(truth('tr < 0.5 * atr'), 'contraction')} FROM a""")
+SELECT {KEY}, {num('atr / price', 'atr_rel')}, {num(truth('tr < 0.5 * atr'), 'contraction')} FROM a
+WHERE price IS NOT NULL""")
 def _range(spark, root):
     return signals.range_features(views.ohlc(spark, root))
 

@@ -56,8 +56,9 @@ def backtest(weights: DataFrame, bars: DataFrame, cost_bps: float = 2.0, embargo
     panel = with_halo(numbered, 1, chunk_bars=chunk_bars)
     returns = drop_halo(panel.withColumn("_r", ratio(f.price, f.back(f.price, 1)) - 1)).select(
         "symbol", "bar_no", "_r")
-    live = (weights.join(calendar, "ts").filter(F.col("bar_no") > embargo_bars)
-            .select("run", "symbol", "bar_no", "weight"))
+    # Weights usually end a long plan and are read once per shifted use below.
+    placed = cut_lineage(weights.join(calendar, "ts").select("run", "symbol", "bar_no", "weight"))
+    live = placed.filter(F.col("bar_no") > embargo_bars)
 
     earning = (live.withColumn("bar_no", F.col("bar_no") + 2)
                .join(returns, ["symbol", "bar_no"], "left")
@@ -69,8 +70,7 @@ def backtest(weights: DataFrame, bars: DataFrame, cost_bps: float = 2.0, embargo
     traded = (shifted(1, 1).unionByName(shifted(2, -1)).groupBy("run", "symbol", "bar_no")
               .agg(F.sum("_d").alias("_d")).groupBy("run", "bar_no")
               .agg(F.sum(F.abs("_d")).alias("turnover")))
-    runs = weights.select("run").distinct()
-    spine = _spine(runs, calendar)
+    spine = _spine(placed.select("run").distinct(), calendar)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     steps = (spine.join(earning, ["run", "bar_no"], "left").join(traded, ["run", "bar_no"], "left")
              .select("run", "bar_no", "ts", zero("gross_return").alias("gross_return"),

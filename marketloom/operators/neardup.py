@@ -105,6 +105,7 @@ def near_dup_edges(events: DataFrame, threshold: float = THRESHOLD,
 
 def cluster_articles(events: DataFrame, threshold: float = THRESHOLD,
                      horizon_seconds: int = HORIZON_SECONDS, top: int = TOP,
+                     open_heads: DataFrame | None = None,
                      max_rounds: int = 100_000) -> DataFrame:
     """Ordered leader clustering: in receipt order an article joins the first earlier head it
     matches, otherwise it becomes a head; heads are compared with articles, never members.
@@ -115,19 +116,28 @@ def cluster_articles(events: DataFrame, threshold: float = THRESHOLD,
     the undecided set. The earliest undecided article is always electable, so the rounds end with
     the exact sequential result; ``top`` changes only how many there are. The undecided set is
     checkpointed each round.
+
+    ``open_heads`` are heads of earlier, already clustered articles (same columns as ``events``):
+    with them, batches arriving in receipt order give the same clusters as one large batch.
     """
     width = horizon_seconds * 1_000_000
     columns = events.columns
-    keyed = cut_lineage(events.withColumn(
+    keyed = events.withColumn("_open", F.lit(False))
+    if open_heads is not None:
+        keyed = keyed.unionByName(open_heads.select(*columns).withColumn("_open", F.lit(True)))
+    keyed = cut_lineage(keyed.withColumn(
         "_id", F.concat_ws("#", "event_id", F.col("version").cast("string"))))
     items = cut_lineage(
-        with_blocks(keyed.select("_id", "event_id", "headline", "url", "received_at", "arrival_seq"),
-                    "_id", threshold)
-        .select("_id", "event_id", F.unix_micros("received_at").alias("t"),
+        with_blocks(keyed.select("_id", "_open", "event_id", "headline", "url", "received_at",
+                                 "arrival_seq"), "_id", threshold)
+        .select("_id", "_open", "event_id", F.unix_micros("received_at").alias("t"),
                 F.col("arrival_seq").alias("seq"), F.col("url_norm").alias("url"), "tokens", "blocks")
         .withColumn("slot", F.floor(F.col("t") / width)))
-    heads = items.filter(F.size("blocks") == 0).select(*items.columns)
-    undecided = items.filter(F.size("blocks") > 0)
+    heads = items.filter(F.col("_open") | (F.size("blocks") == 0))
+    undecided = items.filter(~F.col("_open") & (F.size("blocks") > 0))
+    if open_heads is not None:
+        covered = _hits(undecided, items.filter("_open"), width, threshold).select("_id").distinct()
+        undecided = cut_lineage(undecided.join(covered, "_id", "left_anti"))
 
     for _ in range(max_rounds):
         elected = cut_lineage(_elect(undecided, width, threshold, top))
@@ -138,14 +148,14 @@ def cluster_articles(events: DataFrame, threshold: float = THRESHOLD,
         undecided = cut_lineage(undecided.join(elected.select("_id"), "_id", "left_anti")
                                 .join(covered, "_id", "left_anti"))
 
-    joined = (_hits(items, heads, width, threshold)
+    joined = (_hits(items.filter(~F.col("_open")), heads, width, threshold)
               .groupBy("_id").agg(F.min_by("head_event", F.struct("head_t", "head_seq")).alias("cluster_id")))
-    named = (items.select("_id", F.col("event_id").alias("_own"))
+    named = (items.filter(~F.col("_open")).select("_id", F.col("event_id").alias("_own"))
              .join(joined, "_id", "left")
              .join(heads.select("_id", F.lit(True).alias("is_head")), "_id", "left")
              .select("_id", F.when(F.col("is_head"), F.col("_own")).otherwise(F.col("cluster_id"))
                      .alias("cluster_id"), F.coalesce("is_head", F.lit(False)).alias("is_head")))
-    return keyed.join(named, "_id").select(*columns, "cluster_id", "is_head")
+    return keyed.filter(~F.col("_open")).join(named, "_id").select(*columns, "cluster_id", "is_head")
 
 
 def _elect(undecided: DataFrame, width: int, threshold: float, top: int) -> DataFrame:
