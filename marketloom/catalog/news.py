@@ -310,7 +310,8 @@ def _interactions(spark, root):
     surprise = F.struct(((F.col("event_id").cast("long") % 7 - 3) / 100.0).alias("surprise_pct"))
     events = news.classify(versions(spark, root), rules(spark)).withColumns(
         {"decision_time": when_decided, "surprise": surprise})
-    featured = news.per_symbol(news.event_features(events, one_hot=False))
+    featured = cut_lineage(news.per_symbol(news.event_features(events, one_hot=False)).select(
+        "event_id", "version", "symbol", "event_type", "direction", "surprise_pct", "decision_time"))
     paired = asof_join(featured, prices, ["symbol"], "decision_time", "ts",
                        ["momentum_roc20", "volume_z20", "regime_risk_on", "vol_percentile252"],
                        chunk_seconds=30 * 86_400)

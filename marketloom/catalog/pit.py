@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import pit, signals
 from ..plans import views
 from ..plans.ordered import asof_join, rows_chunk
+from ..session import cut_lineage
 from .base import GRID, SYMBOL_LIST, big, num, register, when
 from .signals import MOMENTUM
 
@@ -78,7 +79,8 @@ SELECT decision_id, d.symbol, {when('decision_ts', 'decision_ts')}, {when('as_of
 FROM decisions d ASOF LEFT JOIN feature_rows f
   ON d.symbol = f.symbol AND d.decision_ts >= f.as_of""")
 def _asof(spark, root):
-    return asof_join(views.decisions(spark, root), feature_rows(spark, root), ["symbol"],
+    # The feature table is a dataset of its own; the as-of scan reads it twice.
+    return asof_join(views.decisions(spark, root), cut_lineage(feature_rows(spark, root)), ["symbol"],
                      "decision_ts", "as_of", ["momentum_roc20", "momentum_ma50"],
                      chunk_seconds=30 * 86_400)
 

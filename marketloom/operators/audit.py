@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.ordered import chunk_scan, previous_row, rows_chunk, running_sum
+from ..session import cut_lineage
 
 GENESIS = "0" * 64
 # Ledger record types.
@@ -190,7 +191,8 @@ def audit_fills(fills: DataFrame, start_cash: float = 100.0, max_position_pct: f
                 max_gross_pct: float = 0.95, min_price: float = 5.0,
                 block: int = AUDIT_BLOCK) -> DataFrame:
     """All constraint violations as (account, seq, symbol, code)."""
-    state = account_state(fills, start_cash)
+    # Written once: the single-fill rules and every part of the concentration check read it.
+    state = cut_lineage(account_state(fills, start_cash))
     c = F.col
     sell = c("side") == "SELL"
     own = F.array_compact(F.array(

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 EPSILON = 1e-9
 
 
@@ -72,7 +74,8 @@ def construct(expected: DataFrame, prices: DataFrame, equity: DataFrame, positio
     Overweight holdings are not trimmed. A rebalance without candidates gives no orders at all;
     one whose candidates are all dust sells everything held.
     """
-    ranked = candidates(expected, prices, limits, min_er_bps, key)
+    # Candidates are what is left of the cross-section; totals, buys and sells all read them.
+    ranked = cut_lineage(candidates(expected, prices, limits, min_er_bps, key))
     wanted = targets(ranked, equity, limits, key)
     held = positions.select(key, "symbol", F.col("qty").alias("held"))
     delta = F.col("weight") * F.col("equity") / F.col("price") - F.coalesce("held", F.lit(0.0))

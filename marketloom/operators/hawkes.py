@@ -19,7 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ordered import chunk_scan, ordinal, previous_row, seconds_chunk
+from ..plans.ordered import chunk_scan, ordinal, previous_row, running_sum, seconds_chunk
+from ..session import cut_lineage
 
 SPAN = 200.0
 # Decay grid of the search.
@@ -259,7 +260,8 @@ def _intensity(dims: int) -> Column:
 def fit_grid(events: DataFrame, keys: Sequence[str], betas: Sequence[float] = BETA_GRID,
              dims: int = 2) -> DataFrame:
     """Best decay per key by likelihood over least-squares fits; the smaller decay wins ties."""
-    fitted = hawkes_parameters(hawkes_moments(events, keys, betas, dims=dims), keys, dims)
+    # A few numbers per key and decay; kept so that the solves run once.
+    fitted = cut_lineage(hawkes_parameters(hawkes_moments(events, keys, betas, dims=dims), keys, dims))
     scored = log_likelihood(events, fitted, keys, dims)
     rest = [c for c in scored.columns if c not in keys]
     best = scored.groupBy(*keys).agg(
@@ -300,7 +302,8 @@ def compensator(events: DataFrame, parameters: DataFrame, keys: Sequence[str], d
     sums = decayed_sums(events.join(slim, keys), keys, F.col("beta"), dims)
     width = chunk_seconds * 1_000_000
     counts = chunk_scan(sums, keys, F.floor(F.col("t_us") / width), ["t_us", "dim"], [
-        _running_count(f"_n{j}", j) for j in range(dims)])
+        running_sum(f"_n{j}", F.when(F.col("dim") == j, 1).otherwise(0).cast("long"))
+        for j in range(dims)])
     # With rows ordered by (time, dim), same-time events of lower dims are already counted.
     own = counts.filter(F.col("dim") == dim)
     for j in range(dims):
@@ -309,6 +312,9 @@ def compensator(events: DataFrame, parameters: DataFrame, keys: Sequence[str], d
             f"_nb{j}": F.col(f"_n{j}") - (F.lit(1) if j == dim else at),
             f"_na{j}": F.col(f"_n{j}") + (F.lit(0) if j <= dim else F.col(f"tie{j}")),
             f"_aa{j}": F.col(f"s{j}") + F.col(f"tie{j}")})
+    # The scan below reads these rows twice; above them lie two passes over all events.
+    own = cut_lineage(own.select(*keys, "t_us", f"mu_{dim}", *[
+        c for j in range(dims) for c in (f"alpha_{dim}_{j}", f"s{j}", f"_nb{j}", f"_na{j}", f"_aa{j}")]))
     state = F.struct("t_us", *[F.col(f"_na{j}") for j in range(dims)], *[F.col(f"_aa{j}") for j in range(dims)])
     seen = chunk_scan(own, keys, F.floor(F.col("t_us") / width), ["t_us"], [previous_row("_p", state)])
     total = F.col(f"mu_{dim}") * (F.col("t_us") - F.col("_p.v.t_us")) / 1e6
@@ -319,11 +325,6 @@ def compensator(events: DataFrame, parameters: DataFrame, keys: Sequence[str], d
             .select(*keys, "t_us", "residual"))
 
 
-def _running_count(out: str, dim: int):
-    from ..plans.ordered import running_sum
-    return running_sum(out, F.when(F.col("dim") == dim, 1).otherwise(0).cast("long"))
-
-
 # ------------------------------------------------------------ diagnostics
 
 def exponential_ranks(residuals: DataFrame, keys: Sequence[str], buckets: int = 4096) -> DataFrame:

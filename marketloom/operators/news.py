@@ -71,11 +71,12 @@ def version_articles(events: DataFrame, mode: str = "arrival") -> DataFrame:
     kept = seen.filter(F.col("_newest").isNull() | (F.col("updated_at") > F.col("_newest")))
     # Kept rows rise in both orders, so the same chunks number them.
     numbered = chunk_scan(kept.drop("_newest"), ["event_id"], chunk, order, [ordinal("version")])
-    last = numbered.groupBy("event_id").agg(F.max("version").alias("_last"))
+    # The last record of an event carries its newest edit time, so the raw rows tell what follows.
+    last = events.groupBy("event_id").agg(F.max("updated_at").alias("_last"))
     link = F.concat(F.col("event_id"), F.lit("#v"), (F.col("version") + 1).cast("string"))
     return (numbered.join(last, "event_id")
             .withColumn("supersedes", F.when(F.col("version") > 1, F.col("event_id")))
-            .withColumn("superseded_by", F.when(F.col("version") < F.col("_last"), link))
+            .withColumn("superseded_by", F.when(F.col("updated_at") < F.col("_last"), link))
             .drop("_last"))
 
 

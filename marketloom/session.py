@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,14 +38,18 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "mar
     return tune(spark)
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the folder the cluster names in ``spark.checkpoint.dir``.
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back (runs the plan).
 
-    Only where that setting is absent (a developer machine) is a temporary folder used.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that setting
+    is absent (a developer machine) is a temporary folder used. A columnar table instead of an
+    RDD checkpoint keeps column pruning and size statistics for the plans that read it.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="marketloom-ckpt-"))
-    return df.checkpoint(eager=eager)
+    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
