@@ -123,13 +123,23 @@ def verify_chain(ledger: DataFrame, chain: Sequence[str] = ("chain",),
         F.coalesce("n_problems", F.lit(0)).alias("n_problems"))
 
 
-def canonical_json(column: str) -> Column:
-    """Canonical form of foreign JSON text (sorted keys, compact, Python number format)."""
+def canonical_json(column: str, without: str | None = None) -> Column:
+    """Canonical form of foreign JSON text (sorted keys, compact, Python number format).
+
+    ``without`` names a top-level key to leave out.
+    """
     @F.pandas_udf("string")
     def rewrite(texts: pd.Series) -> pd.Series:
         import json
-        return texts.map(lambda t: None if t is None else json.dumps(
-            json.loads(t), sort_keys=True, separators=(",", ":")))
+
+        def one(text):
+            if text is None:
+                return None
+            value = json.loads(text)
+            if without is not None:
+                value.pop(without, None)
+            return json.dumps(value, sort_keys=True, separators=(",", ":"))
+        return texts.map(one)
     return rewrite(column)
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,6 +122,21 @@ def classify(events: DataFrame, rules: DataFrame) -> DataFrame:
             .drop("_text", "_hit"))
 
 
+def classify_with(events: DataFrame, model: Callable[[pd.Series, pd.Series], pd.DataFrame],
+                  name: str) -> DataFrame:
+    """Labels from a caller's model, validated: adds the label columns and ``errors``.
+
+    ``model`` maps Arrow batches of headlines and summaries to a frame with event_type,
+    event_direction and confidence.
+    """
+    @F.pandas_udf("event_type string, event_direction string, confidence double")
+    def label(headline: pd.Series, summary: pd.Series) -> pd.DataFrame:
+        return model(headline, summary)
+    labelled = events.withColumn("_m", label("headline", "summary")).select(
+        *events.columns, "_m.*", F.lit(name).alias("classifier"))
+    return validate_classifications(labelled)
+
+
 def validate_classifications(rows: DataFrame) -> DataFrame:
     """Adds ``errors``, the list of violated schema rules (empty for a valid row).
 

@@ -38,18 +38,25 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "mar
     return tune(spark)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back (runs the plan).
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared checkpoint folder.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that setting
-    is absent (a developer machine) is a temporary folder used. A columnar table instead of an
-    RDD checkpoint keeps column pruning and size statistics for the plans that read it.
+    is absent (a developer machine) is a temporary folder used.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="marketloom-ckpt-"))
-    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    return f"{context.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back (runs the plan).
+
+    A columnar table instead of an RDD checkpoint keeps column pruning and size statistics for
+    the plans that read it.
+    """
+    path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

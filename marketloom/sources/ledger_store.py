@@ -23,10 +23,7 @@ def read_foreign_ledger(spark: SparkSession, path: str) -> DataFrame:
     """JSON-lines ledger: parsed envelope plus ``content``, the canonical text that was hashed."""
     lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
     parsed = lines.withColumn("r", F.from_json("value", ENVELOPE))
-    body = canonical_json("value")
-    # The hash field is a fixed-length hex string; canonical key order puts it after "data".
-    content = F.regexp_replace(body, ',"hash":"[0-9a-f]{64}"(?=,"prev_hash":)', "")
-    return parsed.select("r.*", content.alias("content"), F.get_json_object("value", "$.data").alias("data"))
+    return parsed.select("r.*", canonical_json("value", without="hash").alias("content"), F.get_json_object("value", "$.data").alias("data"))
 
 
 def verify_foreign(ledger: DataFrame) -> DataFrame:

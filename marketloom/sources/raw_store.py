@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
+# Microseconds survive only with an explicit format; the JSON default keeps milliseconds.
+STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 RAW_SCHEMA = "stored_at timestamp, payload string, ingest_seq long, source string, day string"
 
 ARTICLE_SCHEMA = T.StructType([
@@ -20,13 +22,13 @@ ARTICLE_SCHEMA = T.StructType([
 def append_raw(records: DataFrame, path: str) -> None:
     """Append (source, payload, stored_at, ingest_seq) rows as JSON lines by source and UTC day."""
     (records.withColumn("day", F.date_format("stored_at", "yyyy-MM-dd"))
-     .write.mode("append").partitionBy("source", "day").json(path))
+     .write.mode("append").partitionBy("source", "day").option("timestampFormat", STAMP).json(path))
 
 
 def read_raw(spark: SparkSession, path: str, source: str) -> DataFrame:
     """Records of one source in storage order; only its partitions are read. Empty if none."""
     try:
-        rows = spark.read.schema(RAW_SCHEMA).json(path)
+        rows = spark.read.schema(RAW_SCHEMA).option("timestampFormat", STAMP).json(path)
     except AnalysisException:
         return spark.createDataFrame([], RAW_SCHEMA)
     return rows.filter(F.col("source") == source).orderBy("day", "ingest_seq")
