@@ -56,7 +56,7 @@ def _targets(spark, root):
 
 @register("construct_portfolio", f"""WITH {TARGETS}, buys AS (
   SELECT ts, symbol, position_rank, weight * equity / price - coalesce(held, 0) AS d, price FROM wanted)
-SELECT {when('ts', 'rebalance')}, symbol, 'BUY' AS side, {num('d', 'qty')}, 'market' AS order_type,
+SELECT {when('ts', 'rebalance')}, symbol, 'BUY' AS side, {num('round(d, 6)', 'qty')}, 'market' AS order_type,
   'day' AS tif, CAST(position_rank AS BIGINT) AS position_rank FROM buys WHERE d * price >= 5
 UNION ALL SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), symbol, 'SELL', round(CAST(held AS DOUBLE), 6) + 0.0, 'market',
   'day', NULL FROM m WHERE held > 0 AND ts IN (SELECT ts FROM ranked)

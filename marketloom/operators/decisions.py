@@ -140,14 +140,15 @@ def evaluate(proposals: DataFrame, accounts: DataFrame, positions: DataFrame, ma
     day_start_equity, day_pnl, trades_today); positions(account, symbol, qty);
     market(symbol, price, adv_dollar_volume, ann_vol); universe(symbol).
     """
+    # Account and symbol facts are put together first, so proposals are shuffled three times only.
+    account_facts = accounts.join(gross_exposure(positions, market), "account", "left")
+    listed = universe.select("symbol").distinct().withColumn("_listed", F.lit(True))
+    symbol_facts = market.join(listed, "symbol", "full_outer")
     joined = (proposals
               .join(positions.select("account", "symbol", F.col("qty").alias("held")),
                     ["account", "symbol"], "left")
-              .join(accounts, "account", "left")
-              .join(gross_exposure(positions, market), "account", "left")
-              .join(market, "symbol", "left")
-              .join(universe.select("symbol").distinct().withColumn("_listed", F.lit(True)),
-                    "symbol", "left"))
+              .join(account_facts, "account", "left")
+              .join(symbol_facts, "symbol", "left"))
     rules = risk_rules(limits, kill_switch)
     hits = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), code)
                                      for code, bad in rules]))

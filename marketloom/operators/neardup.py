@@ -2,8 +2,10 @@
 
 Two articles match when they were received within ``horizon`` of each other and have the same
 non-empty URL key or headline token sets with Jaccard similarity at or above the threshold.
-Candidates come from *blocks*: the URL key, and the rarest tokens of a headline (prefix filter:
-two sets above the threshold always share a token of their prefixes, whatever the token order).
+Candidates come from *blocks*: the URL key, and pairs of the rarest tokens of a headline. With n
+tokens and a needed overlap of τ = ⌈threshold·n⌉, two matching sets share at least two of the
+first n − τ + 2 tokens in any common order, so they share a pair key (prefix filter). Pair keys are
+far rarer than single tokens; ordering by frequency makes them rarer still.
 """
 
 from __future__ import annotations
@@ -19,8 +21,17 @@ HORIZON_SECONDS = 86_400
 TOP = 64
 
 
-def _prefix_length(n: Column, threshold: float) -> Column:
-    return n - F.ceil(n * threshold - 1e-9) + 1
+def prefix_keys(ordered: Column, threshold: float) -> Column:
+    """Block keys of a token array sorted from rare to frequent.
+
+    Sets that may match on a single shared token (τ = 1) carry single-token keys as well.
+    """
+    n = F.size(ordered)
+    need = F.ceil(n * threshold - 1e-9)
+    prefix = F.slice(ordered, F.lit(1), F.least(n, n - need + 2))
+    pairs = F.flatten(F.transform(prefix, lambda x, i: F.transform(
+        F.slice(prefix, i + 2, F.size(prefix)), lambda y: F.concat(x, F.lit(" "), y))))
+    return F.when(need <= 1, F.concat(ordered, pairs)).otherwise(pairs)
 
 
 def with_blocks(items: DataFrame, key: str, threshold: float = THRESHOLD) -> DataFrame:
@@ -30,8 +41,8 @@ def with_blocks(items: DataFrame, key: str, threshold: float = THRESHOLD) -> Dat
     counts = words.groupBy("token").agg(F.count("*").alias("n"))
     ranked = (words.join(counts, "token")
               .groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("_w")))
-    prefix = F.transform(F.slice("_w", F.lit(1), _prefix_length(F.size("_w"), threshold)),
-                         lambda w: F.concat(F.lit("t:"), w["token"]))
+    prefix = F.transform(prefix_keys(F.col("_w.token"), threshold),
+                         lambda k: F.concat(F.lit("t:"), k))
     url_block = F.when(F.col("url_norm") != "", F.array(F.concat(F.lit("u:"), F.col("url_norm"))))
     none = F.array().cast("array<string>")
     return base.join(ranked, key, "left").withColumn(
@@ -81,9 +92,8 @@ def near_dup_edges(events: DataFrame, threshold: float = THRESHOLD,
     counts = ids.groupBy("token").agg(F.count("*").alias("tn"))
     ranked = ids.join(counts, "token").groupBy("key", "_slot").agg(
         F.array_sort(F.collect_list(F.struct("tn", "token"))).alias("_w"))
-    blocked = sets.join(ranked, ["key", "_slot"]).withColumn("token", F.explode(
-        F.slice("_w", F.lit(1), _prefix_length(F.size("_w"), threshold)))).withColumn(
-            "token", F.col("token.token")).drop("_w")
+    blocked = sets.join(ranked, ["key", "_slot"]).withColumn(
+        "token", F.explode(prefix_keys(F.col("_w.token"), threshold))).drop("_w")
     probe = blocked.withColumn("_at", F.explode(F.array("_slot", F.col("_slot") + 1)))
     pairs = (probe.alias("a").join(blocked.alias("b"),
                                    (F.col("a.token") == later("token")) & (F.col("a._at") == later("_slot")))

@@ -135,3 +135,17 @@ def test_hot_copies_do_not_pair_up(spark):
                                      "received_at timestamp, arrival_seq long")
     assert neardup.near_dup_edges(df).count() == 0
     assert neardup.cluster_articles(df).groupBy("cluster_id").count().filter("count = 200").count() == 1
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.7, 0.85, 1.0])
+def test_prefix_keys_lose_no_pair(spark, threshold):
+    rng = random.Random(9)
+    sets = {" ".join(sorted(rng.sample("abcdefghijkl", rng.randint(1, 8)))) for _ in range(120)}
+    rows = [(f"e{i}", 1, s, "", BASE + timedelta(seconds=i), i) for i, s in enumerate(sorted(sets))]
+    df = spark.createDataFrame(rows, "event_id string, version int, headline string, url string, "
+                                     "received_at timestamp, arrival_seq long")
+    got = {frozenset((r["left_id"], r["right_id"])) for r in neardup.near_dup_edges(df, threshold).collect()}
+    words = {r[0]: set(r[2].split()) for r in rows}
+    want = {frozenset((a, b)) for a in words for b in words if a < b
+            and len(words[a] & words[b]) / len(words[a] | words[b]) >= threshold}
+    assert got == want
