@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import backtest, decisions, signals, studies
 from ..plans import views
-from ..plans.ordered import asof_join
-from .base import BARS, FILLS, GRID, num, register, truth, when
+from .base import BARS, FILLS, GRID, num, register, when
 from .decisions import LIMITS, TARGETS, rebalance_inputs
 from .signals import MOMENTUM, REGIME
 

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.taxonomy import DECAY_MINUTES, DIRECTIONS, EVENT_TYPES
+from ..functions.taxonomy import DECAY_MINUTES, EVENT_TYPES
 from ..operators import neardup, news, signals
 from ..plans import views
 from ..plans.ordered import asof_join
 from ..session import cut_lineage
-from .base import ARTICLES, GRID, VERSIONS, big, num, register, when
-from .pit import FEATURE_ROWS
+from .base import ARTICLES, VERSIONS, num, register, when
 from .signals import MOMENTUM, REGIME, VOLUME
 
 UNIVERSE = views.SYMBOLS

@@ -8,7 +8,7 @@ from ..operators import pit, signals
 from ..plans import views
 from ..plans.ordered import asof_join, rows_chunk
 from ..session import cut_lineage
-from .base import GRID, SYMBOL_LIST, big, num, register, when
+from .base import GRID, SYMBOL_LIST, num, register, when
 from .signals import MOMENTUM
 
 CUTOFF = "1999-06-01 00:00:00"

@@ -10,7 +10,6 @@ from ..plans.views import BENCHMARK
 from .base import BARS, GRID, frame, lag, num, big, register, truth, when
 
 KEY = f"symbol, {when('ts', 'ts')}"
-BACK = "p / nullif({}, 0) - 1"
 
 
 def _roc(n: int, column: str = "price", key: str = "symbol") -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import audit, backtest, news, pit
+from ..operators import audit, backtest, news
 from ..plans import views
 from ..session import scratch_path
 from ..sources import feature_store, ledger_store, raw_store
@@ -12,7 +12,7 @@ from ..streaming import news_stream
 from . import backtest as backtests
 from . import news as articles
 from .audit import CHAINED, records
-from .base import ARTICLES, LEDGER, num, register, when
+from .base import ARTICLES, num, register, when
 from .pit import CUTOFF, FEATURE_ROWS, feature_rows
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rolling import BarFrame, ratio
-from ..plans.ordered import (CHUNK_BARS, chunk_scan, drop_halo, number_bars, previous_row,
+from ..plans.ordered import (CHUNK_BARS, chunk_scan, drop_halo, number_bars,
                              running_max, running_sum, with_halo)
 from ..session import cut_lineage
 

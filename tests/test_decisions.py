@@ -5,7 +5,6 @@ from datetime import datetime
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from marketloom.operators import backtest, decisions, ridge
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from marketloom.operators import neardup, news
 from marketloom.plans import views
-from marketloom.plans.ordered import asof_join
 from marketloom.sources import raw_store
 from marketloom.streaming import news_stream
 
