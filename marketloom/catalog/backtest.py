@@ -134,6 +134,7 @@ SELECT {when('ts', 'ts')}, symbol, side, {num('a.q', 'qty_paper', 4)}, {num('a.p
   CASE WHEN a.q IS NULL THEN 'only_simulated' WHEN b.q IS NULL THEN 'only_paper' ELSE 'both' END AS status
 FROM a FULL JOIN b USING (ts, symbol, side)""", digits=4)
 def _divergence(spark, root):
+    # Each side misses some fills of the other, which is what the comparison reports.
     fills = views.fills(spark, root)
     simulated = fills.filter("seq % 5 <> 0").withColumn("fill_price", F.col("fill_price") * 1.001)
     rows = backtest.divergence(fills.filter("seq % 7 <> 0"), simulated)

@@ -179,6 +179,7 @@ a AS (SELECT CAST(page_id AS VARCHAR) AS path,
 SELECT path, expected, actual, CASE WHEN expected IS NULL THEN 'added' WHEN actual IS NULL THEN 'removed'
   ELSE 'changed' END AS status FROM e FULL JOIN a USING (path) WHERE expected IS DISTINCT FROM actual""")
 def _drift(spark, root):
+    # Added, removed and edited pages are made here, so that all three kinds of drift occur.
     pages = views.table(spark, root, "pages")
     i = F.col("page_id")
     edited = F.when(i % 50 == 7, F.concat("html", F.lit("<!-- edited -->"))).otherwise(F.col("html"))

@@ -121,6 +121,7 @@ g AS (SELECT s.symbol, t.ts, b.price FROM (SELECT DISTINCT symbol FROM thin) s
 SELECT {KEY}, {num('last_value(price IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts)', 'price')}
 FROM g""")
 def _ffill(spark, root):
+    # A fifth of the cells is taken out so that there is something to fill.
     thin = views.bars(spark, root).filter(
         (F.col("volume").cast("long") + F.length("symbol")) % 5 != 0)
     return panel.forward_fill(panel.densify(thin), ["price"]).select("symbol", "ts", "price")
@@ -134,6 +135,7 @@ grid AS (SELECT s.symbol, t.ts, b.price, b.volume FROM (SELECT DISTINCT symbol F
 f AS (SELECT symbol, ts, price, {', '.join(f'{v} AS {k}' for k, v in MOMENTUM.items())} FROM grid)
 SELECT {KEY}, {', '.join(num(c, c) for c in MOMENTUM)} FROM f WHERE price IS NOT NULL""")
 def _gappy(spark, root):
+    # Cells are taken out so that the frames meet gaps.
     thin = views.bars(spark, root).filter(
         (F.col("volume").cast("long") + F.length("symbol")) % 11 != 0)
     return signals.momentum_features(thin)
