@@ -41,12 +41,14 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "mar
 def scratch_path(spark: SparkSession, kind: str) -> str:
     """A new path in the shared checkpoint folder.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that setting
-    is absent (a developer machine) is a temporary folder used.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a session that runs
+    in this one process (a developer machine) may go without, and gets a temporary folder.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="marketloom-ckpt-"))
     return f"{context.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
 
