@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, scratch_path
 
-__all__ = ["cut_lineage", "documents", "embeddings", "pages", "scratch_path", "uniform", "word_count", "WORD"]
+__all__ = ["cut_lineage", "documents", "embeddings", "pages", "scratch_path", "tokenizer_file", "uniform", "word_count", "WORD"]
 
 # Java form of the word pattern: runs without the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,3 +33,10 @@ def word_count(text: Column) -> Column:
 def uniform(*parts: Column) -> Column:
     """A repeatable number in [0, 1) made from the hash of ``parts``."""
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 53)).cast("double") / float(1 << 53)
+
+
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file lies; the same place on all machines."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

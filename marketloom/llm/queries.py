@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..catalog.base import Query
 from ..session import tune
-from . import line_dedup, mixing
-from .common import documents
+from . import langid, line_dedup, mixing, pieces, token_store
+from .common import documents, scratch_path, tokenizer_file
 
 REGISTRY: dict[str, Query] = {}
 
@@ -28,3 +28,29 @@ def op1(spark: SparkSession, root: str) -> DataFrame:
 @register("op9_source_mix")
 def op9(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mix(documents(spark, root)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@register("op4_token_store")
+def op4(spark: SparkSession, root: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    token_store.write_tokens(documents(spark, root), path, tokenizer_file("byte_bpe_50k.json"))
+    return token_store.checksums(token_store.read_tokens(spark, path))
+
+
+@register("op7_language_id")
+def op7(spark: SparkSession, root: str) -> DataFrame:
+    docs = documents(spark, root).select("doc_id", "text", "lang")
+    held = langid.held_out(F.col("doc_id"))
+    filters = langid.train(docs.filter(~held))
+    return (langid.identify(docs.select("doc_id", "text"), filters)
+            .select("doc_id", held.alias("held_out"), "lang_pred", "score", "coverage"))
+
+
+@register("op10_piece_round_trip")
+def op10(spark: SparkSession, root: str) -> DataFrame:
+    path = tokenizer_file("piece_bpe_32k.model")
+    docs = documents(spark, root).select("doc_id", "text")
+    back = pieces.decode(pieces.encode(docs, path), path)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
+                       F.length("decoded").cast("long").alias("decoded_chars"),
+                       (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
