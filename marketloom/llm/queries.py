@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..catalog.base import Query
 from ..session import tune
-from . import langid, line_dedup, mixing, pieces, token_store
-from .common import documents, scratch_path, tokenizer_file
+from . import langid, line_dedup, mixing, pieces, prefix_forest, syncmers, token_store, url_filter
+from .common import documents, embeddings, pages, scratch_path, tokenizer_file
 
 REGISTRY: dict[str, Query] = {}
 
@@ -54,3 +54,23 @@ def op10(spark: SparkSession, root: str) -> DataFrame:
     return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
                        F.length("decoded").cast("long").alias("decoded_chars"),
                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
+
+
+@register("op3_url_filter")
+def op3(spark: SparkSession, root: str) -> DataFrame:
+    captures = pages(spark, root).select("page_id", "url").withColumn("fetched_at", url_filter.fetched_at(F.col("page_id")))
+    entries = url_filter.list_from_captures(captures)
+    out = url_filter.filter_urls(captures, entries)
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return out.select("page_id", "url", stamp("fetched_at"), "blocked", "match_kind", "match_key", stamp("listed_since"))
+
+
+@register("op5_prefix_forest")
+def op5(spark: SparkSession, root: str) -> DataFrame:
+    vectors = embeddings(spark, root).select("vec_id", "embedding")
+    return prefix_forest.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+@register("op8_syncmers")
+def op8(spark: SparkSession, root: str) -> DataFrame:
+    return syncmers.compare_with_edits(documents(spark, root))
