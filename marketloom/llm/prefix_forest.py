@@ -57,8 +57,8 @@ class Forest:
 
     def strings(self, vectors: np.ndarray) -> np.ndarray:
         """Bit strings per tree, the first direction in the highest bit."""
-        powers = np.uint64(1) << np.arange(BITS - 1, -1, -1, dtype=np.uint64)
-        return np.array([((vectors @ way.T) > 0).astype(np.uint64) @ powers for way in self.ways])
+        bits = [np.packbits((vectors @ way.T) > 0, axis=1) for way in self.ways]
+        return np.array([b.view(f">u{BITS // 8}")[:, 0] for b in bits]).astype(np.uint64)
 
     def search(self, queries: np.ndarray, enough: int) -> list[np.ndarray]:
         """Positions of the candidates of each query, at least ``enough`` entries over all trees."""
