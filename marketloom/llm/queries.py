@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog.base import Query
 from ..session import tune
-from . import langid, line_dedup, mixing, pieces, prefix_forest, syncmers, token_store, url_filter
+from . import langid, line_dedup, mixing, ngram_join, pieces, prefix_forest, syncmers, token_store, url_filter
 from .common import documents, embeddings, pages, scratch_path, tokenizer_file
 
 REGISTRY: dict[str, Query] = {}
@@ -74,3 +74,8 @@ def op5(spark: SparkSession, root: str) -> DataFrame:
 @register("op8_syncmers")
 def op8(spark: SparkSession, root: str) -> DataFrame:
     return syncmers.compare_with_edits(documents(spark, root))
+
+
+@register("op2_ngram_jaccard_join")
+def op2(spark: SparkSession, root: str) -> DataFrame:
+    return ngram_join.similarity_components(documents(spark, root))
