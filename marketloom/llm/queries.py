@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog.base import Query
 from ..session import tune
-from . import langid, line_dedup, mixing, ngram_join, pieces, prefix_forest, syncmers, token_store, url_filter
+from . import langid, line_dedup, mixing, ngram_join, pieces, pii, prefix_forest, syncmers, token_store, url_filter
 from .common import documents, embeddings, pages, scratch_path, tokenizer_file
 
 REGISTRY: dict[str, Query] = {}
@@ -79,3 +79,15 @@ def op8(spark: SparkSession, root: str) -> DataFrame:
 @register("op2_ngram_jaccard_join")
 def op2(spark: SparkSession, root: str) -> DataFrame:
     return ngram_join.similarity_components(documents(spark, root))
+
+
+@register("op6_personal_data")
+def op6(spark: SparkSession, root: str) -> DataFrame:
+    found = pii.personal_data(documents(spark, root))
+
+    def number(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = map(number, pii.KINDS)
+    return found.select("doc_id", *counts, F.sha2(pii.printed(F.col("base")), 256).alias("base_sha256"),
+                        pii.printed(pii.in_order(F.concat("base", "added"))).alias("spans"))

@@ -10,8 +10,8 @@ that a range of documents reads few pages and metadata reads no ids.
 from __future__ import annotations
 
 import os
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +26,13 @@ END = 2
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
 PAGE_ROWS = 1000
-# Words that one Python worker remembers before it starts anew.
-REMEMBERED = 400_000
-REMEMBERED_CHARS = 64
+# New words after which a Python worker forgets those it has not met since the last time.
+REMEMBERED = 300_000
 
-# White space beside a space (a cut there would separate what the pre-tokenizer looks at together),
-# or of an unusual kind.
-ODD = re.compile(r" \s|\s |[^\S \n]")
+# Where a space is beside other white space, a cut would separate what the pre-tokenizer looks at
+# together; kinds of white space that prose rarely holds are not looked at closer.
+BESIDE = ("  ", " \n", "\n ")
+RARE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 
 
 class WordwiseTokenizer:
@@ -48,37 +48,37 @@ class WordwiseTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # Words with the space before them: those met since the last change, and those before it.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of the texts as little-endian 32-bit numbers."""
-        if len(self.first) + len(self.later) >= REMEMBERED:
-            self.first.clear()
-            self.later.clear()
-        whole = [bool(ODD.search(t)) or bool(self.added and self.added.search(t)) for t in texts]
-        words = [None if w else t.split(" ") for w, t in zip(whole, texts)]
-        later = {x for ws in words if ws for x in ws[1:]}
-        self.learn(self.first, {ws[0] for ws in words if ws}, "")
-        self.learn(self.later, later, " ")
-        odd = iter(self.ask([t for w, t in zip(whole, texts) if w]))
-        out = []
-        for ws in words:
-            if ws is None:
-                out.append(next(odd))
+        if len(self.young) >= REMEMBERED:
+            self.young, self.old = {}, self.young
+        words = [None if self.odd(t) else t.split(" ") for t in texts]
+        self.learn({x for ws in words if ws for x in ws[1:]})
+        firsts = iter(self.ask([ws[0] if ws else t for ws, t in zip(words, texts)]))
+        young = self.young
+        return [next(firsts) + b"".join([young[x] for x in ws[1:]]) if ws else next(firsts) for ws in words]
+
+    def odd(self, text: str) -> bool:
+        return any(x in text for x in BESIDE) or any(x in text for x in RARE) or any(x in text for x in self.added)
+
+    def learn(self, words: set[str]) -> None:
+        old, young, new = self.old, self.young, []
+        for word in words.difference(young):
+            known = old.get(word)
+            if known is None:
+                new.append(word)
             else:
-                out.append(self.first[ws[0]] + b"".join([self.later[x] for x in ws[1:]]))
-        return out
-
-    def learn(self, memory: dict[str, bytes], words: set[str], before: str) -> None:
-        new = list(words.difference(memory))
-        memory.update(zip(new, self.ask([before + w for w in new])))
+                young[word] = known
+        young.update(zip(new, self.ask([" " + w for w in new])))
 
     def ask(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<i4").tobytes() for e in found]
+        return [array("i", e.ids).tobytes() for e in found]
 
 
 _tokenizers: dict[str, WordwiseTokenizer] = {}
