@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.llm import langid, line_dedup, mixing, ngram_join, pieces
-from marketloom.llm.common import cut_lineage, documents, tokenizer_file
+from marketloom.llm.common import cut_lineage, documents, packed, tokenizer_file, unpacked
 from marketloom.session import tune
 
 # A text with letters goes if known n-grams cover less of it than this.
@@ -39,16 +39,16 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of 5-word-shingle similarity 0.8 or more: that of smallest id."""
     rows = cut_lineage(ngram_join.similarity_components(docs, n=5, num=80, den=100).select("doc_id", "component_id"))
-    out = rows.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    out = rows.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_out")).distinct()
     again = rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").select(
-        F.col("doc_id").alias("_id"))
+        F.col("doc_id").alias("_out"))
     out, again = picked(out), picked(again)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-    kept = docs.join(out, same, "left_anti")
+    same = F.col("_id").eqNullSafe(F.col("_out"))
+    own = docs.select(packed(docs), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"))
+    kept = own.join(out, same, "left_anti")
     # Rows under one id: each text once.
-    once = (kept.join(again, same, "left_semi").withColumn("_h", F.xxhash64("text"))
-            .dropDuplicates(["doc_id", "_h"]).drop("_h"))
-    return kept.join(again, same, "left_anti").unionByName(once).select(*docs.columns)
+    once = kept.join(again, same, "left_semi").dropDuplicates(["_id", "_hash"])
+    return kept.join(again, same, "left_anti").unionByName(once).select(*unpacked(docs))
 
 
 def picked(ids: DataFrame) -> DataFrame:
@@ -58,11 +58,11 @@ def picked(ids: DataFrame) -> DataFrame:
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    copies = (mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("copies"))
-              .filter("copies > 0").select(F.col("doc_id").alias("_id"), "copies"))
-    taken = docs.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")
-                        ).select(*docs.columns)
+    copies = (mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies"))
+              .filter("_copies > 0").select(F.col("doc_id").alias("_taken"), "_copies"))
+    own = docs.select(packed(docs), F.col("doc_id").cast("long").alias("_id"))
+    return (own.join(copies, F.col("_id").eqNullSafe(F.col("_taken")))
+            .select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select(*unpacked(docs)))
 
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

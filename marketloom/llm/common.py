@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, scratch_path
 
-__all__ = ["cut_lineage", "documents", "embeddings", "pages", "scratch_path", "tokenizer_file", "uniform", "word_count", "WORD"]
+__all__ = ["cut_lineage", "documents", "embeddings", "packed", "pages", "scratch_path", "tokenizer_file", "uniform", "unpacked", "word_count", "WORD"]
 
 # Java form of the word pattern: runs without the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,6 +25,16 @@ def pages(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/pages.parquet")
 
 
+def packed(df: DataFrame) -> Column:
+    """All columns of a row in one struct, so that whatever they are called meets no other name."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+
+
+def unpacked(df: DataFrame, *replaced: str) -> list[Column]:
+    """The columns that ``packed(df)`` took in, but for those that are replaced."""
+    return [F.col(f"_row.`{c}`").alias(c) for c in df.columns if c not in replaced]
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for NULL."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

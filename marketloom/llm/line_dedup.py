@@ -13,9 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, packed
 
 VARIABLE = "<*>"
+NEW = ("n_lines", "n_dropped")
 
 
 def words_of(line: Column) -> Column:
@@ -71,7 +72,7 @@ def line_templates(docs: DataFrame, lines: DataFrame, min_docs: int, agree: floa
 
 def dedup_lines(docs: DataFrame, min_docs: int = 3, min_words: int = 3, depth: int = 3,
                 agree: float = 0.7) -> DataFrame:
-    """All columns of ``docs`` with ``text`` cleaned, plus ``n_lines`` and ``n_dropped``.
+    """All columns of ``docs`` with ``text`` cleaned, plus ``n_lines`` and ``n_dropped`` (replaced if there).
 
     A template recurs if at least ``min_docs`` documents hold a line of it; its first line (in
     order of doc_id, text hash, position) stays. Lines under ``min_words`` words always stay. Rows
@@ -95,13 +96,13 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_words: int = 3, depth: i
                          & (F.col("pos") == F.col("first.pos"))))
                .groupBy("doc_id", "text_key").agg(F.collect_list("pos").alias("out"))
                .select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "out"))
-    rows = docs.withColumn("_key", text_key(F.col("text")))
-    joined = rows.join(dropped, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
+    rows = docs.select(packed(docs), F.col("doc_id").alias("_id"), "text", text_key(F.col("text")).alias("_key"))
+    joined = rows.join(dropped, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
     split = F.split("text", "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("out"))
     kept = F.array_join(F.transform(left, lambda i: F.element_at(split, i + 1)), "\n")
-    return (joined.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long"))
-            .withColumn("n_dropped", F.coalesce(F.size("out"), F.lit(0)).cast("long"))
-            .withColumn("n_dropped", F.greatest("n_dropped", F.lit(0)).cast("long"))
-            .withColumn("text", F.when(F.col("out").isNull(), F.col("text")).otherwise(kept))
-            .select(*docs.columns, "n_lines", "n_dropped"))
+    text = F.when(F.col("out").isNull(), F.col("text")).otherwise(kept).alias("text")
+    whole = [text if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in NEW]
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(split))
+    n_dropped = F.when(F.col("out").isNull(), 0).otherwise(F.size("out"))
+    return joined.select(*whole, n_lines.cast("long").alias("n_lines"), n_dropped.cast("long").alias("n_dropped"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import packed, unpacked
+
 # Kinds of entries, the most specific last: the latter wins where several are active.
 DOMAIN, HOST, PREFIX = "domain", "host", "prefix"
 # Intervals are cut at such spans, so that a capture meets few intervals of a key.
@@ -74,7 +76,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", at: s
     the side that is dealt, and a key meets only the intervals of the capture's span.
     """
     new = ["blocked", "match_kind", "match_key", "listed_since"]
-    own = captures.select(*[c for c in captures.columns if c not in new])
+    own = captures.select(packed(captures), F.col(url).alias("_u"), F.col(at).alias("_t"))
     active = intervals(entries)
     last = captures.agg(F.max(span_of(F.col(at))).alias("last_span"))
     # An open interval reaches to the last capture.
@@ -83,7 +85,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", at: s
            .withColumn("to_span", F.coalesce(span_of(F.col("valid_to")), F.col("last_span")))
            .filter("from_span <= to_span")
            .select("kind", "key", "valid_from", "valid_to", F.explode(F.sequence("from_span", "to_span")).alias("span")))
-    probes = (own.select(F.col(url).alias("_url"), F.col(at).alias("_at")).filter("_url is not null and _at is not null")
+    probes = (captures.select(F.col(url).alias("_url"), F.col(at).alias("_at")).filter("_url is not null and _at is not null")
               .distinct()
               .select("_url", "_at", F.explode(keys_of(F.col("_url"))).alias("k"))
               .select("_url", "_at", F.col("k.kind").alias("kind"), F.col("k.key").alias("key"),
@@ -96,9 +98,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", at: s
             .agg(F.max(F.struct(rank.alias("rank"), F.length("key").alias("size"), "kind", "key", "valid_from")).alias("m"))
             .select("_url", "_at", F.col("m.kind").alias("match_kind"), F.col("m.key").alias("match_key"),
                     F.col("m.valid_from").alias("listed_since")))
-    return (own.join(best, (F.col(url) == F.col("_url")) & (F.col(at) == F.col("_at")), "left")
-            .withColumn("blocked", F.col("match_key").isNotNull())
-            .select(*own.columns, *new))
+    return (own.join(best, (F.col("_u") == F.col("_url")) & (F.col("_t") == F.col("_at")), "left")
+            .select(*unpacked(captures, *new), F.col("match_key").isNotNull().alias("blocked"), *new[1:]))
 
 
 def list_from_captures(captures: DataFrame) -> DataFrame:
