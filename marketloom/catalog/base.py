@@ -113,9 +113,9 @@ SYMBOL_LIST = "['ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL', 'STANDARD']"
 
 ARTICLES = f"""raw_articles AS (
   SELECT CAST(d.doc_id AS VARCHAR) AS id, d.doc_id AS doc,
-    substr(split_part(text, chr(10), 1), 1, 80)
+    split_part(text, chr(10), 1)
       || CASE WHEN kind = 1 THEN ' (update)' ELSE '' END AS headline,
-    substr(text, 1, 200) AS summary,
+    text AS summary,
     CASE WHEN d.doc_id % 71 = 70 THEN 'missing' WHEN d.doc_id % 53 = 52 THEN 'naive'
          ELSE 'ok' END AS created_state,
     TIMESTAMP '2024-01-01' + to_minutes(CAST(d.doc_id AS BIGINT)) AS created_at,

@@ -69,13 +69,13 @@ def risk_inputs(spark, root):
     k, c = F.col("o_orderkey"), F.col("c_custkey")
     names = F.array(*[F.lit(s) for s in [*views.SYMBOLS, "OTHER"]])
     proposals = views.table(spark, root, "orders").select(
-        k.alias("proposal_id"), F.col("o_custkey").alias("account"),
+        k.alias("proposal_id"), F.when(k % 113 == 0, -1).otherwise(F.col("o_custkey")).alias("account"),
         F.element_at(names, (k % 7 + 1).cast("int")).alias("symbol"),
-        F.when(k % 97 == 0, "HOLD").when(F.col("o_orderstatus") == "F", "SELL").otherwise("BUY")
-        .alias("side"), ((k % 41 - 1) / 20.0).alias("qty"),
-        F.when(F.col("o_orderpriority") == "1-URGENT", "market").when(k % 13 == 0, "stop")
-        .otherwise("limit").alias("order_type"),
-        F.when(k % 29 == 0, "gtc").otherwise("day").alias("tif"))
+        F.when(k % 97 == 0, "HOLD").when(k % 109 == 0, None).when(F.col("o_orderstatus") == "F", "SELL").otherwise("BUY")
+        .alias("side"), F.when(k % 107 != 0, (k % 41 - 1) / 20.0).alias("qty"),
+        F.when(k % 101 == 0, None).when(F.col("o_orderpriority") == "1-URGENT", "market")
+        .when(k % 13 == 0, "stop").otherwise("limit").alias("order_type"),
+        F.when(k % 103 == 0, None).when(k % 29 == 0, "gtc").otherwise("day").alias("tif"))
     equity = F.lit(5000.0) + F.abs("c_acctbal") * 2
     customers = views.table(spark, root, "customer")
     accounts = customers.select(
@@ -99,13 +99,13 @@ def risk_inputs(spark, root):
 
 RISK = f"""{BARS}, market AS (SELECT symbol, arg_max(price, ts) AS price, avg(price * volume) AS adv,
     stddev_samp(price) / avg(price) * 10 AS vol FROM bars GROUP BY symbol),
-prop AS (SELECT o_orderkey AS proposal_id, o_custkey AS account,
+prop AS (SELECT o_orderkey AS proposal_id, CASE WHEN o_orderkey % 113 = 0 THEN -1 ELSE o_custkey END AS account,
     list_append({SYMBOL_LIST}, 'OTHER')[o_orderkey % 7 + 1] AS symbol,
-    CASE WHEN o_orderkey % 97 = 0 THEN 'HOLD' WHEN o_orderstatus = 'F' THEN 'SELL' ELSE 'BUY' END AS side,
-    (o_orderkey % 41 - 1) / 20.0 AS qty,
-    CASE WHEN o_orderpriority = '1-URGENT' THEN 'market' WHEN o_orderkey % 13 = 0 THEN 'stop'
+    CASE WHEN o_orderkey % 97 = 0 THEN 'HOLD' WHEN o_orderkey % 109 = 0 THEN NULL WHEN o_orderstatus = 'F' THEN 'SELL' ELSE 'BUY' END AS side,
+    CASE WHEN o_orderkey % 107 <> 0 THEN (o_orderkey % 41 - 1) / 20.0 END AS qty,
+    CASE WHEN o_orderkey % 101 = 0 THEN NULL WHEN o_orderpriority = '1-URGENT' THEN 'market' WHEN o_orderkey % 13 = 0 THEN 'stop'
          ELSE 'limit' END AS order_type,
-    CASE WHEN o_orderkey % 29 = 0 THEN 'gtc' ELSE 'day' END AS tif FROM orders),
+    CASE WHEN o_orderkey % 103 = 0 THEN NULL WHEN o_orderkey % 29 = 0 THEN 'gtc' ELSE 'day' END AS tif FROM orders),
 acc AS (SELECT c_custkey AS account, 5000.0 + abs(c_acctbal) * 2 AS equity, c_acctbal AS cash,
     CASE WHEN c_custkey % 19 = 0 THEN (5000.0 + abs(c_acctbal) * 2) * -0.06 ELSE 0 END AS pnl,
     c_custkey % 12 AS trades FROM customer),
@@ -119,12 +119,13 @@ j AS (SELECT p.*, coalesce(held, 0) AS held, equity, cash, pnl, trades, coalesce
   FROM prop p LEFT JOIN acc USING (account) LEFT JOIN gross USING (account)
   LEFT JOIN pos ON pos.account = p.account AND pos.symbol = p.symbol
   LEFT JOIN market m ON m.symbol = p.symbol),
-decided AS (SELECT *, CASE WHEN NOT listed THEN 'UNKNOWN_SYMBOL'
+decided AS (SELECT *, CASE WHEN NOT listed THEN 'UNKNOWN_SYMBOL' WHEN equity IS NULL THEN 'UNKNOWN_ACCOUNT'
   WHEN side = 'SELL' AND held <= 0 THEN 'SHORT_ATTEMPT'
   WHEN side = 'SELL' AND qty > held + 1e-9 THEN 'OVERSELL'
-  WHEN side NOT IN ('BUY', 'SELL') THEN 'SHORT_ATTEMPT'
-  WHEN qty <= 0 THEN 'NONPOSITIVE_QTY' WHEN order_type NOT IN ('market', 'limit') THEN 'BAD_ORDER_TYPE'
-  WHEN tif <> 'day' THEN 'BAD_TIF' WHEN price < 5 THEN 'PENNY_STOCK'
+  WHEN side IS NULL OR side NOT IN ('BUY', 'SELL') THEN 'SHORT_ATTEMPT'
+  WHEN qty IS NULL OR qty <= 0 THEN 'NONPOSITIVE_QTY'
+  WHEN order_type IS NULL OR order_type NOT IN ('market', 'limit') THEN 'BAD_ORDER_TYPE'
+  WHEN tif IS DISTINCT FROM 'day' THEN 'BAD_TIF' WHEN price < 5 THEN 'PENNY_STOCK'
   WHEN adv < 350000 THEN 'ILLIQUID' WHEN vol > 0.6 THEN 'EXCESS_VOLATILITY'
   WHEN side = 'BUY' AND (held + qty) * price > 0.25 * equity + 1e-9 THEN 'OVER_CONCENTRATION'
   WHEN side = 'BUY' AND gross + qty * price > 0.95 * equity + 1e-9 THEN 'OVER_EXPOSURE'
@@ -146,11 +147,12 @@ def _summary(spark, root):
 
 @register("risk_violations", f"""WITH {RISK}, v AS (
   SELECT 'UNKNOWN_SYMBOL' AS code FROM j WHERE NOT listed
-  UNION ALL SELECT 'SHORT_ATTEMPT' FROM j WHERE side NOT IN ('BUY', 'SELL') OR (side = 'SELL' AND held <= 0)
+  UNION ALL SELECT 'UNKNOWN_ACCOUNT' FROM j WHERE equity IS NULL
+  UNION ALL SELECT 'SHORT_ATTEMPT' FROM j WHERE side IS NULL OR side NOT IN ('BUY', 'SELL') OR (side = 'SELL' AND held <= 0)
   UNION ALL SELECT 'OVERSELL' FROM j WHERE side = 'SELL' AND qty > held + 1e-9
-  UNION ALL SELECT 'NONPOSITIVE_QTY' FROM j WHERE qty <= 0
-  UNION ALL SELECT 'BAD_ORDER_TYPE' FROM j WHERE order_type NOT IN ('market', 'limit')
-  UNION ALL SELECT 'BAD_TIF' FROM j WHERE tif <> 'day'
+  UNION ALL SELECT 'NONPOSITIVE_QTY' FROM j WHERE qty IS NULL OR qty <= 0
+  UNION ALL SELECT 'BAD_ORDER_TYPE' FROM j WHERE order_type IS NULL OR order_type NOT IN ('market', 'limit')
+  UNION ALL SELECT 'BAD_TIF' FROM j WHERE tif IS DISTINCT FROM 'day'
   UNION ALL SELECT 'PENNY_STOCK' FROM j WHERE price < 5
   UNION ALL SELECT 'ILLIQUID' FROM j WHERE adv < 350000
   UNION ALL SELECT 'EXCESS_VOLATILITY' FROM j WHERE vol > 0.6
@@ -158,7 +160,7 @@ def _summary(spark, root):
   UNION ALL SELECT 'OVER_EXPOSURE' FROM j WHERE side = 'BUY' AND gross + qty * price > 0.95 * equity + 1e-9
   UNION ALL SELECT 'DAILY_LOSS_HALT' FROM j WHERE pnl <= -0.05 * equity
   UNION ALL SELECT 'MAX_TRADES' FROM j WHERE trades >= 10
-  UNION ALL SELECT 'INSUFFICIENT_CAPITAL' FROM j WHERE side = 'BUY' AND qty * price > cash + 1e-9)
+  UNION ALL SELECT 'INSUFFICIENT_CAPITAL' FROM j WHERE side = 'BUY' AND qty * price > coalesce(cash, 0) + 1e-9)
 SELECT code, count(*) AS n FROM v GROUP BY code""")
 def _violations(spark, root):
     rows = decisions.evaluate(*risk_inputs(spark, root), LIMITS)

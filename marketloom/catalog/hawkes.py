@@ -20,8 +20,9 @@ STREAMS = HOURS + """, jumps AS (SELECT session, ts, d FROM (
     FROM hours WHERE event_type <> 'signup') WHERE d <> 0),
 both_dims AS (SELECT session, 0 AS dim, epoch_us(ts) AS us FROM hours WHERE event_type = 'signup'
   UNION ALL SELECT session, 1, epoch_us(ts) FROM jumps),
-streams AS (SELECT session, dim, us - min(us) OVER (PARTITION BY session)
-    + row_number() OVER (PARTITION BY session, dim, us) - 1 AS t_us FROM both_dims)"""
+numbered AS (SELECT session, dim, us - min(us) OVER (PARTITION BY session) AS t,
+    row_number() OVER (PARTITION BY session, dim ORDER BY us) AS i FROM both_dims),
+streams AS (SELECT session, dim, i + max(t - i) OVER (PARTITION BY session, dim ORDER BY i) AS t_us FROM numbered)"""
 
 
 def stream_rows(spark, root):

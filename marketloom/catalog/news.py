@@ -228,7 +228,7 @@ def _url_keys(spark, root):
 
 
 @register("near_dup_pairs", f"""WITH {VERSIONS}, items AS (
-  SELECT id, received_at, epoch_us(received_at) // 86400000000 AS slot, {TOKENS_SQL} AS tokens,
+  SELECT id || '#' || version AS id, received_at, epoch_us(received_at) // 86400000000 AS slot, {TOKENS_SQL} AS tokens,
          {URL_SQL} AS u FROM versions),
 s AS (SELECT tokens, slot, min(id) AS rep, count(*) AS n, min(received_at) AS a, max(received_at) AS z
       FROM items WHERE len(tokens) > 0 GROUP BY tokens, slot),

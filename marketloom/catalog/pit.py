@@ -72,8 +72,8 @@ def _chronology(spark, root):
 
 
 @register("asof_features", f"""WITH {FEATURE_ROWS}, decisions AS (
-  SELECT o_orderkey AS decision_id, {SYMBOL_LIST}[o_custkey % 6 + 1] AS symbol,
-         o_orderdate AS decision_ts FROM orders)
+  SELECT o_orderkey AS decision_id, CASE WHEN o_orderkey % 211 <> 0 THEN {SYMBOL_LIST}[o_custkey % 6 + 1] END AS symbol,
+         CASE WHEN o_orderkey % 223 <> 0 THEN o_orderdate END AS decision_ts FROM orders)
 SELECT decision_id, d.symbol, {when('decision_ts', 'decision_ts')}, {when('as_of', 'matched_as_of')},
   {num('momentum_roc20', 'momentum_roc20')}, {num('momentum_ma50', 'momentum_ma50')}
 FROM decisions d ASOF LEFT JOIN feature_rows f
@@ -86,7 +86,8 @@ def _asof(spark, root):
 
 
 @register("asof_tolerance", f"""WITH decisions AS (
-  SELECT o_orderkey AS decision_id, o_custkey AS k, o_orderdate AS decision_ts FROM orders),
+  SELECT o_orderkey AS decision_id, CASE WHEN o_orderkey % 211 <> 0 THEN o_custkey END AS k,
+    CASE WHEN o_orderkey % 223 <> 0 THEN o_orderdate END AS decision_ts FROM orders),
 q AS (SELECT l_suppkey AS k, l_shipdate AS quote_ts, max(l_extendedprice) AS quote
       FROM lineitem GROUP BY 1, 2)
 SELECT decision_id, d.k, {when('decision_ts', 'decision_ts')},
@@ -96,8 +97,8 @@ SELECT decision_id, d.k, {when('decision_ts', 'decision_ts')},
 FROM decisions d ASOF LEFT JOIN q ON d.k = q.k AND d.decision_ts >= q.quote_ts""")
 def _asof_tolerance(spark, root):
     decisions = views.table(spark, root, "orders").select(
-        F.col("o_orderkey").alias("decision_id"), F.col("o_custkey").alias("k"),
-        F.col("o_orderdate").cast("timestamp").alias("decision_ts"))
+        F.col("o_orderkey").alias("decision_id"), F.when(F.col("o_orderkey") % 211 != 0, F.col("o_custkey")).alias("k"),
+        F.when(F.col("o_orderkey") % 223 != 0, F.col("o_orderdate").cast("timestamp")).alias("decision_ts"))
     quotes = (views.table(spark, root, "lineitem")
               .groupBy(F.col("l_suppkey").alias("k"),
                        F.col("l_shipdate").cast("timestamp").alias("quote_ts"))

@@ -61,18 +61,18 @@ def _total(spark, root):
 
 
 @register("model_classified", """SELECT doc_id, CASE WHEN length(h) % 3 = 0 THEN 'rumour' ELSE 'jobs' END AS event_type,
-  round(length(h) / 80.0, 6) + 0.0 AS confidence,
+  round(1.0 / (1 + length(h)), 6) + 0.0 AS confidence,
   CASE WHEN length(h) % 3 = 0 THEN 'event_type' ELSE '' END AS errors
-FROM (SELECT doc_id, substr(split_part(text, chr(10), 1), 1, 80) AS h FROM documents)""")
+FROM (SELECT doc_id, split_part(text, chr(10), 1) AS h FROM documents)""")
 def _model(spark, root):
     import pandas as pd
 
     def by_length(headline, summary):
         size = headline.str.len()
         return pd.DataFrame({"event_type": ["rumour" if n % 3 == 0 else "jobs" for n in size],
-                             "event_direction": "neutral", "confidence": size / 80.0})
+                             "event_direction": "neutral", "confidence": 1.0 / (1 + size)})
     docs = views.table(spark, root, "documents").select(
-        "doc_id", F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("headline"),
+        "doc_id", F.substring_index("text", "\n", 1).alias("headline"),
         F.lit("").alias("summary"))
     return news.classify_with(docs, by_length, "length").select(
         "doc_id", "event_type", "confidence", F.array_join("errors", ",").alias("errors"))

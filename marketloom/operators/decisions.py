@@ -106,18 +106,21 @@ def risk_rules(limits: Limits, kill_switch: bool) -> list[tuple[str, Column]]:
     """(code, violated) in checking order."""
     c, zero = F.col, F.lit(0.0)
     buy, sell = c("side") == "BUY", c("side") == "SELL"
-    known_side = F.coalesce(buy | sell, F.lit(False))
+    # What must hold of an order is violated where it is unknown.
+    holds = lambda condition: F.coalesce(condition, F.lit(False))
+    known_side = holds(buy | sell)
     price, held = F.coalesce("price", zero), F.coalesce("held", zero)
     notional = c("qty") * price
     day_start = F.coalesce("day_start_equity", "equity")
     return [
         ("KILL_SWITCH", F.lit(kill_switch)),
         ("UNKNOWN_SYMBOL", c("_listed").isNull()),
+        ("UNKNOWN_ACCOUNT", c("equity").isNull()),
         ("SHORT_ATTEMPT", ~known_side | (sell & (held <= 0))),
         ("OVERSELL", sell & (c("qty") > held + EPSILON)),
-        ("NONPOSITIVE_QTY", c("qty") <= 0),
-        ("BAD_ORDER_TYPE", ~c("order_type").isin(*limits.order_types)),
-        ("BAD_TIF", ~c("tif").isin(*limits.tifs)),
+        ("NONPOSITIVE_QTY", ~holds((c("qty") > 0) & ~F.isnan(c("qty").cast("double")))),
+        ("BAD_ORDER_TYPE", ~holds(c("order_type").isin(*limits.order_types))),
+        ("BAD_TIF", ~holds(c("tif").isin(*limits.tifs))),
         ("PENNY_STOCK", price < limits.min_price),
         ("ILLIQUID", F.coalesce("adv_dollar_volume", zero) < limits.min_adv),
         ("EXCESS_VOLATILITY", F.coalesce("ann_vol", zero) > limits.max_ann_vol),

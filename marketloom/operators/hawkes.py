@@ -19,10 +19,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ordered import chunk_scan, ordinal, previous_row, running_sum, seconds_chunk
+from ..plans.ordered import chunk_scan, ordinal, previous_row, running_max, running_sum, seconds_chunk
 from ..session import cut_lineage
 
 SPAN = 200.0
+SPREAD_CHUNK = 3_600_000_000
 # Decay grid of the search.
 BETA_GRID = tuple(0.5 * k for k in range(1, 11))
 
@@ -56,17 +57,18 @@ def price_jumps(ticks: DataFrame, keys: Sequence[str] = ("session",), order: Seq
 def streams(news: DataFrame, jumps: DataFrame, key: str = "session") -> DataFrame:
     """Both streams as (key, dim, t_us): microseconds since the key's first event of either.
 
-    dim 0 is news, dim 1 is price. Equal times within one dimension are moved apart by one
-    microsecond per position among the equals.
+    dim 0 is news, dim 1 is price. Times of one dimension rise strictly: each is at least one
+    microsecond after the one before, which moves apart equal times and those they run into. With
+    i the position and t the time, that is i + the running maximum of t - i.
     """
     both = news.select(key, F.lit(0).alias("dim"), "ts").unionByName(
         jumps.select(key, F.lit(1).alias("dim"), "ts"))
     epoch = both.groupBy(key).agg(F.min(F.unix_micros("ts")).alias("_epoch"))
-    counted = (both.groupBy(key, "dim", F.unix_micros("ts").alias("_us"))
-               .agg(F.count("*").alias("_k")))
-    spread = counted.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1)))
-    return spread.join(epoch, key).select(
-        key, "dim", (F.col("_us") - F.col("_epoch") + F.col("_i")).alias("t_us"))
+    timed = both.join(epoch, key).select(key, "dim", (F.unix_micros("ts") - F.col("_epoch")).alias("_t"))
+    numbered = chunk_scan(timed, [key, "dim"], F.floor(F.col("_t") / SPREAD_CHUNK), ["_t"], [ordinal("_i")])
+    return chunk_scan(numbered, [key, "dim"], F.floor(F.col("_t") / SPREAD_CHUNK), ["_i"],
+                      [running_max("_m", F.col("_t") - F.col("_i"))]).select(
+        key, "dim", (F.col("_i") + F.col("_m")).alias("t_us"))
 
 
 def interarrivals(events: DataFrame, keys: Sequence[str] = ("session", "dim"),

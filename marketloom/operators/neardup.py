@@ -61,12 +61,13 @@ def near_dup_edges(events: DataFrame, threshold: float = THRESHOLD,
     """Similarity edges between groups of copies.
 
     Articles with the same token set (or URL key) received in the same horizon-wide slot form one
-    group, represented by its smallest event id, so copies are never paired with each other. Two
+    group, represented by its smallest ``event_id#version``, so copies are never paired with each other. Two
     groups are linked when some member pair lies within the horizon: always in the same slot, and
     in neighbouring slots exactly when the later group's first is near the earlier group's last.
     """
     width = horizon_seconds * 1_000_000
-    timed = events.withColumns({"_t": F.unix_micros("received_at"), "_tokens": F.array_sort(tokens(F.col("headline"))),
+    label = F.concat_ws("#", "event_id", F.col("version").cast("string"))
+    timed = events.withColumn("event_id", label).withColumns({"_t": F.unix_micros("received_at"), "_tokens": F.array_sort(tokens(F.col("headline"))),
                                 "_url": url_key(F.col("url"))})
     timed = cut_lineage(timed.withColumn("_slot", F.floor(F.col("_t") / width))
                         .select("event_id", "_t", "_slot", "_tokens", "_url"))
@@ -115,8 +116,7 @@ def near_dup_edges(events: DataFrame, threshold: float = THRESHOLD,
 
 def cluster_articles(events: DataFrame, threshold: float = THRESHOLD,
                      horizon_seconds: int = HORIZON_SECONDS, top: int = TOP,
-                     open_heads: DataFrame | None = None,
-                     max_rounds: int = 100_000) -> DataFrame:
+                     open_heads: DataFrame | None = None) -> DataFrame:
     """Ordered leader clustering: in receipt order an article joins the first earlier head it
     matches, otherwise it becomes a head; heads are compared with articles, never members.
 
@@ -149,7 +149,7 @@ def cluster_articles(events: DataFrame, threshold: float = THRESHOLD,
         covered = _hits(undecided, items.filter("_open"), width, threshold).select("_id").distinct()
         undecided = cut_lineage(undecided.join(covered, "_id", "left_anti"))
 
-    for _ in range(max_rounds):
+    while True:
         elected = cut_lineage(_elect(undecided, width, threshold, top))
         if elected.isEmpty():
             break

@@ -14,8 +14,6 @@ from ..functions.text import minutes_since, utc_timestamp
 from ..plans.ordered import (CHUNK_ROWS, chunk_scan, ordinal, rows_chunk, running_max,
                              seconds_chunk)
 
-MAX_RULES = 2000
-
 
 # ------------------------------------------------------------ normalise
 
@@ -99,20 +97,17 @@ def newest_visible(versions: DataFrame, decision_times: Iterable[str]) -> DataFr
 def classify(events: DataFrame, rules: DataFrame) -> DataFrame:
     """First matching keyword rule wins; a keyword matches as a plain substring.
 
-    ``rules`` holds (ordinal, event_type, event_direction, keyword). It is configuration: it is
-    read to the driver after a size check and becomes one ordered CASE expression.
+    ``rules`` holds (ordinal, event_type, event_direction, keyword). It is configuration, written
+    by people: it is read to the driver and becomes one literal array, in order.
     """
-    listed = rules.select("ordinal", "event_type", "event_direction", "keyword").head(MAX_RULES + 1)
-    if len(listed) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
-    listed = sorted(listed, key=lambda r: r["ordinal"])
+    listed = sorted(rules.select("ordinal", "event_type", "event_direction", "keyword").collect(),
+                    key=lambda r: r["ordinal"])
     text = F.lower(F.concat(F.coalesce(F.col("headline"), F.lit("")), F.lit(" "),
                             F.coalesce(F.col("summary"), F.lit(""))))
-    label = lambda r: F.struct(F.lit(r["event_type"]).alias("event_type"),
-                               F.lit(r["event_direction"]).alias("event_direction"))
-    hit = F.lit(None).cast("struct<event_type:string,event_direction:string>")
-    for rule in reversed(listed):
-        hit = F.when(F.col("_text").contains(rule["keyword"]), label(rule)).otherwise(hit)
+    table = F.array(*[F.struct(*[F.lit(r[c]).cast("string").alias(c)
+                                 for c in ("event_type", "event_direction", "keyword")]) for r in listed])
+    none = F.lit(None).cast("struct<event_type:string,event_direction:string,keyword:string>")
+    hit = F.get(F.filter(table, lambda r: F.col("_text").contains(r["keyword"])), F.lit(0)) if listed else none
     return (events.withColumn("_text", text).withColumn("_hit", hit)
             .withColumns({"event_type": F.coalesce("_hit.event_type", F.lit("unknown")),
                           "event_direction": F.coalesce("_hit.event_direction", F.lit("unknown")),

@@ -93,9 +93,13 @@ def ordinal(out: str) -> Scan:
 
 def chunk_scan(df: DataFrame, keys: Sequence[str], chunk: Column, order: Sequence[str],
                scans: Sequence[Scan]) -> DataFrame:
-    """Evaluate ``scans`` over each key in ``order``; ``chunk`` must not decrease in that order."""
-    keys = list(keys)
-    work = df.withColumn("_c", chunk)
+    """Evaluate ``scans`` over each key in ``order``; ``chunk`` must not decrease in that order.
+
+    Rows with a NULL key are a key of their own, and a NULL chunk comes first in its key: both are
+    put in structs, which are equal where their fields are NULL, so no row is lost in the join.
+    """
+    work = df.withColumn("_k", F.struct(*[F.col(k) for k in keys])).withColumn("_c", F.struct(chunk.alias("c")))
+    keys = ["_k"]
     for i, scan in enumerate(scans):
         work = work.withColumn(f"_v{i}", scan.value)
     position = F.struct(*[F.col(c) for c in order])
@@ -158,9 +162,11 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str
 
     Both sides are stacked and scanned once, so no key is expanded and nothing is broadcast.
     ``take`` columns come from the right side; with a tolerance, older matches become NULL.
-    Right rows with equal times are ordered by ``right_order``; the last one is taken.
+    Right rows with equal times are ordered by ``right_order``; the last one is taken. Every left
+    row comes back once; one with a NULL key or time matches nothing.
     """
     by = list(by)
+    right = right.dropna(subset=[*by, right_ts])
     payload = F.struct(F.col(right_ts).alias("_rts"), *[F.col(c) for c in take])
     lefts = left.select(*by, F.col(left_ts).alias("_t"), F.lit(1).alias("_side"),
                         F.struct(*[F.col(c) for c in left.columns]).alias("_l"))
@@ -170,7 +176,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str
     stacked = lefts.unionByName(rights, allowMissingColumns=True)
     scanned = chunk_scan(stacked, by, seconds_chunk("_t", chunk_seconds), ["_t", "_side", "_o"],
                          [last_known("_hit", F.col("_r"))]).filter("_side = 1")
-    hit = F.col("_hit")
+    hit = F.when(F.col("_t").isNotNull() & ~F.array_contains(F.array(*[F.col(k).isNull() for k in by]), True), F.col("_hit"))
     if tolerance_seconds is not None:
         fresh = (F.unix_micros("_t") - F.unix_micros("_hit._rts")
                  <= int(tolerance_seconds * 1_000_000))
