@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog.base import Query
 from ..session import tune
-from . import langid, line_dedup, mixing, ngram_join, pieces, pii, prefix_forest, syncmers, token_store, url_filter
+from . import langid, line_dedup, mixing, ngram_join, pieces, pii, prefix_forest, sql, syncmers, token_store, url_filter
 from .common import documents, embeddings, pages, scratch_path, tokenizer_file
 
 REGISTRY: dict[str, Query] = {}
@@ -20,7 +20,7 @@ def register(name: str, sql: str | None = None):
     return wrap
 
 
-@register("op1_line_dedup")
+@register("op1_line_dedup", sql.LINE_DEDUP)
 def op1(spark: SparkSession, root: str) -> DataFrame:
     return line_dedup.dedup_lines(documents(spark, root).select("doc_id", "text"))
 
@@ -56,7 +56,7 @@ def op10(spark: SparkSession, root: str) -> DataFrame:
                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
 
 
-@register("op3_url_filter")
+@register("op3_url_filter", sql.URL_FILTER)
 def op3(spark: SparkSession, root: str) -> DataFrame:
     captures = pages(spark, root).select("page_id", "url").withColumn("fetched_at", url_filter.fetched_at(F.col("page_id")))
     entries = url_filter.list_from_captures(captures)
@@ -76,7 +76,7 @@ def op8(spark: SparkSession, root: str) -> DataFrame:
     return syncmers.compare_with_edits(documents(spark, root))
 
 
-@register("op2_ngram_jaccard_join")
+@register("op2_ngram_jaccard_join", sql.NGRAM_JOIN)
 def op2(spark: SparkSession, root: str) -> DataFrame:
     return ngram_join.similarity_components(documents(spark, root))
 

@@ -111,7 +111,7 @@ def list_from_captures(captures: DataFrame) -> DataFrame:
     kinds = {DOMAIN: 11, HOST: 7, PREFIX: 5}
     keys = (captures.filter("url is not null").select(F.explode(keys_of(F.col("url"))).alias("k"))
             .select("k.kind", "k.key").distinct()
-            .withColumn("h", F.crc32(F.concat_ws("|", "kind", "key").cast("binary"))))
+            .withColumn("h", F.conv(F.substring(F.md5(F.concat_ws("|", "kind", "key").cast("binary")), 1, 7), 16, 10).cast("long")))
     chosen = keys.filter(" or ".join(f"(kind = '{k}' and h % {n} = 0)" for k, n in kinds.items()))
     day = F.lit(START).cast("timestamp")
     log = F.array(
