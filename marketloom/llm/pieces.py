@@ -121,7 +121,7 @@ class PieceModel:
                     yield self.path(start, last, meet)
                     begin += meet
                     best, start, last = best[meet:], [x - meet for x in start[meet:]], last[meet:]
-                grow = k - meet + 1 + longest + 1 - len(best)
+                grow = max(COMMIT, k - meet + 1) + longest + 1 - len(best)
                 best += [-math.inf] * grow
                 start += [0] * grow
                 last += [None] * grow
