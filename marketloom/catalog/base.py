@@ -71,6 +71,8 @@ BARS = """bars AS (
          sum(l_extendedprice) / sum(l_quantity) AS price, sum(l_quantity) AS volume
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"""
 
+DAILY_BARS = BARS.replace("'week'", "'day'")
+
 GRID = BARS + """, grid AS (
   SELECT s.symbol, t.ts, b.price, b.volume
   FROM (SELECT DISTINCT symbol FROM bars) s CROSS JOIN (SELECT DISTINCT ts FROM bars) t

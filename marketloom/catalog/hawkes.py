@@ -158,7 +158,8 @@ def _qq(spark, root):
     return hawkes.qq_exponential(cut_lineage(residuals(spark, root)), ["session"])
 
 
-POINTS, END = 500, 172_800.0
+# The test events lie within one month.
+POINTS, END = 500, 2_678_400.0
 
 
 @register("impulse_intensity", f"""WITH {STREAMS}, g AS (SELECT session, k AS grid,
@@ -173,17 +174,18 @@ def _impulse(spark, root):
 
 
 @register("manifest_drift", """WITH e AS (SELECT CAST(page_id AS VARCHAR) AS path, sha256(html) AS expected
-  FROM pages WHERE page_id % 17 <> 3),
-a AS (SELECT CAST(page_id AS VARCHAR) AS path,
+  FROM pages),
+a AS (SELECT CASE WHEN page_id % 23 = 5 THEN 'moved-' ELSE '' END || page_id AS path,
     sha256(CASE WHEN page_id % 50 = 7 THEN html || '<!-- edited -->' ELSE html END) AS actual
-  FROM pages WHERE page_id % 23 <> 5)
+  FROM pages)
 SELECT path, expected, actual, CASE WHEN expected IS NULL THEN 'added' WHEN actual IS NULL THEN 'removed'
   ELSE 'changed' END AS status FROM e FULL JOIN a USING (path) WHERE expected IS DISTINCT FROM actual""")
 def _drift(spark, root):
-    # Added, removed and edited pages are made here, so that all three kinds of drift occur.
+    # Some pages are moved and some edited, so that all three kinds of drift occur.
     pages = views.table(spark, root, "pages")
     i = F.col("page_id")
     edited = F.when(i % 50 == 7, F.concat("html", F.lit("<!-- edited -->"))).otherwise(F.col("html"))
-    frozen = manifest.content_manifest(pages.filter(i % 17 != 3), "page_id", "html")
-    now = manifest.content_manifest(pages.filter(i % 23 != 5).withColumn("html", edited), "page_id", "html")
+    moved = F.concat(F.when(i % 23 == 5, "moved-").otherwise(""), i.cast("string"))
+    frozen = manifest.content_manifest(pages, "page_id", "html")
+    now = manifest.content_manifest(pages.withColumn("html", edited).withColumn("page_id", moved), "page_id", "html")
     return manifest.drift(frozen, now)

@@ -245,6 +245,20 @@ def _pairs(spark, root):
     return neardup.near_dup_edges(versions(spark, root))
 
 
+@register("visible_versions_for_decisions", f"""WITH {VERSIONS}, decisions AS (
+  SELECT doc_id AS decision_id, CAST(doc_id - doc_id % 10 AS VARCHAR) AS event_id,
+    TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id + 15 AS BIGINT)) AS decision_time FROM documents)
+SELECT decision_id, event_id, {when('decision_time', 'decision_time')}, version, {when('updated_at', 'matched_updated_at')}
+FROM decisions d ASOF LEFT JOIN (SELECT id, version, updated_at FROM versions) v
+  ON d.event_id = v.id AND d.decision_time >= v.updated_at""")
+def _visible_for(spark, root):
+    doc = F.col("doc_id")
+    decisions = views.table(spark, root, "documents").select(
+        doc.alias("decision_id"), (doc - doc % 10).cast("string").alias("event_id"),
+        F.timestamp_add("MINUTE", (doc + 15).cast("int"), F.lit("2024-01-01").cast("timestamp")).alias("decision_time"))
+    return news.newest_visible_for(versions(spark, root), decisions)
+
+
 # The sequential definition: one article per step, against the list of heads so far.
 CLUSTERS = f"""{VERSIONS}, items AS MATERIALIZED (
   SELECT row_number() OVER (ORDER BY received_at, arrival_seq) AS i, id, version, received_at,

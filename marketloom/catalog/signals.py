@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import panel, signals
 from ..plans import views
 from ..plans.views import BENCHMARK
-from .base import BARS, GRID, frame, lag, num, big, register, truth, when
+from .base import BARS, DAILY_BARS, GRID, big, frame, lag, num, register, truth, when
 
 KEY = f"symbol, {when('ts', 'ts')}"
 
@@ -113,32 +113,24 @@ def _densify(spark, root):
     return panel.densify(views.bars(spark, root))
 
 
-@register("forward_filled_panel", f"""WITH {BARS}, thin AS (
-  SELECT * FROM bars WHERE (CAST(volume AS BIGINT) + length(symbol)) % 5 <> 0),
-g AS (SELECT s.symbol, t.ts, b.price FROM (SELECT DISTINCT symbol FROM thin) s
-  CROSS JOIN (SELECT DISTINCT ts FROM thin) t
-  LEFT JOIN thin b ON b.symbol = s.symbol AND b.ts = t.ts)
+@register("forward_filled_panel", f"""WITH {DAILY_BARS},
+g AS (SELECT s.symbol, t.ts, b.price FROM (SELECT DISTINCT symbol FROM bars) s
+  CROSS JOIN (SELECT DISTINCT ts FROM bars) t
+  LEFT JOIN bars b ON b.symbol = s.symbol AND b.ts = t.ts)
 SELECT {KEY}, {num('last_value(price IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts)', 'price')}
 FROM g""")
 def _ffill(spark, root):
-    # A fifth of the cells is taken out so that there is something to fill.
-    thin = views.bars(spark, root).filter(
-        (F.col("volume").cast("long") + F.length("symbol")) % 5 != 0)
-    return panel.forward_fill(panel.densify(thin), ["price"]).select("symbol", "ts", "price")
+    return panel.forward_fill(panel.densify(views.bars(spark, root, "day")), ["price"]).select("symbol", "ts", "price")
 
 
-@register("gappy_momentum", f"""WITH {BARS}, thin AS (
-  SELECT * FROM bars WHERE (CAST(volume AS BIGINT) + length(symbol)) % 11 <> 0),
-grid AS (SELECT s.symbol, t.ts, b.price, b.volume FROM (SELECT DISTINCT symbol FROM thin) s
-  CROSS JOIN (SELECT DISTINCT ts FROM thin) t
-  LEFT JOIN thin b ON b.symbol = s.symbol AND b.ts = t.ts),
+@register("gappy_momentum", f"""WITH {DAILY_BARS},
+grid AS (SELECT s.symbol, t.ts, b.price, b.volume FROM (SELECT DISTINCT symbol FROM bars) s
+  CROSS JOIN (SELECT DISTINCT ts FROM bars) t
+  LEFT JOIN bars b ON b.symbol = s.symbol AND b.ts = t.ts),
 f AS (SELECT symbol, ts, price, {', '.join(f'{v} AS {k}' for k, v in MOMENTUM.items())} FROM grid)
 SELECT {KEY}, {', '.join(num(c, c) for c in MOMENTUM)} FROM f WHERE price IS NOT NULL""")
 def _gappy(spark, root):
-    # Cells are taken out so that the frames meet gaps.
-    thin = views.bars(spark, root).filter(
-        (F.col("volume").cast("long") + F.length("symbol")) % 11 != 0)
-    return signals.momentum_features(thin)
+    return signals.momentum_features(views.bars(spark, root, "day"))
 
 
 @register("wide_panel", f"""WITH {BARS} SELECT {when('ts', 'ts')},

@@ -91,14 +91,13 @@ def _sliding(spark, root):
     return _drain(spark, counts, "counts")
 
 
-@register("stream_repeats_dropped", """SELECT count(*) AS n, count(DISTINCT event_id) AS n_events FROM events""")
+@register("stream_repeats_dropped", f"""SELECT DISTINCT event_id, {when('ts', 'updated_at')} FROM events""")
 def _repeats(spark, root):
     schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(root)
     twice = stream.select("event_id", F.col("ts").alias("received_at"), F.col("ts").alias("updated_at"),
                           F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
-    unique = _drain(spark, news_stream.drop_repeats(twice).drop("copy"), "unique")
-    return unique.agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("n_events"))
+    return _drain(spark, news_stream.drop_repeats(twice).drop("copy"), "unique").select("event_id", "updated_at")
 
 
 def _drain(spark, stream, name):

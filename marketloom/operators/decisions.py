@@ -30,7 +30,7 @@ class Limits:
 
 
 # Reject codes in the order the rules are checked.
-CODES = ("KILL_SWITCH", "UNKNOWN_SYMBOL", "SHORT_ATTEMPT", "OVERSELL", "NONPOSITIVE_QTY",
+CODES = ("KILL_SWITCH", "UNKNOWN_SYMBOL", "UNKNOWN_ACCOUNT", "SHORT_ATTEMPT", "OVERSELL", "NONPOSITIVE_QTY",
          "BAD_ORDER_TYPE", "BAD_TIF", "PENNY_STOCK", "ILLIQUID", "EXCESS_VOLATILITY",
          "OVER_CONCENTRATION", "OVER_EXPOSURE", "DAILY_LOSS_HALT", "MAX_TRADES",
          "INSUFFICIENT_CAPITAL")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.taxonomy import (DECAY_MINUTES, DIRECTIONS, EVENT_TYPES, NO_MATCH_CONFIDENCE,
                                   RULE_CONFIDENCE, SURPRISE_SOURCES)
 from ..functions.text import minutes_since, utc_timestamp
-from ..plans.ordered import (CHUNK_ROWS, chunk_scan, ordinal, rows_chunk, running_max,
+from ..plans.ordered import (CHUNK_ROWS, asof_join, chunk_scan, ordinal, rows_chunk, running_max,
                              seconds_chunk)
 
 
@@ -92,6 +92,16 @@ def newest_visible(versions: DataFrame, decision_times: Iterable[str]) -> DataFr
             .select("decision_time", "_v.*"))
 
 
+def newest_visible_for(versions: DataFrame, decisions: DataFrame, take: Sequence[str] = ("version",)) -> DataFrame:
+    """Each row of a table of decisions with the newest version of its event edited by then.
+
+    ``decisions`` has ``event_id, decision_time``; rows that see no version keep NULLs. Runs as one
+    as-of scan, so neither side is repeated for the other.
+    """
+    return asof_join(decisions, versions, ["event_id"], "decision_time", "updated_at", take,
+                     right_order=["version"])
+
+
 # ------------------------------------------------------- classification
 
 def classify(events: DataFrame, rules: DataFrame) -> DataFrame:

@@ -17,8 +17,8 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
-def bars(spark: SparkSession, root: str) -> DataFrame:
-    """Weekly volume-weighted price and volume per part type.
+def bars(spark: SparkSession, root: str, grain: str = "week") -> DataFrame:
+    """Weekly (or daily) volume-weighted price and volume per part type; daily bars have gaps.
 
     Checkpointed: a bar table is an input in its own right and plans refer to it many times
     (calendar, benchmark, windows), which must not aggregate the line items again each time.
@@ -28,7 +28,7 @@ def bars(spark: SparkSession, root: str) -> DataFrame:
     parts = table(spark, root, "part").select(
         F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("symbol"))
     return cut_lineage(lines.join(parts, "l_partkey")
-                       .groupBy("symbol", F.date_trunc("week", "l_shipdate").cast("timestamp")
+                       .groupBy("symbol", F.date_trunc(grain, "l_shipdate").cast("timestamp")
                                 .alias("ts"))
                        .agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("price"),
                             F.sum("l_quantity").alias("volume")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,10 +13,11 @@ class ManifestDrift(Exception):
 
 
 def file_manifest(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """(path, sha256) of the files under a folder of configuration files."""
+    """(path, sha256) of the files under a folder of configuration files, paths relative to it."""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
              .option("recursiveFileLookup", "true").load(folder))
-    name = F.regexp_replace("path", r"^.*/", "")
+    root = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", folder).rstrip("/") + "/"
+    name = F.substring(F.col("path"), F.instr(F.col("path"), root) + len(root), F.length("path"))
     return files.select(name.alias("path"), F.sha2("content", 256).alias("sha256"))
 
 

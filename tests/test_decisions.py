@@ -138,3 +138,21 @@ def test_full_weight_earns_the_benchmark(spark):
     assert backtest.unknown_symbols(weights, bars).isEmpty()
     first = backtest.benchmark_curve(bars, "AAA").orderBy("ts").toPandas()["benchmark"]
     assert first.iloc[0] == 100 and first.iloc[-1] == pytest.approx(130)
+
+
+def test_unknown_order_fields_are_refused(spark):
+    rows = [("acc", "AAA", "BUY", 1.0, "market", "day"), ("acc", "AAA", "BUY", None, "market", "day"),
+            ("acc", "AAA", "BUY", 1.0, None, "day"), ("acc", "AAA", "BUY", 1.0, "market", None),
+            ("acc", "AAA", None, 1.0, "market", "day"), ("none", "AAA", "SELL", 1.0, "market", "day"),
+            ("acc", "AAA", "BUY", float("nan"), "market", "day")]
+    proposals = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)],
+                                      "id int, account string, symbol string, side string, qty double, order_type string, tif string")
+    accounts = spark.createDataFrame([("acc", 1000.0, 1000.0, 1000.0, 0.0, 0)],
+                                     "account string, equity double, cash double, day_start_equity double, day_pnl double, trades_today int")
+    positions = spark.createDataFrame([("none", "AAA", 5.0)], "account string, symbol string, qty double")
+    market = spark.createDataFrame([("AAA", 10.0, 1e9, 0.1)], "symbol string, price double, adv_dollar_volume double, ann_vol double")
+    limits = decisions.Limits()
+    out = decisions.evaluate(proposals, accounts, positions, market, market.select("symbol"), limits)
+    assert {r["id"]: r["code"] for r in out.collect()} == {
+        0: "ALLOW", 1: "NONPOSITIVE_QTY", 2: "BAD_ORDER_TYPE", 3: "BAD_TIF", 4: "SHORT_ATTEMPT", 5: "UNKNOWN_ACCOUNT",
+        6: "NONPOSITIVE_QTY"}

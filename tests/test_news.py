@@ -145,7 +145,7 @@ def test_prefix_keys_lose_no_pair(spark, threshold):
     df = spark.createDataFrame(rows, "event_id string, version int, headline string, url string, "
                                      "received_at timestamp, arrival_seq long")
     got = {frozenset((r["left_id"], r["right_id"])) for r in neardup.near_dup_edges(df, threshold).collect()}
-    words = {r[0]: set(r[2].split()) for r in rows}
+    words = {f"{r[0]}#{r[1]}": set(r[2].split()) for r in rows}
     want = {frozenset((a, b)) for a in words for b in words if a < b
             and len(words[a] & words[b]) / len(words[a] | words[b]) >= threshold}
     assert got == want

@@ -113,3 +113,17 @@ def test_concentration_blocks_do_not_change_the_result(spark):
     fills = spark.createDataFrame(pdf)
     results = [sorted(map(tuple, audit.audit_fills(fills, 2000.0, block=b).collect())) for b in (1, 7, 5000)]
     assert results[0] == results[1] == results[2] and results[0]
+
+
+def test_asof_keeps_rows_without_key_or_time(spark):
+    left = spark.createDataFrame([(1, "a", 5), (2, None, 5), (3, "a", None), (4, "b", 1)], "id int, k string, s int")
+    right = spark.createDataFrame([("a", 3, 30), (None, 3, 31), ("a", None, 32), ("b", 2, 33)], "k string, s int, v int")
+    at = lambda df, name: df.withColumn(name, F.timestamp_seconds("s")).drop("s")
+    out = asof_join(at(left, "t"), at(right, "u"), ["k"], "t", "u", ["v"]).collect()
+    assert {r["id"]: r["v"] for r in out} == {1: 30, 2: None, 3: None, 4: None}
+
+
+def test_scan_treats_null_keys_as_a_key(spark):
+    rows = spark.createDataFrame([(None, 1), (None, 2), ("a", 1)], "k string, t int")
+    out = chunk_scan(rows, ["k"], F.floor(F.col("t") / 2), ["t"], [ordinal("n")]).collect()
+    assert sorted((str(r["k"]), r["t"], r["n"]) for r in out) == [("None", 1, 1), ("None", 2, 2), ("a", 1, 1)]
