@@ -73,13 +73,16 @@ class Moments:
     def __add__(self, other: Moments) -> Moments:
         return Moments(*[getattr(self, k) + getattr(other, k) for k in self.__dataclass_fields__])
 
-    def scaling(self) -> tuple[np.ndarray, np.ndarray]:
-        """Mean and population deviation per feature; a zero deviation becomes 1."""
+    def scaling(self, offset: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Mean and population deviation per feature; a zero deviation becomes 1.
+
+        ``offset`` is what was taken off the columns before: its rounding is no spread.
+        """
         n = np.where(self.n == 0, 1.0, self.n)
         mean = self.s / n
         variance = np.maximum(self.q / n - mean**2, 0.0)
         # Cancellation noise of a constant column must not pass for spread.
-        variance[variance <= 1e-14 * np.maximum(mean**2, 1e-300)] = 0.0
+        variance[variance <= np.maximum(1e-14 * mean**2, (1e-13 * np.abs(offset)) ** 2)] = 0.0
         scale = np.sqrt(variance)
         return mean, np.where(scale == 0, 1.0, scale)
 
@@ -131,22 +134,32 @@ class RidgeModel:
             "feature string, mean double, scale double, coef double")
 
 
-def solve(moments: Moments, features: Sequence[str], alpha: float) -> RidgeModel:
+def solve(moments: Moments, features: Sequence[str], alpha: float,
+          offset: np.ndarray | float = 0.0) -> RidgeModel:
+    """``offset``: what was taken off the features before the moments were summed."""
     if alpha < 0:
         raise ValueError("alpha must not be negative")
-    mean, scale = moments.scaling()
+    mean, scale = moments.scaling(offset)
     gram, vector = moments.normal(mean, scale)
     coef = np.linalg.solve(gram + alpha * np.eye(len(features)), vector)
     intercept = moments.sy / moments.ny if moments.ny else 0.0
-    return RidgeModel(tuple(features), mean, scale, coef, intercept)
+    return RidgeModel(tuple(features), mean + offset, scale, coef, intercept)
+
+
+def centred(rows: DataFrame, features: Sequence[str]) -> tuple[DataFrame, np.ndarray]:
+    """Rows with the means taken off the features, and the means: products of what is left do not cancel."""
+    means = rows.agg(*[F.avg(f).alias(f) for f in features]).first()
+    offset = np.array([float(means[f] or 0.0) for f in features])
+    return rows.withColumns({f: F.col(f) - float(m) for f, m in zip(features, offset)}), offset
 
 
 def fit(rows: DataFrame, features: Sequence[str], target: str, alpha: float = 1.0) -> RidgeModel:
-    """One aggregation over the rows, one p×p solve on the driver."""
+    """Two aggregations over the rows (means, then centred products), one p×p solve on the driver."""
     if alpha < 0:
         raise ValueError("alpha must not be negative")
+    rows, offset = centred(rows, features)
     row = ridge_moments(rows, features, target).first()
-    return solve(Moments.of(row, len(features)), features, alpha)
+    return solve(Moments.of(row, len(features)), features, alpha, offset)
 
 
 def subset(moments: Moments, keep: Sequence[int]) -> Moments:
@@ -171,6 +184,7 @@ def ablation(rows: DataFrame, feature_sets: dict[str, Sequence[str]], target: st
              alpha: float = 1.0) -> DataFrame:
     """In-sample R² of one model per named feature set, all from the same moments."""
     features = sorted({f for fs in feature_sets.values() for f in fs})
+    rows, _ = centred(rows, features)
     full = Moments.of(ridge_moments(rows, features, target).first(), len(features))
     total = full.qy - full.sy**2 / full.ny
     out = []

@@ -156,3 +156,11 @@ def test_unknown_order_fields_are_refused(spark):
     assert {r["id"]: r["code"] for r in out.collect()} == {
         0: "ALLOW", 1: "NONPOSITIVE_QTY", 2: "BAD_ORDER_TYPE", 3: "BAD_TIF", 4: "SHORT_ATTEMPT", 5: "UNKNOWN_ACCOUNT",
         6: "NONPOSITIVE_QTY"}
+
+
+def test_ridge_with_a_large_offset(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=300)
+    pdf = pd.DataFrame({"x": 1e9 + x, "k": np.full(300, 0.1), "y": 3.0 * x})
+    model = ridge.fit(spark.createDataFrame(pdf), ["x", "k"], "y", alpha=0.0 + 1e-9)
+    assert model.coef[0] == pytest.approx(3.0 * np.std(x), rel=1e-5) and model.scale[1] == 1.0
