@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import audit, backtest, news
+from ..operators import audit, backtest, decisions, news
 from ..plans import views
 from ..session import scratch_path
 from ..sources import feature_store, ledger_store, raw_store
@@ -12,7 +12,8 @@ from ..streaming import news_stream
 from . import backtest as backtests
 from . import news as articles
 from .audit import CHAINED, records
-from .base import ARTICLES, num, register, when
+from .base import ARTICLES, VERSIONS, num, register, when
+from .decisions import LIMITS, RISK, risk_inputs
 from .pit import CUTOFF, FEATURE_ROWS, feature_rows
 
 
@@ -107,3 +108,68 @@ def _drain(spark, stream, name):
              .option("checkpointLocation", scratch_path(spark, f"{name}-state")).option("path", out).start())
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
+
+
+def landed(spark, root):
+    """The raw articles as a stream of JSON files, normalised."""
+    folder = scratch_path(spark, "landing")
+    views.raw_articles(spark, root).write.json(folder)
+    return news.normalize_articles(raw_store.land_articles(spark, folder), articles.UNIVERSE, "articles")
+
+
+@register("landed_articles", f"""WITH {ARTICLES} SELECT id AS event_id, {when('received_at', 'received_at')},
+  {when('updated_at', 'updated_at')}, headline, CAST(arrival_seq AS BIGINT) AS arrival_seq FROM articles""")
+def _landed(spark, root):
+    return _drain(spark, landed(spark, root), "landed").select(
+        "event_id", "received_at", "updated_at", "headline", "arrival_seq")
+
+
+@register("stream_versions", f"""WITH {VERSIONS} SELECT id AS event_id, version, CAST(arrival_seq AS BIGINT) AS arrival_seq
+FROM versions""")
+def _stream_versions(spark, root):
+    return _drain(spark, news_stream.version_stream(landed(spark, root)), "versions").select(
+        "event_id", "version", "arrival_seq")
+
+
+@register("stream_clusters", f"""WITH RECURSIVE {articles.CLUSTERS}
+SELECT id AS event_id, version, cluster_id FROM clustered""")
+def _stream_clusters(spark, root):
+    folder, out = scratch_path(spark, "versioned"), scratch_path(spark, "clusters")
+    rows = articles.versions(spark, root).select("event_id", "version", "headline", "url", "received_at", "arrival_seq")
+    # One file, so one batch that arrives in order.
+    rows.coalesce(1).write.parquet(folder)
+    assign = news_stream.cluster_batches(scratch_path(spark, "heads"), out)
+    (spark.readStream.schema(rows.schema).parquet(folder).writeStream.foreachBatch(assign).trigger(availableNow=True)
+     .option("checkpointLocation", scratch_path(spark, "clusters-state")).start().awaitTermination())
+    return spark.read.parquet(out).select("event_id", "version", "cluster_id")
+
+
+@register("research_journal", """SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS n,
+  CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 1""")
+def _journal(spark, root):
+    path = scratch_path(spark, "journal")
+    ledger_store.append_journal(views.table(spark, root, "orders").select(
+        "o_orderkey", F.col("o_orderdate").cast("timestamp").alias("recorded_at")), path)
+    return (spark.read.parquet(path).groupBy(F.date_format("day", "yyyy-MM-dd").alias("day"))
+            .agg(F.count("*").alias("n"), F.sum("o_orderkey").cast("long").alias("keys")))
+
+
+@register("decision_report", f"""WITH {RISK} SELECT count(*) FILTER (code = 'ALLOW') AS allowed,
+  count(*) FILTER (code <> 'ALLOW') AS rejected FROM decided""")
+def _report(spark, root):
+    folder = scratch_path(spark, "reports")
+    proposals, accounts, positions, market, universe = risk_inputs(spark, root)
+    decided = decisions.evaluate(proposals, accounts, positions, market, universe, LIMITS)
+    ledger_store.write_reports(
+        backtests.curve(spark, root), positions, views.ledger_records(spark, root),
+        decided.withColumn("seq", F.col("proposal_id")), folder)
+    return spark.read.json(f"{folder}/decision_summary").select("allowed", "rejected")
+
+
+@register("missing_keys", """SELECT event_id, array_to_string(list_filter(['k', 'view', 'click', 'metric'],
+  lambda r: r <> 'k' AND r <> event_type), ',') AS missing FROM events""")
+def _missing(spark, root):
+    events = views.table(spark, root, "events")
+    present = F.concat(F.json_object_keys("props"), F.array("event_type"))
+    return events.select("event_id", F.array_join(news.missing_keys(present, ["k", "view", "click", "metric"]), ",")
+                         .alias("missing"))
