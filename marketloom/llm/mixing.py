@@ -96,9 +96,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0,
 
 def fold(loose: DataFrame, level: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """One level of the tree: rows settled at 0 or 1, and at most one loose row per block. ``loose`` has ``blocks``."""
-    block = F.pmod(F.xxhash64("doc_id", F.lit(seed), F.lit(level)), F.col("blocks"))
+    # Documents without an id are told apart by their place in the stored table.
+    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    block = F.pmod(F.xxhash64("doc_id", place, F.lit(seed), F.lit(level)), F.col("blocks"))
     folded = (loose
-              .groupBy("source_key", block.alias("block"))
+              .withColumn("block", block).groupBy("source_key", "block")
               .agg(sorted_rows(seed).alias("rows"))
               .select("source_key", pivotal(F.col("rows"), level, seed).alias("s")))
     folded = cut_lineage(folded.select("source_key", "s.done", "s.open"))
