@@ -93,8 +93,8 @@ def tokenizer(path: str) -> WordwiseTokenizer:
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end: int = END) -> None:
     """Write ``docs (doc_id, text)`` as a store at ``path``.
 
-    Documents are dealt by ranges of doc_id (NULL first; repeated ids in order of their text), so a
-    file holds consecutive documents. NULL text counts as empty: the end id alone. An empty table
+    Documents are dealt by ranges of doc_id (NULL first; repeated ids in order of their text's hash,
+    by which they are split as well), so a file holds consecutive documents. NULL text counts as empty: the end id alone. An empty table
     makes a store without rows.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,8 +110,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end: int = END
             at += int(n.sum())
 
     spark = docs.sparkSession
-    ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-               .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"))
+    ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
+               .repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text"))
     rows = small_batches(ordered).mapInArrow(
         run, "doc_id long, shard int, at long, n_tokens long, ids array<int>")
     (rows.write.mode("overwrite").option("compression", "zstd")
