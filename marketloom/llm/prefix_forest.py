@@ -119,7 +119,7 @@ def matrices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.n
             yield int(block[a]), int(side[a]), ids[a:b], values[offsets[a]:offsets[b]].reshape(b - a, -1)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = 48, share: float = 0.6,
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = 64, share: float = 0.8,
             seed: int = 5) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k candidates of largest cosine for every query.
 
