@@ -58,7 +58,7 @@ keys AS (
   UNION SELECT page_id, seen, 1, 'host', host FROM labels
   UNION SELECT page_id, seen, 2, 'prefix', host || '/' || array_to_string(steps[1:i], '/')
     FROM (SELECT *, unnest(range(1, len(steps) + 1)) AS i FROM labels)),
-entries AS (SELECT kind, key, h, d FROM (SELECT kind, key, CAST('0x' || substr(md5(kind || '|' || key), 1, 7) AS BIGINT) AS h FROM (SELECT DISTINCT kind, key FROM keys)), (SELECT 1 AS d)
+entries AS (SELECT kind, key, h FROM (SELECT kind, key, CAST('0x' || substr(md5(kind || '|' || key), 1, 7) AS BIGINT) AS h FROM (SELECT DISTINCT kind, key FROM keys))
   WHERE (kind = 'domain' AND h % 11 = 0) OR (kind = 'host' AND h % 7 = 0) OR (kind = 'prefix' AND h % 5 = 0)),
 log AS (SELECT kind, key, 'add' AS action, h % 1000 AS day FROM entries
   UNION SELECT kind, key, 'remove', h % 1000 + 30 + h % 300 FROM entries

@@ -73,16 +73,17 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", at: s
     The most specific active entry is reported: prefix before host before domain, then the longer
     key. A NULL or malformed URL and a NULL time match nothing. Rows are kept as they are, repeated
     rows too; columns of these names are replaced. Captures are never gathered by key: the list is
-    the side that is dealt, and a key meets only the intervals of the capture's span.
+    the side that is dealt, and a key meets only the intervals of the capture's span. Runs one small
+    job while it is called.
     """
     new = ["blocked", "match_kind", "match_key", "listed_since"]
     own = captures.select(packed(captures), F.col(url).alias("_u"), F.col(at).alias("_t"))
     active = intervals(entries)
-    last = captures.agg(F.max(span_of(F.col(at))).alias("last_span"))
     # An open interval reaches to the last capture.
-    cut = (active.crossJoin(F.broadcast(last))  # one row, so this is no pairing
+    last = F.lit(captures.agg(F.max(span_of(F.col(at)))).first()[0]).cast("long")
+    cut = (active
            .withColumn("from_span", span_of(F.col("valid_from")))
-           .withColumn("to_span", F.coalesce(span_of(F.col("valid_to")), F.col("last_span")))
+           .withColumn("to_span", F.coalesce(span_of(F.col("valid_to")), last))
            .filter("from_span <= to_span")
            .select("kind", "key", "valid_from", "valid_to", F.explode(F.sequence("from_span", "to_span")).alias("span")))
     probes = (captures.select(F.col(url).alias("_url"), F.col(at).alias("_at")).filter("_url is not null and _at is not null")
