@@ -3,12 +3,12 @@
 Two sets can only be similar if their prefixes share a token, whatever global order the tokens are
 sorted in. Here ``ORDERS`` orders are used: all put frequent tokens last, and differ among tokens of
 like frequency. The first one generates candidates through an inverted index of prefixes; a
-candidate stays if the prefixes under every other order meet as well, and if a parity sketch of the
-two sets (whose difference never exceeds the true one) allows the similarity. What is left is
+candidate stays if a parity sketch of the two sets (whose difference never exceeds the true one)
+allows the similarity, and if the prefixes under every other order meet as well. What is left is
 verified on the full sets.
 
 No pairs within a group are listed. Equal sets are one node from the start. Of every index token
-the most connected node is the hub; each node is first held against its best hub, one pair per
+the node with the fewest tokens of its own is the hub; each node is first held against its best hub, one pair per
 node, and the links found give components. After that only nodes of different components that
 share a hub can matter: a link inside a component changes nothing. They are compared inside the
 join, and only pairs that pass all filters leave it.
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import small_batches, strings
@@ -34,7 +34,7 @@ from .shingles import mixed, shingle_sets
 
 ORDERS = 3
 SKETCH_BITS = 18
-PARITY_BITS = 2048
+PARITY_BITS = 1024
 PARITY_WORDS = PARITY_BITS // 64
 # Ids up to this number (16 bytes each) are broadcast to pick texts; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
@@ -68,12 +68,17 @@ def frequency_classes(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int, num: int, den: int, classes: Broadcast) -> DataFrame:
-    """``doc_id, g, n, p0, p1, p2, parity`` per row: set hash, set size, prefixes, parity sketch."""
+    """``doc_id, g, n, w, p0, p1, p2, parity`` per row.
+
+    Set hash, set size, the part of the first prefix that is of frequent tokens (in 255ths),
+    prefixes, parity sketch.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(strings(batch, "text"), n)
             cols: list[list] = [[] for _ in range(ORDERS)]
             parity = np.zeros((len(sets), PARITY_WORDS), dtype=np.int64)
+            usual = np.zeros(len(sets), dtype=np.int32)
             for i, s in enumerate(sets):
                 if not len(s):
                     for c in cols:
@@ -85,17 +90,19 @@ def signatures(docs: DataFrame, n: int, num: int, den: int, classes: Broadcast)
                     order = mixed(s + np.uint64(k)) if k else s
                     first = np.argsort(rank | (order >> np.uint64(4)), kind="stable")[:keep]
                     cols[k].append(s[first].view(np.int64))
+                    if k == 0:
+                        usual[i] = np.count_nonzero(rank[first]) * 255 // len(first)
                 bits = np.bincount((mixed(s ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(PARITY_BITS - 1)).astype(np.int64),
                                    minlength=PARITY_BITS) & 1
                 parity[i] = np.packbits(bits.astype(np.uint8)).view(np.int64)
             arrays = [batch.column("doc_id"), pa.array([set_hash(s) for s in sets], pa.int64()),
-                      pa.array([len(s) for s in sets], pa.int64()), lists(cols[0], np.int64)]
+                      pa.array([len(s) for s in sets], pa.int64()), pa.array(usual), lists(cols[0], np.int64)]
             arrays += [lists([c.astype(np.int32) for c in col], np.int32) for col in cols[1:]]
             arrays.append(lists(list(parity), np.int64))
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "g", "n", "p0", "p1", "p2", "parity"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "g", "n", "w", "p0", "p1", "p2", "parity"])
 
     return small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(
-        run, "doc_id long, g long, n long, p0 array<long>, p1 array<int>, p2 array<int>, parity array<long>")
+        run, "doc_id long, g long, n long, w int, p0 array<long>, p1 array<int>, p2 array<int>, parity array<long>")
 
 
 def set_hash(s: np.ndarray) -> int:
@@ -111,6 +118,12 @@ def lists(parts: list[np.ndarray], kind) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
+def sized(ids: DataFrame) -> DataFrame:
+    """``ids`` marked for broadcast if they are few enough."""
+    ids = cut_lineage(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def full_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     """``g, tokens`` of the documents with the ids in ``ids (doc_id)``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,37 +133,47 @@ def full_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
                 [pa.array([set_hash(s) for s in sets], pa.int64()), lists([s.view(np.int64) for s in sets], np.int64)],
                 names=["g", "tokens"])
 
-    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids = sized(ids.select(F.col("doc_id").alias("_id")).distinct())
     picked = docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    # A repeated id, or copies under one id, give the same set more than once.
-    return small_batches(picked).mapInArrow(run, "g long, tokens array<long>").dropDuplicates(["g"])
+    return small_batches(picked).mapInArrow(run, "g long, tokens array<long>")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs ``(a, b)`` of set hashes whose Jaccard similarity is at least num / den."""
+def verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int, num: int,
+             den: int) -> DataFrame:
+    """The pairs ``(a, b)`` of set hashes whose Jaccard similarity is at least num / den.
+
+    Pairs whose prefixes do not meet under every further order are left out before the full sets
+    are read.
+    """
     pairs = cut_lineage(pairs.select("a", "b").distinct())
-    ends = pairs.select(F.col("a").alias("g")).unionByName(pairs.select(F.col("b").alias("g"))).distinct()
-    ids = cut_lineage(ends.join(nodes.select("g", "doc_id"), "g").select("doc_id"))
+    prefixes = rows.select("g", "p1", "p2").join(sized(ends(pairs)), "g", "left_semi")
+    pairs = cut_lineage(
+        pairs.join(prefixes.select(F.col("g").alias("a"), F.col("p1").alias("a1"), F.col("p2").alias("a2")), "a")
+        .join(prefixes.select(F.col("g").alias("b"), F.col("p1").alias("b1"), F.col("p2").alias("b2")), "b")
+        .filter(F.arrays_overlap("a1", "b1") & F.arrays_overlap("a2", "b2")).select("a", "b").distinct())
+    ids = ends(pairs).join(nodes.select("g", "doc_id"), "g").select("doc_id")
     sets = cut_lineage(full_sets(docs, ids, n))
     both = (pairs.join(sets.select(F.col("g").alias("a"), F.col("tokens").alias("ta")), "a")
             .join(sets.select(F.col("g").alias("b"), F.col("tokens").alias("tb")), "b"))
     shared = F.size(F.array_intersect("ta", "tb")).cast("long")
     size = F.size("ta") + F.size("tb")
-    return cut_lineage(both.filter(shared * den >= (size - shared) * num).select("a", "b"))
+    # An id that comes more than once gives its set more than once.
+    return cut_lineage(both.filter(shared * den >= (size - shared) * num).select("a", "b").distinct())
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("g")).unionByName(pairs.select(F.col("b").alias("g"))).distinct()
 
 
 def may_link(a: str, b: str, num: int, den: int) -> Column:
-    """Length filter, parity sketch, and the prefixes of the other orders."""
+    """Length filter and parity sketch."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
     parity = [F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(PARITY_WORDS)]
     apart = parity[0]
     for p in parity[1:]:
         apart = apart + p
     return ((F.least(na, nb) * den >= F.greatest(na, nb) * num)
-            & (apart * (den + num) <= (na + nb) * (den - num))
-            & F.arrays_overlap(f"{a}.p1", f"{b}.p1") & F.arrays_overlap(f"{a}.p2", f"{b}.p2"))
+            & (apart * (den + num) <= (na + nb) * (den - num)))
 
 
 def similarity_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -166,21 +189,20 @@ def similarity_components(docs: DataFrame, n: int = 4, num: int = 85, den: int =
     rows = cut_lineage(signatures(docs, n, num, den, classes))
     some = rows.filter("n > 0")
     nodes = some.groupBy("g").agg(F.min("doc_id").alias("doc_id"))
-    # Index: prefix tokens that at least two nodes share.
-    index = (some.select(F.explode("p0").alias("token"), "g", F.size("p0").alias("p")).repartition("token")
-             .dropDuplicates(["token", "g"]))
-    shared = index.groupBy("token").agg(F.count("*").alias("holders")).filter("holders > 1").select("token")
-    index = cut_lineage(index.join(shared, "token"))
-    weight = index.groupBy("g", "p").agg(F.count("*").alias("k")).select("g", (F.col("k") / F.col("p")).alias("w"))
-    hubs = (index.join(weight, "g").groupBy("token")
-            .agg(F.max(F.struct("w", "g")).alias("hub")).select("token", F.col("hub.g").alias("hub")))
-    members = cut_lineage(index.join(hubs, "token").groupBy("hub", "g").agg(F.count("*").alias("k")))
+    # Index: prefix tokens, dealt once. A token that at least two nodes hold has the one with most
+    # frequent tokens (the fewest of its own) as hub.
+    held = Window.partitionBy("token")
+    members = cut_lineage(
+        some.select(F.explode("p0").alias("token"), "g", "w").repartition("token").distinct()
+        .select("g", F.count("*").over(held).alias("holders"), F.max(F.struct("w", "g")).over(held)["g"].alias("hub"))
+        .filter("holders > 1").groupBy("hub", "g").agg(F.count("*").alias("k")))
     parts = [F.col("parity")[i].alias(f"s{i}") for i in range(PARITY_WORDS)]
-    known = cut_lineage(some.join(index.select("g").distinct(), "g", "left_semi").dropDuplicates(["g"])
-                        .select("g", "n", "p1", "p2", *parts))
-    links = star_links(docs, members, known, nodes, n, num, den)
+    known = cut_lineage(some.select("g", "n", *parts).join(sized(members.select("g").distinct()), "g", "left_semi")
+                        .distinct())
+    links = verified(docs, some, star_pairs(members, known, num, den), nodes, n, num, den)
     roots = connected(links)
-    links = links.unionByName(crossing_links(docs, members, known, nodes, roots, n, num, den))
+    crossing = crossing_pairs(members, known, roots, num, den)
+    links = links.unionByName(verified(docs, some, crossing, nodes, n, num, den))
     roots = connected(links).select(F.col("node").alias("g"), "root")
     named = (nodes.join(roots, "g", "left").withColumn("root", F.coalesce("root", "g")))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -190,28 +212,26 @@ def similarity_components(docs: DataFrame, n: int = 4, num: int = 85, den: int =
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
 
 
-def star_links(docs, members, known, nodes, n: int, num: int, den: int) -> DataFrame:
-    """Links between nodes and the hub that shares most tokens with them."""
+def star_pairs(members: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
+    """Each node with the hub that shares most tokens with it, if they may link."""
     best = (members.filter("g <> hub").groupBy("g").agg(F.max(F.struct("k", "hub")).alias("m"))
             .select("g", F.col("m.hub").alias("hub")))
-    pairs = (best.alias("p").join(known.alias("x"), F.col("p.g") == F.col("x.g"))
-             .join(known.alias("y"), F.col("p.hub") == F.col("y.g"))
-             .filter(may_link("x", "y", num, den)).select(F.col("x.g").alias("a"), F.col("y.g").alias("b")))
-    return verified(docs, pairs, nodes, n, num, den)
+    return (best.alias("p").join(known.alias("x"), F.col("p.g") == F.col("x.g"))
+            .join(known.alias("y"), F.col("p.hub") == F.col("y.g"))
+            .filter(may_link("x", "y", num, den)).select(F.col("x.g").alias("a"), F.col("y.g").alias("b")))
 
 
-def crossing_links(docs, members, known, nodes, roots, n: int, num: int, den: int) -> DataFrame:
-    """Links between nodes under one hub that are still in different components."""
+def crossing_pairs(members: DataFrame, known: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
+    """Nodes under one hub that are still in different components and may link."""
     root = roots.select(F.col("node").alias("g"), "root")
     of = members.select("hub", "g").join(root, "g", "left").withColumn("root", F.coalesce("root", "g"))
     of_hub = of.filter("hub = g").select("hub", F.col("root").alias("hub_root"))
-    mixed_hubs = of.groupBy("hub").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1")
-    under = cut_lineage(of.join(mixed_hubs.select("hub"), "hub").join(of_hub, "hub")
+    split = of.groupBy("hub").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1")
+    under = cut_lineage(of.join(split.select("hub"), "hub").join(of_hub, "hub")
                         .withColumn("stray", F.col("root") != F.col("hub_root")).drop("hub_root"))
-    under = cut_lineage(under.join(known, "g"))
+    under = under.join(known, "g")
     x, y = under.filter("stray").alias("x"), under.alias("y")
     once = ~F.col("y.stray") | (F.col("x.g") < F.col("y.g"))
-    pairs = (x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.root") != F.col("y.root")) & once
-                    & may_link("x", "y", num, den))
-             .select(F.col("x.g").alias("a"), F.col("y.g").alias("b")))
-    return verified(docs, pairs, nodes, n, num, den)
+    return (x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.root") != F.col("y.root")) & once
+                   & may_link("x", "y", num, den))
+            .select(F.col("x.g").alias("a"), F.col("y.g").alias("b")))
