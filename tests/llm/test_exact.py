@@ -274,6 +274,30 @@ def test_forest_recall(spark, root):
     assert hits >= 0.9 * total and len(got) == sum(i % 10 == 0 for i in v)
 
 
+@pytest.mark.parametrize("n", [3, 20, 80, 200])
+def test_forest_on_small_tables(spark, n):
+    v = np.random.default_rng(n).standard_normal((n, 64))
+    base = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in prefix_forest.nearest(base, base).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    cos = unit @ unit.T - 9 * np.eye(n)
+    few = min(5, n - 1)
+    assert set(got) == set(range(n)) and all(len(set(found)) == few for found in got.values())
+    hits = sum(len(set(np.argsort(-cos[q])[:few]) & set(found)) for q, found in got.items())
+    assert hits >= 0.9 * few * n
+
+
+def test_forest_counts_ids_not_rows(spark):
+    """One id with many vectors, all nearer than the others, is one candidate."""
+    rows = [(0, [1.0, 0.0, 0.0])] + [(1, [1.0, 0.01 * i, 0.0]) for i in range(30)]
+    rows += [(i, [1.0, 1.0, float(i)]) for i in range(2, 7)]
+    base = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = prefix_forest.nearest(base, base.filter("vec_id = 0")).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [1, 2, 3, 4, 5]
+
+
 def test_mix_meets_targets(spark, docs, texts):
     rows = mixing.mix(docs).collect()
     again = mixing.mix(docs.repartition(5)).collect()
