@@ -7,7 +7,7 @@ columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm import langid, line_dedup, mixing, ngram_join, pieces
@@ -16,7 +16,7 @@ from marketloom.session import tune
 
 # A text with letters goes if known n-grams cover less of it than this.
 MIN_COVERAGE = 0.1
-# Ids up to this number are broadcast to leave documents out; more are joined by shuffle.
+# Row keys up to this number are broadcast to leave documents out; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
 
@@ -37,16 +37,21 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of 5-word-shingle similarity 0.8 or more: that of smallest id."""
-    rows = cut_lineage(ngram_join.similarity_components(docs, n=5, num=80, den=100).select("doc_id", "component_id"))
-    out = rows.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_out")).distinct()
-    again = rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").select(
-        F.col("doc_id").alias("_out"))
+    """One row of each group of 5-word-shingle similarity 0.8 or more: that of smallest id.
+
+    Rows are told apart by id and text, so rows under one id, or without an id, stay or go each for
+    itself. Rows without an id come last in their group; under one id the smallest text hash comes
+    first. Rows that repeat id and text are one. Texts without words are no copies of anything else.
+    """
+    rows = cut_lineage(ngram_join.row_components(docs, n=5, num=80, den=100).select("doc_id", "text_hash", "lead"))
+    key = [F.col("doc_id").alias("_out"), F.col("text_hash").alias("_out_hash")]
+    out = (rows.filter(F.col("lead").isNotNull() & (ngram_join.row_key("doc_id", "text_hash") != F.col("lead")))
+           .select(*key).distinct())
+    again = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1").select(*key)
     out, again = picked(out), picked(again)
-    same = F.col("_id").eqNullSafe(F.col("_out"))
+    same = F.col("_id").eqNullSafe(F.col("_out")) & (F.col("_hash") == F.col("_out_hash"))
     own = docs.select(packed(docs), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"))
     kept = own.join(out, same, "left_anti")
-    # Rows under one id: each text once.
     once = kept.join(again, same, "left_semi").dropDuplicates(["_id", "_hash"])
     return kept.join(again, same, "left_anti").unionByName(once).select(*unpacked(docs))
 
@@ -57,12 +62,32 @@ def picked(ids: DataFrame) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    copies = (mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies"))
-              .filter("_copies > 0").select(F.col("doc_id").alias("_taken"), "_copies"))
-    own = docs.select(packed(docs), F.col("doc_id").cast("long").alias("_id"))
-    return (own.join(copies, F.col("_id").eqNullSafe(F.col("_taken")))
-            .select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select(*unpacked(docs)))
+    """Every row as often as the mix takes it.
+
+    Rows are told apart by id, text and source. Of rows that agree in all three, as many get one
+    copy more than the others as the mix says.
+    """
+    key = ["_id", "_hash", "_source"]
+    copies = cut_lineage(
+        mixing.mix(docs).groupBy(F.col("doc_id").alias("_of"), F.col("text_hash").alias("_of_hash"),
+                                 F.col("source_key").alias("_of_source"))
+        .agg(F.count("*").alias("_rows"), F.min("copies").alias("_least"), F.sum("copies").alias("_all"))
+        .filter("_all > 0"))
+    same = (F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_hash") == F.col("_of_hash"))
+            & (F.col("_source") == F.col("_of_source")))
+    own = docs.select(packed(docs), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"),
+                      mixing.source_key("source").alias("_source"))
+    one = (own.join(copies.filter("_rows = 1"), same)
+           .select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_all"))).alias("_copy")))
+    # Equal rows are counted first, so that the window has one row per content.
+    equal = own.join(copies.filter("_rows > 1"), same).groupBy("_row", *key, "_rows", "_least", "_all").agg(
+        F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*key).orderBy(F.xxhash64("_row"), "_row")) - F.col("_n")
+    more = F.col("_all") - F.col("_least") * F.col("_rows")
+    got = F.col("_least") * F.col("_n") + F.greatest(F.lit(0), F.least(more - before, F.col("_n")))
+    many = (equal.withColumn("_got", got).filter("_got > 0")
+            .select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_got"))).alias("_copy")))
+    return one.unionByName(many).select(*unpacked(docs))
 
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, uniform, word_count
 
 BLOCK = 128
+NONE_DONE = "cast(array() as array<struct<doc_id:bigint,text_hash:bigint,size:bigint,extra:int>>)"
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
@@ -61,23 +62,24 @@ def source_key(name: str) -> Column:
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, seed: int = 7) -> DataFrame:
     """Copies of every document of ``docs (doc_id, text, source)``.
 
-    Returns one row per input row, repeated rows included: ``doc_id, source_key, size, source_size,
+    Returns one row per input row, repeated rows included: ``doc_id, text_hash, source_key, size, source_size,
     target, copies, taken`` where size counts words (NULL or empty text: 0) and taken = copies *
     size. Copies never exceed ``cap``, if that is a whole number. A source without words has target
     0 and no copies; an empty table gives an empty result. The same input gives the same result in
     every run. Runs jobs while it is called (one per level of the tree).
     """
-    sizes = cut_lineage(docs.select("doc_id", F.col("source").cast("string").alias("source"),
+    sizes = cut_lineage(docs.select("doc_id", F.xxhash64("text").alias("text_hash"),
+                                    F.col("source").cast("string").alias("source"),
                                     word_count(F.col("text")).alias("size")))
     targets = cut_lineage(source_targets(sizes, weights, cap))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     # A rate that is a whole number but for rounding noise has no fraction to round.
     whole = F.floor(rate + 1e-9)
-    rows = (sizes.select("doc_id", "size", source_key("source")).join(targets, "source_key")
+    rows = (sizes.select("doc_id", "text_hash", "size", source_key("source")).join(targets, "source_key")
             .withColumn("p", F.greatest(rate - whole, F.lit(0.0))))
     settled = (F.col("p") < 1e-9) | (F.col("size") == 0)
-    extra = rows.filter(settled).select("doc_id", "source_key", "size", F.lit(0).alias("extra"))
-    loose = rows.filter(~settled).select("doc_id", "source_key", "size", "p")
+    extra = rows.filter(settled).select("doc_id", "text_hash", "source_key", "size", F.lit(0).alias("extra"))
+    loose = rows.filter(~settled).select("doc_id", "text_hash", "source_key", "size", "p")
     level = 0
     while True:
         counts = loose.groupBy("source_key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
@@ -105,14 +107,15 @@ def fold(loose: DataFrame, level: int, seed: int) -> tuple[DataFrame, DataFrame]
               .select("source_key", pivotal(F.col("rows"), level, seed).alias("s")))
     folded = cut_lineage(folded.select("source_key", "s.done", "s.open"))
     done = folded.select("source_key", F.explode("done").alias("d")).select(
-        "d.doc_id", "source_key", "d.size", "d.extra")
-    return done, folded.select("open.doc_id", "source_key", "open.size", "open.p")
+        "d.doc_id", "d.text_hash", "source_key", "d.size", "d.extra")
+    return done, folded.select("open.doc_id", "open.text_hash", "source_key", "open.size", "open.p")
 
 
 def sorted_rows(seed: int) -> Column:
     """The loose documents of a group, largest first."""
     return F.sort_array(F.collect_list(F.struct(
-        (-F.col("size")).alias("order"), F.xxhash64("doc_id", F.lit(seed)).alias("h"), "doc_id", "size", "p")))
+        (-F.col("size")).alias("order"), F.xxhash64("doc_id", F.lit(seed)).alias("h"), "doc_id", "size", "p",
+        "text_hash")))
 
 
 def settle(loose: DataFrame, seed: int) -> DataFrame:
@@ -122,7 +125,7 @@ def settle(loose: DataFrame, seed: int) -> DataFrame:
     two numbers, since a document takes from all of them, or gives to them, in proportion.
     """
     rows = F.col("rows")
-    start = F.struct(F.expr("cast(array() as array<struct<doc_id:bigint,size:bigint,extra:int>>)").alias("done"),
+    start = F.struct(F.expr(NONE_DONE).alias("done"),
                      F.lit(1.0).alias("scale"), F.lit(0.0).alias("shift"),
                      F.aggregate(rows, F.lit(0.0), lambda t, r: t + r["p"] * r["size"]).alias("mass"),
                      F.aggregate(rows, F.lit(0.0), lambda t, r: t + r["size"]).alias("room"))
@@ -137,7 +140,7 @@ def settle(loose: DataFrame, seed: int) -> DataFrame:
         new_p = p + F.when(up, gain).otherwise(-loss) / size
         sure = F.least(new_p, 1.0 - new_p) < 1e-9
         taken = F.when(sure, new_p > 0.5).otherwise(uniform(row["doc_id"], F.lit(seed), F.lit("end")) < new_p)
-        out = F.struct(row["doc_id"].alias("doc_id"), row["size"].alias("size"),
+        out = F.struct(row["doc_id"].alias("doc_id"), row["text_hash"].alias("text_hash"), row["size"].alias("size"),
                        F.when(taken, 1).otherwise(0).alias("extra"))
         keep = F.when(up, F.when(pool > 0, 1.0 - gain / pool).otherwise(1.0)).otherwise(
             F.when(room > pool, 1.0 - loss / (room - pool)).otherwise(1.0))
@@ -148,13 +151,13 @@ def settle(loose: DataFrame, seed: int) -> DataFrame:
 
     grouped = loose.groupBy("source_key").agg(sorted_rows(seed).alias("rows"))
     return (grouped.select("source_key", F.explode(F.aggregate(rows, start, meet)["done"]).alias("d"))
-            .select("d.doc_id", "source_key", "d.size", "d.extra"))
+            .select("d.doc_id", "d.text_hash", "source_key", "d.size", "d.extra"))
 
 
 def pivotal(rows: Column, level: int, seed: int) -> Column:
     """Fold an array of loose documents: those settled at 0 or 1, and the one left open."""
     first = rows[0]
-    start = F.struct(F.expr("cast(array() as array<struct<doc_id:bigint,size:bigint,extra:int>>)").alias("done"),
+    start = F.struct(F.expr(NONE_DONE).alias("done"),
                      unit(first, first["p"]).alias("open"))
 
     def meet(state: Column, new: Column) -> Column:
@@ -169,7 +172,7 @@ def pivotal(rows: Column, level: int, seed: int) -> Column:
         old_done = F.least(old_p, 1.0 - old_p) <= F.least(new_p, 1.0 - new_p)
         gone, gone_p = choose(old_done, old, new), F.when(old_done, old_p).otherwise(new_p)
         stay, stay_p = choose(old_done, new, old), F.when(old_done, new_p).otherwise(old_p)
-        out = F.struct(gone["doc_id"].alias("doc_id"), gone["size"].alias("size"),
+        out = F.struct(gone["doc_id"].alias("doc_id"), gone["text_hash"].alias("text_hash"), gone["size"].alias("size"),
                        F.when(gone_p > 0.5, 1).otherwise(0).alias("extra"))
         return F.struct(F.concat(state["done"], F.array(out)).alias("done"), unit(stay, stay_p).alias("open"))
 
@@ -177,8 +180,9 @@ def pivotal(rows: Column, level: int, seed: int) -> Column:
 
 
 def unit(row, p: Column) -> Column:
-    return F.struct(row["doc_id"].alias("doc_id"), row["size"].alias("size"), p.alias("p"))
+    return F.struct(row["doc_id"].alias("doc_id"), row["text_hash"].alias("text_hash"),
+                    row["size"].alias("size"), p.alias("p"))
 
 
 def choose(condition: Column, yes: Column, no: Column) -> dict[str, Column]:
-    return {name: F.when(condition, yes[name]).otherwise(no[name]) for name in ("doc_id", "size")}
+    return {name: F.when(condition, yes[name]).otherwise(no[name]) for name in ("doc_id", "text_hash", "size")}

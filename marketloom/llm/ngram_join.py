@@ -68,9 +68,9 @@ def frequency_classes(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int, num: int, den: int, classes: Broadcast) -> DataFrame:
-    """``doc_id, g, n, w, p0, p1, p2, parity`` per row.
+    """``doc_id, h, g, n, w, p0, p1, p2, parity`` per row.
 
-    Set hash, set size, the part of the first prefix that is of frequent tokens (in 255ths),
+    Text hash, set hash, set size, the part of the first prefix that is of frequent tokens (in 255ths),
     prefixes, parity sketch.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,14 +95,15 @@ def signatures(docs: DataFrame, n: int, num: int, den: int, classes: Broadcast)
                 bits = np.bincount((mixed(s ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(PARITY_BITS - 1)).astype(np.int64),
                                    minlength=PARITY_BITS) & 1
                 parity[i] = np.packbits(bits.astype(np.uint8)).view(np.int64)
-            arrays = [batch.column("doc_id"), pa.array([set_hash(s) for s in sets], pa.int64()),
+            arrays = [batch.column("doc_id"), batch.column("h"), pa.array([set_hash(s) for s in sets], pa.int64()),
                       pa.array([len(s) for s in sets], pa.int64()), pa.array(usual), lists(cols[0], np.int64)]
             arrays += [lists([c.astype(np.int32) for c in col], np.int32) for col in cols[1:]]
             arrays.append(lists(list(parity), np.int64))
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "g", "n", "w", "p0", "p1", "p2", "parity"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "h", "g", "n", "w", "p0", "p1", "p2", "parity"])
 
-    return small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(
-        run, "doc_id long, g long, n long, w int, p0 array<long>, p1 array<int>, p2 array<int>, parity array<long>")
+    return small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"),
+                                     "text")).mapInArrow(
+        run, "doc_id long, h long, g long, n long, w int, p0 array<long>, p1 array<int>, p2 array<int>, parity array<long>")
 
 
 def set_hash(s: np.ndarray) -> int:
@@ -184,11 +185,20 @@ def similarity_components(docs: DataFrame, n: int = 4, num: int = 85, den: int =
     text has no shingles and links with nothing. Equal texts always link; repeated rows give
     repeated results. Set equality is judged by 64-bit hashes. Runs jobs while it is called.
     """
+    return row_components(docs, n, num, den).select("doc_id", "n_shingles", "component_id")
+
+
+def row_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """``similarity_components`` with ``text_hash`` and ``lead``.
+
+    ``lead (no_id, doc_id, text_hash)`` is the row of the component that comes first, rows without an
+    id last; NULL for rows without shingles.
+    """
     docs = docs.select("doc_id", "text")
     classes = docs.sparkSession.sparkContext.broadcast(frequency_classes(docs, n))  # 2 MB at any size
     rows = cut_lineage(signatures(docs, n, num, den, classes))
     some = rows.filter("n > 0")
-    nodes = some.groupBy("g").agg(F.min("doc_id").alias("doc_id"))
+    nodes = some.groupBy("g").agg(F.min("doc_id").alias("doc_id"), F.min(row_key("doc_id", "h")).alias("lead"))
     # Index: prefix tokens, dealt once. A token that at least two nodes hold has the one with most
     # frequent tokens (the fewest of its own) as hub.
     held = Window.partitionBy("token")
@@ -205,11 +215,18 @@ def similarity_components(docs: DataFrame, n: int = 4, num: int = 85, den: int =
     links = links.unionByName(verified(docs, some, crossing, nodes, n, num, den))
     roots = connected(links).select(F.col("node").alias("g"), "root")
     named = (nodes.join(roots, "g", "left").withColumn("root", F.coalesce("root", "g")))
-    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(smallest, "root").select("g", "component_id")
-    return (rows.select("doc_id", "n", "g").join(named, "g", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"),
-                    F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min("lead").alias("lead"))
+    named = named.drop("lead").join(smallest, "root").select("g", "component_id", "lead")
+    return (rows.select("doc_id", "h", "n", "g").join(named, "g", "left")
+            .select("doc_id", F.col("h").alias("text_hash"), F.col("n").alias("n_shingles"),
+                    F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+                    F.when(F.col("n") > 0, F.col("lead")).alias("lead")))
+
+
+def row_key(doc_id: str, text_hash: str) -> Column:
+    """Tells rows with different ids or texts apart; rows without an id sort last."""
+    return F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("doc_id"),
+                    F.col(text_hash).alias("text_hash"))
 
 
 def star_pairs(members: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:

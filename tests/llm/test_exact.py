@@ -350,3 +350,39 @@ def test_pipeline(spark, root, texts):
             assert len(after) == len(before)
         else:
             assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def stage_rows(spark, stage, rows):
+    frame = spark.createDataFrame([(i, t, "en", s, None) for i, t, s in rows],
+                                  "doc_id long, text string, lang string, source string, n_chars long")
+    return [(r["doc_id"], r["text"]) for r in stage(spark, frame, "").collect()]
+
+
+def test_near_duplicates_leave_out_rows_not_ids(spark):
+    def words(k):
+        return " ".join(f"w{k}x{i}" for i in range(60))
+
+    near = words(1) + " tail"
+    rows = [(1, words(1)), (None, near), (None, words(2)), (None, words(3)), (None, words(3) + " tail"), (None, words(3)),
+            (5, words(4)), (7, words(4) + " tail"), (7, words(5)), (7, words(5)), (8, words(6)), (8, words(7)),
+            (None, "too short"), (None, "too short"), (None, "other"), (9, "too"), (9, "short")]
+    got = stage_rows(spark, corpus_pipeline.near_duplicates, [(i, t, "s") for i, t in rows])
+    twins = [r for r in got if r[0] is None and r[1].startswith("w3x")]
+    assert len(twins) == 1
+    want = [(1, words(1)), (None, words(2)), (5, words(4)), (7, words(5)), (8, words(6)), (8, words(7)),
+            (None, "too short"), (None, "other"), (9, "too"), (9, "short"), *twins]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_source_mix_counts_rows_not_ids(spark):
+    """As many rows of every text as the mix takes, under repeated ids and without ids."""
+    rows = [(None if i % 3 else 4, "w " * (1 + i % 5) + f"t{i % 35}", "ab"[i % 8 == 0]) for i in range(96)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {}
+    for r in mixing.mix(frame).withColumn("k", F.col("text_hash")).collect():
+        taken[r["doc_id"], r["k"]] = taken.get((r["doc_id"], r["k"]), 0) + r["copies"]
+    key = {r["text"]: r["k"] for r in frame.select("text", F.xxhash64("text").alias("k")).collect()}
+    got = {}
+    for i, t in stage_rows(spark, corpus_pipeline.source_mix, rows):
+        got[i, key[t]] = got.get((i, key[t]), 0) + 1
+    assert got == {k: n for k, n in taken.items() if n} and len(set(taken.values())) > 1
