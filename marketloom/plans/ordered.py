@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 CHUNK_BARS = 8192
 CHUNK_ROWS = 65536
 
@@ -58,6 +60,22 @@ def drop_halo(df: DataFrame) -> DataFrame:
     return df.filter("_home").drop("_chunk", "_home")
 
 
+# ---------------------------------------------------------------- depth
+
+def equi_depth(df: DataFrame, order: Sequence[str], rows: int = CHUNK_ROWS, out: str = "_part",
+               total: int | None = None) -> DataFrame:
+    """``df`` with a chunk number that rises with ``order`` (NULL first) and holds about ``rows`` rows.
+
+    The split points are sampled by Spark's range partitioning, so the depth of a chunk does not
+    depend on how the values are spread. Only rows that agree in all of ``order`` cannot be split:
+    end it with something that tells rows apart. The result is written once, so that every plan
+    over it sees the same numbers, also after a task was run again.
+    """
+    total = df.count() if total is None else total
+    ranged = df.repartitionByRange(max(1, -(-total // rows)), *[F.col(c).asc_nulls_first() for c in order])
+    return cut_lineage(ranged.withColumn(out, F.spark_partition_id().cast("long")))
+
+
 # ---------------------------------------------------------------- scans
 
 @dataclass(frozen=True)
