@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 # Rows in an Arrow batch: texts may be long, and a batch is held in memory as a whole.
 BATCH_ROWS = 500
@@ -15,6 +18,21 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int, size: str = "32m") -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows and about ``size`` for the jobs that run inside."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows),
+              "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def strings(batch: pa.RecordBatch, name: str) -> list[str]:
     """A text column; NULL counts as empty."""
     return [t or "" for t in batch.column(name).to_pylist()]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, scratch_path
 
-__all__ = ["cut_lineage", "documents", "embeddings", "packed", "pages", "scratch_path", "tokenizer_file", "uniform", "unpacked", "word_count", "WORD"]
+__all__ = ["benchmark", "cut_lineage", "documents", "embeddings", "packed", "pages", "scratch_path", "tokenizer_file", "uniform", "unpacked", "word_count", "WORD"]
 
 # Java form of the word pattern: runs without the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,6 +17,10 @@ def documents(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/documents.parquet")
 
 
+def benchmark(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/benchmark.parquet")
+
+
 def embeddings(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/embeddings.parquet")
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..catalog.base import Query
 from ..session import tune
-from . import langid, line_dedup, merkle, mixing, ngram_join, pieces, pii, prefix_forest, sql, syncmers, token_store, url_filter
-from .common import documents, embeddings, pages, scratch_path, tokenizer_file
+from . import langid, line_dedup, merkle, mixing, ngram_join, phrase_index, pieces, pii, prefix_forest, sql, syncmers, token_store, url_filter
+from .common import benchmark, documents, embeddings, pages, scratch_path, tokenizer_file
 
 REGISTRY: dict[str, Query] = {}
 
@@ -93,6 +93,16 @@ def op6(spark: SparkSession, root: str) -> DataFrame:
                         pii.printed(pii.in_order(F.concat("base", "added"))).alias("spans"))
 
 
+@register("op12_decontamination", sql.DECONTAMINATION)
+def op12(spark: SparkSession, root: str) -> DataFrame:
+    found = phrase_index.decontaminate(documents(spark, root), benchmark(spark, root))
+    inside = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", inside.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (F.size("spans") > 0).alias("contaminated"),
+                        F.size("near_items").cast("long").alias("n_near_items"))
+
+
 @register("op13_merkle_manifest", sql.MERKLE)
 def op13(spark: SparkSession, root: str) -> DataFrame:
     docs = documents(spark, root)

@@ -109,3 +109,34 @@ FROM sb{levels} JOIN a{levels} ON a{levels}.tree = home CROSS JOIN b{levels}"""
 
 
 MERKLE = merkle_sql()
+
+_WORDS = r"""regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+# Windows of 10 words, all words of shorter items; near: all words of a window within 5 more places.
+DECONTAMINATION = f"""WITH
+d AS (SELECT row_number() OVER () AS d, doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS.format('text')} AS ws FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+iw AS (SELECT DISTINCT item, ws[k:k + least(len(ws), 10) - 1] AS w FROM (
+  SELECT *, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS k FROM i WHERE len(ws) > 0)),
+w AS (SELECT w, len(w) AS n, row_number() OVER () AS id FROM (SELECT DISTINCT w FROM iw)),
+sizes AS (SELECT DISTINCT n FROM w),
+grams AS (SELECT d, k, n, ws[k:k + n - 1] AS w FROM (
+  SELECT d, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM d, sizes WHERE len(ws) >= n)),
+found AS (SELECT d, k, n, w FROM grams WHERE w IN (SELECT w FROM w)),
+hit AS (SELECT d, count(DISTINCT p) AS n_hit FROM (SELECT d, unnest(range(k, k + n)) AS p FROM found) GROUP BY d),
+items AS (SELECT d, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS list
+  FROM found f JOIN iw ON iw.w = f.w GROUP BY d),
+wt AS (SELECT DISTINCT id, n, unnest(w) AS term FROM w),
+line AS (SELECT d, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS term FROM d),
+often AS (SELECT term, count(*) AS c FROM line GROUP BY term),
+many AS (SELECT id, count(*) AS terms FROM wt GROUP BY id),
+rare AS (SELECT wt.* FROM wt JOIN often USING (term) QUALIFY row_number() OVER (PARTITION BY id ORDER BY c, term) = 1),
+seen AS (SELECT DISTINCT r.id, r.n, x.d, y.p, y.term FROM rare r JOIN line x ON x.term = r.term
+  JOIN line y ON y.d = x.d AND y.p BETWEEN x.p - r.n - 4 AND x.p + r.n + 4 JOIN wt ON wt.id = r.id AND wt.term = y.term),
+near AS (SELECT DISTINCT id, d FROM (SELECT a.id, a.d, a.p FROM seen a JOIN seen b ON b.id = a.id AND b.d = a.d
+    AND b.p BETWEEN a.p AND a.p + a.n + 4 JOIN many m ON m.id = a.id GROUP BY a.id, a.d, a.p, terms
+  HAVING count(DISTINCT b.term) = terms)),
+near_items AS (SELECT d, count(DISTINCT item) AS n FROM near JOIN w ON w.id = near.id JOIN iw ON iw.w = w.w GROUP BY d)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(list, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(x.n, 0) AS n_near_items
+FROM d LEFT JOIN hit ON hit.d = d.d LEFT JOIN items ON items.d = d.d LEFT JOIN near_items x ON x.d = d.d"""
