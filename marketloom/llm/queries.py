@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog.base import Query
 from ..session import tune
-from . import langid, line_dedup, merkle, mixing, ngram_join, phrase_index, pieces, pii, prefix_forest, sql, syncmers, token_store, url_filter
+from . import hard_negatives, langid, line_dedup, merkle, mixing, ngram_join, phrase_index, pieces, pii, prefix_forest, sql, syncmers, token_store, url_filter
 from .common import benchmark, documents, embeddings, pages, scratch_path, tokenizer_file
 
 REGISTRY: dict[str, Query] = {}
@@ -93,6 +93,11 @@ def op6(spark: SparkSession, root: str) -> DataFrame:
                         pii.printed(pii.in_order(F.concat("base", "added"))).alias("spans"))
 
 
+@register("op11_hard_negatives", sql.HARD_NEGATIVES)
+def op11(spark: SparkSession, root: str) -> DataFrame:
+    return hard_negatives.mine(embeddings(spark, root))
+
+
 @register("op12_decontamination", sql.DECONTAMINATION)
 def op12(spark: SparkSession, root: str) -> DataFrame:
     found = phrase_index.decontaminate(documents(spark, root), benchmark(spark, root))
