@@ -32,6 +32,8 @@ FOCUS = 4
 BROADCAST_ROWS = 100_000
 # Rounding of cosines must never exclude a row: bounds are widened by this.
 MARGIN = 1e-9
+# Stands for a missing id, so that ids stay integers in tasks and missing ones come last.
+NO_ID = (1 << 63) - 1
 # Scores have to fit a long: vectors of greater squared length take no part.
 LONGEST = float(1 << 62)
 
@@ -54,7 +56,7 @@ def quantized(rows: DataFrame, flip: int | None = 7, classes: int = 10) -> DataF
               .withColumn("q", F.transform("v", lambda x: F.floor(x * F.lit(SCALE)).cast("double")))
               .withColumn("norm", F.aggregate("q", F.lit(0.0), lambda s, x: s + x * x))
               .filter(F.col("norm") < LONGEST)
-              .select("vec_id", "label", F.size("q").alias("dims"), "norm",
+              .select(F.coalesce("vec_id", F.lit(NO_ID)).alias("vec_id"), "label", F.size("q").alias("dims"), "norm",
                       F.transform("q", lambda x: x.cast("long")).alias("q")).distinct())
     return source.withColumn("key", F.xxhash64("vec_id", "label", "q"))
 
@@ -110,8 +112,8 @@ class Bucket:
         everything = np.arange(len(self.ids))
         if norm == 0 or self.longest == 0:
             return everything if least <= 0 else everything[:0]
-        cosine = least / (norm * self.longest)
-        if cosine > 1 + MARGIN:
+        cosine = least / (norm * self.longest) - MARGIN
+        if cosine > 1:
             return everything[:0]
         if cosine <= 0:
             # Shorter rows may have any angle then.
@@ -152,17 +154,6 @@ def first(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((ids[near], -scores[near]))[:k]]
 
 
-NO_ID = np.iinfo(np.int64).max
-
-
-def _ids(column: pd.Series) -> np.ndarray:
-    return column.fillna(NO_ID).to_numpy(dtype=np.int64) if column.isna().any() else column.to_numpy(dtype=np.int64)
-
-
-def _vectors(column: pd.Series, dims: int) -> np.ndarray:
-    return np.stack(column.to_list()).astype(np.int64) if len(column) else np.empty((0, dims), dtype=np.int64)
-
-
 def meet(rows: DataFrame, wanted: DataFrame, look, schema: str) -> DataFrame:
     """Runs ``look(bucket, anchors)`` where a bucket meets a block of the anchors sent to it.
 
@@ -175,8 +166,7 @@ def meet(rows: DataFrame, wanted: DataFrame, look, schema: str) -> DataFrame:
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame()
-        vectors = _vectors(left["q"], 0)
-        return look(Bucket(_ids(left["vec_id"]), vectors), right)
+        return look(Bucket(left["vec_id"].to_numpy(dtype=np.int64), np.stack(left["q"].to_list()).astype(np.int64)), right)
 
     return (sent.groupBy("bucket", "block").cogroup(wanted.groupBy("bucket", "block"))
             .applyInPandas(run, schema))
@@ -192,7 +182,7 @@ def mine(rows: DataFrame, anchors: Column | None = None, n_positives: int = 5, n
     ``rows``: vec_id, label, embedding (see :func:`quantized` for who takes part). Anchors are the rows
     that ``anchors`` (a condition on vec_id, by default divisible by 100) picks. The positives of an
     anchor are the best rows of its label under another id; the negatives of a pair the best rows
-    of other labels with num/den * positive_score <= negative_score <= positive_score. Equal
+    of other labels (and ids) with num/den * positive_score <= negative_score <= positive_score. Equal
     scores go by smaller id, missing ids last. Only vectors of one dimension are compared. Rows of one id
     with unlike vectors are rows of their own; as anchors each finds its own positives. Fewer than
     asked for are returned as they are; without rows the result is empty.
@@ -200,6 +190,7 @@ def mine(rows: DataFrame, anchors: Column | None = None, n_positives: int = 5, n
     spark = rows.sparkSession
     table = cut_lineage(bucketed(quantized(rows, flip, classes), bucket_values))
     pick = F.col("vec_id") % 100 == 0 if anchors is None else anchors
+    pick = pick & (F.col("vec_id") < NO_ID)
     # A bucket's greatest length decides who visits it.
     buckets = cut_lineage(table.groupBy("bucket").agg(
         F.first("label").alias("b_label"), F.first("dims").alias("b_dims"), F.sqrt(F.max("norm")).alias("longest")))
@@ -267,6 +258,7 @@ def _negatives(table: DataFrame, buckets: DataFrame, chosen: DataFrame, positive
             anchor = np.asarray(a.anchor, dtype=np.int64)
             limits = sorted({int(x) for x in a.limits})
             found = bucket.candidates(anchor, limits[0] * num / den - 1, focus)
+            found = found[bucket.ids[found] != a.vec_id]
             scores = bucket.scores(anchor, found)
             for limit in limits:
                 # Integers of any size on the right, so that nothing overflows.

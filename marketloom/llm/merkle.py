@@ -55,13 +55,13 @@ class Manifest:
     root: str | None
 
 
-def numbered(leaves: DataFrame, total: int) -> DataFrame:
+def numbered(leaves: DataFrame, total: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Adds ``tree`` (place of the source among all), ``idx`` (place of the leaf in it) and ``n``.
 
     Chunks of equal depth are counted per source; places are taken from those counts, so neither a
     hot source nor a table of very many sources is sorted in one task.
     """
-    parts = equi_depth(leaves, ["source", "doc_id", "leaf", "salt"], CHUNK_ROWS, "part", total)
+    parts = equi_depth(leaves, ["source", "doc_id", "leaf", "salt"], chunk_rows, "part", total)
     counts = cut_lineage(parts.groupBy("source", "part").agg(F.count("*").alias("rows")))
     by_source = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.withColumn("before", F.coalesce(F.sum("rows").over(by_source), F.lit(0)))
@@ -120,7 +120,7 @@ def reverse(levels: list[DataFrame], tops: DataFrame, fan: int) -> DataFrame:
     return above
 
 
-def build(rows: DataFrame, fan: int = FAN) -> Manifest:
+def build(rows: DataFrame, fan: int = FAN, chunk_rows: int = CHUNK_ROWS) -> Manifest:
     """Manifest of ``rows`` (source, doc_id, leaf, and whatever else is to be carried along).
 
     Leaves are ordered by doc_id (NULL first) inside their source, rows of one doc_id by their
@@ -134,7 +134,7 @@ def build(rows: DataFrame, fan: int = FAN) -> Manifest:
     kept = cut_lineage(rows)
     total = kept.count()
     salted = kept.withColumn("salt", F.monotonically_increasing_id())
-    leaves = cut_lineage(numbered(salted, total).withColumn("digest", F.col("leaf")))
+    leaves = cut_lineage(numbered(salted, total, chunk_rows).withColumn("digest", F.col("leaf")))
     levels = forward(leaves.select("tree", "idx", "n", "digest"), fan)
     levels[0] = leaves
     single = [level.filter("n = 1").select("tree", F.col("digest").alias("subroot")) for level in levels]
@@ -160,7 +160,7 @@ def fold(leaf: Column, path: Column) -> Column:
     return F.aggregate(path, leaf, lambda d, p: F.sha2(F.concat(p["before"], d, p["after"]).cast("binary"), 256))
 
 
-def audit(docs: DataFrame, changed: Column, text: Column, fan: int = FAN) -> DataFrame:
+def audit(docs: DataFrame, changed: Column, text: Column, fan: int = FAN, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``doc_id, leaf, subroot, root, proof_sha256, folded_root, verified`` per row of ``docs``.
 
     Where ``changed`` holds (NULL: not), the leaf is computed again with ``text`` in place of the text
@@ -169,7 +169,7 @@ def audit(docs: DataFrame, changed: Column, text: Column, fan: int = FAN) -> Dat
     """
     rows = docs.select("doc_id", "source", leaf_digest().alias("leaf"),
                        F.when(changed, leaf_digest(text)).alias("altered"))
-    manifest = build(rows, fan)
+    manifest = build(rows, fan, chunk_rows)
     folded = fold(F.coalesce("altered", "leaf"), F.col("path"))
     root = F.lit(manifest.root).cast("string")
     return manifest.leaves.select(

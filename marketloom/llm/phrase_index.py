@@ -76,7 +76,10 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         rank = np.arange(len(body)) - np.repeat(heads, length)
         power = _LOW[rank & 0xFFFF]
         if rank.max() >> 16:
-            power = power * np.cumprod(np.full((int(rank.max()) >> 16) + 1, _LOW[-1] | np.uint64(1)))[rank >> 16]
+            # Factor 1 for the first 65,536 bytes, so that a word's hash does not depend on its neighbours.
+            high = np.full((int(rank.max()) >> 16) + 1, _LOW[-1])
+            high[0] = 1
+            power = power * np.cumprod(high)[rank >> 16]
         h = np.add.reduceat(body * power, heads) + length.astype(np.uint64)
         h = (h ^ (h >> np.uint64(33))) * _MIX
         hashes.append(h ^ (h >> np.uint64(29)))
