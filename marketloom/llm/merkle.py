@@ -24,6 +24,8 @@ FAN = 16
 HEX = 64
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 PATH = "array<struct<before:string,after:string>>"
+# Rows of a file of inner nodes: with their paths these are rows of some kilobytes.
+LEVEL_ROWS = 8192
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -62,7 +64,7 @@ def numbered(leaves: DataFrame, total: int, chunk_rows: int = CHUNK_ROWS) -> Dat
     hot source nor a table of very many sources is sorted in one task.
     """
     parts = equi_depth(leaves, ["source", "doc_id", "leaf", "salt"], chunk_rows, "part", total)
-    counts = cut_lineage(parts.groupBy("source", "part").agg(F.count("*").alias("rows")))
+    counts = written(parts.groupBy("source", "part").agg(F.count("*").alias("rows")), -(-total // chunk_rows))
     by_source = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.withColumn("before", F.coalesce(F.sum("rows").over(by_source), F.lit(0)))
     trees = counts.groupBy("source").agg(F.min("part").alias("head"), F.sum("rows").alias("n"))
@@ -81,18 +83,24 @@ def numbered(leaves: DataFrame, total: int, chunk_rows: int = CHUNK_ROWS) -> Dat
             .drop("part", "salt", "before", "_at", "_part", "_source"))
 
 
+def written(nodes: DataFrame, rows: int) -> DataFrame:
+    """Inner levels are small: few files, whatever the number of shuffle partitions."""
+    return cut_lineage(nodes.coalesce(max(1, -(-rows // LEVEL_ROWS))))
+
+
 def forward(nodes: DataFrame, fan: int) -> list[DataFrame]:
     """Levels of ``tree, idx, n, digest`` up to single nodes; from level 1 on with ``kids``, their digests."""
     levels = [nodes]
-    size = nodes.agg(F.max("n")).first()[0] or 0
+    size, rows, trees = nodes.agg(F.max("n"), F.count("*"), F.round(F.sum(1 / F.greatest("n", F.lit(1))))).first()
+    size, trees = size or 0, int(trees or 0)
     while size > 1:
-        size = -(-size // fan)
+        size, rows = -(-size // fan), rows // fan + trees
         sent = levels[-1].filter("n > 1").select(
             "tree", "n", F.floor(F.col("idx") / fan).alias("idx"), F.struct("idx", "digest").alias("message"))
         kids = F.array_join(F.transform(F.array_sort(F.collect_list("message")), lambda m: m["digest"]), "")
         got = sent.groupBy("tree", "idx").agg(F.first("n").alias("n"), kids.alias("kids"))
-        levels.append(cut_lineage(got.select(
-            "tree", "idx", F.ceil(F.col("n") / fan).alias("n"), digest(F.col("kids")).alias("digest"), "kids")))
+        levels.append(written(got.select(
+            "tree", "idx", F.ceil(F.col("n") / fan).alias("n"), digest(F.col("kids")).alias("digest"), "kids"), rows))
     return levels
 
 
@@ -116,7 +124,7 @@ def reverse(levels: list[DataFrame], tops: DataFrame, fan: int) -> DataFrame:
                 own = nodes.select(F.col("tree").alias("_tree"), F.col("idx").alias("_idx"), "kids")
                 inner = inner.join(own, (F.col("tree") == F.col("_tree")) & (F.col("idx") == F.col("_idx"))).drop("_tree", "_idx")
             down = down.unionByName(inner)
-        above = down if level == 0 else cut_lineage(down)
+        above = down if level == 0 else written(down, nodes.count())
     return above
 
 
@@ -141,13 +149,14 @@ def build(rows: DataFrame, fan: int = FAN, chunk_rows: int = CHUNK_ROWS) -> Mani
     subroots = single[0]
     for part in single[1:]:
         subroots = subroots.unionByName(part)
-    subroots = cut_lineage(subroots)
+    n_trees = subroots.count()
+    subroots = written(subroots, n_trees)
     top = forward(subroots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("idx"),
-                                  F.lit(subroots.count()).cast("long").alias("n"), F.col("subroot").alias("digest")), fan)
+                                  F.lit(n_trees).cast("long").alias("n"), F.col("subroot").alias("digest")), fan)
     crown = top[-1].filter("n = 1").select("digest").first()
     none = top[-1].filter("n = 1").select("tree", F.array().cast(PATH).alias("path"))
     tops = reverse(top, none, fan).select(F.col("idx").alias("tree"), F.col("digest").alias("subroot"), "path")
-    return Manifest(reverse(levels, cut_lineage(tops), fan).drop("digest"), crown["digest"] if crown else None)
+    return Manifest(reverse(levels, written(tops, n_trees), fan).drop("digest"), crown["digest"] if crown else None)
 
 
 def proof_digest(path: Column) -> Column:
