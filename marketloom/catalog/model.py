@@ -99,22 +99,42 @@ def _correlations(spark, root):
 
 
 BLOCK, EMBARGO = 50, 5
+ALPHAS = (0.01, 1.0, 100.0)
+# Far off from zero: the fit of standardised features must not notice. The SQL has the plain feature.
+OFFSET = 1e8
+_TERMS = "a + alpha AS a, b, d + alpha AS d, u, v"
 FOLDS = f"""{XY}, b AS (SELECT *, bar_no // {BLOCK} AS block, bar_no % {BLOCK} >= {BLOCK - EMBARGO} AS tail FROM xy),
 k AS (SELECT row_number() OVER (ORDER BY block) - 1 AS fold, block AS val, block + 1 AS test
       FROM (SELECT DISTINCT block FROM b) WHERE block >= 2
         AND block < (SELECT max(block) FROM b)),
-tr AS (SELECT k.fold, k.test, x1, y FROM k JOIN b ON b.block < k.val
+tr AS (SELECT k.fold, k.val, k.test, x1, x2, y FROM k JOIN b ON b.block < k.val
          AND NOT (b.block = k.val - 1 AND tail)),
-st AS (SELECT fold, test, avg(x1) AS m, stddev_pop(x1) AS s FROM tr GROUP BY ALL),
-w AS (SELECT fold, test, m, s, sum(coalesce((x1 - m) / s, 0) * y)
-        / (sum(coalesce((x1 - m) / s, 0) ** 2) + 1) AS w, avg(y) AS c0
-      FROM tr JOIN st USING (fold, test) WHERE y IS NOT NULL GROUP BY ALL),
-pr AS (SELECT fold, symbol, ts, y, c0 + coalesce((x1 - m) / s, 0) * w AS p
+st AS (SELECT fold, val, test, avg(x1) AS m1, stddev_pop(x1) AS s1, avg(x2) AS m2, stddev_pop(x2) AS s2 FROM tr GROUP BY ALL),
+zt AS (SELECT fold, y, coalesce((x1 - m1) / s1, 0) AS z1, coalesce((x2 - m2) / s2, 0) AS z2 FROM tr JOIN st USING (fold) WHERE y IS NOT NULL),
+g AS (SELECT fold, sum(z1 * z1) AS a, sum(z1 * z2) AS b, sum(z2 * z2) AS d, sum(z1 * y) AS u, sum(z2 * y) AS v, avg(y) AS c0
+      FROM zt GROUP BY fold),
+ws AS (SELECT fold, alpha, c0, (d * u - b * v) / (a * d - b * b) AS w1, (a * v - b * u) / (a * d - b * b) AS w2
+  FROM (SELECT fold, c0, alpha, {_TERMS} FROM g CROSS JOIN (SELECT unnest({list(ALPHAS)}::DOUBLE[]) AS alpha))),
+cv AS (SELECT ws.*, st.* EXCLUDE (fold), avg((y - c0 - w1 * coalesce((x1 - m1) / s1, 0) - w2 * coalesce((x2 - m2) / s2, 0)) ** 2) AS mse
+  FROM ws JOIN st USING (fold) JOIN b ON b.block = st.val AND NOT tail AND y IS NOT NULL GROUP BY ALL),
+w AS (SELECT * FROM cv QUALIFY row_number() OVER (PARTITION BY fold ORDER BY mse) = 1),
+pr AS (SELECT fold, symbol, ts, y, c0 + coalesce((x1 - m1) / s1, 0) * w1 + coalesce((x2 - m2) / s2, 0) * w2 AS p
        FROM w JOIN b ON b.block = w.test)"""
 
 
 def _walk(spark, root):
-    return ridge.walk_forward(training_rows(spark, root), [X1], Y, BLOCK, EMBARGO)
+    rows = training_rows(spark, root).select("symbol", "ts", "bar_no", (F.col(X1) + OFFSET).alias(X1), X2, Y)
+    return ridge.walk_forward(rows, PAIR, Y, BLOCK, EMBARGO, ALPHAS)
+
+
+@register("walk_forward_fits", f"""WITH {FOLDS}
+SELECT fold, test AS block, val AS n_train_blocks, {num('alpha', 'alpha')}, {num('mse', 'validation_mse')}, {num('c0', 'intercept')},
+  {num('m1', 'mean1')}, {num('m2', 'mean2')}, {num('s1', 'scale1')}, {num('s2', 'scale2')}, {num('w1', 'coef1')}, {num('w2', 'coef2')} FROM w""")
+def _walk_fits(spark, root):
+    _, folds = _walk(spark, root)
+    parts = [(F.col(c)[i] - (OFFSET if c == "mean" and i == 0 else 0.0)).alias(f"{c}{i + 1}")
+             for c in ("mean", "scale", "coef") for i in range(2)]
+    return folds.select("fold", "block", "n_train_blocks", "alpha", "validation_mse", "intercept", *parts)
 
 
 @register("walk_forward_predictions", f"""WITH {FOLDS}

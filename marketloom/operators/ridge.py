@@ -1,8 +1,9 @@
-"""Ridge regression from one pass of additive pairwise moments.
+"""Ridge regression from one pass of pairwise moments.
 
 Missing features count as their mean (zero after standardising), scaling uses every row, the fit
 only rows with a target. All sums needed for that are additive, so one aggregation serves the
-fit, sub-models, correlations and every walk-forward fold; only p×p numbers reach the driver.
+fit, sub-models and correlations; only p×p numbers reach the driver. Walk-forward folds merge
+moments that are centred in themselves, block by block.
 """
 
 from __future__ import annotations
@@ -11,9 +12,12 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def moment_columns(features: Sequence[str], target: str) -> list[Column]:
     """Aggregates over all rows (n_, s_, q_) and over labelled rows (pairs, target)."""
@@ -42,7 +46,7 @@ def ridge_moments(rows: DataFrame, features: Sequence[str], target: str,
 
 @dataclass(frozen=True)
 class Moments:
-    """Collected sums; adding two of them is the moments of the union of their rows."""
+    """Collected sums."""
 
     n: np.ndarray
     s: np.ndarray
@@ -70,9 +74,6 @@ class Moments:
         return Moments(vec("n"), vec("s"), vec("q"), vec("xy"), vec("y"), c, a, p,
                        get("ny"), get("sy"), get("qy"))
 
-    def __add__(self, other: Moments) -> Moments:
-        return Moments(*[getattr(self, k) + getattr(other, k) for k in self.__dataclass_fields__])
-
     def scaling(self, offset: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """Mean and population deviation per feature; a zero deviation becomes 1.
 
@@ -205,28 +206,77 @@ def signal_correlations(rows: DataFrame, features: Sequence[str]) -> DataFrame:
         .alias("_r")).select("_r.*")
 
 
-# ----------------------------------------------------------- walk-forward
+# ---------------------------------------------------- mergeable moments
 
-@dataclass(frozen=True)
-class Fold:
-    number: int
-    train: tuple[int, ...]
-    validate: int
-    test: int
-    embargo: int
+# Numbers in a table of fitted folds up to which it is broadcast; a larger one is joined by shuffle.
+BROADCAST_NUMBERS = 1_000_000
+State = tuple[float, float, float, float]
+EMPTY: State = (0.0, 0.0, 0.0, 0.0)
+
+
+def pair_moments(rows: DataFrame, features: Sequence[str], target: str, by: Sequence[str]) -> DataFrame:
+    """``by, i, j, n, mean_i, mean_j, product``: one row per group and pair of variables.
+
+    Variables are the features and, as the last, the target. A state holds the rows where both are
+    present and the target is known: their number, the two means and the sum of products about
+    those means. ``j = -1`` is feature i alone over all rows. One pass; Spark's own centred
+    aggregates do not cancel, whatever offset or drift a column has.
+    """
+    names = [*features, target]
+    known = F.col(target).isNotNull()
+
+    def state(i: int, j: int, x: Column, z: Column) -> Column:
+        both = x.isNotNull() & z.isNotNull()
+        n = F.count_if(both)
+        zero = lambda c: F.coalesce(c, F.lit(0.0))
+        return F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), n.cast("double").alias("n"),
+                        zero(F.avg(F.when(both, x))).alias("mean_i"), zero(F.avg(F.when(both, z))).alias("mean_j"),
+                        zero(F.covar_pop(x, z) * n).alias("product"))
+
+    states = [state(i, -1, F.col(f), F.col(f)) for i, f in enumerate(features)]
+    seen = [F.when(known, F.col(c)) for c in names]
+    states += [state(i, j, seen[i], seen[j]) for i in range(len(names)) for j in range(i, len(names))]
+    return rows.groupBy(*by).agg(F.array(*states).alias("_s")).select(*by, F.explode("_s").alias("_m")).select(*by, "_m.*")
+
+
+def merge(a: State, b: State) -> State:
+    """State of the union of two sets of rows (parallel variance rule)."""
+    n = a[0] + b[0]
+    if not a[0] or not b[0]:
+        return a if a[0] else b
+    di, dj, share = b[1] - a[1], b[2] - a[2], b[0] / n
+    return n, a[1] + di * share, a[2] + dj * share, a[3] + b[3] + di * dj * a[0] * share
+
+
+def prefix_merges(states: Sequence[State]) -> list[State]:
+    """Merge of all states before each place, and of all of them at the end."""
+    out = [EMPTY]
+    for s in states:
+        out.append(merge(out[-1], s))
+    return out
 
 
-def make_folds(blocks: Iterable[int], embargo: int = 0, expanding: bool = True,
-               train_blocks: int = 2) -> list[Fold]:
-    """Chronological TRAIN → VALIDATION → TEST folds over equally long bar blocks."""
-    ordered = sorted(blocks)
-    folds = []
-    for k in range(train_blocks, len(ordered) - 1):
-        first = 0 if expanding else k - train_blocks
-        folds.append(Fold(len(folds), tuple(ordered[first:k]), ordered[k], ordered[k + 1], embargo))
-    return folds
+def window_merges(states: Sequence[State], width: int) -> list[State]:
+    """Merge of each ``width`` neighbouring states: the end of one run of ``width`` with the start of the next.
+
+    Nothing is ever taken off a sum, so a state far away in value leaves no rounding behind.
+    """
+    if width == 0:
+        return [EMPTY] * (len(states) + 1)
+    ends: list[State] = []
+    starts: list[State] = []
+    for a in range(0, len(states), width):
+        run = list(states[a:a + width])
+        starts += prefix_merges(run)[1:]
+        back = [EMPTY]
+        for s in reversed(run):
+            back.append(merge(s, back[-1]))
+        ends += back[:0:-1]
+    return [merge(ends[a], starts[a + width - 1]) if a % width else ends[a] for a in range(len(states) - width + 1)]
 
 
+# ----------------------------------------------------------- walk-forward
+
 def with_blocks(rows: DataFrame, block_bars: int, embargo: int) -> DataFrame:
     """Block number, and whether the row lies in the last ``embargo`` bars of its block."""
     within = F.col("bar_no") % block_bars
@@ -234,37 +284,124 @@ def with_blocks(rows: DataFrame, block_bars: int, embargo: int) -> DataFrame:
                              "tail": within >= block_bars - embargo})
 
 
+def fold_states(moments: DataFrame, expanding: bool = True, train_blocks: int = 2) -> DataFrame:
+    """States of the training and the validation rows of every fold, one row per fold and pair.
+
+    ``moments``: those of (block, tail). Pairs are scanned side by side, each over its blocks only: one
+    state per block, however many rows a block has. Training ends before the embargoed tail of
+    its last block, validation before that of its own.
+    """
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        blocks = sorted(set(pdf["block"]))
+        parts = {(b, t): tuple(s) for b, t, *s in zip(
+            pdf["block"], pdf["tail"], pdf["n"], pdf["mean_i"], pdf["mean_j"], pdf["product"])}
+        head = [parts.get((b, False), EMPTY) for b in blocks]
+        whole = [merge(h, parts.get((b, True), EMPTY)) for b, h in zip(blocks, head)]
+        before = prefix_merges(whole) if expanding else window_merges(whole, train_blocks - 1)
+        out = []
+        for k in range(train_blocks, len(blocks) - 1):
+            # Whole blocks up to the last but one; of the last, what lies before its tail.
+            known = before[k - 1] if expanding else before[k - train_blocks]
+            for role, s in (("train", merge(known, head[k - 1])), ("check", head[k])):
+                out.append((k - train_blocks, int(blocks[k + 1]), k if expanding else train_blocks, role,
+                            int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0]), *s))
+        return pd.DataFrame(out, columns=["fold", "block", "n_train_blocks", "role", "i", "j", "n", "mean_i", "mean_j", "product"])
+
+    return moments.groupBy("i", "j").applyInPandas(
+        scan, "fold int, block long, n_train_blocks int, role string, i int, j int, n double, mean_i double, mean_j double, product double")
+
+
+class Pairs:
+    """All states of one set of rows as matrices; the target is the last variable."""
+
+    def __init__(self, pdf: pd.DataFrame, size: int):
+        self.alone = np.zeros((3, size))
+        self.n, self.mean, self.product = (np.zeros((size + 1, size + 1)) for _ in range(3))
+        for i, j, n, mi, mj, c in zip(pdf["i"], pdf["j"], pdf["n"], pdf["mean_i"], pdf["mean_j"], pdf["product"]):
+            if j < 0:
+                self.alone[:, i] = n, mi, c
+            else:
+                # mean[i, j]: mean of i where j is present too
+                self.n[i, j] = self.n[j, i] = n
+                self.product[i, j] = self.product[j, i] = c
+                self.mean[i, j], self.mean[j, i] = mi, mj
+
+    def scaling(self, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mean and population deviation per feature over all rows; a zero deviation becomes 1."""
+        n, mean, product = self.alone
+        variance = product / np.where(n == 0, 1.0, n)
+        # Rounding of a constant column must not pass for spread.
+        variance[variance <= (1e-13 * np.maximum(np.abs(mean), np.abs(offset))) ** 2] = 0.0
+        scale = np.sqrt(variance)
+        return mean, np.where(scale == 0, 1.0, scale)
+
+    def about(self, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
+        """Sums of products of all pairs of (variable - centre) / scale."""
+        off = self.mean - centre[:, None]
+        return (self.product + self.n * off * off.T) / np.outer(scale, scale)
+
+    def target(self) -> tuple[float, float]:
+        return float(self.n[-1, -1]), float(self.mean[-1, -1])
+
+
+FOLD_SCHEMA = ("fold int, block long, n_train_blocks int, alpha double, validation_mse double, "
+               "intercept double, mean array<double>, scale array<double>, coef array<double>")
+
+
+def fit_folds(states: DataFrame, size: int, alphas: Sequence[float], offset: Sequence[float]) -> DataFrame:
+    """One row per fold: the model of the ``alpha`` with the least squared error on the validation rows.
+
+    ``offset``: what was taken off features and target before the moments, in that order. Of equal
+    errors the alpha named first wins.
+    """
+    if min(alphas) < 0:
+        raise ValueError("alpha must not be negative")
+    offset = np.asarray(offset, dtype=float)
+    alphas = [float(a) for a in alphas]
+
+    def solve_fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        train, check = (Pairs(pdf[pdf["role"] == role], size) for role in ("train", "check"))
+        mean, scale = train.scaling(offset[:-1])
+        n, intercept = train.target()
+        one = np.ones(1)
+        # The target stays as it is: only features are centred in the normal equations.
+        sums = train.about(np.append(mean, -offset[-1]), np.append(scale, one))
+        errors = check.about(np.append(mean, intercept if n else -offset[-1]), np.append(scale, one))
+        best = None
+        for alpha in alphas:
+            coef = np.linalg.solve(sums[:-1, :-1] + alpha * np.eye(size), sums[:-1, -1])
+            error = errors[-1, -1] - 2 * coef @ errors[:-1, -1] + coef @ errors[:-1, :-1] @ coef
+            if best is None or error < best[1]:
+                best = alpha, error, coef
+        alpha, error, coef = best
+        first = pdf.iloc[0]
+        return pd.DataFrame([{
+            "fold": first["fold"], "block": first["block"], "n_train_blocks": first["n_train_blocks"], "alpha": alpha,
+            "validation_mse": error / max(check.target()[0], 1.0), "intercept": intercept + offset[-1] if n else 0.0,
+            "mean": mean + offset[:-1], "scale": scale, "coef": coef}])
+
+    return states.groupBy("fold").applyInPandas(solve_fold, FOLD_SCHEMA)
+
+
 def walk_forward(rows: DataFrame, features: Sequence[str], target: str, block_bars: int,
                  embargo: int, alphas: Sequence[float] = (1.0,), expanding: bool = True,
                  train_blocks: int = 2) -> tuple[DataFrame, DataFrame]:
     """(test predictions, fold table). ``alpha`` is chosen on the validation block.
 
-    The moments are summed per (block, tail) in one aggregation; a fold's training moments are
-    sums of those, leaving out the embargoed tail that borders the next block.
+    The rows are written once and read three times: for the centre, for the moments per (block,
+    tail), and for the predictions. Everything between works on one state per block and pair of
+    variables, scanned pair by pair and solved fold by fold in tasks; nothing but the centre, a
+    number per variable, comes to the driver.
     """
-    marked = with_blocks(rows, block_bars, embargo)
-    table = {(r["block"], r["tail"]): Moments.of(r, len(features))
-             for r in ridge_moments(marked, features, target, ["block", "tail"]).collect()}
-    whole = lambda b: [m for (k, _), m in table.items() if k == b]
-    head = lambda b: [m for (k, t), m in table.items() if k == b and not t]
-    plus = lambda ms: sum(ms[1:], ms[0])
-    rows_out = []
-    for fold in make_folds({b for b, _ in table}, embargo, expanding, train_blocks):
-        train = plus([m for b in fold.train[:-1] for m in whole(b)] + head(fold.train[-1]))
-        check = plus(head(fold.validate))
-        models = [solve(train, features, a) for a in alphas]
-        errors = [squared_error(m, check) for m in models]
-        best = int(np.argmin(errors))
-        model = models[best]
-        rows_out.append((fold.number, int(fold.test), len(fold.train), float(alphas[best]),
-                         float(errors[best] / max(check.ny, 1)), float(model.intercept),
-                         [float(v) for v in model.mean], [float(v) for v in model.scale],
-                         [float(v) for v in model.coef]))
-    folds = rows.sparkSession.createDataFrame(
-        rows_out, "fold int, block long, n_train_blocks int, alpha double, validation_mse double, "
-        "intercept double, mean array<double>, scale array<double>, coef array<double>")
-    # One row per fold: the block count bounds what is broadcast.
-    tested = marked.join(F.broadcast(folds), "block")
+    marked = cut_lineage(with_blocks(rows, block_bars, embargo))
+    names = [*features, target]
+    centre = marked.agg(*[F.avg(c) for c in names]).first()
+    offset = [float(c or 0.0) for c in centre]
+    moved = marked.select("block", "tail", *[(F.col(c) - m).alias(c) for c, m in zip(names, offset)])
+    states = fold_states(pair_moments(moved, features, target, ["block", "tail"]), expanding, train_blocks)
+    folds = cut_lineage(fit_folds(states, len(features), alphas, offset))
+    small = folds.count() * (3 * len(features) + 4) <= BROADCAST_NUMBERS
+    tested = marked.join(F.broadcast(folds) if small else folds, "block")
     score = F.col("intercept")
     for i, f in enumerate(features):
         z = (F.col(f) - F.col("mean")[i]) / F.col("scale")[i]

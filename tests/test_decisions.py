@@ -124,6 +124,69 @@ def test_walk_forward_uses_only_the_past(panel):
         assert test["bar_no"].min() >= start + 25 and fold["alpha"] < 1000
 
 
+@pytest.mark.parametrize("expanding,train_blocks", [(True, 2), (False, 3), (False, 1)])
+@pytest.mark.parametrize("lift,drift", [(0.0, 0.0), (1e8, 0.0), (-3e7, 1e4)])
+def test_walk_forward_of_columns_far_from_zero(spark, expanding, train_blocks, lift, drift):
+    rng = np.random.default_rng(9)
+    n, block, embargo, alpha = 700, 100, 10, (2.0, 0.5)
+    pdf = pd.DataFrame({"bar_no": np.arange(n) + 200, "b": rng.normal(size=n), "c": rng.normal(size=n), "k": 7.25})
+    pdf["y"] = 5.0 + 1.5 * pdf["b"] - 0.5 * pdf["c"] + 0.1 * rng.normal(size=n)
+    pdf["b"] += lift + drift * (pdf["bar_no"] // block)
+    pdf["y"] += lift / 1e6
+    pdf.loc[::13, "b"] = None
+    pdf.loc[::17, "y"] = None
+    features = ["b", "c", "k"]
+    predictions, folds = ridge.walk_forward(spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None).to_dict("records"),
+                                                                  "bar_no long, b double, c double, k double, y double"),
+                                            features, "y", block, embargo, alpha, expanding, train_blocks)
+    found = {f["fold"]: f for f in folds.collect()}
+    assert len(found) == 7 - train_blocks - 1
+    got = predictions.toPandas().set_index("bar_no")["prediction"]
+    for fold, f in found.items():
+        first = 200 + (0 if expanding else fold) * block
+        last = 200 + (fold + train_blocks) * block
+        train = pdf[(pdf["bar_no"] >= first) & (pdf["bar_no"] < last - embargo)]
+        check = pdf[(pdf["bar_no"] >= last) & (pdf["bar_no"] < last + block - embargo)]
+        x = train[features].to_numpy()
+        mean, scale = np.nanmean(x, axis=0), np.nanstd(x, axis=0)
+        scale[2] = 1
+        shift = train["y"].mean()
+        ok = train["y"].notna()
+        z = np.nan_to_num((x - mean) / scale)[ok]
+        fits = []
+        for a in alpha:
+            coef = np.linalg.solve(z.T @ z + a * np.eye(3), z.T @ (train["y"][ok] - shift) + z.sum(axis=0) * shift)
+            zc = np.nan_to_num((check[features].to_numpy() - mean) / scale)
+            fits.append((np.nanmean((check["y"] - shift - zc @ coef) ** 2), a, coef))
+        mse, a, coef = min(fits, key=lambda r: r[0])
+        assert f["block"] == last // block + 1 and f["alpha"] == a and f["scale"][2] == 1.0
+        np.testing.assert_allclose(f["coef"], coef, rtol=2e-6, atol=2e-6)
+        np.testing.assert_allclose(f["scale"], scale, rtol=1e-6)
+        assert f["validation_mse"] == pytest.approx(mse, rel=1e-5) and f["intercept"] == pytest.approx(shift)
+        test = pdf[(pdf["bar_no"] >= last + block) & (pdf["bar_no"] < last + 2 * block)]
+        zt = np.nan_to_num((test[features].to_numpy() - mean) / scale)
+        np.testing.assert_allclose(got.loc[test["bar_no"]], shift + zt @ coef, rtol=1e-6, atol=1e-5)
+
+
+def test_states_merge_like_their_rows():
+    rng = np.random.default_rng(3)
+    x, y = 1e9 + rng.normal(size=60), rng.normal(size=60)
+
+    def state(rows):
+        a, b = x[rows], y[rows]
+        return (len(rows), a.mean(), b.mean(), ((a - a.mean()) * (b - b.mean())).sum()) if len(rows) else ridge.EMPTY
+    cuts = [0, 5, 5, 20, 21, 40, 60]
+    parts = [np.arange(a, b) for a, b in zip(cuts, cuts[1:])]
+    states = [state(p) for p in parts]
+    for got, k in zip(ridge.prefix_merges(states), range(7)):
+        np.testing.assert_allclose(got, state(np.arange(cuts[k])), rtol=1e-9, atol=1e-5)
+    for width in (1, 2, 4, 6):
+        merged = ridge.window_merges(states, width)
+        assert len(merged) == 6 - width + 1
+        for a, got in enumerate(merged):
+            np.testing.assert_allclose(got, state(np.concatenate(parts[a:a + width])), rtol=1e-9, atol=1e-5)
+
+
 def test_full_weight_earns_the_benchmark(spark):
     p = [10.0, 11.0, 9.0, 12.0, 12.6, 13.0]
     days = [datetime(2024, 1, 1 + i) for i in range(6)]
