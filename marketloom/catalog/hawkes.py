@@ -10,7 +10,7 @@ from ..session import cut_lineage
 from ..sources import manifest
 from .base import num, register, when
 
-BETAS = tuple(0.0005 * k for k in range(1, 11))
+BETAS = tuple(k / 2000 for k in range(1, 11))
 # All test events fall into January, so market-local time is UTC minus five hours in the SQL.
 HOURS = """hours AS (SELECT user_id % 4 AS session, event_id, ts, ts - INTERVAL 5 HOUR AS local_ts,
     event_type, value AS price FROM events
@@ -74,43 +74,118 @@ def _counts(spark, root):
     return hawkes.window_counts(hawkes.sliding_windows(stream_rows(spark, root), SIZE, STEP))
 
 
-def _moment_sql() -> str:
-    """Brute-force double sums over all event pairs of a session."""
+def _moment_ctes(events: str, ends: str, betas, keys: str = "session") -> str:
+    """CTE m: brute-force double sums over all event pairs of a key. ``events``: keys, dim, t."""
     decay = "exp(-beta * abs(x.t - y.t))"
+    names = keys.split(", ")
+    same = " AND ".join(f"y.{k} = x.{k}" for k in names)
     pairs = ", ".join(f"coalesce(sum({decay}) FILTER (x.dim = {j} AND y.dim = {o}), 0) AS x{j}_{o}"
                       for j, o in ((0, 0), (0, 1), (1, 1)))
-    sums = ", ".join(f"coalesce(sum(beta * {decay}) FILTER (x.dim = {i} AND y.dim = {j} AND y.t < x.t), 0) AS h{i}_{j}"
+    sums = ", ".join(f"coalesce(sum(beta * {decay}) FILTER (x.dim = {i} AND y.dim = {j} AND y.t < x.t), 0) AS sum_{i}_{j}"
                      for i in (0, 1) for j in (0, 1))
-    out = ["session", num("p.beta", "beta"), num("big_t", "horizon")]
+    out = [keys, "beta", "big_t AS horizon"]
     for j in (0, 1):
-        out += [f"n{j}", num(f"n{j} - f{j}", f"int_{j}")]
-        out += [num(f"h{i}_{j}", f"sum_{i}_{j}") for i in (0, 1)]
-        out += [num(f"p.beta / 2 * (x{j}_{o} - f{j} * f{o})", f"gram_{j}_{o}") for o in range(j, 2)]
-    return f"""WITH {STREAMS}, ev AS (SELECT session, dim, t_us / 1e6 AS t FROM streams),
-b AS (SELECT k * 0.0005::DOUBLE AS beta FROM range(1, 11) r(k)),
-ends AS (SELECT session, max(t) AS big_t FROM ev GROUP BY session),
-one AS (SELECT session, beta, big_t, count(*) FILTER (dim = 0) AS n0, count(*) FILTER (dim = 1) AS n1,
+        out += [f"n{j}", f"n{j} - f{j} AS int_{j}"] + [f"sum_{i}_{j}" for i in (0, 1)]
+        out += [f"beta / 2 * (x{j}_{o} - f{j} * f{o}) AS gram_{j}_{o}" for o in range(j, 2)]
+    return f"""ev AS ({events}), ends AS ({ends}),
+b AS (SELECT unnest({list(betas)}::DOUBLE[]) AS beta),
+one AS (SELECT {keys}, beta, big_t, count(*) FILTER (dim = 0) AS n0, count(*) FILTER (dim = 1) AS n1,
     coalesce(sum(exp(-beta * (big_t - t))) FILTER (dim = 0), 0) AS f0,
     coalesce(sum(exp(-beta * (big_t - t))) FILTER (dim = 1), 0) AS f1
-  FROM ev JOIN ends USING (session) CROSS JOIN b GROUP BY ALL),
-p AS (SELECT x.session, beta, {pairs}, {sums} FROM ev x JOIN ev y ON y.session = x.session
-  CROSS JOIN b GROUP BY ALL)
-SELECT {', '.join(out)} FROM p JOIN one USING (session, beta)"""
+  FROM ev JOIN ends USING ({keys}) CROSS JOIN b GROUP BY ALL),
+p AS (SELECT {', '.join(f'x.{k}' for k in names)}, beta, {pairs}, {sums} FROM ev x JOIN ev y ON {same}
+  CROSS JOIN b GROUP BY ALL),
+m AS (SELECT {', '.join(out)} FROM p JOIN one USING ({keys}, beta))"""
 
 
-@register("hawkes_moments", _moment_sql())
+EVENTS = "SELECT session, dim, t_us / 1e6 AS t FROM streams"
+LAST = "SELECT session, max(t) AS big_t FROM ev GROUP BY session"
+MOMENTS = _moment_ctes(EVENTS, LAST, BETAS)
+_NUMBERS = ["int_0", "int_1", "sum_0_0", "sum_0_1", "sum_1_0", "sum_1_1", "gram_0_0", "gram_0_1", "gram_1_1"]
+
+
+@register("hawkes_moments", f"""WITH {STREAMS}, {MOMENTS}
+SELECT session, {num('beta', 'beta')}, {num('horizon', 'horizon')}, n0, n1, {', '.join(num(c, c) for c in _NUMBERS)} FROM m""")
 def _moments(spark, root):
     return hawkes.hawkes_moments(stream_rows(spark, root), ["session"], BETAS)
 
 
-@register("hawkes_fit")
+def _fit_ctes(keys: str = "session", penalty: float = 1e-4) -> str:
+    """CTE fit: of the solutions on each set of unknowns, the best without a negative one."""
+    gram = [["horizon", "int_0", "int_1"], ["int_0", "gram_0_0", "gram_0_1"], ["int_1", "gram_0_1", "gram_1_1"]]
+    for k in range(3):
+        gram[k][k] = f"({gram[k][k]} + {penalty})"
+
+    def det(m):
+        if len(m) == 1:
+            return m[0][0]
+        if len(m) == 2:
+            return f"({m[0][0]} * {m[1][1]} - {m[0][1]} * {m[1][0]})"
+        minors = [[row[:k] + row[k + 1:] for row in m[1:]] for k in range(3)]
+        return f"({m[0][0]} * {det(minors[0])} - {m[0][1]} * {det(minors[1])} + {m[0][2]} * {det(minors[2])})"
+
+    parts = []
+    for i in (0, 1):
+        right = [f"n{i}", f"sum_{i}_0", f"sum_{i}_1"]
+        for chosen in range(8):
+            rows = [k for k in range(3) if chosen >> k & 1]
+            w = ["0::DOUBLE"] * 3
+            for at, k in enumerate(rows):
+                swapped = [[right[a] if j == at else gram[a][c] for j, c in enumerate(rows)] for a in rows]
+                w[k] = f"({det(swapped)} / {det([[gram[a][c] for c in rows] for a in rows])})"
+            value = " + ".join(f"{w[k]} * {right[k]}" for k in rows) or "0"
+            parts.append(f"SELECT {keys}, beta, {i} AS i, {w[0]} AS w0, {w[1]} AS w1, {w[2]} AS w2, {value} AS value FROM m")
+    return f"""cand AS ({' UNION ALL '.join(parts)}),
+best AS (SELECT * FROM cand WHERE w0 >= 0 AND w1 >= 0 AND w2 >= 0
+  QUALIFY row_number() OVER (PARTITION BY {keys}, beta, i ORDER BY value DESC) = 1),
+flat AS (SELECT {keys}, beta, max(w0) FILTER (i = 0) AS mu_0, max(w0) FILTER (i = 1) AS mu_1, max(w1) FILTER (i = 0) AS a00,
+    max(w2) FILTER (i = 0) AS a01, max(w1) FILTER (i = 1) AS a10, max(w2) FILTER (i = 1) AS a11 FROM best GROUP BY ALL),
+fit AS (SELECT *, (a00 + a11 + sqrt((a00 - a11) ** 2 + 4 * a01 * a10)) / 2 AS endogeneity FROM flat)"""
+
+
+# Baselines are small rates: shown per million seconds.
+_FITTED = [num("1e6 * mu_0", "mu_0_e6"), num("1e6 * mu_1", "mu_1_e6"), num("a00", "alpha_0_0"), num("a01", "alpha_0_1"),
+           num("a10", "alpha_1_0"), num("a11", "alpha_1_1")]
+
+
+@register("hawkes_fit", f"""WITH {STREAMS}, {MOMENTS}, {_fit_ctes()},
+logs AS (SELECT x.session, f.beta, x.dim, x.t, any_value(CASE x.dim WHEN 0 THEN mu_0 ELSE mu_1 END)
+    + coalesce(sum(CASE WHEN x.dim = 0 THEN CASE y.dim WHEN 0 THEN a00 ELSE a01 END ELSE CASE y.dim WHEN 0 THEN a10 ELSE a11 END END
+      * f.beta * exp(-f.beta * (x.t - y.t))), 0) AS rate
+  FROM ev x JOIN fit f ON f.session = x.session LEFT JOIN ev y ON y.session = x.session AND y.t < x.t GROUP BY x.session, f.beta, x.dim, x.t),
+scored AS (SELECT fit.*, m.horizon, m.n0, m.n1, sum(ln(greatest(rate, 1e-300))) - any_value(mu_0 * horizon + mu_1 * horizon
+    + (a00 + a10) * int_0 + (a01 + a11) * int_1) AS score
+  FROM fit JOIN m USING (session, beta) JOIN logs USING (session, beta) GROUP BY ALL)
+SELECT session, {num('beta', 'beta')}, {num('horizon', 'horizon')}, n0, n1, {', '.join(_FITTED)}, {num('endogeneity', 'endogeneity')},
+  {num('score', 'score')}, {num('ln(2) / beta', 'half_life')} FROM scored
+QUALIFY row_number() OVER (PARTITION BY session ORDER BY score DESC, beta) = 1""")
 def _fit(spark, root):
-    return hawkes.fit_grid(stream_rows(spark, root), ["session"], BETAS)
+    fit = hawkes.fit_grid(stream_rows(spark, root), ["session"], BETAS)
+    rates = [(F.col(f"mu_{i}") * 1e6).alias(f"mu_{i}_e6") for i in (0, 1)]
+    return fit.select("session", "beta", "horizon", "n0", "n1", *rates, *[f"alpha_{i}_{j}" for i in (0, 1) for j in (0, 1)],
+                      "endogeneity", "score", "half_life")
 
 
-@register("hawkes_rolling_fit")
+_WINDOWS = f"""x AS (SELECT session, min(t_us) AS a, max(t_us) AS z FROM streams GROUP BY session),
+w AS (SELECT session, k AS win, a + k * {STEP}000000 AS s, a + k * {STEP}000000 + {SIZE}000000 AS e
+  FROM (SELECT session, a, z, unnest(range(CAST((z - a - {SIZE}000000) // {STEP}000000 + 1 AS BIGINT))) AS k
+        FROM x WHERE z - a >= {SIZE}000000)),
+inside AS (SELECT w.*, dim, (t_us - s) / 1e6 AS t FROM w JOIN streams t ON t.session = w.session AND t_us >= s AND t_us < e),
+busy AS (SELECT session, win, s, e, count(*) FILTER (dim = 0) AS news_count, count(*) FILTER (dim = 1) AS price_count FROM inside GROUP BY ALL
+  HAVING count(*) FILTER (dim = 0) > 2 AND count(*) FILTER (dim = 1) > 5)"""
+
+
+@register("hawkes_rolling_fit", f"""WITH {STREAMS}, {_WINDOWS},
+{_moment_ctes('SELECT session, win, dim, t FROM inside JOIN busy USING (session, win)',
+              f'SELECT session, win, {SIZE}.0::DOUBLE AS big_t FROM busy', [0.001], 'session, win')}, {_fit_ctes('session, win')}
+SELECT session, win, {num('s / 1e6', 'window_start')}, {num('e / 1e6', 'window_end')}, news_count, price_count,
+  {num('1e6 * mu_0', 'baseline_news_e6')}, {num('1e6 * mu_1', 'baseline_price_e6')}, {num('a10', 'alpha_news_to_price')},
+  {num('a11', 'alpha_price_to_price')}, {num('endogeneity', 'endogeneity')} FROM fit JOIN busy USING (session, win)""")
 def _rolling(spark, root):
-    return hawkes.rolling_fit(stream_rows(spark, root), SIZE, STEP, 0.001, min_price=5)
+    fit = hawkes.rolling_fit(stream_rows(spark, root), SIZE, STEP, 0.001, min_price=5)
+    for name in ("baseline_news", "baseline_price"):
+        fit = fit.withColumn(f"{name}_e6", F.col(name) * 1e6).drop(name)
+    return fit
 
 
 def residuals(spark, root):

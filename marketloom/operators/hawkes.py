@@ -15,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -182,56 +181,78 @@ def hawkes_moments(events: DataFrame, keys: Sequence[str], betas: Sequence[float
 
 # -------------------------------------------------------------------- fit
 
-def _fit_batch(pdf: pd.DataFrame, dims: int, penalty: float) -> np.ndarray:
-    """Least-squares (μ, α) per row with non-negative entries, by cyclic coordinate descent."""
-    size = dims + 1
-    count = len(pdf)
-    gram = np.zeros((count, size, size))
-    gram[:, 0, 0] = pdf["horizon"]
-    for j in range(dims):
-        gram[:, 0, j + 1] = gram[:, j + 1, 0] = pdf[f"int_{j}"]
-        for o in range(j, dims):
-            gram[:, j + 1, o + 1] = gram[:, o + 1, j + 1] = pdf[f"gram_{j}_{o}"]
-    gram[:, range(1, size), range(1, size)] += penalty
-    theta = np.zeros((count, dims, size))
-    for i in range(dims):
-        right = np.column_stack([pdf[f"n{i}"]] + [pdf[f"sum_{i}_{j}"] for j in range(dims)]).astype(float)
-        w = np.zeros((count, size))
-        for _ in range(2000):
-            before = w.copy()
-            for k in range(size):
-                rest = right[:, k] - np.einsum("nj,nj->n", gram[:, k, :], w) + gram[:, k, k] * w[:, k]
-                w[:, k] = np.maximum(rest / np.maximum(gram[:, k, k], 1e-300), 0.0)
-            if np.max(np.abs(w - before), initial=0.0) < 1e-13:
-                break
-        theta[:, i, :] = w
-    return theta
+def _determinant(m: list[list[Column]]) -> Column:
+    """Determinant of a small matrix of columns, along its first row."""
+    if not m:
+        return F.lit(1.0)
+    total = None
+    for k, head in enumerate(m[0]):
+        term = head * _determinant([row[:k] + row[k + 1:] for row in m[1:]])
+        total = term if total is None else (total - term if k % 2 else total + term)
+    return total
+
+
+def nonnegative_solution(gram: list[list[Column]], right: list[Column]) -> Column:
+    """Array of the w >= 0 that minimises w'Gw/2 - r'w, for a positive definite G of up to four rows.
+
+    The minimum has some set of positive entries and solves the plain normal equations on it. So
+    every set is solved by Cramer's rule on the matrix scaled to a unit diagonal, and of those
+    without a negative entry the one of least value is taken: exact, without iteration. A set whose
+    equations are singular is passed over.
+    """
+    size = len(right)
+    if size > 4:
+        raise ValueError("active sets are written out for at most four unknowns")
+    unit = [F.sqrt(gram[k][k]) for k in range(size)]
+    g = [[F.try_divide(gram[a][b], unit[a] * unit[b]) for b in range(size)] for a in range(size)]
+    r = [F.try_divide(right[k], unit[k]) for k in range(size)]
+    zero = F.lit(0.0)
+    found = [F.struct(zero.alias("value"), F.array(*[zero] * size).alias("w"))]
+    for chosen in range(1, 1 << size):
+        rows = [k for k in range(size) if chosen >> k & 1]
+        m = [[g[a][b] for b in rows] for a in rows]
+        whole = _determinant(m)
+        w = {}
+        for at, k in enumerate(rows):
+            swapped = [[r[a] if j == at else m[i][j] for j in range(len(rows))] for i, a in enumerate(rows)]
+            w[k] = F.try_divide(_determinant(swapped), whole)
+        value = sum((w[k] * r[k] for k in rows), zero)
+        entries = F.array(*[F.try_divide(w[k], unit[k]) if k in w else zero for k in range(size)])
+        found.append(F.struct(value.alias("value"), entries.alias("w")))
+    sound = F.filter(F.array(*found), lambda c: F.forall(c["w"], lambda x: F.coalesce(x >= 0, F.lit(False))))
+    return F.array_max(sound)["w"]
 
 
 def hawkes_parameters(moments: DataFrame, keys: Sequence[str], dims: int = 2,
                       penalty: float = 1e-4) -> DataFrame:
     """mu_i, alpha_i_j and the spectral radius per (key, decay) from :func:`hawkes_moments`.
 
-    One small solve per moment row, batched in Arrow; the events are not touched here.
+    Non-negative least squares per target dimension in closed form, as columns of the moment row;
+    one or two dimensions. The events are not touched here.
     """
-    names = [f"mu_{i}" for i in range(dims)] + [f"alpha_{i}_{j}" for i in range(dims) for j in range(dims)]
-    columns = moments.columns
-
-    def solve(batches):
-        for pdf in batches:
-            theta = _fit_batch(pdf, dims, penalty)
-            out = pdf.copy()
-            for i in range(dims):
-                out[f"mu_{i}"] = theta[:, i, 0]
-                for j in range(dims):
-                    out[f"alpha_{i}_{j}"] = theta[:, i, j + 1]
-            radius = np.abs(np.linalg.eigvals(theta[:, :, 1:])).max(axis=1) if len(pdf) else []
-            out["endogeneity"] = radius
-            yield out[[*columns, *names, "endogeneity"]]
-
-    schema = moments.schema.simpleString()[len("struct<"):-1]
-    extra = ",".join(f"{n}:double" for n in [*names, "endogeneity"])
-    return moments.mapInPandas(solve, f"{schema},{extra}")
+    if dims not in (1, 2):
+        raise ValueError("one or two dimensions")
+    size = dims + 1
+    gram = [[F.col("horizon")] * size for _ in range(size)]
+    for j in range(dims):
+        gram[0][j + 1] = gram[j + 1][0] = F.col(f"int_{j}")
+        for o in range(j, dims):
+            gram[j + 1][o + 1] = gram[o + 1][j + 1] = F.col(f"gram_{j}_{o}")
+    for k in range(size):
+        gram[k][k] = gram[k][k] + penalty
+    solved = moments
+    for i in range(dims):
+        right = [F.col(f"n{i}").cast("double")] + [F.col(f"sum_{i}_{j}") for j in range(dims)]
+        solved = solved.withColumn(f"_w{i}", nonnegative_solution(gram, right))
+    solved = solved.withColumns({f"mu_{i}": F.col(f"_w{i}")[0] for i in range(dims)} | {
+        f"alpha_{i}_{j}": F.col(f"_w{i}")[j + 1] for i in range(dims) for j in range(dims)})
+    if dims == 1:
+        radius = F.col("alpha_0_0")
+    else:
+        # A non-negative matrix has its greatest eigenvalue real: that of the 2x2 formula.
+        a, b, c, d = (F.col(f"alpha_{k}") for k in ("0_0", "0_1", "1_0", "1_1"))
+        radius = (a + d + F.sqrt((a - d) * (a - d) + 4 * b * c)) / 2
+    return solved.withColumn("endogeneity", radius).drop(*[f"_w{i}" for i in range(dims)])
 
 
 def log_likelihood(events: DataFrame, parameters: DataFrame, keys: Sequence[str],

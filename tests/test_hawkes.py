@@ -89,3 +89,37 @@ def test_first_tick_is_not_a_jump(spark):
                                 enumerate([5.0, 5.0, 6.0, 6.0, 4.0])], "session int, event_id int, ts timestamp, price double")
     got = hawkes.price_jumps(df).orderBy("event_id").collect()
     assert [(r["event_id"], r["price_change"]) for r in got] == [(2, 1.0), (4, -2.0)]
+
+
+def test_closed_form_meets_the_optimality_conditions(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for k in range(200):
+        a = rng.normal(size=(5, 3)) * rng.choice([1e-3, 1.0, 1e3], size=3)
+        g = a.T @ a + 1e-9 * np.eye(3)
+        r = a.T @ rng.normal(size=5)
+        rows.append([*g[np.triu_indices(3)].tolist(), *r.tolist()])
+    # Nothing to explain, a dead column, and two equal columns.
+    rows += [[1.0, 0.0, 0.0, 1.0, 0.0, 1.0, -1.0, -2.0, 0.0], [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 2.0, 0.0, 3.0], [2.0, 2.0, 0.0, 2.0, 0.0, 1.0, 2.0, 2.0, 1.0]]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rows)], "i int, a double, b double, c double, d double, e double, f double, x double, y double, z double")
+    m = [["a", "b", "c"], ["b", "d", "e"], ["c", "e", "f"]]
+    w = hawkes.nonnegative_solution([[F.col(c) for c in row] for row in m], [F.col(c) for c in "xyz"])
+    got = {r["i"]: np.array(r["w"]) for r in df.select("i", w.alias("w")).collect()}
+    supports = set()
+    for i, (a, b, c, d, e, f, *r) in enumerate(rows):
+        g = np.array([[a, b, c], [b, d, e], [c, e, f]])
+        unit = np.sqrt(np.diag(g))
+        slope = (g @ got[i] - r) / np.where(unit == 0, 1, unit)
+        size = np.linalg.norm(np.array(r) / np.where(unit == 0, 1, unit)) + 1e-9
+        assert (got[i] >= 0).all() and (slope >= -1e-6 * size).all()
+        assert np.abs(slope[got[i] > 0]).max(initial=0.0) <= 1e-6 * size
+        supports.add(tuple(got[i] > 0))
+    assert len(supports) == 8
+    assert got[200].tolist() == [0, 0, 0] and got[201].tolist() == [2, 0, 3]
+
+
+def test_fit_of_silent_and_single_streams(spark):
+    df = spark.createDataFrame([(1, 1, 5_000_000), (1, 1, 9_000_000), (2, 0, 0)], "session long, dim int, t_us long")
+    got = {r["session"]: r for r in hawkes.fit_grid(df, ["session"], [1.0, 2.0]).collect()}
+    assert got[1]["alpha_1_0"] == 0 and got[1]["mu_0"] == 0 and got[1]["mu_1"] == pytest.approx(2 / 9, rel=0.4)
+    assert got[2]["n0"] == 1 and got[2]["n1"] == 0
