@@ -1,16 +1,19 @@
-"""Near-duplicate articles: exact similarity edges and ordered leader clustering.
+"""Near-duplicate articles: verified similarity links and ordered leader clustering.
 
 Two articles match when they were received within ``horizon`` of each other and have the same
 non-empty URL key or headline token sets with Jaccard similarity at or above the threshold.
-Candidates come from *blocks*: the URL key, and pairs of the rarest tokens of a headline. With n
-tokens and a needed overlap of τ = ⌈threshold·n⌉, two matching sets share at least two of the
-first n − τ + 2 tokens in any common order, so they share a pair key (prefix filter). Pair keys are
-far rarer than single tokens; ordering by frequency makes them rarer still.
+
+Articles are never compared one by one. Those with the same token set form a group per
+horizon-wide time slot, and so do those with the same URL key; copies are counted, not paired.
+Distinct token sets are linked once: two sets with n tokens and a needed overlap of ⌈threshold·n⌉
+share a token among the first n − ⌈threshold·n⌉ + 1 in any common order (prefix filter, rarest
+first); sizes and positions of the shared token bound the overlap (length and position filter),
+and only ids of pairs that are left meet their tokens again to be verified.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, tokens, url_key
@@ -18,40 +21,61 @@ from ..session import cut_lineage
 
 THRESHOLD = 0.85
 HORIZON_SECONDS = 86_400
-TOP = 64
 
 
-def prefix_keys(ordered: Column, threshold: float) -> Column:
-    """Block keys of a token array sorted from rare to frequent.
+# ----------------------------------------------------------- linked token sets
 
-    Sets that may match on a single shared token (τ = 1) carry single-token keys as well.
-    """
-    n = F.size(ordered)
-    need = F.ceil(n * threshold - 1e-9)
-    prefix = F.slice(ordered, F.lit(1), F.least(n, n - need + 2))
-    pairs = F.flatten(F.transform(prefix, lambda x, i: F.transform(
-        F.slice(prefix, i + 2, F.size(prefix)), lambda y: F.concat(x, F.lit(" "), y))))
-    return F.when(need <= 1, F.concat(ordered, pairs)).otherwise(pairs)
-
-
-def with_blocks(items: DataFrame, key: str, threshold: float = THRESHOLD) -> DataFrame:
-    """Add ``tokens``, ``url_norm`` and the array ``blocks`` to rows with headline and url."""
-    base = items.withColumns({"tokens": tokens(F.col("headline")), "url_norm": url_key(F.col("url"))})
-    words = base.select(key, F.explode("tokens").alias("token"))
+def set_id(ordered: Column) -> Column:
+    """128 bits that stand for a sorted token set."""
+    return F.md5(F.array_join(ordered, " ").cast("binary"))
+
+
+def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """``sid, size, at, token``: prefix tokens of each distinct set, from rare to frequent."""
+    words = sets.select("sid", F.explode("tokens").alias("token"))
     counts = words.groupBy("token").agg(F.count("*").alias("n"))
-    ranked = (words.join(counts, "token")
-              .groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("_w")))
-    prefix = F.transform(prefix_keys(F.col("_w.token"), threshold),
-                         lambda k: F.concat(F.lit("t:"), k))
-    url_block = F.when(F.col("url_norm") != "", F.array(F.concat(F.lit("u:"), F.col("url_norm"))))
-    none = F.array().cast("array<string>")
-    return base.join(ranked, key, "left").withColumn(
-        "blocks", F.concat(F.coalesce(url_block, none), F.coalesce(prefix, none))).drop("_w")
+    ranked = (words.join(counts, "token").groupBy("sid")
+              .agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("w")))
+    size = F.size("w")
+    need = F.ceil(size * threshold - 1e-9).cast("int")
+    return (ranked.select("sid", size.alias("size"), F.posexplode(F.slice("w", F.lit(1), size - need + 1)).alias("at", "w"))
+            .select("sid", "size", "at", F.col("w.token").alias("token")))
 
 
-def _matches(a_url: Column, a_tokens: Column, b_url: Column, b_tokens: Column,
-             threshold: float) -> Column:
-    return (((a_url != "") & (a_url == b_url)) | (jaccard(a_tokens, b_tokens) >= threshold))
+def linked_sets(groups: DataFrame, threshold: float) -> DataFrame:
+    """``left, right, score, rising``: both directions of every pair of unlike sets that match.
+
+    ``groups``: sid, slot, tokens. Only sets that occur in the same or in neighbouring slots are
+    looked at. ``rising``: the left set comes first as text.
+    """
+    sets = groups.groupBy("sid").agg(F.first("tokens").alias("tokens"))
+    seen = groups.select("sid", "slot").join(prefixes(sets, threshold), "sid")
+    early = seen.select(F.col("sid").alias("a"), F.col("size").alias("a_size"), F.col("at").alias("a_at"), "token",
+                        F.col("slot").alias("a_slot"), F.explode(F.array("slot", F.col("slot") + 1)).alias("slot"))
+    late = seen.select(F.col("sid").alias("b"), F.col("size").alias("b_size"), F.col("at").alias("b_at"), "token", "slot")
+    total = F.col("a_size") + F.col("b_size")
+    overlap = 1 + F.least(F.col("a_size") - F.col("a_at") - 1, F.col("b_size") - F.col("b_at") - 1)
+    pairs = (early.join(late, ["token", "slot"])
+             .filter((F.col("a") < F.col("b")) | ((F.col("a") != F.col("b")) & (F.col("a_slot") < F.col("slot"))))
+             .filter((F.col("a_size") >= F.col("b_size") * threshold - 1e-9) & (F.col("b_size") >= F.col("a_size") * threshold - 1e-9)
+                     & (overlap * (1 + threshold) >= total * threshold - 1e-9))
+             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    text = lambda name: sets.select(F.col("sid").alias(name), F.col("tokens").alias(f"{name}_tokens"))
+    scored = (pairs.join(text("a"), "a").join(text("b"), "b")
+              .withColumn("score", jaccard(F.col("a_tokens"), F.col("b_tokens"))).filter(F.col("score") >= threshold)
+              .withColumn("up", F.array_join("a_tokens", " ") < F.array_join("b_tokens", " ")))
+    both = F.explode(F.array(F.struct(F.col("a").alias("left"), F.col("b").alias("right"), "score", F.col("up").alias("rising")),
+                             F.struct(F.col("b").alias("left"), F.col("a").alias("right"), "score", (~F.col("up")).alias("rising"))))
+    return scored.select(both.alias("_l")).select("_l.*")
+
+
+def _prepared(events: DataFrame, width: int, *more: str) -> DataFrame:
+    """``id, t, slot, tokens, sid, url`` (NULL: none) and ``more`` columns per article version."""
+    words = F.array_sort(tokens(F.col("headline")))
+    return (events.select(F.concat_ws("#", "event_id", F.col("version").cast("string")).alias("id"),
+                          F.unix_micros("received_at").alias("t"), words.alias("tokens"),
+                          F.nullif(url_key(F.col("url")), F.lit("")).alias("url"), *more)
+            .withColumns({"slot": F.floor(F.col("t") / width), "sid": F.when(F.size("tokens") > 0, set_id(F.col("tokens")))}))
 
 
 # ------------------------------------------------------------------ edges
@@ -66,66 +90,58 @@ def near_dup_edges(events: DataFrame, threshold: float = THRESHOLD,
     in neighbouring slots exactly when the later group's first is near the earlier group's last.
     """
     width = horizon_seconds * 1_000_000
-    label = F.concat_ws("#", "event_id", F.col("version").cast("string"))
-    timed = events.withColumn("event_id", label).withColumns({"_t": F.unix_micros("received_at"), "_tokens": F.array_sort(tokens(F.col("headline"))),
-                                "_url": url_key(F.col("url"))})
-    timed = cut_lineage(timed.withColumn("_slot", F.floor(F.col("_t") / width))
-                        .select("event_id", "_t", "_slot", "_tokens", "_url"))
-    stats = [F.min(F.col("event_id")).alias("rep"), F.count("*").alias("n"),
-             F.min("_t").alias("first_t"), F.max("_t").alias("last_t")]
-    urls = (timed.filter("_url <> ''").groupBy(F.col("_url").alias("key"), "_slot").agg(*stats))
-    sets = (timed.filter(F.size("_tokens") > 0).groupBy("_tokens", "_slot").agg(*stats)
-            .withColumn("key", F.array_join("_tokens", " ")))
-
-    later = lambda c: F.col(f"b.{c}")
-    near = (later("_slot") == F.col("a._slot")) | (
-        later("first_t") - F.col("a.last_t") <= width)
-    next_slot = urls.withColumn("_prev", F.col("_slot") - 1)
-    by_url = (urls.alias("a").join(next_slot.alias("b"),
-                                   (F.col("a.key") == later("key")) & (F.col("a._slot") == later("_prev")))
-              .filter(near)
-              .select(F.lit("url").alias("kind"), F.col("a.rep").alias("left_id"),
-                      later("rep").alias("right_id"), F.col("a.n").alias("left_n"),
-                      later("n").alias("right_n"), F.lit(1.0).alias("score")))
-
-    # Prefix blocks of the distinct sets; a set also probes the following slot.
-    ids = sets.select("key", "_slot", F.explode("_tokens").alias("token"))
-    counts = ids.groupBy("token").agg(F.count("*").alias("tn"))
-    ranked = ids.join(counts, "token").groupBy("key", "_slot").agg(
-        F.array_sort(F.collect_list(F.struct("tn", "token"))).alias("_w"))
-    blocked = sets.join(ranked, ["key", "_slot"]).withColumn(
-        "token", F.explode(prefix_keys(F.col("_w.token"), threshold))).drop("_w")
-    probe = blocked.withColumn("_at", F.explode(F.array("_slot", F.col("_slot") + 1)))
-    pairs = (probe.alias("a").join(blocked.alias("b"),
-                                   (F.col("a.token") == later("token")) & (F.col("a._at") == later("_slot")))
-             .filter((F.col("a._slot") < later("_slot")) | (F.col("a.key") < later("key")))
-             .filter(near)
-             .filter((F.size("a._tokens") >= F.size("b._tokens") * threshold - 1e-9)
-                     & (F.size("b._tokens") >= F.size("a._tokens") * threshold - 1e-9))
-             .withColumn("score", jaccard(F.col("a._tokens"), later("_tokens")))
-             .filter(F.col("score") >= threshold)
-             .groupBy("a.key", "a._slot", "b.key", "b._slot")
-             .agg(F.first("a.rep").alias("left_id"), F.first("b.rep").alias("right_id"),
-                  F.first("a.n").alias("left_n"), F.first("b.n").alias("right_n"),
-                  F.first("score").alias("score")))
-    return by_url.unionByName(pairs.select(F.lit("headline").alias("kind"), "left_id", "right_id",
-                                           "left_n", "right_n", "score"))
+    rows = cut_lineage(_prepared(events, width))
+    stats = [F.min("id").alias("rep"), F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t")]
+    urls = rows.filter("url IS NOT NULL").groupBy(F.col("url").alias("g"), "slot").agg(*stats)
+    sets = cut_lineage(rows.filter("sid IS NOT NULL").groupBy(F.col("sid").alias("g"), "slot").agg(
+        F.first("tokens").alias("tokens"), *stats))
+    links = linked_sets(sets.select(F.col("g").alias("sid"), "slot", "tokens"), threshold)
+    itself = sets.select(F.col("g").alias("left"), F.col("g").alias("right"), F.lit(1.0).alias("score"), F.lit(False).alias("rising")).distinct()
+
+    def paired(groups: DataFrame, links: DataFrame, kind: str) -> DataFrame:
+        a = groups.select(F.col("g").alias("left"), F.col("rep").alias("left_id"), F.col("n").alias("left_n"),
+                          F.col("slot").alias("a_slot"), F.col("last_t").alias("until"))
+        b = groups.select(F.col("g").alias("right"), F.col("rep").alias("right_id"), F.col("n").alias("right_n"),
+                          F.col("slot").alias("b_slot"), F.col("first_t").alias("since"))
+        ahead = a.join(links, "left").withColumn("b_slot", F.explode(F.array("a_slot", F.col("a_slot") + 1)))
+        near = ((F.col("a_slot") == F.col("b_slot")) & F.col("rising")) | (
+            (F.col("a_slot") < F.col("b_slot")) & (F.col("since") - F.col("until") <= width))
+        return ahead.join(b, ["right", "b_slot"]).filter(near).select(
+            F.lit(kind).alias("kind"), "left_id", "right_id", "left_n", "right_n", "score")
+
+    own = urls.select(F.col("g").alias("left"), F.col("g").alias("right"), F.lit(1.0).alias("score"), F.lit(False).alias("rising")).distinct()
+    return paired(urls, own, "url").unionByName(paired(sets, links.unionByName(itself), "headline"))
 
 
 # ------------------------------------------------------------- clustering
 
+def group_links(groups: DataFrame, links: DataFrame, width: int) -> DataFrame:
+    """``g, slot, other, at``: groups whose articles may match earlier articles of group (other, at).
+
+    ``groups``: g, slot, n, first_t, last_t. A group looks at itself and its linked groups, in its own
+    slot and in the one before as far as the horizon reaches.
+    """
+    itself = groups.select(F.col("g").alias("left"), F.col("g").alias("right")).distinct()
+    sides = groups.join(links.unionByName(itself), F.col("g") == F.col("left")).select(
+        "g", "slot", "n", "first_t", F.col("right").alias("other"), F.explode(F.array("slot", F.col("slot") - 1)).alias("at"))
+    others = groups.select(F.col("g").alias("other"), F.col("slot").alias("at"), F.col("last_t").alias("until"))
+    alone = (F.col("g") == F.col("other")) & (F.col("slot") == F.col("at")) & (F.col("n") == 1)
+    return (sides.join(others, ["other", "at"])
+            .filter(~alone & ((F.col("slot") == F.col("at")) | (F.col("until") >= F.col("first_t") - width)))
+            .select("g", "slot", "other", "at"))
+
+
 def cluster_articles(events: DataFrame, threshold: float = THRESHOLD,
-                     horizon_seconds: int = HORIZON_SECONDS, top: int = TOP,
-                     open_heads: DataFrame | None = None) -> DataFrame:
+                     horizon_seconds: int = HORIZON_SECONDS, open_heads: DataFrame | None = None) -> DataFrame:
     """Ordered leader clustering: in receipt order an article joins the first earlier head it
     matches, otherwise it becomes a head; heads are compared with articles, never members.
 
-    Heads are elected in rounds. Per block and slot only the ``top`` earliest undecided articles
-    are looked at; one that is among them in all its blocks knows every earlier undecided article
-    it could match, and is elected when it matches none. All articles matching a new head leave
-    the undecided set. The earliest undecided article is always electable, so the rounds end with
-    the exact sequential result; ``top`` changes only how many there are. The undecided set is
-    checkpointed each round.
+    The heads are the lexicographically first independent set of the match graph. It is found in
+    rounds over the links of groups, which are made and verified once: an article that matches an
+    earlier head is out, one that matches no earlier undecided article is a head. Per group and slot
+    a round needs the earliest and the latest undecided article and head only, so copies cost no
+    more than their number, and articles without any earlier match are decided before the first
+    round. There are as many rounds as the longest chain of articles that wait for each other.
 
     ``open_heads`` are heads of earlier, already clustered articles (same columns as ``events``):
     with them, batches arriving in receipt order give the same clusters as one large batch.
@@ -135,71 +151,59 @@ def cluster_articles(events: DataFrame, threshold: float = THRESHOLD,
     keyed = events.withColumn("_open", F.lit(False))
     if open_heads is not None:
         keyed = keyed.unionByName(open_heads.select(*columns).withColumn("_open", F.lit(True)))
-    keyed = cut_lineage(keyed.withColumn(
-        "_id", F.concat_ws("#", "event_id", F.col("version").cast("string"))))
-    items = cut_lineage(
-        with_blocks(keyed.select("_id", "_open", "event_id", "headline", "url", "received_at",
-                                 "arrival_seq"), "_id", threshold)
-        .select("_id", "_open", "event_id", F.unix_micros("received_at").alias("t"),
-                F.col("arrival_seq").alias("seq"), F.col("url_norm").alias("url"), "tokens", "blocks")
-        .withColumn("slot", F.floor(F.col("t") / width)))
-    heads = items.filter(F.col("_open") | (F.size("blocks") == 0))
-    undecided = items.filter(~F.col("_open") & (F.size("blocks") > 0))
+    keyed = cut_lineage(keyed)
+    items = cut_lineage(_prepared(keyed, width, "event_id", F.col("arrival_seq").alias("seq"), F.col("_open").alias("open")))
+    # Set ids are 32 hex digits; a mark in front keeps URLs apart from them.
+    keys = F.array_compact(F.array(F.concat(F.lit("t:"), "sid"), F.concat(F.lit("u:"), "url")))
+    rows = items.select("id", "open", "event_id", "t", "seq", "slot", "sid", "tokens", F.explode(keys).alias("g")).filter("slot IS NOT NULL")
+    stats = rows.groupBy("g", "slot").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"),
+                                          F.first("sid").alias("sid"), F.first("tokens").alias("tokens"))
+    groups = cut_lineage(stats)
+    sets = groups.filter("g LIKE 't:%'").select("sid", "slot", "tokens")
+    linked = linked_sets(sets, threshold).select(F.concat(F.lit("t:"), "left").alias("left"), F.concat(F.lit("t:"), "right").alias("right"))
+    links = cut_lineage(group_links(groups.drop("sid", "tokens"), linked, width))
+    touched = links.select("g", "slot").unionByName(links.select(F.col("other").alias("g"), F.col("at").alias("slot"))).distinct()
+    me = F.struct("t", "seq", "id")
+    linked_rows = cut_lineage(rows.join(touched, ["g", "slot"], "left_semi").select(
+        "id", "event_id", "g", "slot", "t", me.alias("me"), "open"))
+    state = linked_rows.filter("NOT open")
     if open_heads is not None:
-        covered = _hits(undecided, items.filter("_open"), width, threshold).select("_id").distinct()
-        undecided = cut_lineage(undecided.join(covered, "_id", "left_anti"))
-
+        out = _matched(state, linked_rows.filter("open"), links, width)
+        state = cut_lineage(state.join(out, "id", "left_anti"))
+    heads = items.filter("NOT open").select("id").join(linked_rows.select("id"), "id", "left_anti")
+    waiting = state
     while True:
-        elected = cut_lineage(_elect(undecided, width, threshold, top))
-        if elected.isEmpty():
+        waits = _matched(waiting, waiting, links, width).withColumn("waits", F.lit(True))
+        fate = waiting.select("id").distinct().join(waits, "id", "left")
+        chosen = waiting.join(fate.filter("waits IS NULL").select("id"), "id", "left_semi")
+        out = _matched(waiting, chosen, links, width).withColumn("out", F.lit(True))
+        fate = cut_lineage(fate.join(out, "id", "left"))
+        heads = heads.unionByName(fate.filter("waits IS NULL").select("id"))
+        undecided = fate.filter("waits AND out IS NULL").select("id")
+        if undecided.isEmpty():
             break
-        heads = heads.unionByName(elected)
-        covered = _hits(undecided, elected, width, threshold).select("_id").distinct()
-        undecided = cut_lineage(undecided.join(elected.select("_id"), "_id", "left_anti")
-                                .join(covered, "_id", "left_anti"))
-
-    joined = (_hits(items.filter(~F.col("_open")), heads, width, threshold)
-              .groupBy("_id").agg(F.min_by("head_event", F.struct("head_t", "head_seq")).alias("cluster_id")))
-    named = (items.filter(~F.col("_open")).select("_id", F.col("event_id").alias("_own"))
-             .join(joined, "_id", "left")
-             .join(heads.select("_id", F.lit(True).alias("is_head")), "_id", "left")
-             .select("_id", F.when(F.col("is_head"), F.col("_own")).otherwise(F.col("cluster_id"))
-                     .alias("cluster_id"), F.coalesce("is_head", F.lit(False)).alias("is_head")))
-    return keyed.filter(~F.col("_open")).join(named, "_id").select(*columns, "cluster_id", "is_head")
-
-
-def _elect(undecided: DataFrame, width: int, threshold: float, top: int) -> DataFrame:
-    rows = undecided.withColumn("block", F.explode("blocks"))
-    rank = F.row_number().over(Window.partitionBy("block", "slot").orderBy("t", "seq"))
-    first = rows.withColumn("_r", rank).filter(F.col("_r") <= top)
-    # Undecided articles of the slot before that are still within the horizon block a decision.
-    tail = (rows.groupBy("block", (F.col("slot") + 1).alias("slot")).agg(F.max("t").alias("tail_t")))
-    lists = (first.groupBy("block", "slot")
-             .agg(F.collect_list(F.struct("_id", "t", "seq", "url", "tokens")).alias("_list"))
-             .join(tail, ["block", "slot"], "left")
-             .withColumn("x", F.explode("_list")))
-    earlier = F.exists("_list", lambda y: (
-        (y["t"] < F.col("x.t")) | ((y["t"] == F.col("x.t")) & (y["seq"] < F.col("x.seq"))))
-        & _matches(y["url"], y["tokens"], F.col("x.url"), F.col("x.tokens"), threshold))
-    waits = earlier | F.coalesce(F.col("tail_t") >= F.col("x.t") - width, F.lit(False))
-    free = (lists.select("x._id", waits.alias("_waits")).groupBy("_id")
-            .agg(F.count("*").alias("_seen"), F.bool_or("_waits").alias("_waits"))
-            .filter("NOT _waits"))
-    return (undecided.join(free, "_id").filter(F.col("_seen") == F.size("blocks"))
-            .drop("_seen", "_waits"))
-
-
-def _hits(items: DataFrame, heads: DataFrame, width: int, threshold: float) -> DataFrame:
-    """(item, head) matches with the head earlier and within the horizon."""
-    h = (heads.select(F.explode("blocks").alias("block"), F.col("slot").alias("hs"),
-                      F.col("event_id").alias("head_event"), F.col("t").alias("head_t"),
-                      F.col("seq").alias("head_seq"), F.col("url").alias("head_url"),
-                      F.col("tokens").alias("head_tokens"))
-         .withColumn("slot", F.explode(F.array("hs", F.col("hs") + 1))))
-    x = items.select("_id", "t", "seq", "url", "tokens", "slot", F.explode("blocks").alias("block"))
-    before = (F.col("head_t") < F.col("t")) | ((F.col("head_t") == F.col("t"))
-                                               & (F.col("head_seq") < F.col("seq")))
-    return (x.join(h, ["block", "slot"])
-            .filter(before & (F.col("t") - F.col("head_t") <= width)
-                    & _matches(F.col("url"), F.col("tokens"), F.col("head_url"),
-                               F.col("head_tokens"), threshold)))
+        waiting = state.join(undecided, "id", "left_semi")
+
+    heads = cut_lineage(heads)
+    # One group and slot holds at most one head: two would match each other.
+    shown = linked_rows.join(heads.unionByName(linked_rows.filter("open").select("id")).distinct(), "id", "left_semi").select(
+        F.col("g").alias("other"), F.col("slot").alias("at"), F.col("me").alias("head_me"), F.col("event_id").alias("head_event"))
+    members = linked_rows.filter("NOT open").join(heads, "id", "left_anti")
+    joined = (members.join(links, ["g", "slot"]).join(shown, ["other", "at"])
+              .filter((F.col("head_me") < F.col("me")) & (F.col("head_me.t") >= F.col("t") - width))
+              .groupBy("id").agg(F.min_by("head_event", "head_me").alias("cluster_id")))
+    named = joined.select("id", "cluster_id", F.lit(False).alias("is_head")).unionByName(
+        items.join(heads, "id", "left_semi").select("id", F.col("event_id").alias("cluster_id"), F.lit(True).alias("is_head")))
+    label = F.concat_ws("#", "event_id", F.col("version").cast("string"))
+    return (keyed.filter(~F.col("_open")).withColumn("_id", label).join(named, F.col("_id") == F.col("id"))
+            .select(*columns, "cluster_id", "is_head"))
+
+
+def _matched(rows: DataFrame, others: DataFrame, links: DataFrame, width: int) -> DataFrame:
+    """Ids of ``rows`` that match an earlier row of ``others``."""
+    stats = others.groupBy(F.col("g").alias("other"), F.col("slot").alias("at")).agg(F.min("me").alias("first"), F.max("t").alias("last"))
+    around = links.join(stats, ["other", "at"]).groupBy("g", "slot").agg(
+        F.min(F.when(F.col("slot") == F.col("at"), F.col("first"))).alias("first"),
+        F.max(F.when(F.col("slot") > F.col("at"), F.col("last"))).alias("last"))
+    return (rows.join(around, ["g", "slot"]).filter((F.col("first") < F.col("me")) | (F.col("last") >= F.col("t") - width))
+            .select("id").distinct())

@@ -43,13 +43,3 @@ def test_filters_and_columns_reach_the_scan(spark, root, tmp_path):
     feature_store.append_features(feature_store.envelope(rows, ["x"]), str(tmp_path / "f"))
     pruned = plan(feature_store.load_features(spark, str(tmp_path / "f"), "2024-01-03 00:00:00"))
     assert "PartitionFilters: [isnotnull(as_of_date" in pruned
-
-
-def test_block_lists_are_cut_before_the_shuffle(spark):
-    rows = spark.createDataFrame([("e", 1, "a b c", "", "2024-01-01", 1)], "event_id string, version int, headline string, "
-                                 "url string, received_at string, arrival_seq long")
-    items = neardup.with_blocks(rows.withColumn("_id", F.col("event_id")), "_id").select(
-        "_id", F.lit(1).cast("long").alias("t"), F.col("arrival_seq").alias("seq"), F.col("url_norm").alias("url"),
-        "tokens", "blocks", F.lit(0).cast("long").alias("slot"))
-    text = plan(neardup._elect(items, 86_400_000_000, 0.85, 64))
-    assert "WindowGroupLimit" in text and "Partial" in text
