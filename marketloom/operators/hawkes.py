@@ -3,11 +3,12 @@
 Intensity of dimension i:  λᵢ(t) = μᵢ + Σⱼ αᵢⱼ gⱼ(t),  gⱼ(t) = Σ_{tₖ∈j, tₖ<t} β e^{−β(t−tₖ)};
 αᵢⱼ is the integral of the kernel, so the branching matrix is α itself.
 
-The decayed sum gⱼ at every event is a windowed sum inside time chunks of width SPAN/β. What lies
-more than one full chunk back weighs below e^{−SPAN}, far under double precision, so a chunk needs
-only its own events and the decayed total of the chunk directly before it. A session of any size
-therefore splits into bounded chunks, and fitting, residuals and likelihoods need no Python loop
-over events. Times are integer microseconds since the session's first event.
+The decayed sum gⱼ at every event is a windowed sum inside time spans of width SPAN/β. What lies
+more than one full span back weighs below e^{−SPAN}, far under double precision, so a span needs
+only its own events and the decayed total of the span directly before it; a dense span is cut
+again into parts bounded in rows. A session of any size therefore splits into bounded chunks, and
+fitting, residuals and likelihoods need no Python loop over events. Times are integer
+microseconds since the session's first event.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ordered import chunk_scan, ordinal, previous_row, running_max, running_sum, seconds_chunk
+from ..plans.ordered import (MAX_ROWS, chunk_scan, ordinal, previous_row, running_max, running_sum, seconds_chunk,
+                             split_heavy)
 from ..session import cut_lineage
 
 SPAN = 200.0
@@ -62,8 +64,8 @@ def streams(news: DataFrame, jumps: DataFrame, key: str = "session") -> DataFram
     """
     both = news.select(key, F.lit(0).alias("dim"), "ts").unionByName(
         jumps.select(key, F.lit(1).alias("dim"), "ts"))
-    epoch = both.groupBy(key).agg(F.min(F.unix_micros("ts")).alias("_epoch"))
-    timed = both.join(epoch, key).select(key, "dim", (F.unix_micros("ts") - F.col("_epoch")).alias("_t"))
+    epoch = both.groupBy(F.col(key).alias("_key")).agg(F.min(F.unix_micros("ts")).alias("_epoch"))
+    timed = both.join(epoch, F.col(key).eqNullSafe(F.col("_key"))).select(key, "dim", (F.unix_micros("ts") - F.col("_epoch")).alias("_t"))
     numbered = chunk_scan(timed, [key, "dim"], F.floor(F.col("_t") / SPREAD_CHUNK), ["_t"], [ordinal("_i")])
     return chunk_scan(numbered, [key, "dim"], F.floor(F.col("_t") / SPREAD_CHUNK), ["_i"],
                       [running_max("_m", F.col("_t") - F.col("_i"))]).select(
@@ -109,33 +111,63 @@ def window_counts(windowed: DataFrame, key: str = "session") -> DataFrame:
 
 # ------------------------------------------------------------ decayed sums
 
-def decayed_sums(events: DataFrame, keys: Sequence[str], beta: Column, dims: int = 2) -> DataFrame:
+def decayed_sums(events: DataFrame, keys: Sequence[str], beta: Column, dims: int = 2,
+                 max_rows: int = MAX_ROWS) -> DataFrame:
     """Σ e^{−β(t−tₖ)} over strictly earlier events, per source dimension, at every event.
 
     ``beta`` may be a column, e.g. of a decay grid. Adds ``_t`` (seconds), ``s0``, ``s1``, … and
     ``tie0``, ``tie1``, … (events of each dimension at exactly the same time).
+
+    Inside a span all events are scaled to the start of the span, so sums of parts of it simply
+    add: a span with more than ``max_rows`` events is cut at sampled times into parts, whose totals
+    are scanned and carried into each part. Events of one time stay together. The totals per span
+    are written while the call is made.
     """
     keys = list(keys)
+    group = [*keys, "_beta", "_c"]
     t = F.col("t_us") / 1e6
     width = SPAN / F.col("_beta")
     rows = (events.withColumn("_beta", beta).withColumn("_t", t)
             .withColumn("_c", F.floor(F.col("_t") / width))
             .withColumn("_up", F.exp(F.col("_beta") * (F.col("_t") - F.col("_c") * width))))
-    of = lambda j, c: F.when(F.col("dim") == j, c)
-    # Decayed to the end of its chunk; only the directly preceding chunk is looked at.
-    total = rows.groupBy(*keys, "_beta", (F.col("_c") + 1).alias("_c")).agg(*[
-        F.sum(of(j, F.col("_up"))).alias(f"_before{j}") for j in range(dims)])
-    joined = rows.join(total, [*keys, "_beta", "_c"], "left")
-    inside = Window.partitionBy(*keys, "_beta", "_c").orderBy("t_us")
+    of = lambda j, c: F.when(F.col("dim") == j, c)
+    totals = [F.sum(of(j, F.col("_up"))).alias(f"_sum{j}") for j in range(dims)]
+    spans = cut_lineage(rows.groupBy(*group).agg(*totals, F.count("*").alias("n")))
+    # Decayed to the end of its span; only the directly preceding span is looked at.
+    before = spans.select(*[F.col(k).alias(f"_of_{k}") for k in [*keys, "_beta"]], (F.col("_c") + 1).alias("_of__c"),
+                          *[F.col(f"_sum{j}").alias(f"_before{j}") for j in range(dims)])
+    parted = split_heavy(rows, group, spans, ["t_us"], max_rows, "_s", untied=False)
+    part = []
+    if parted is not None:
+        part = ["_s"]
+        rows = parted
+        upto = Window.partitionBy(*group).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+        inner = rows.groupBy(*group, "_s").agg(*totals).select(
+            *[F.col(c).alias(f"_in_{c}") for c in [*group, "_s"]], *[F.sum(f"_sum{j}").over(upto).alias(f"_inner{j}") for j in range(dims)])
+        rows = rows.join(inner, _same([*group, "_s"], "_in_"), "left").drop(*[f"_in_{c}" for c in [*group, "_s"]])
+    joined = rows.join(before, _same(group, "_of_"), "left").drop(*[f"_of_{c}" for c in group])
+    inside = Window.partitionBy(*group, *part).orderBy("t_us")
     earlier = inside.rangeBetween(Window.unboundedPreceding, -1)
     same = inside.rangeBetween(0, 0)
+    none = F.lit(0.0)
     columns = {}
     for j in range(dims):
-        local = F.coalesce(F.sum(of(j, F.col("_up"))).over(earlier), F.lit(0.0))
-        carried = F.coalesce(F.col(f"_before{j}"), F.lit(0.0)) * float(np.exp(-SPAN))
+        local = F.coalesce(F.sum(of(j, F.col("_up"))).over(earlier), none)
+        if part:
+            local = local + F.coalesce(F.col(f"_inner{j}"), none)
+        carried = F.coalesce(F.col(f"_before{j}"), none) * float(np.exp(-SPAN))
         columns[f"s{j}"] = (local + carried) / F.col("_up")
         columns[f"tie{j}"] = F.count(of(j, F.lit(1))).over(same)
-    return joined.withColumns(columns).drop("_c", "_up", *[f"_before{j}" for j in range(dims)])
+    helpers = [f"_{name}{j}" for j in range(dims) for name in ("before", "inner")]
+    return joined.withColumns(columns).drop("_c", "_up", *part, *helpers)
+
+
+def _same(columns: Sequence[str], prefix: str) -> Column:
+    """Equality of columns with their prefixed namesakes; NULL equals NULL."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(c).eqNullSafe(F.col(f"{prefix}{c}"))
+    return out
 
 
 def horizon(events: DataFrame, keys: Sequence[str], end_us: str | None = None) -> DataFrame:
@@ -313,7 +345,7 @@ def rolling_fit(events: DataFrame, window_seconds: float, step_seconds: float, b
 # -------------------------------------------------------------- residuals
 
 def compensator(events: DataFrame, parameters: DataFrame, keys: Sequence[str], dim: int = 1,
-                dims: int = 2, chunk_seconds: int = 3600) -> DataFrame:
+                dims: int = 2, chunk_seconds: int = 3600, max_rows: int = MAX_ROWS) -> DataFrame:
     """Integrated intensity between consecutive events of ``dim``.
 
     With Aⱼ(t) = Σ_{tₖ∈j, tₖ≤t} e^{−β(t−tₖ)} and Nⱼ(t) the events up to t, the integral of the
@@ -322,11 +354,11 @@ def compensator(events: DataFrame, parameters: DataFrame, keys: Sequence[str], d
     """
     keys = list(keys)
     slim = parameters.select(*keys, "beta", *[f"mu_{dim}"], *[f"alpha_{dim}_{j}" for j in range(dims)])
-    sums = decayed_sums(events.join(slim, keys), keys, F.col("beta"), dims)
+    sums = decayed_sums(events.join(slim, keys), keys, F.col("beta"), dims, max_rows)
     width = chunk_seconds * 1_000_000
     counts = chunk_scan(sums, keys, F.floor(F.col("t_us") / width), ["t_us", "dim"], [
         running_sum(f"_n{j}", F.when(F.col("dim") == j, 1).otherwise(0).cast("long"))
-        for j in range(dims)])
+        for j in range(dims)], max_rows)
     # With rows ordered by (time, dim), same-time events of lower dims are already counted.
     own = counts.filter(F.col("dim") == dim)
     for j in range(dims):
@@ -339,7 +371,7 @@ def compensator(events: DataFrame, parameters: DataFrame, keys: Sequence[str], d
     own = cut_lineage(own.select(*keys, "t_us", f"mu_{dim}", *[
         c for j in range(dims) for c in (f"alpha_{dim}_{j}", f"s{j}", f"_nb{j}", f"_na{j}", f"_aa{j}")]))
     state = F.struct("t_us", *[F.col(f"_na{j}") for j in range(dims)], *[F.col(f"_aa{j}") for j in range(dims)])
-    seen = chunk_scan(own, keys, F.floor(F.col("t_us") / width), ["t_us"], [previous_row("_p", state)])
+    seen = chunk_scan(own, keys, F.floor(F.col("t_us") / width), ["t_us"], [previous_row("_p", state)], max_rows)
     total = F.col(f"mu_{dim}") * (F.col("t_us") - F.col("_p.v.t_us")) / 1e6
     for j in range(dims):
         total = total + F.col(f"alpha_{dim}_{j}") * (

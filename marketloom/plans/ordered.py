@@ -8,7 +8,8 @@ A key (symbol, account, session) may hold a large share of the table, so plain
   window then partitions by (key, chunk).
 * *unbounded look-back* (running totals, last known value): each chunk is summarised with a
   partially aggregating ``groupBy``, the small summaries are scanned in chunk order, and the
-  carry is joined back on the same (key, chunk) hash partitioning the inner window uses.
+  carry is joined back on the same (key, chunk) hash partitioning the inner window uses. Chunks
+  cut by time are cut again by depth where a key is dense (``split_heavy``).
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from ..session import cut_lineage
 
 CHUNK_BARS = 8192
 CHUNK_ROWS = 65536
+# A task takes this many rows of a chunk at most where chunks are cut by time.
+MAX_ROWS = 1 << 20
 
 
 # ---------------------------------------------------------------- calendar
@@ -76,6 +79,32 @@ def equi_depth(df: DataFrame, order: Sequence[str], rows: int = CHUNK_ROWS, out:
     return cut_lineage(ranged.withColumn(out, F.spark_partition_id().cast("long")))
 
 
+def split_heavy(rows: DataFrame, group: Sequence[str], counts: DataFrame, order: Sequence[str],
+                max_rows: int, out: str, untied: bool = True) -> DataFrame | None:
+    """``rows`` with a number that cuts groups of more than ``max_rows`` into chunks of equal depth.
+
+    ``counts``: one written row per group with its number of rows ``n``. Rows of other groups get 0.
+    Returns None if no group is that large. Rows that agree in ``order`` may be parted unless
+    ``untied`` is false. The heavy rows are range-partitioned by (group, order), so that a key holding
+    nearly all rows is still spread over all tasks.
+    """
+    heavy = counts.filter(F.col("n") > max_rows)
+    total = heavy.agg(F.sum("n")).first()[0]
+    if not total:
+        return None
+    named = heavy.select(*[F.col(c).alias(f"_heavy_{i}") for i, c in enumerate(group)])
+    same = None
+    for i, c in enumerate(group):
+        equal = F.col(c).eqNullSafe(F.col(f"_heavy_{i}"))
+        same = equal if same is None else same & equal
+    light = rows.join(named, same, "left_anti").withColumn(out, F.lit(0).cast("long"))
+    many = rows.join(named, same, "left_semi")
+    if untied:
+        many = many.withColumn("_tie", F.monotonically_increasing_id())
+    parts = equi_depth(many, [*group, *order, *(["_tie"] if untied else [])], max_rows, out, total)
+    return light.unionByName(parts.drop("_tie"))
+
+
 # ---------------------------------------------------------------- scans
 
 @dataclass(frozen=True)
@@ -110,9 +139,13 @@ def ordinal(out: str) -> Scan:
 
 
 def chunk_scan(df: DataFrame, keys: Sequence[str], chunk: Column, order: Sequence[str],
-               scans: Sequence[Scan]) -> DataFrame:
+               scans: Sequence[Scan], max_rows: int | None = None) -> DataFrame:
     """Evaluate ``scans`` over each key in ``order``; ``chunk`` must not decrease in that order.
 
+    With ``max_rows``, chunks that hold more rows are cut at sampled split points, whatever the
+    spread of the key's rows: the chunk summaries are written while the call is made, counted, and
+    used as they are where no chunk is that large.
+
     Rows with a NULL key are a key of their own, and a NULL chunk comes first in its key: both are
     put in structs, which are equal where their fields are NULL, so no row is lost in the join.
     """
@@ -131,7 +164,15 @@ def chunk_scan(df: DataFrame, keys: Sequence[str], chunk: Column, order: Sequenc
             summary.append(getattr(F, scan.kind)(v).alias(f"_p{i}"))
     over_chunks = (Window.partitionBy(*keys).orderBy("_c")
                    .rowsBetween(Window.unboundedPreceding, -1))
-    carry = work.groupBy(*keys, "_c").agg(*summary).select(
+    summaries = work.groupBy(*keys, "_c").agg(*summary, F.count("*").alias("n"))
+    if max_rows is not None:
+        summaries = cut_lineage(summaries)
+        parted = split_heavy(work, [*keys, "_c"], summaries, order, max_rows, "_s")
+        if parted is not None:
+            # Cut chunks follow each other inside the chunk they come from.
+            work = parted.withColumn("_c", F.struct(F.col("_c.c").alias("c"), F.col("_s").alias("s"))).drop("_s")
+            summaries = work.groupBy(*keys, "_c").agg(*summary)
+    carry = summaries.select(
         *keys, "_c",
         *[(F.last(f"_p{i}", ignorenulls=True) if s.kind == "last"
            else getattr(F, s.kind)(f"_p{i}")).over(over_chunks).alias(f"_carry{i}")
@@ -175,10 +216,11 @@ def previous_row(out: str, value: Column) -> Scan:
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str, right_ts: str,
               take: Sequence[str], chunk_seconds: int = 86_400,
               tolerance_seconds: float | None = None,
-              right_order: Sequence[str] = ()) -> DataFrame:
+              right_order: Sequence[str] = (), max_rows: int = MAX_ROWS) -> DataFrame:
     """Each left row with the newest right row of the same key at or before its time.
 
-    Both sides are stacked and scanned once, so no key is expanded and nothing is broadcast.
+    Both sides are stacked and scanned once, so no key is expanded and nothing is broadcast. Chunks
+    are cut by time and, where a key holds more than ``max_rows`` in one, by sampled split points.
     ``take`` columns come from the right side; with a tolerance, older matches become NULL.
     Right rows with equal times are ordered by ``right_order``; the last one is taken. Every left
     row comes back once; one with a NULL key or time matches nothing.
@@ -193,7 +235,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str
                           F.struct(F.lit(0), *[F.col(c) for c in right_order]).alias("_o"))
     stacked = lefts.unionByName(rights, allowMissingColumns=True)
     scanned = chunk_scan(stacked, by, seconds_chunk("_t", chunk_seconds), ["_t", "_side", "_o"],
-                         [last_known("_hit", F.col("_r"))]).filter("_side = 1")
+                         [last_known("_hit", F.col("_r"))], max_rows).filter("_side = 1")
     hit = F.when(F.col("_t").isNotNull() & ~F.array_contains(F.array(*[F.col(k).isNull() for k in by]), True), F.col("_hit"))
     if tolerance_seconds is not None:
         fresh = (F.unix_micros("_t") - F.unix_micros("_hit._rts")

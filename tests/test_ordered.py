@@ -127,3 +127,40 @@ def test_scan_treats_null_keys_as_a_key(spark):
     rows = spark.createDataFrame([(None, 1), (None, 2), ("a", 1)], "k string, t int")
     out = chunk_scan(rows, ["k"], F.floor(F.col("t") / 2), ["t"], [ordinal("n")]).collect()
     assert sorted((str(r["k"]), r["t"], r["n"]) for r in out) == [("None", 1, 1), ("None", 2, 2), ("a", 1, 1)]
+
+
+def test_hot_key_is_cut_by_depth(spark, monkeypatch):
+    """One key holds nearly all rows, all within a few seconds of one time chunk."""
+    from marketloom.plans import ordered
+
+    rng = np.random.default_rng(5)
+    t0 = pd.Timestamp("2024-01-01")
+    right = pd.DataFrame({"k": ["hot"] * 1500 + ["cold"] * 20, "q": t0 + pd.to_timedelta(
+        np.concatenate([rng.integers(0, 4_000_000, 1500), rng.integers(0, 10**11, 20)]), "us"), "v": np.arange(1520.0)})
+    left = pd.DataFrame({"k": ["hot"] * 900 + ["cold"] * 5 + [None] * 2, "id": np.arange(907), "t": t0 + pd.to_timedelta(
+        np.concatenate([rng.integers(0, 5_000_000, 900), rng.integers(0, 10**11, 7)]), "us")})
+    depth = []
+    real = ordered.equi_depth
+    monkeypatch.setattr(ordered, "equi_depth", lambda *a, **k: depth.append(real(*a, **k)) or depth[-1])
+    frames = spark.createDataFrame(left).repartition(4), spark.createDataFrame(right).repartition(4)
+    got = asof_join(*frames, ["k"], "t", "q", ["v"], right_order=["v"], max_rows=100).toPandas().sort_values("id")
+    keyed = left.dropna().sort_values("t", kind="stable")
+    want = pd.merge_asof(keyed, right.sort_values(["q", "v"]), left_on="t", right_on="q", by="k").sort_values("id")
+    np.testing.assert_allclose(got["v"].to_numpy(float)[:905], want["v"].to_numpy(float))
+    assert got["v"].isna().tail(2).all() and len(got) == 907
+    sizes = depth[0].groupBy("_s").count().toPandas()["count"]
+    assert len(sizes) >= 20 and sizes.max() < 400
+    # Without a hot key nothing is cut.
+    depth.clear()
+    asof_join(*frames, ["k"], "t", "q", ["v"], max_rows=5000)
+    assert not depth
+
+
+@pytest.mark.parametrize("max_rows", [3, 50])
+def test_scans_over_cut_chunks_equal_windows(rows, max_rows):
+    w = Window.partitionBy("k").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    got = chunk_scan(rows, ["k"], F.lit(0), ["seq"], [running_sum("s", F.col("x")), last_known("l", F.col("x")), ordinal("i")], max_rows)
+    want = rows.select("k", "seq", F.coalesce(F.sum("x").over(w), F.lit(0.0)).alias("ws"), F.last("x", True).over(w).alias("wl"),
+                       F.count("*").over(w).alias("wi"))
+    bad = got.join(want, ["k", "seq"]).filter((F.abs(F.col("s") - F.col("ws")) > 1e-9) | ~F.col("l").eqNullSafe(F.col("wl")) | (F.col("i") != F.col("wi")))
+    assert got.count() == 400 and bad.count() == 0
