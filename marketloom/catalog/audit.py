@@ -113,11 +113,18 @@ positions AS (SELECT *, coalesce(lag(position) OVER (PARTITION BY account, symbo
   AS held_before FROM p)"""
 
 
-@register("running_positions", f"""WITH {RUNNING} SELECT account, seq, symbol, side, {num('qty', 'qty', 7)},
+# Some fills without a symbol, and one account without a name.
+UNKEYED = f"""{FILLS}, unkeyed AS (SELECT CASE WHEN account <> 7 THEN account END AS account, seq,
+    CASE WHEN seq % 97 <> 5 THEN symbol END AS symbol, side, qty, fill_price, ts FROM fills),{RUNNING.removeprefix(FILLS + ',').replace("FROM fills)", "FROM unkeyed)", 1)}"""
+
+
+@register("running_positions", f"""WITH {UNKEYED} SELECT account, seq, symbol, side, {num('qty', 'qty', 7)},
   {num('held_before', 'held_before', 7)}, {num('position', 'position', 7)},
   {num('previous_price', 'previous_price', 7)} FROM positions""", digits=7)
 def _running(spark, root):
-    return audit.running_positions(views.fills(spark, root)).select(
+    fills = views.fills(spark, root).withColumns({"account": F.when(F.col("account") != 7, F.col("account")),
+                                                  "symbol": F.when(F.col("seq") % 97 != 5, F.col("symbol"))})
+    return audit.running_positions(fills).select(
         "account", "seq", "symbol", "side", "qty", "held_before", "position", "previous_price")
 
 

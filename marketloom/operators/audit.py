@@ -154,22 +154,24 @@ def running_positions(fills: DataFrame, rows: int = 65_536) -> DataFrame:
     """Held quantity before and after each fill; a sell beyond the holding leaves zero.
 
     With S the running signed quantity, clamping at zero is S − min(0, running min S). One pair
-    of chunk summaries (total, lowest prefix) carries both across chunks.
+    of chunk summaries (total, lowest prefix) carries both across chunks. Fills without account,
+    symbol or number are kept: NULL is a key like any other, and a fill without number comes first.
     """
-    key = ["account", "symbol"]
+    # One struct of key and chunk: structs are equal where their fields are NULL.
+    part = F.struct("account", "symbol", rows_chunk("seq", rows).alias("c"))
     signed = F.when(F.col("side") == "BUY", F.col("qty")).when(F.col("side") == "SELL", -F.col("qty")) \
         .otherwise(0.0)
-    inner = Window.partitionBy(*key, "_c").orderBy("seq")
-    local = (fills.withColumns({"_c": rows_chunk("seq", rows), "_q": signed})
+    inner = Window.partitionBy("_k").orderBy("seq")
+    local = (fills.withColumns({"_k": part, "_q": signed})
              .withColumn("_s", F.sum("_q").over(inner.rowsBetween(Window.unboundedPreceding, 0))))
-    before = Window.partitionBy(*key).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (local.groupBy(*key, "_c").agg(F.sum("_q").alias("_total"), F.min("_s").alias("_low"),
-                                           F.max_by("fill_price", "seq").alias("_last"))
+    before = Window.partitionBy("_k.account", "_k.symbol").orderBy("_k.c").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (local.groupBy("_k").agg(F.sum("_q").alias("_total"), F.min("_s").alias("_low"),
+                                     F.max_by("fill_price", F.coalesce("seq", F.lit(-1))).alias("_last"))
              .withColumn("_offset", F.coalesce(F.sum("_total").over(before), F.lit(0.0)))
              .withColumns({"_floor": F.min(F.col("_offset") + F.col("_low")).over(before),
                            "_price0": F.last("_last").over(before)})
-             .select(*key, "_c", "_offset", "_floor", "_price0"))
-    joined = local.join(carry, [*key, "_c"]).withColumn("_s", F.col("_s") + F.col("_offset"))
+             .select("_k", "_offset", "_floor", "_price0"))
+    joined = local.join(carry, "_k").withColumn("_s", F.col("_s") + F.col("_offset"))
     exclusive = inner.rowsBetween(Window.unboundedPreceding, -1)
     low_before = F.least(F.min("_s").over(exclusive), F.col("_floor"), F.lit(0.0))
     return (joined.withColumns({
@@ -223,7 +225,9 @@ def concentrations(state: DataFrame, max_position_pct: float, block: int = AUDIT
 
     A symbol's value is constant between its fills. Those intervals are cut at blocks of
     ``block`` fills; an interval that cannot exceed the limit at the lowest equity of its block
-    is dropped before it meets the block's fills.
+    is dropped before it meets the block's fills. A holding that lasts over many blocks is not
+    written out block by block: it is first held against the lowest equity of 16^k blocks, and only
+    where it may exceed the limit there is it cut 16 times finer.
     """
     rows = state.select("account", "symbol", "seq", "equity", F.col("symbol_value").alias("v"),
                         F.floor(F.col("seq") / block).alias("b"))
@@ -238,12 +242,12 @@ def concentrations(state: DataFrame, max_position_pct: float, block: int = AUDIT
     carried = (per_block.withColumns({"_nb": F.lead("b").over(over), "_nf": F.lead("first_seq").over(over)})
                .join(last_block, "account").filter("v > 0")
                .withColumn("_to", F.coalesce("_nb", "_last"))
-               .filter(F.col("_to") > F.col("b"))
-               .withColumn("b", F.explode(F.sequence(F.col("b") + 1, F.col("_to"))))
+               .filter(F.col("_to") > F.col("b")))
+    lowest = (rows.filter("equity > 0").groupBy("account", "b").agg(F.min("equity").alias("_min")))
+    carried = (_in_low_blocks(carried, lowest, max_position_pct)
                .select("account", "symbol", "b", "v", (F.col("b") * block).alias("lo"),
                        F.when(F.col("b") == F.col("_nb"), F.col("_nf"))
                        .otherwise((F.col("b") + 1) * block).alias("hi")))
-    lowest = (rows.filter("equity > 0").groupBy("account", "b").agg(F.min("equity").alias("_min")))
     alive = (within.filter("v > 0").unionByName(carried).join(lowest, ["account", "b"])
              .filter(F.col("v") > F.col("_min") * max_position_pct + 1e-9).drop("_min"))
     fills = rows.filter("equity > 0").select("account", "b", "seq", "equity")
@@ -252,3 +256,30 @@ def concentrations(state: DataFrame, max_position_pct: float, block: int = AUDIT
                     & (F.col("v") > F.col("equity") * max_position_pct + 1e-9))
             .select("account", "seq", "symbol"))
 
+
+FINER = 16
+
+
+def _in_low_blocks(holdings: DataFrame, lowest: DataFrame, max_position_pct: float, few: int = 64) -> DataFrame:
+    """``holdings`` (account, b, v, _to, …) once per later block ``b`` up to ``_to`` where ``v`` may exceed its share.
+
+    ``lowest``: account, b, ``_min``. Starts with as many blocks taken together as leave at most ``few``
+    steps for the longest holding.
+    """
+    longest = holdings.agg(F.max(F.col("_to") - F.col("b"))).first()[0] or 0
+    size = 1
+    while longest > few * size:
+        size *= FINER
+    if size > 1:
+        # Read at every level.
+        holdings, lowest = cut_lineage(holdings), cut_lineage(lowest)
+    out = holdings.withColumns({"_from": F.col("b") + 1, "_first": F.floor((F.col("b") + 1) / size), "_last_": F.floor(F.col("_to") / size)})
+    while True:
+        low = lowest.groupBy("account", F.floor(F.col("b") / size).alias("_at")).agg(F.min("_min").alias("_low"))
+        out = (out.withColumn("_at", F.explode(F.sequence("_first", "_last_"))).join(low, ["account", "_at"])
+               .filter(F.col("v") > F.col("_low") * max_position_pct + 1e-9).drop("_low"))
+        if size == 1:
+            return out.withColumn("b", F.col("_at")).drop("_at", "_from", "_first", "_last_")
+        size //= FINER
+        out = out.withColumns({"_first": F.greatest(F.col("_at") * FINER, F.floor(F.col("_from") / size)),
+                               "_last_": F.least(F.col("_at") * FINER + FINER - 1, F.floor(F.col("_to") / size))}).drop("_at")
