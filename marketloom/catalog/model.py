@@ -162,7 +162,28 @@ def _calibration(spark, root):
     return ridge.calibration(predictions, Y, [-0.002, 0.0, 0.002])
 
 
-@register("rise_probability")
+def _newton(steps: int = 12, alpha: float = 0.001) -> str:
+    """CTE nt: coefficients after k Newton steps of the penalised logistic fit with two features."""
+    g = [["g00", "g01", "g02"], ["g01", f"(g11 + {alpha})", "g12"], ["g02", "g12", f"(g22 + {alpha})"]]
+    right = ["s0", f"(s1 + {alpha} * b1)", f"(s2 + {alpha} * b2)"]
+
+    def det(m):
+        a, b, c = m
+        return (f"({a[0]} * ({b[1]} * {c[2]} - {b[2]} * {c[1]}) - {a[1]} * ({b[0]} * {c[2]} - {b[2]} * {c[0]})"
+                f" + {a[2]} * ({b[0]} * {c[1]} - {b[1]} * {c[0]}))")
+
+    moves = [f"b{k} - {det([[right[i] if j == k else g[i][j] for j in range(3)] for i in range(3)])} / {det(g)}" for k in range(3)]
+    return f"""nt(k, b0, b1, b2) AS (SELECT 0, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE UNION ALL
+  SELECT k + 1, {', '.join(moves)} FROM (
+    SELECT k, b0, b1, b2, avg(p - up) AS s0, avg((p - up) * z1) AS s1, avg((p - up) * z2) AS s2, avg(w) AS g00, avg(w * z1) AS g01,
+      avg(w * z2) AS g02, avg(w * z1 * z1) AS g11, avg(w * z1 * z2) AS g12, avg(w * z2 * z2) AS g22
+    FROM (SELECT *, p * (1 - p) AS w FROM (SELECT nt.*, z1, z2, CASE WHEN y > 0 THEN 1.0 ELSE 0.0 END AS up,
+        1 / (1 + exp(-(b0 + b1 * z1 + b2 * z2))) AS p FROM nt, z WHERE y IS NOT NULL)) GROUP BY k, b0, b1, b2) WHERE k < {steps})"""
+
+
+@register("rise_probability", f"""WITH RECURSIVE {FIT}, {_newton()}
+SELECT symbol, {when('ts', 'ts')}, {num('1 / (1 + exp(-(b0 + b1 * z1 + b2 * z2)))', 'p_up')} FROM z, nt
+WHERE k = (SELECT max(k) FROM nt)""")
 def _rise(spark, root):
     rows = training_rows(spark, root).select("symbol", "ts", *PAIR, Y)
-    return ridge.logistic(rows, PAIR, Y, alpha=0.001)(rows).select("symbol", "ts", "p_up")
+    return ridge.fit_logistic(rows, PAIR, Y, alpha=0.001).score(rows).select("symbol", "ts", "p_up")

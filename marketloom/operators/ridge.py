@@ -428,30 +428,80 @@ def calibration(predictions: DataFrame, target: str, bins: Sequence[float]) -> D
                  F.avg(target).alias("realized")))
 
 
-def logistic(rows: DataFrame, features: Sequence[str], target: str, alpha: float = 0.0):
-    """Probability-of-rise alternative: standardised logistic regression (Spark ML)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
+@dataclass(frozen=True)
+class LogisticModel:
+    features: tuple[str, ...]
+    mean: np.ndarray
+    scale: np.ndarray
+    coef: np.ndarray
+    intercept: float
+    steps: int
+
+    def probability(self) -> Column:
+        total = F.lit(float(self.intercept))
+        for f, m, s, c in zip(self.features, self.mean, self.scale, self.coef):
+            total = total + F.coalesce((F.col(f) - float(m)) / float(s), F.lit(0.0)) * float(c)
+        return 1 / (1 + F.exp(-total))
+
+    def score(self, rows: DataFrame, out: str = "p_up") -> DataFrame:
+        return rows.withColumn(out, self.probability())
 
-    names = [f"_z{i}" for i in range(len(features))]
+
+def fit_logistic(rows: DataFrame, features: Sequence[str], target: str, alpha: float = 0.0,
+                 max_steps: int = 100, tolerance: float = 1e-10) -> LogisticModel:
+    """Probability that the target is above zero: logistic regression on standardised features.
+
+    Minimises the mean log-loss plus alpha / 2 times the squared coefficients (the intercept goes
+    free) by Newton steps. A step needs the Gram matrix of the rows weighted by p(1 - p) and the
+    score sums, which is one aggregation of (p + 1)^2 / 2 numbers; a step that does not lower the
+    loss is halved. Standardised rows are written once. Raises an error if there is no convergence
+    (separable classes without penalty).
+    """
+    if alpha < 0:
+        raise ValueError("alpha must not be negative")
     stats = rows.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(features)
                        for k, f in (("m", F.avg), ("d", F.stddev_pop))]).first()
-
-    def standardise(df: DataFrame) -> DataFrame:
-        return df.withColumns({n: F.coalesce(
-            (F.col(c) - float(stats[f"m{i}"] or 0.0)) / float(stats[f"d{i}"] or 1.0), F.lit(0.0))
-            for i, (n, c) in enumerate(zip(names, features))})
-    steps = [VectorAssembler(inputCols=names, outputCol="_x"),
-             LogisticRegression(featuresCol="_x", labelCol="_up", regParam=alpha,
-                                standardization=False, probabilityCol="_prob",
-                                predictionCol="_class", rawPredictionCol="_raw")]
-    labelled = standardise(rows).filter(F.col(target).isNotNull()).withColumn(
-        "_up", (F.col(target) > 0).cast("double"))
-    model = Pipeline(stages=steps).fit(labelled)
-
-    def score(df: DataFrame) -> DataFrame:
-        from pyspark.ml.functions import vector_to_array
-        return model.transform(standardise(df)).withColumn(
-            "p_up", vector_to_array("_prob")[1]).select(*df.columns, "p_up")
-    return score
+    mean = np.array([float(stats[f"m{i}"] or 0.0) for i in range(len(features))])
+    scale = np.array([float(stats[f"d{i}"] or 1.0) for i in range(len(features))])
+    z = [F.coalesce((F.col(f) - float(m)) / float(s), F.lit(0.0)) for f, m, s in zip(features, mean, scale)]
+    up = (F.col(target) > 0).cast("double")
+    slim = cut_lineage(rows.filter(F.col(target).isNotNull()).select(*[c.alias(f"_z{i + 1}") for i, c in enumerate(z)], up.alias("_up")))
+    size = len(features) + 1
+    columns = [F.lit(1.0)] + [F.col(f"_z{i}") for i in range(1, size)]
+    penalty = alpha * np.diag([0.0] + [1.0] * (size - 1))
+
+    def moments(beta: np.ndarray):
+        """Loss, slope and curvature at ``beta``, per row."""
+        eta = F.lit(float(beta[0]))
+        for c, b in zip(columns[1:], beta[1:]):
+            eta = eta + c * float(b)
+        p = 1 / (1 + F.exp(-eta))
+        # log(1 + e^eta) without overflow.
+        loss = F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta))) - F.col("_up") * eta
+        weight = p * (1 - p)
+        row = slim.agg(F.count("*").alias("n"), F.sum(loss).alias("loss"),
+                       *[F.sum((p - F.col("_up")) * c).alias(f"s{i}") for i, c in enumerate(columns)],
+                       *[F.sum(weight * columns[i] * columns[j]).alias(f"g{i}_{j}") for i in range(size) for j in range(i, size)]).first()
+        n = max(row["n"], 1)
+        gram = np.zeros((size, size))
+        for i in range(size):
+            for j in range(i, size):
+                gram[i, j] = gram[j, i] = (row[f"g{i}_{j}"] or 0.0) / n
+        slope = np.array([(row[f"s{i}"] or 0.0) / n for i in range(size)]) + penalty @ beta
+        return (row["loss"] or 0.0) / n + 0.5 * beta @ penalty @ beta, slope, gram + penalty
+
+    beta = np.zeros(size)
+    loss, slope, curve = moments(beta)
+    for step in range(1, max_steps + 1):
+        move = np.linalg.lstsq(curve, -slope, rcond=None)[0]
+        if np.max(np.abs(move)) <= tolerance * max(1.0, np.max(np.abs(beta))):
+            return LogisticModel(tuple(features), mean, scale, beta[1:], float(beta[0]), step)
+        factor = 1.0
+        while True:
+            new = moments(beta + factor * move)
+            # Near the minimum the loss no longer tells steps apart.
+            if new[0] <= loss + 1e-12 * max(1.0, abs(loss)) or factor < 1e-6:
+                break
+            factor /= 2
+        beta, (loss, slope, curve) = beta + factor * move, new
+    raise ArithmeticError(f"no convergence after {max_steps} steps: classes may be separable; use alpha > 0")

@@ -5,6 +5,7 @@ from datetime import datetime
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from marketloom.operators import backtest, decisions, ridge
 
@@ -227,3 +228,29 @@ def test_ridge_with_a_large_offset(spark):
     pdf = pd.DataFrame({"x": 1e9 + x, "k": np.full(300, 0.1), "y": 3.0 * x})
     model = ridge.fit(spark.createDataFrame(pdf), ["x", "k"], "y", alpha=0.0 + 1e-9)
     assert model.coef[0] == pytest.approx(3.0 * np.std(x), rel=1e-5) and model.scale[1] == 1.0
+
+
+def test_logistic_fit_solves_its_score_equations(spark):
+    rng = np.random.default_rng(8)
+    n = 500
+    pdf = pd.DataFrame({"a": 1e6 + rng.normal(size=n), "b": 3 * rng.normal(size=n), "k": 2.0})
+    p = 1 / (1 + np.exp(-(0.4 + 1.2 * (pdf["a"] - 1e6) - 0.3 * pdf["b"])))
+    pdf["y"] = np.where(rng.uniform(size=n) < p, 0.01, -0.01)
+    pdf.loc[::19, "b"] = np.nan
+    pdf.loc[::23, "y"] = np.nan
+    df = spark.createDataFrame(pdf).select(*[F.nanvl(F.col(c), F.lit(None)).alias(c) for c in pdf.columns])
+    for alpha in (0.0, 0.05):
+        model = ridge.fit_logistic(df, ["a", "b", "k"], "y", alpha)
+        z = pdf[["a", "b", "k"]].to_numpy()
+        z = np.nan_to_num((z - np.nanmean(z, axis=0)) / np.where(np.nanstd(z, axis=0) == 0, 1, np.nanstd(z, axis=0)))
+        ok = pdf["y"].notna().to_numpy()
+        fitted = 1 / (1 + np.exp(-(model.intercept + z @ model.coef)))
+        gap = (fitted - (pdf["y"] > 0))[ok]
+        assert abs(gap.mean()) < 1e-9 and np.abs(z[ok].T @ gap / ok.sum() + alpha * model.coef).max() < 1e-9
+        assert model.steps < 12 and model.coef[2] == pytest.approx(0, abs=1e-9) and model.coef[0] > 0.5
+        got = model.score(df).toPandas()["p_up"]
+        np.testing.assert_allclose(np.sort(got), np.sort(fitted), atol=1e-6)
+    apart = spark.createDataFrame([(float(i), 1.0 if i > 5 else -1.0) for i in range(12)], "x double, y double")
+    with pytest.raises(ArithmeticError):
+        ridge.fit_logistic(apart, ["x"], "y", max_steps=15)
+    assert ridge.fit_logistic(apart, ["x"], "y", 0.1).coef[0] > 0
