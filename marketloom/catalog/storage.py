@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from ..operators import audit, backtest, decisions, news
 from ..plans import views
-from ..session import scratch_path
+from ..plans.ordered import equi_depth
+from ..session import cut_lineage, scratch_path
 from ..sources import feature_store, ledger_store, raw_store
 from ..streaming import news_stream
 from . import backtest as backtests
 from . import news as articles
 from .audit import CHAINED, records
-from .base import ARTICLES, VERSIONS, num, register, when
+from .base import ARTICLES, SYMBOL_LIST, VERSIONS, num, register, when
 from .decisions import LIMITS, RISK, risk_inputs
 from .pit import CUTOFF, FEATURE_ROWS, feature_rows
 
@@ -136,14 +137,48 @@ SELECT id AS event_id, version, cluster_id FROM clustered""")
 def _stream_clusters(spark, root):
     folder, out = scratch_path(spark, "versioned"), scratch_path(spark, "clusters")
     rows = articles.versions(spark, root).select("event_id", "version", "headline", "url", "received_at", "arrival_seq")
-    # One file, so one batch that arrives in order.
-    rows.coalesce(1).write.parquet(folder)
-    assign = news_stream.cluster_batches(scratch_path(spark, "heads"), out)
-    (spark.readStream.schema(rows.schema).parquet(folder).writeStream.foreachBatch(assign).trigger(availableNow=True)
-     .option("checkpointLocation", scratch_path(spark, "clusters-state")).start().awaitTermination())
+    news_stream.ordered_feed(rows, folder, ["received_at", "arrival_seq"], BATCHES)
+    _feed(spark, rows.schema, folder, news_stream.cluster_batches(scratch_path(spark, "heads"), out), scratch_path(spark, "clusters-state"))
     return spark.read.parquet(out).select("event_id", "version", "cluster_id")
 
 
+BATCHES = 6
+
+
+def _feed(spark, schema, folder, assign, state):
+    """Run ``assign`` for each new file of a folder, one file per batch."""
+    (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder).writeStream.foreachBatch(assign)
+     .trigger(availableNow=True).option("checkpointLocation", state).start().awaitTermination())
+
+
+@register("stream_enriched", f"""WITH ev AS (
+  SELECT event_id, ts + INTERVAL 10000 DAY AS at, {SYMBOL_LIST}[user_id % 6 + 1] AS symbol FROM events),
+px AS (SELECT symbol, ts + INTERVAL 10000 DAY - INTERVAL 3 HOUR AS ts, price FROM (
+  SELECT user_id % 6 AS k, {SYMBOL_LIST}[user_id % 6 + 1] AS symbol, date_trunc('hour', ts) AS ts, sum(value) AS price FROM events GROUP BY ALL))
+SELECT event_id, {when('ev.at', 'received_at')}, ev.symbol, {when('px.ts', 'matched_ts')}, {num('price', 'price')}
+FROM ev ASOF LEFT JOIN px ON ev.symbol = px.symbol AND ev.at >= px.ts""")
+def _enriched(spark, root):
+    """Events in six batches; before each, the features known by then are added to their table."""
+    rows = views.table(spark, root, "events")
+    symbol = F.element_at(F.array(*[F.lit(s) for s in views.SYMBOLS]), (F.col("user_id") % 6 + 1).cast("int"))
+    later = lambda c: F.timestamp_add("DAY", F.lit(10_000), c.cast("timestamp"))
+    events = rows.select("event_id", later(F.col("ts")).alias("received_at"), symbol.alias("symbol"))
+    hour = F.timestamp_add("HOUR", F.lit(-3), later(F.date_trunc("hour", "ts")))
+    features = rows.groupBy(symbol.alias("symbol"), hour.alias("ts")).agg(F.sum("value").alias("price"))
+    numbered = cut_lineage(equi_depth(events, ["received_at", "event_id"], -(-events.count() // BATCHES), "_part"))
+    bounds = sorted(numbered.groupBy("_part").agg(F.max("received_at").alias("until")).collect())
+    folder, table, out, state = (scratch_path(spark, k) for k in ("enrich-in", "enrich-features", "enriched", "enrich-state"))
+    features = cut_lineage(features)
+    assign = news_stream.enrich_batches(table, out, ["price"])
+    since = F.lit("0001-01-01").cast("timestamp")
+    for number, until in bounds:
+        features.filter((F.col("ts") > since) & (F.col("ts") <= F.lit(until))).write.mode("append").parquet(table)
+        numbered.filter(F.col("_part") == number).drop("_part").coalesce(1).write.mode("append").parquet(folder)
+        _feed(spark, events.schema, folder, assign, state)
+        since = F.lit(until)
+    return spark.read.parquet(out).select("event_id", "received_at", "symbol", "matched_ts", "price")
+
+
 @register("research_journal", """SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS n,
   CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 1""")
 def _journal(spark, root):

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import datetime
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.neardup import HORIZON_SECONDS, THRESHOLD, cluster_articles
-from ..plans.ordered import asof_join
+from ..plans.ordered import asof_join, equi_depth
 
 
 def drop_repeats(events: DataFrame, late: str = "24 hours") -> DataFrame:
@@ -32,15 +33,33 @@ VERSION_SCHEMA = ("event_id string, updated_at timestamp, arrival_seq long, head
                   "url string, received_at timestamp, version long")
 
 
-def version_stream(events: DataFrame) -> DataFrame:
+def ordered_feed(rows: DataFrame, path: str, order: list[str], batches: int) -> None:
+    """Adds ``rows`` to a folder as about ``batches`` files, each later in ``order`` than the one before.
+
+    A file source takes files by their time, so with one file per trigger a stream sees the rows as
+    they would have arrived. Rows are dealt by range; each write reads its own range only.
+    """
+    total = rows.count()
+    parts = equi_depth(rows, order, max(1, -(-total // batches)), "_part", total)
+    for (number,) in sorted(parts.select("_part").distinct().collect()):
+        parts.filter(F.col("_part") == number).drop("_part").coalesce(1).write.mode("append").parquet(path)
+
+
+def version_stream(events: DataFrame, horizon: str = "30 days") -> DataFrame:
     """Revision numbering with keyed state: newest edit time and version seen so far.
 
     A micro-batch's rows of one event are ordered by arrival before they meet the state; the
-    source's file limit bounds how many there are. Older or repeated rows are dropped.
+    source's file limit bounds how many there are. Older or repeated rows are dropped. An event's
+    state is dropped once the watermark (latest receipt less ``horizon``) has passed its last receipt,
+    so the state holds what was received lately, not all that ever was; rows that come more than
+    ``horizon`` late are dropped, and a revision after that would be numbered from one.
     """
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(batches)).sort_values("arrival_seq")
-        newest, version = state.get if state.exists else (None, 0)
+        newest, version, last = state.get if state.exists else (None, 0, 0)
         kept, numbers = [], []
         for position, edited in enumerate(rows["updated_at"]):
             micros = edited.value // 1000
@@ -48,42 +67,62 @@ def version_stream(events: DataFrame) -> DataFrame:
                 newest, version = micros, version + 1
                 kept.append(position)
                 numbers.append(version)
-        state.update((newest, version))
+        # Times of the state are milliseconds; it goes when the watermark is past the last receipt.
+        last = max([last, state.getCurrentWatermarkMs() + 1, *(t.value // 1_000_000 + 1 for t in rows["received_at"].dropna())])
+        state.update((newest, version, last))
+        state.setTimeoutTimestamp(last)
         yield rows.iloc[kept].assign(version=numbers)
 
     slim = events.select("event_id", "updated_at", "arrival_seq", "headline", "url", "received_at")
-    return slim.groupBy("event_id").applyInPandasWithState(
-        step, VERSION_SCHEMA, "newest long, version long", "append", GroupStateTimeout.NoTimeout)
+    return slim.withWatermark("received_at", horizon).groupBy("event_id").applyInPandasWithState(
+        step, VERSION_SCHEMA, "newest long, version long, last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def known_heads(spark: SparkSession, state_folder: str, batch_id: int, first: datetime,
+                horizon_seconds: int = HORIZON_SECONDS) -> DataFrame | None:
+    """Heads of earlier batches inside the horizon before ``first``; older days are not read."""
+    since = F.timestamp_add("SECOND", F.lit(-horizon_seconds), F.lit(first))
+    try:
+        heads = spark.read.parquet(state_folder)
+    except AnalysisException:
+        return None
+    return heads.filter((F.col("batch") < batch_id) & (F.col("day") >= F.to_date(since)) & (F.col("received_at") >= since))
 
 
 def cluster_batches(state_folder: str, out_folder: str, threshold: float = THRESHOLD,
                     horizon_seconds: int = HORIZON_SECONDS) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function assigning clusters against the heads still inside the horizon.
 
-    Heads and results are written per batch id with overwrite, so a repeated batch is harmless.
+    Batches must arrive in receipt order (see :func:`ordered_feed`). Heads are kept by batch id and day of
+    receipt, results by batch id, both with overwrite, so a repeated batch is harmless and a batch
+    reads the heads of its last days only, however long the stream has run.
     """
     def assign(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
         spark = batch.sparkSession
         first = batch.agg(F.min("received_at").alias("t")).first()["t"]
-        try:
-            known = (spark.read.parquet(state_folder)
-                     .filter((F.col("batch") < batch_id) & (F.col("received_at") >= F.timestamp_add(
-                         "SECOND", F.lit(-horizon_seconds), F.lit(first))))
-                     .select(*batch.columns))
-        except AnalysisException:
-            known = None
+        known = known_heads(spark, state_folder, batch_id, first, horizon_seconds)
+        if known is not None:
+            known = known.select(*batch.columns)
         result = cluster_articles(batch, threshold, horizon_seconds, open_heads=known)
         result.write.mode("overwrite").parquet(f"{out_folder}/batch={batch_id}")
         (spark.read.parquet(f"{out_folder}/batch={batch_id}").filter("is_head")
-         .select(*batch.columns).write.mode("overwrite").parquet(f"{state_folder}/batch={batch_id}"))
+         .select(*batch.columns).withColumn("day", F.to_date("received_at"))
+         .write.mode("overwrite").partitionBy("day").parquet(f"{state_folder}/batch={batch_id}"))
     return assign
 
 
-def enrich_batches(features: DataFrame, out_folder: str, take: list[str]) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function pairing per-symbol events with the latest known features."""
+def enrich_batches(features: DataFrame | str, out_folder: str, take: list[str]) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function pairing per-symbol events with the latest known features.
+
+    ``features`` may be the path of a table that grows while the stream runs: it is read anew for
+    each batch, up to the batch's latest event. An event meets features of its own time only, so
+    rows that were added later than it never count.
+    """
     def enrich(batch: DataFrame, batch_id: int) -> None:
-        joined = asof_join(batch, features, ["symbol"], "received_at", "ts", take)
+        table = batch.sparkSession.read.parquet(features) if isinstance(features, str) else features
+        last = batch.agg(F.max("received_at")).first()[0]
+        joined = asof_join(batch, table.filter(F.col("ts") <= F.lit(last)), ["symbol"], "received_at", "ts", take)
         joined.write.mode("overwrite").parquet(f"{out_folder}/batch={batch_id}")
     return enrich

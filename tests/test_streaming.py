@@ -95,3 +95,60 @@ def test_enriched_batches(spark, tmp_path):
     run(stream, tmp_path, "joined", batch=news_stream.enrich_batches(features, str(tmp_path / "out"), ["x"]))
     got = sorted((r["id"], r["x"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [(0, 0.0), (1, 1.0), (2, 3.0), (3, 4.0)]
+
+
+def feed(spark, path, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_revision_state_is_dropped_after_the_horizon(spark, tmp_path):
+    """Three files months apart: the state of the first event goes, and with it its numbering."""
+    schema = "event_id string, updated_at timestamp, arrival_seq long, headline string, url string, received_at timestamp"
+    day = lambda d: datetime(2024, 1, 1) + timedelta(days=d)
+    row = lambda e, d, n: (e, day(d), n, "h", "", day(d))
+    path = str(tmp_path / "in")
+    files = [[row("x", 0, 1), row("x", 1, 2)], [row("y", 100, 3), row("x", 101, 4)], [row("z", 200, 5)], [row("z", 201, 6)], [row("x", 202, 7)]]
+    for rows in files:
+        feed(spark, path, rows, schema)
+    stream = news_stream.version_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path), "30 days")
+    query = (stream.writeStream.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).format("parquet")
+             .option("path", str(tmp_path / "out")).outputMode("append").start())
+    query.awaitTermination(300)
+    assert query.exception() is None
+    got = sorted((r["arrival_seq"], r["version"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    # x is known within its horizon, is met again at day 101 by the batch that first moves the watermark, and is new at day 202.
+    assert got == [(1, 1), (2, 2), (3, 1), (4, 3), (5, 1), (6, 2), (7, 1)]
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(held) <= 3 and held[-1] <= 2
+
+
+def test_many_ordered_batches_and_expired_heads(spark, tmp_path):
+    schema = "event_id string, version int, headline string, url string, received_at timestamp, arrival_seq long"
+    rows = [(f"e{i}", 1, f"same old story number {i % 4} told once more today", "", datetime(2024, 1, 1) + timedelta(hours=3 * i), i)
+            for i in range(120)]
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    feed_path, heads, out = (str(tmp_path / k) for k in ("feed", "heads", "out"))
+    news_stream.ordered_feed(df, feed_path, ["received_at", "arrival_seq"], 7)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(feed_path)
+    run(stream, tmp_path, "ordered", batch=news_stream.cluster_batches(heads, out))
+    got = spark.read.parquet(out)
+    assert got.select("batch").distinct().count() >= 5
+    want = {r["event_id"]: r["cluster_id"] for r in neardup.cluster_articles(df).collect()}
+    assert {r["event_id"]: r["cluster_id"] for r in got.collect()} == want and len(set(want.values())) > 10
+    late = news_stream.known_heads(spark, heads, 99, datetime(2024, 1, 15, 12))
+    days = {r["day"].day for r in late.select("day").distinct().collect()}
+    assert days and days <= {14, 15}
+    assert "PartitionFilters: [isnotnull(batch" in late._jdf.queryExecution().toString() and "day#" in late._jdf.queryExecution().toString()
+
+
+def test_growing_features(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    table, out, folder = (str(tmp_path / k) for k in ("features", "out", "in"))
+    assign = news_stream.enrich_batches(table, out, ["x"])
+    for k in range(3):
+        feed(spark, table, [("A", start + timedelta(hours=k), float(k))], "symbol string, ts timestamp, x double")
+        feed(spark, folder, [("A", start + timedelta(hours=k, minutes=30), k), ("B", start + timedelta(hours=k), 10 + k)], "symbol string, received_at timestamp, id int")
+        stream = spark.readStream.schema("symbol string, received_at timestamp, id int").option("maxFilesPerTrigger", 1).parquet(folder)
+        run(stream, tmp_path, "grown", batch=assign)
+    got = sorted((r["id"], r["x"], r["batch"]) for r in spark.read.parquet(out).collect())
+    assert got == [(0, 0.0, 0), (1, 1.0, 1), (2, 2.0, 2), (10, None, 0), (11, None, 1), (12, None, 2)]
