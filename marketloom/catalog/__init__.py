@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import signals, pit, news, model, decisions, audit, backtest, hawkes, storage  # noqa: F401
+from . import signals, pit, news, model, decisions, audit, backtest, hawkes, storage, checks  # noqa: F401
 from .base import REGISTRY  # noqa: F401

@@ -194,23 +194,28 @@ def _percentages(spark, root):
         "doc_id", F.size("p").alias("n"), F.array_join("p", "|").alias("figures"))
 
 
-@register("stated_surprises", """WITH s AS (
-  SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'Acme BEAT revenue estimates by '
-    || (o_orderkey % 17) || '.5% today' WHEN o_orderkey % 3 = 1 THEN 'Acme missed eps expectations by '
-    || (o_orderkey % 7) || ' %' ELSE 'Acme did fine' END AS k FROM orders)
-SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'revenue' ELSE 'eps' END AS metric,
-  round(CAST(CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 17) + 0.5 ELSE -(o_orderkey % 7) END AS DOUBLE), 6) + 0.0
-    AS surprise_pct, 'article_text' AS expectation_source FROM s WHERE o_orderkey % 3 < 2""")
+# A statement made from an order's value stands in the middle of the whole text of a document.
+_STATED = """CASE WHEN o_orderkey % 3 = 0 THEN ' Acme BEAT revenue estimates by ' WHEN o_orderkey % 3 = 1 THEN ' Acme missed eps expectations by ' END
+  || (CAST(floor(o_totalprice) AS BIGINT) % 300) // 10 || '.' || (CAST(floor(o_totalprice) AS BIGINT) % 10) || '% '"""
+
+
+@register("stated_surprises", rf"""WITH s AS (
+  SELECT doc_id, text[:length(text) // 2] || coalesce({_STATED}, ' Acme did fine. ') || text[length(text) // 2 + 1:] AS line
+  FROM documents JOIN orders ON o_orderkey = doc_id),
+m AS (SELECT doc_id, regexp_extract(line, '(?i)(beat|beats|missed|misses)\s+(\w+)\s+(?:estimates|expectations)\s+by\s+(\d*\.?\d+)\s*%',
+    ['verb', 'metric', 'size']) AS r FROM s)
+SELECT doc_id, lower(r.metric) AS metric, round(CASE WHEN lower(r.verb) LIKE 'miss%' THEN -1 ELSE 1 END * CAST(r.size AS DOUBLE), 6) + 0.0 AS surprise_pct,
+  'article_text' AS expectation_source FROM m WHERE r.verb <> ''""")
 def _surprises(spark, root):
-    k = F.col("o_orderkey")
-    line = (F.when(k % 3 == 0, F.concat(F.lit("Acme BEAT revenue estimates by "),
-                                        (k % 17).cast("string"), F.lit(".5% today")))
-            .when(k % 3 == 1, F.concat(F.lit("Acme missed eps expectations by "),
-                                       (k % 7).cast("string"), F.lit(" %")))
-            .otherwise("Acme did fine"))
-    rows = views.table(spark, root, "orders").select("o_orderkey", text.parse_surprise(line).alias("s"))
-    return rows.filter("s IS NOT NULL").select("o_orderkey", "s.metric", "s.surprise_pct",
-                                               "s.expectation_source")
+    orders = views.table(spark, root, "orders").select(F.col("o_orderkey").alias("doc_id"), F.floor("o_totalprice").alias("v"))
+    docs = views.table(spark, root, "documents").select("doc_id", "text").join(orders, "doc_id")
+    figure = F.concat(F.floor(F.col("v") % 300 / 10).cast("string"), F.lit("."), (F.col("v") % 10).cast("string"), F.lit("% "))
+    verb = F.when(F.col("doc_id") % 3 == 0, " Acme BEAT revenue estimates by ").when(F.col("doc_id") % 3 == 1, " Acme missed eps expectations by ")
+    half = F.floor(F.length("text") / 2).cast("int")
+    line = F.concat(F.substring("text", F.lit(1), half), F.coalesce(F.concat(verb, figure), F.lit(" Acme did fine. ")),
+                    F.substring("text", half + 1, F.length("text")))
+    rows = docs.select("doc_id", text.parse_surprise(line).alias("s"))
+    return rows.filter("s IS NOT NULL").select("doc_id", "s.metric", "s.surprise_pct", "s.expectation_source")
 
 
 URL_SQL = r"regexp_replace(regexp_replace(lower(url), '/+$', ''), '[?#].*$', '')"

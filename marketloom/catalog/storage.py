@@ -30,15 +30,17 @@ def _raw(spark, root):
 
 
 @register("feature_store_slice", f"""WITH {FEATURE_ROWS} SELECT symbol, {when('as_of', 'as_of')},
+  CASE WHEN source_max_ts > as_of THEN 'source_after_as_of' ELSE 'stored' END AS status,
   {num('momentum_roc20', 'momentum_roc20')}, {num('momentum_ma50', 'momentum_ma50')}
-FROM feature_rows WHERE source_max_ts <= as_of AND as_of <= TIMESTAMP '{CUTOFF}'""")
+FROM feature_rows WHERE source_max_ts > as_of OR as_of <= TIMESTAMP '{CUTOFF}'""")
 def _features(spark, root):
+    """All rows go in: what the guard lets through is read back up to a time, what it refuses is reported."""
     path = scratch_path(spark, "features")
     names = ["momentum_roc20", "momentum_ma50"]
-    honest = feature_rows(spark, root).filter("source_max_ts <= as_of")
-    feature_store.append_features(feature_store.envelope(honest, names), path)
-    loaded = feature_store.load_features(spark, path, CUTOFF)
-    return loaded.select("symbol", "as_of", *[F.col("features")[n].alias(n) for n in names])
+    refused = feature_store.append_sound(feature_store.envelope(feature_rows(spark, root), names), path)
+    loaded = feature_store.load_features(spark, path, CUTOFF).withColumn("reason", F.lit("stored"))
+    both = loaded.unionByName(refused.select(*loaded.columns))
+    return both.select("symbol", "as_of", F.col("reason").alias("status"), *[F.col("features")[n].alias(n) for n in names])
 
 
 @register("ledger_store_roundtrip", f"""WITH RECURSIVE {CHAINED}
@@ -62,21 +64,20 @@ def _total(spark, root):
         "run", F.log1p("total_return").alias("log_total_return"))
 
 
-@register("model_classified", """SELECT doc_id, CASE WHEN length(h) % 3 = 0 THEN 'rumour' ELSE 'jobs' END AS event_type,
-  round(1.0 / (1 + length(h)), 6) + 0.0 AS confidence,
-  CASE WHEN length(h) % 3 = 0 THEN 'event_type' ELSE '' END AS errors
-FROM (SELECT doc_id, split_part(text, chr(10), 1) AS h FROM documents)""")
+@register("model_classified", """SELECT doc_id, CASE WHEN n % 3 = 0 THEN 'rumour' ELSE 'jobs' END AS event_type,
+  round(1.0 / (1 + n), 6) + 0.0 AS confidence, CASE WHEN n % 3 = 0 THEN 'event_type' ELSE '' END AS errors
+FROM (SELECT doc_id, length(split_part(text, chr(10), 1)) + 7 * (length(text) - length(replace(text, 'e', ''))) AS n FROM documents)""")
 def _model(spark, root):
+    """The stand-in model looks at the headline and at the whole text."""
     import pandas as pd
 
-    def by_length(headline, summary):
-        size = headline.str.len()
+    def by_letters(headline, summary):
+        size = headline.str.len() + 7 * summary.str.count("e")
         return pd.DataFrame({"event_type": ["rumour" if n % 3 == 0 else "jobs" for n in size],
                              "event_direction": "neutral", "confidence": 1.0 / (1 + size)})
     docs = views.table(spark, root, "documents").select(
-        "doc_id", F.substring_index("text", "\n", 1).alias("headline"),
-        F.lit("").alias("summary"))
-    return news.classify_with(docs, by_length, "length").select(
+        "doc_id", F.substring_index("text", "\n", 1).alias("headline"), F.col("text").alias("summary"))
+    return news.classify_with(docs, by_letters, "letters").select(
         "doc_id", "event_type", "confidence", F.array_join("errors", ",").alias("errors"))
 
 

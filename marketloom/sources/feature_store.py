@@ -26,6 +26,15 @@ def append_features(rows: DataFrame, path: str) -> None:
      .write.mode("append").partitionBy("as_of_date").parquet(path))
 
 
+def append_sound(rows: DataFrame, path: str) -> DataFrame:
+    """Append the rows that may be stored and return the others with the ``reason`` each was refused for."""
+    reason = (F.when(F.col("as_of").isNull(), "missing_as_of").when(F.col("source_max_ts").isNull(), "missing_source")
+              .when(F.col("source_max_ts") > F.col("as_of"), "source_after_as_of"))
+    judged = rows.withColumn("reason", reason)
+    append_features(judged.filter("reason IS NULL").drop("reason"), path)
+    return judged.filter("reason IS NOT NULL")
+
+
 def load_features(spark: SparkSession, path: str, until: str | None = None) -> DataFrame:
     """All rows, or those knowable at ``until``; the day partitions are pruned by it."""
     try:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,20 +22,24 @@ def append_ledger(ledger: DataFrame, path: str) -> None:
 
 
 def read_foreign_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """JSON-lines ledger: parsed envelope plus ``content``, the canonical text that was hashed."""
+    """JSON-lines ledger: parsed envelope plus ``content``, the canonical text that was hashed.
+
+    Folders named like ``chain=7`` come back as columns, so many chains can lie under one path.
+    """
     lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
     parsed = lines.withColumn("r", F.from_json("value", ENVELOPE))
-    return parsed.select("r.*", canonical_json("value", without="hash").alias("content"), F.get_json_object("value", "$.data").alias("data"))
+    return parsed.select(*[c for c in lines.columns if c != "value"], "r.*", canonical_json("value", without="hash").alias("content"), F.get_json_object("value", "$.data").alias("data"))
 
 
-def verify_foreign(ledger: DataFrame) -> DataFrame:
-    """Problems of one foreign chain: records whose link or own hash is wrong."""
-    seen = chunk_scan(ledger.withColumn("_one", F.lit(0)), ["_one"], rows_chunk("seq"), ["seq"],
+def verify_foreign(ledger: DataFrame, chain: Sequence[str] = ()) -> DataFrame:
+    """Problems of foreign chains (``chain``: columns that name one; none: one chain): records whose
+    link or own hash is wrong."""
+    seen = chunk_scan(ledger.withColumn("_one", F.lit(0)), ["_one", *chain], rows_chunk("seq"), ["seq"],
                       [previous_row("_b", F.col("hash"))])
     return (seen.withColumn("problem", F.when(
         ~F.coalesce(F.col("prev_hash") == F.coalesce(F.col("_b.v"), F.lit(GENESIS)), F.lit(False)),
         "broken_link").when(~F.coalesce(F.sha2("content", 256) == F.col("hash"), F.lit(False)), "bad_hash"))
-        .filter("problem IS NOT NULL").select("seq", "type", "problem"))
+        .filter("problem IS NOT NULL").select(*chain, "seq", "type", "problem"))
 
 
 def write_reports(curve: DataFrame, positions: DataFrame, ledger: DataFrame, decisions: DataFrame,
