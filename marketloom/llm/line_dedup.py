@@ -3,9 +3,11 @@
 A line is cut into words; words with a digit are variable from the start. The tree has a fixed
 depth: word count, then the first ``depth`` words. In each leaf the words that most of its lines
 have at a position form the leaf's template, all other positions are variable fields; a line
-follows the template if enough of its positions agree, otherwise its own (digit-masked) words are
-its template. Of every template that recurs across documents, the first line stays and all others
-are dropped.
+follows the template if enough of its positions beyond the branch words agree. Lines that follow
+none vote again in finer branches, first with lines that share their last word, then with lines
+that share the next word, so that several templates, or a template among many other lines, are
+found in one leaf. What still follows none has its own (digit-masked) words as template. Of every
+template that recurs across documents, the first line stays and all others are dropped.
 """
 
 from __future__ import annotations
@@ -17,13 +19,19 @@ from .common import cut_lineage, packed
 
 VARIABLE = "<*>"
 NEW = ("n_lines", "n_dropped")
+# A word with a digit: from the start of a word, what is no digit is taken once and never given back.
+NUMBERED = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+ODD_SPACE = ("  ", "\t", "\x0b", "\x0c", "\r")
 
 
-def words_of(line: Column) -> Column:
-    """Words of a line, those with a digit masked."""
-    words = F.split(F.btrim(line, F.lit(" \t\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
-    masked = F.transform(words, lambda w: F.when(w.rlike("[0-9]"), VARIABLE).otherwise(w))
-    return F.when(line.rlike("[0-9]"), masked).otherwise(words)
+def normal(line: Column) -> Column:
+    """The words of a line, those with a digit masked, with one space between them."""
+    trimmed = F.btrim(line, F.lit(" \t\x0b\x0c\r"))
+    odd = F.lit(False)
+    for space in ODD_SPACE:
+        odd = odd | F.contains(trimmed, F.lit(space))
+    spaced = F.when(odd, F.regexp_replace(trimmed, r"[\x20\x09-\x0D]+", " ")).otherwise(trimmed)
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(spaced, NUMBERED, VARIABLE)).otherwise(spaced)
 
 
 def text_key(text: Column) -> Column:
@@ -33,41 +41,73 @@ def text_key(text: Column) -> Column:
 
 def line_table(docs: DataFrame, min_words: int, depth: int) -> DataFrame:
     """One row per line of at least ``min_words`` words: place, leaf and own template as hashes."""
-    lines = (docs.select("doc_id", text_key(F.col("text")).alias("text_key"),
-                         F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-             .withColumn("words", words_of(F.col("line"))))
-    return (lines.filter(F.size("words") >= min_words)
-            .select("doc_id", "text_key", "pos", F.size("words").alias("n"),
-                    F.xxhash64(F.size("words"), F.slice("words", 1, depth)).alias("leaf"),
-                    F.xxhash64("words", F.size("words")).alias("own")))
-
-
-def line_templates(docs: DataFrame, lines: DataFrame, min_docs: int, agree: float) -> DataFrame:
-    """``own, template`` for the lines that follow the template of their leaf."""
+    lines = docs.select("doc_id", text_key(F.col("text")).alias("text_key"),
+                        F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    lines = lines.select("doc_id", "text_key", "pos", normal(F.col("line")).alias("line"))
+    n = F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1
+    return (lines.withColumn("n", n).filter(F.col("n") >= min_words)
+            .select("doc_id", "text_key", "pos", "n",
+                    F.xxhash64("n", F.substring_index("line", " ", depth)).alias("leaf"),
+                    F.xxhash64("line", "n").alias("own")))
+
+
+def line_templates(docs: DataFrame, lines: DataFrame, min_docs: int, agree: float, depth: int) -> DataFrame:
+    """``own, template`` for the lines that follow the template of a branch."""
     place = F.struct("doc_id", "text_key", "pos")
-    kinds = lines.groupBy("leaf", "own", "n").agg(F.count("*").alias("lines"), F.min(place).alias("at"))
+    # Lines without a word beyond the branch have nothing to vote on.
+    kinds = lines.filter(F.col("n") > depth).groupBy("leaf", "own").agg(F.count("*").alias("lines"), F.min(place).alias("at"))
     busy = (kinds.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("lines").alias("total"))
             .filter((F.col("kinds") > 1) & (F.col("total") >= min_docs)).select("leaf"))
-    kinds = kinds.join(busy, "leaf").select("leaf", "own", "n", "lines", "at.*")
+    kinds = kinds.join(busy, "leaf").select("leaf", "own", "lines", "at.*")
     # Words of one line of each kind. Lines of one document come back together, so its text is
     # split once.
     wanted = kinds.groupBy("doc_id", "text_key").agg(
-        F.collect_list(F.struct("leaf", "own", "n", "lines", "pos")).alias("wanted"))
+        F.collect_list(F.struct("leaf", "own", "lines", "pos")).alias("wanted"))
     texts = docs.select(F.col("doc_id").alias("d"), text_key(F.col("text")).alias("k"), "text")
     found = (wanted.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))
              .select(F.split("text", "\n", -1).alias("lines_"), F.explode("wanted").alias("w"))
              .select("w.*", F.element_at("lines_", F.col("w.pos") + 1).alias("line"))
-             .dropDuplicates(["leaf", "own"]))
-    words = cut_lineage(found.select("leaf", "own", "n", "lines",
-                                     F.posexplode(words_of(F.col("line"))).alias("at", "word")))
-    votes = words.groupBy("leaf", "at", "word").agg(F.sum("lines").alias("votes"))
-    fixed = (votes.groupBy("leaf", "at").agg(F.max(F.struct("votes", "word")).alias("top"),
-                                             F.sum("votes").alias("all"))
+             .dropDuplicates(["own"]))
+    words = F.split(normal(F.col("line")), " ")
+    rest = cut_lineage(found.select("leaf", "own", "lines", words.alias("words")))
+    last, following = F.size("words"), F.lit(depth + 1)
+    settled = None
+    for number, (branch, taken) in enumerate((
+            (F.xxhash64("leaf"), None),
+            (F.xxhash64("leaf", F.element_at("words", last)), last),
+            (F.xxhash64("leaf", F.element_at("words", following)), following))):
+        follows = cut_lineage(_vote(rest.withColumn("branch", branch), taken, min_docs, agree, depth, number > 0))
+        follows = follows.select("own", F.xxhash64("branch", F.lit(number)).alias("template"))
+        settled = follows if settled is None else settled.unionByName(follows)
+        rest = rest.join(follows.select("own"), "own", "left_anti")
+    return settled
+
+
+def _vote(kinds: DataFrame, taken: Column | None, min_docs: int, agree: float, depth: int, narrow: bool) -> DataFrame:
+    """``branch, own`` of the kinds that follow their branch's majority at enough places beyond the leading words.
+
+    ``taken``: place of the word that made a finer branch; it agrees, but at least one other has to. Branches whose followers are fewer than
+    ``min_docs`` lines give none.
+    """
+    if narrow:
+        # Few finer branches hold more than one kind.
+        several = (kinds.groupBy("branch").agg(F.count("*").alias("kinds"), F.sum("lines").alias("total"))
+                   .filter((F.col("kinds") > 1) & (F.col("total") >= min_docs)).select("branch"))
+        kinds = kinds.join(several, "branch")
+    shared = 0 if taken is None else 1
+    taken = F.lit(0) if taken is None else taken
+    spread = kinds.select("branch", "own", "lines", (F.size("words") - depth).alias("open"),
+                          taken.alias("taken"), F.posexplode("words").alias("at", "word"))
+    words = spread.filter((F.col("at") >= depth) & (F.col("at") + 1 != F.col("taken"))).drop("taken")
+    votes = words.groupBy("branch", "at", "word").agg(F.sum("lines").alias("votes"))
+    fixed = (votes.groupBy("branch", "at").agg(F.max(F.struct("votes", "word")).alias("top"), F.sum("votes").alias("all"))
              .filter(F.col("top.votes") * 2 >= F.col("all"))
-             .select("leaf", "at", F.col("top.word").alias("word")))
-    follows = (words.join(fixed, ["leaf", "at", "word"])
-               .groupBy("leaf", "own").agg(F.count("*").alias("same"), F.first("n").alias("n")))
-    return follows.filter(F.col("same") >= F.col("n") * agree).select("own", F.col("leaf").alias("template"))
+             .select("branch", "at", F.col("top.word").alias("word")))
+    follows = (words.join(fixed, ["branch", "at", "word"]).groupBy("branch", "own")
+               .agg(F.count("*").alias("same"), F.first("open").alias("open"), F.first("lines").alias("lines"))
+               .filter(F.col("same") + shared >= F.col("open") * agree))
+    strong = follows.groupBy("branch").agg(F.sum("lines").alias("n")).filter(F.col("n") >= min_docs).select("branch")
+    return follows.select("branch", "own").join(strong, "branch")
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 3, min_words: int = 3, depth: int = 3,
@@ -75,12 +115,14 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_words: int = 3, depth: i
     """All columns of ``docs`` with ``text`` cleaned, plus ``n_lines`` and ``n_dropped`` (replaced if there).
 
     A template recurs if at least ``min_docs`` documents hold a line of it; its first line (in
-    order of doc_id, text hash, position) stays. Lines under ``min_words`` words always stay. Rows
+    order of doc_id, text hash, position) stays. Lines under ``min_words`` words always stay; a line
+    follows another template than its own words only if at least one word beyond the branch words
+    agrees, and the share ``agree`` of them. Rows
     that repeat doc_id and text count as one document and lose the same lines. NULL text stays
     NULL with 0 lines; text without recurring lines is unchanged. Runs jobs while it is called.
     """
     lines = cut_lineage(line_table(docs, min_words, depth).distinct())
-    templates = line_templates(docs, lines, min_docs, agree)
+    templates = line_templates(docs, lines, min_docs, agree, depth)
     placed = (lines.join(templates, "own", "left")
               .select("doc_id", "text_key", "pos", F.coalesce("template", "own").alias("template"),
                       F.col("template").isNotNull().alias("general")))

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, uniform, word_count
 
 BLOCK = 128
+# Sources up to this number are broadcast with their targets.
+BROADCAST_SOURCES = 100_000
 NONE_DONE = "cast(array() as array<struct<doc_id:bigint,text_hash:bigint,size:bigint,extra:int>>)"
 
 
@@ -65,13 +67,17 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0,
     Returns one row per input row, repeated rows included: ``doc_id, text_hash, source_key, size, source_size,
     target, copies, taken`` where size counts words (NULL or empty text: 0) and taken = copies *
     size. Copies never exceed ``cap``, if that is a whole number. A source without words has target
-    0 and no copies; an empty table gives an empty result. The same input gives the same result in
-    every run. Runs jobs while it is called (one per level of the tree).
+    0 and no copies; an empty table gives an empty result. The same rows give the same result in
+    every run and on every layout, also without ids; of rows that agree in all three columns some
+    may get a copy more, whichever. Runs jobs while it is called (one per level of the tree).
     """
     sizes = cut_lineage(docs.select("doc_id", F.xxhash64("text").alias("text_hash"),
                                     F.col("source").cast("string").alias("source"),
                                     word_count(F.col("text")).alias("size")))
     targets = cut_lineage(source_targets(sizes, weights, cap))
+    # One row per source: a hot source's rows stay where they are if there are not too many sources.
+    near = F.broadcast if targets.count() <= BROADCAST_SOURCES else lambda table: table
+    targets = near(targets)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     # A rate that is a whole number but for rounding noise has no fraction to round.
     whole = F.floor(rate + 1e-9)
@@ -79,11 +85,15 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0,
             .withColumn("p", F.greatest(rate - whole, F.lit(0.0))))
     settled = (F.col("p") < 1e-9) | (F.col("size") == 0)
     extra = rows.filter(settled).select("doc_id", "text_hash", "source_key", "size", F.lit(0).alias("extra"))
-    loose = rows.filter(~settled).select("doc_id", "text_hash", "source_key", "size", "p")
+    # Equal rows are numbered from their count; the key of a row depends on its content and that number only.
+    equal = rows.filter(~settled).groupBy("doc_id", "text_hash", "source_key", "size", "p").agg(F.count("*").alias("n"))
+    nth = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))
+    loose = (equal.select("doc_id", "text_hash", "source_key", "size", "p", nth.alias("nth"))
+             .withColumn("key", F.xxhash64("doc_id", "text_hash", "nth")).drop("nth"))
     level = 0
     while True:
         counts = loose.groupBy("source_key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-        loose = cut_lineage(loose.join(counts, "source_key"))
+        loose = cut_lineage(loose.join(near(counts), "source_key"))
         if not loose.filter("blocks > 1").limit(1).count():
             break
         done, open_ = fold(loose.filter("blocks > 1"), level, seed)
@@ -98,9 +108,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0,
 
 def fold(loose: DataFrame, level: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """One level of the tree: rows settled at 0 or 1, and at most one loose row per block. ``loose`` has ``blocks``."""
-    # Documents without an id are told apart by their place in the stored table.
-    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    block = F.pmod(F.xxhash64("doc_id", place, F.lit(seed), F.lit(level)), F.col("blocks"))
+    block = F.pmod(F.xxhash64("key", F.lit(seed), F.lit(level)), F.col("blocks"))
     folded = (loose
               .withColumn("block", block).groupBy("source_key", "block")
               .agg(sorted_rows(seed).alias("rows"))
@@ -108,13 +116,13 @@ def fold(loose: DataFrame, level: int, seed: int) -> tuple[DataFrame, DataFrame]
     folded = cut_lineage(folded.select("source_key", "s.done", "s.open"))
     done = folded.select("source_key", F.explode("done").alias("d")).select(
         "d.doc_id", "d.text_hash", "source_key", "d.size", "d.extra")
-    return done, folded.select("open.doc_id", "open.text_hash", "source_key", "open.size", "open.p")
+    return done, folded.select("open.doc_id", "open.text_hash", "source_key", "open.size", "open.p", "open.key")
 
 
 def sorted_rows(seed: int) -> Column:
     """The loose documents of a group, largest first."""
     return F.sort_array(F.collect_list(F.struct(
-        (-F.col("size")).alias("order"), F.xxhash64("doc_id", F.lit(seed)).alias("h"), "doc_id", "size", "p",
+        (-F.col("size")).alias("order"), F.xxhash64("key", F.lit(seed)).alias("h"), "key", "doc_id", "size", "p",
         "text_hash")))
 
 
@@ -136,10 +144,10 @@ def settle(loose: DataFrame, seed: int) -> DataFrame:
         p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), state["scale"] * row["p"] + state["shift"]))
         pool = F.greatest(F.lit(0.0), F.least(room, state["scale"] * mass + state["shift"] * room))
         gain, loss = F.least((1.0 - p) * size, pool), F.least(p * size, room - pool)
-        up = uniform(row["doc_id"], F.lit(seed), F.lit("way")) * (gain + loss) < loss
+        up = uniform(row["key"], F.lit(seed), F.lit("way")) * (gain + loss) < loss
         new_p = p + F.when(up, gain).otherwise(-loss) / size
         sure = F.least(new_p, 1.0 - new_p) < 1e-9
-        taken = F.when(sure, new_p > 0.5).otherwise(uniform(row["doc_id"], F.lit(seed), F.lit("end")) < new_p)
+        taken = F.when(sure, new_p > 0.5).otherwise(uniform(row["key"], F.lit(seed), F.lit("end")) < new_p)
         out = F.struct(row["doc_id"].alias("doc_id"), row["text_hash"].alias("text_hash"), row["size"].alias("size"),
                        F.when(taken, 1).otherwise(0).alias("extra"))
         keep = F.when(up, F.when(pool > 0, 1.0 - gain / pool).otherwise(1.0)).otherwise(
@@ -165,7 +173,7 @@ def pivotal(rows: Column, level: int, seed: int) -> Column:
         # Words that can flow to the old one, and from it, before one of the two is settled.
         gain = F.least((1.0 - old["p"]) * old["size"], new["p"] * new["size"])
         loss = F.least(old["p"] * old["size"], (1.0 - new["p"]) * new["size"])
-        draw = uniform(old["doc_id"], new["doc_id"], F.lit(seed), F.lit(level)) * (gain + loss)
+        draw = uniform(old["key"], new["key"], F.lit(seed), F.lit(level)) * (gain + loss)
         # A gain of ``gain`` is drawn with weight ``loss`` and the other way round.
         flow = F.when(draw < loss, gain).otherwise(-loss)
         old_p, new_p = old["p"] + flow / old["size"], new["p"] - flow / new["size"]
@@ -181,8 +189,8 @@ def pivotal(rows: Column, level: int, seed: int) -> Column:
 
 def unit(row, p: Column) -> Column:
     return F.struct(row["doc_id"].alias("doc_id"), row["text_hash"].alias("text_hash"),
-                    row["size"].alias("size"), p.alias("p"))
+                    row["size"].alias("size"), p.alias("p"), row["key"].alias("key"))
 
 
 def choose(condition: Column, yes: Column, no: Column) -> dict[str, Column]:
-    return {name: F.when(condition, yes[name]).otherwise(no[name]) for name in ("doc_id", "text_hash", "size")}
+    return {name: F.when(condition, yes[name]).otherwise(no[name]) for name in ("doc_id", "text_hash", "size", "key")}

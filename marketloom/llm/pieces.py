@@ -167,11 +167,21 @@ class PieceModel:
         return b"".join([memory[w] if w in memory else self.stretch(w) for w in words])
 
     def decode(self, ids: bytes) -> str:
-        table = self.text
-        out = b"".join([table[i] for i in struct.unpack(f"<{len(ids) // 4}i", ids)]).decode("utf-8", "replace")
+        table, size = self.text, len(self.text)
+        out = b"".join([table[i] if 0 <= i < size else REPLACEMENT for i in struct.unpack(f"<{len(ids) // 4}i", ids)]).decode("utf-8", "replace")
         return out[1:] if self.dummy_prefix and out[:1] == " " else out
 
 
+REPLACEMENT = "\ufffd".encode()
+
+
+def known_elements(lists: pa.ListArray) -> pa.ListArray:
+    """Lists without their NULL elements."""
+    if not lists.flatten().null_count:
+        return lists
+    return pa.array([None if x is None else [i for i in x if i is not None] for x in lists.to_pylist()], lists.type)
+
+
 _models: dict[str, PieceModel] = {}
 
 
@@ -201,11 +211,14 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids
 
 
 def decode(encoded: DataFrame, model_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """``encoded`` with the text of ``ids``; NULL and empty lists give the empty text."""
+    """``encoded`` with the text of ``ids``; NULL and empty lists give the empty text.
+
+    NULL elements are skipped, ids outside the vocabulary give the replacement character.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = model(model_path)
-            parts = [m.decode(b) for b in list_bytes(batch.column(ids))]
+            parts = [m.decode(b) for b in list_bytes(known_elements(batch.column(ids)))]
             yield appended(batch, {text: pa.array(parts, pa.string())})
 
     kept = [f for f in encoded.schema.fields if f.name != text]

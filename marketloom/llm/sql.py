@@ -2,24 +2,40 @@
 
 from .url_filter import FETCH_CYCLE, FETCH_MINUTES, START
 
+
+
+def _passes() -> str:
+    """Votes in the leaves, then of the lines left over by last word, then by fourth word."""
+    out = []
+    for k, (key, taken) in enumerate((("own[1:3]", "0"), ("list_append(own[1:3], own[n])", "n"), ("own[1:4]", "4"))):
+        shared = min(k, 1)
+        out.append(f"""busy{k} AS (SELECT n, {key} AS key FROM rest{k} GROUP BY ALL HAVING count(*) > 1 AND sum(lines) >= 3),
+words{k} AS (SELECT *, own[place] AS word FROM (SELECT r.n, key, own, lines, unnest(range(4, r.n + 1)) AS place
+  FROM (SELECT *, {key} AS key FROM rest{k}) r JOIN busy{k} b USING (n, key)) WHERE place <> {taken}),
+ranked{k} AS (SELECT *, row_number() OVER (PARTITION BY n, key, place ORDER BY votes DESC, word DESC) AS r,
+    sum(votes) OVER (PARTITION BY n, key, place) AS total
+  FROM (SELECT n, key, place, word, sum(lines) AS votes FROM words{k} GROUP BY ALL)),
+fixed{k} AS (SELECT n, key, place, word FROM ranked{k} WHERE r = 1 AND votes * 2 >= total),
+follows{k} AS (SELECT * FROM (SELECT n, key, own, lines FROM words{k} JOIN fixed{k} USING (n, key, place, word)
+    GROUP BY ALL HAVING count(*) + {shared} >= (n - 3) * 0.7) QUALIFY sum(lines) OVER (PARTITION BY n, key) >= 3),
+rest{k + 1} AS (SELECT * FROM rest{k} WHERE own NOT IN (SELECT own FROM follows{k})),
+""")
+    return "".join(out)
+
+
 LINE_DEDUP = r"""WITH RECURSIVE
 split AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM split),
 w AS (SELECT doc_id, pos, list_transform(string_split_regex(trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)),
     '[\x20\x09-\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS own FROM l),
-lines AS (SELECT doc_id, pos, own, len(own) AS n, own[1:3] AS branch FROM w WHERE len(own) >= 3),
-kinds AS (SELECT n, branch, own, count(*) AS lines FROM lines GROUP BY ALL),
-busy AS (SELECT n, branch FROM kinds GROUP BY n, branch HAVING count(*) > 1 AND sum(lines) >= 3),
-words AS (SELECT k.n, k.branch, own, lines, unnest(range(1, k.n + 1)) AS place, unnest(own) AS word
-  FROM kinds k JOIN busy b ON b.n = k.n AND b.branch = k.branch),
-votes AS (SELECT n, branch, place, word, sum(lines) AS votes FROM words GROUP BY ALL),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY n, branch, place ORDER BY votes DESC, word DESC) AS r,
-    sum(votes) OVER (PARTITION BY n, branch, place) AS total FROM votes),
-fixed AS (SELECT n, branch, place, word FROM ranked WHERE r = 1 AND votes * 2 >= total),
-follows AS (SELECT w.n, w.branch, w.own, count(*) AS same FROM words w JOIN fixed f
-  ON f.n = w.n AND f.branch = w.branch AND f.place = w.place AND f.word = w.word GROUP BY ALL HAVING count(*) >= w.n * 0.7),
-placed AS (SELECT doc_id, pos, CASE WHEN f.own IS NULL THEN x.own ELSE x.branch END AS template, x.n, f.own IS NOT NULL AS general
-  FROM lines x LEFT JOIN follows f ON f.own = x.own),
+lines AS (SELECT doc_id, pos, own, len(own) AS n FROM w WHERE len(own) >= 3),
+kinds AS (SELECT n, own, count(*) AS lines FROM lines WHERE n > 3 GROUP BY ALL),
+rest0 AS (SELECT * FROM kinds),
+""" + _passes() + r"""
+templates AS (SELECT own, 0 AS pass, key FROM follows0 UNION ALL SELECT own, 1, key FROM follows1 UNION ALL SELECT own, 2, key FROM follows2),
+placed AS (SELECT doc_id, pos, CASE WHEN f.own IS NULL THEN x.own ELSE list_prepend(CAST(pass AS VARCHAR), key) END AS template, x.n,
+    f.own IS NOT NULL AS general
+  FROM lines x LEFT JOIN templates f ON f.own = x.own),
 recurring AS (SELECT template, n, general, min(doc_id) AS first_doc, count(DISTINCT doc_id) AS docs FROM placed
   GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3),
 heads AS (SELECT p.template, p.n, p.general, first_doc, min(pos) AS first_pos FROM placed p JOIN recurring r
