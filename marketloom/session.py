@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Scratch paths made since the innermost ``settled`` call began.
+_MADE: ContextVar[list[str] | None] = ContextVar("scratch_paths", default=None)
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings every job of this package expects."""
@@ -50,7 +56,11 @@ def scratch_path(spark: SparkSession, kind: str) -> str:
         if not shared and not context.master.split("[")[0] == "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="marketloom-ckpt-"))
-    return f"{context.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
+    path = f"{context.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
+    return path
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -62,3 +72,35 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """The written result of ``make()``, with everything written on the way to it deleted.
+
+    For stages whose intermediate tables nobody reads once the result is on disk. The result does
+    not depend on them any more, so a lost executor costs nothing. Calls may be nested: an inner
+    result belongs to the outer call. Shuffle files go with the plans that made them, when the driver
+    collects its garbage; that is asked for here.
+    """
+    outer = _MADE.get()
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        df = make()
+        path = scratch_path(spark, "table")
+        df.write.parquet(path)
+        schema = df.schema
+    finally:
+        _MADE.reset(token)
+    made.remove(path)
+    if outer is not None:
+        outer.append(path)
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for old in made:
+        place = jvm.org.apache.hadoop.fs.Path(old)
+        place.getFileSystem(conf).delete(place, True)
+    del df
+    gc.collect()
+    jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)

@@ -20,3 +20,30 @@ def test_scratch_folder():
     for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
         with pytest.raises(ValueError):
             scratch_path(session(master), "t")
+
+
+def test_settled_results_outlive_their_scratch_tables(spark):
+    import os
+
+    from marketloom.session import cut_lineage, settled
+    made = []
+
+    def table(n):
+        out = cut_lineage(spark.range(n))
+        made.append(out.inputFiles()[0].removeprefix("file://"))
+        return out
+
+    def make():
+        inner = settled(spark, lambda: table(5).filter("id > 1"))
+        made.append(inner.inputFiles()[0].removeprefix("file://"))
+        assert not os.path.exists(made[0]) and os.path.exists(made[1])
+        return inner.join(table(10), "id")
+
+    out = settled(spark, make)
+    assert sorted(r["id"] for r in out.collect()) == [2, 3, 4] and out.count() == 3
+    assert not any(map(os.path.exists, made)) and len(made) == 3
+    kept = cut_lineage(spark.range(3))
+    assert kept.count() == 3
+    with pytest.raises(ZeroDivisionError):
+        settled(spark, lambda: 1 / 0)
+    assert settled(spark, lambda: spark.range(2)).count() == 2
