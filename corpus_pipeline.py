@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from marketloom.llm import langid, line_dedup, mixing, ngram_join, pieces
 from marketloom.llm.common import cut_lineage, documents, packed, tokenizer_file, unpacked
-from marketloom.session import tune
+from marketloom.session import settled, tune
 
 # A text with letters goes if known n-grams cover less of it than this.
 MIN_COVERAGE = 0.1
@@ -30,10 +30,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cleans texts; a document whose every word stood in dropped lines goes."""
-    cleaned = line_dedup.dedup_lines(docs)
-    emptied = (F.col("n_dropped") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return (cleaned.filter(F.col("text").isNotNull() & ~emptied)
-            .withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns))
+    def make() -> DataFrame:
+        cleaned = line_dedup.dedup_lines(docs)
+        emptied = (F.col("n_dropped") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+        return (cleaned.filter(F.col("text").isNotNull() & ~emptied)
+                .withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns))
+
+    return settled(spark, make)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,17 +46,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     itself. Rows without an id come last in their group; under one id the smallest text hash comes
     first. Rows that repeat id and text are one. Texts without words are no copies of anything else.
     """
-    rows = cut_lineage(ngram_join.row_components(docs, n=5, num=80, den=100).select("doc_id", "text_hash", "lead"))
-    key = [F.col("doc_id").alias("_out"), F.col("text_hash").alias("_out_hash")]
-    out = (rows.filter(F.col("lead").isNotNull() & (ngram_join.row_key("doc_id", "text_hash") != F.col("lead")))
-           .select(*key).distinct())
-    again = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1").select(*key)
-    out, again = picked(out), picked(again)
-    same = F.col("_id").eqNullSafe(F.col("_out")) & (F.col("_hash") == F.col("_out_hash"))
-    own = docs.select(packed(docs), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"))
-    kept = own.join(out, same, "left_anti")
-    once = kept.join(again, same, "left_semi").dropDuplicates(["_id", "_hash"])
-    return kept.join(again, same, "left_anti").unionByName(once).select(*unpacked(docs))
+    def make() -> DataFrame:
+        # A few numbers per row; the tables of the join go as soon as they are written.
+        rows = settled(spark, lambda: ngram_join.row_components(docs, n=5, num=80, den=100).select("doc_id", "text_hash", "lead"))
+        key = [F.col("doc_id").alias("_out"), F.col("text_hash").alias("_out_hash")]
+        out = (rows.filter(F.col("lead").isNotNull() & (ngram_join.row_key("doc_id", "text_hash") != F.col("lead")))
+               .select(*key).distinct())
+        again = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1").select(*key)
+        out, again = picked(out), picked(again)
+        same = F.col("_id").eqNullSafe(F.col("_out")) & (F.col("_hash") == F.col("_out_hash"))
+        own = docs.select(packed(docs), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"))
+        kept = own.join(out, same, "left_anti")
+        once = kept.join(again, same, "left_semi").dropDuplicates(["_id", "_hash"])
+        return kept.join(again, same, "left_anti").unionByName(once).select(*unpacked(docs))
+
+    return settled(spark, make)
 
 
 def picked(ids: DataFrame) -> DataFrame:
@@ -67,27 +74,30 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are told apart by id, text and source. Of rows that agree in all three, as many get one
     copy more than the others as the mix says.
     """
-    key = ["_id", "_hash", "_source"]
-    copies = cut_lineage(
-        mixing.mix(docs).groupBy(F.col("doc_id").alias("_of"), F.col("text_hash").alias("_of_hash"),
-                                 F.col("source_key").alias("_of_source"))
-        .agg(F.count("*").alias("_rows"), F.min("copies").alias("_least"), F.sum("copies").alias("_all"))
-        .filter("_all > 0"))
-    same = (F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_hash") == F.col("_of_hash"))
-            & (F.col("_source") == F.col("_of_source")))
-    own = docs.select(packed(docs), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"),
-                      mixing.source_key("source").alias("_source"))
-    one = (own.join(copies.filter("_rows = 1"), same)
-           .select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_all"))).alias("_copy")))
-    # Equal rows are counted first, so that the window has one row per content.
-    equal = own.join(copies.filter("_rows > 1"), same).groupBy("_row", *key, "_rows", "_least", "_all").agg(
-        F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*key).orderBy(F.xxhash64("_row"), "_row")) - F.col("_n")
-    more = F.col("_all") - F.col("_least") * F.col("_rows")
-    got = F.col("_least") * F.col("_n") + F.greatest(F.lit(0), F.least(more - before, F.col("_n")))
-    many = (equal.withColumn("_got", got).filter("_got > 0")
-            .select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_got"))).alias("_copy")))
-    return one.unionByName(many).select(*unpacked(docs))
+    def make() -> DataFrame:
+        key = ["_id", "_hash", "_source"]
+        copies = cut_lineage(
+            mixing.mix(docs).groupBy(F.col("doc_id").alias("_of"), F.col("text_hash").alias("_of_hash"),
+                                     F.col("source_key").alias("_of_source"))
+            .agg(F.count("*").alias("_rows"), F.min("copies").alias("_least"), F.sum("copies").alias("_all"))
+            .filter("_all > 0"))
+        same = (F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_hash") == F.col("_of_hash"))
+                & (F.col("_source") == F.col("_of_source")))
+        own = docs.select(packed(docs), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"),
+                          mixing.source_key("source").alias("_source"))
+        one = (own.join(copies.filter("_rows = 1"), same)
+               .select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_all"))).alias("_copy")))
+        # Equal rows are counted first, so that the window has one row per content.
+        equal = own.join(copies.filter("_rows > 1"), same).groupBy("_row", *key, "_rows", "_least", "_all").agg(
+            F.count("*").alias("_n"))
+        before = F.sum("_n").over(Window.partitionBy(*key).orderBy(F.xxhash64("_row"), "_row")) - F.col("_n")
+        more = F.col("_all") - F.col("_least") * F.col("_rows")
+        got = F.col("_least") * F.col("_n") + F.greatest(F.lit(0), F.least(more - before, F.col("_n")))
+        many = (equal.withColumn("_got", got).filter("_got > 0")
+                .select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_got"))).alias("_copy")))
+        return one.unionByName(many).select(*unpacked(docs))
+
+    return settled(spark, make)
 
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -99,6 +109,9 @@ def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup_stage), ("near_duplicates", near_duplicates),
           ("source_mix", source_mix), ("piece_ids", piece_ids)]
 
+# These write their result themselves and delete what they made on the way.
+WRITTEN = {"line_dedup", "near_duplicates", "source_mix"}
+
 # Language filters, pivotal rounding and piece search are not for SQL; tests compare with plain code.
 ORACLE_SQL = None
 
@@ -106,6 +119,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents`` of ``sf_dir``."""
     docs = documents(tune(spark), sf_dir)
-    for _, stage in STAGES:
-        docs = cut_lineage(stage(spark, docs, sf_dir))
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        docs = docs if name in WRITTEN else cut_lineage(docs)
     return docs
