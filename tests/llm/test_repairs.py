@@ -1,10 +1,13 @@
 """Cases that went wrong once."""
 
+import random
 from collections import Counter
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from marketloom.llm import line_dedup, mixing, pieces
+from marketloom.llm import line_dedup, mixing, pieces, syncmers
 from marketloom.llm.common import tokenizer_file
 
 
@@ -62,3 +65,58 @@ def test_odd_piece_lists(spark):
     rows = [(ids,), ([ids[0], None, *ids[1:]],), ([None],), ([],), (None,), ([*ids, 999_999],), ([*ids, -5],)]
     got = [r["decoded"] for r in pieces.decode(spark.createDataFrame(rows, "ids array<int>"), path).collect()]
     assert got == ["Hello there", "Hello there", "", "", "", "Hello there�", "Hello there�"]
+
+
+def plain_likeness(a, b):
+    """Over all anchors of both texts."""
+    places = []
+    for text in (a, b):
+        ids, at = syncmers.anchors(text)
+        first = {}
+        for i, p in zip(ids.tolist(), at.tolist()):
+            first.setdefault(i, p)
+        places.append(first)
+    both = places[0].keys() & places[1].keys()
+    shift = [places[0][i] - places[1][i] for i in both]
+    near = sum(abs(s - np.median(shift)) <= syncmers.TOLERANCE for s in shift) if shift else 0
+    return near / len(places[0].keys() | places[1].keys())
+
+
+@pytest.mark.parametrize("length", [300, 5_000, 120_000])
+def test_fingerprints_resolve_edits_at_every_length(length):
+    rng = random.Random(length)
+    text = "".join(rng.choice("abcdefghijklmnop     ") for _ in range(length))
+    own = syncmers.fingerprint(text)
+    assert len(own[0]) >= min(64, len(syncmers.anchors(text)[0])) and syncmers.likeness(own, own) == 1.0
+    seen = 0
+    for k in range(60):
+        at = rng.randrange(length - 4)
+        seen += syncmers.printed(syncmers.fingerprint(text[:at] + "####" + text[at + 4:])) != syncmers.printed(own)
+    assert seen >= 48
+    for share in (0.05, 0.3, 0.7):
+        cut = int(length * (1 - share))
+        other = text[:cut] + "".join(rng.choice("qrstuvwxyz ") for _ in range(length - cut))
+        got, want = syncmers.likeness(own, syncmers.fingerprint(other)), plain_likeness(text, other)
+        assert abs(got - want) < (0.01 if length < 1000 else 0.06)
+    moved = text[length // 2:] + text[:length // 2]
+    assert abs(syncmers.likeness(own, syncmers.fingerprint(moved)) - plain_likeness(text, moved)) < 0.1
+
+
+def test_short_and_empty_fingerprints():
+    empty, one, two = (syncmers.fingerprint(t) for t in ("", "short text", "other text"))
+    assert syncmers.likeness(empty, empty) == 1.0 and syncmers.likeness(empty, one) == 0.0
+    assert syncmers.likeness(one, one) == 1.0 and syncmers.likeness(one, two) == 0.0
+    assert syncmers.printed(empty) == "f" * 16
+
+
+def test_registered_likeness_is_that_of_the_texts(spark):
+    texts = {1: "a b c " * 50, 2: "quite another text " * 30, 5: "", 9: "a b c " * 49 + "end"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    ids = sorted(texts)
+    for r in syncmers.compare_with_edits(df).collect():
+        text, after = texts[r["doc_id"]], texts[ids[(ids.index(r["doc_id"]) + 1) % 4]]
+        edited = text[:len(text) - len(text) // 2] + after[:len(text) // 2]
+        if text and edited:
+            assert r["near_edited"] == pytest.approx(plain_likeness(text, edited))
+        if text and after:
+            assert r["near_next"] == pytest.approx(plain_likeness(text, after))
