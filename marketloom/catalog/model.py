@@ -100,10 +100,11 @@ def _correlations(spark, root):
 
 BLOCK, EMBARGO = 50, 5
 ALPHAS = (0.01, 1.0, 100.0)
-# Far off from zero: the fit of standardised features must not notice. The SQL has the plain feature.
+# Far off from zero: the fit of standardised features must not notice. The SQL has the plain feature,
+# rounded as the offset rounds it.
 OFFSET = 1e8
 _TERMS = "a + alpha AS a, b, d + alpha AS d, u, v"
-FOLDS = f"""{XY}, b AS (SELECT *, bar_no // {BLOCK} AS block, bar_no % {BLOCK} >= {BLOCK - EMBARGO} AS tail FROM xy),
+FOLDS = f"""{XY}, b AS (SELECT * REPLACE ((x1 + {OFFSET}) - {OFFSET} AS x1), bar_no // {BLOCK} AS block, bar_no % {BLOCK} >= {BLOCK - EMBARGO} AS tail FROM xy),
 k AS (SELECT row_number() OVER (ORDER BY block) - 1 AS fold, block AS val, block + 1 AS test
       FROM (SELECT DISTINCT block FROM b) WHERE block >= 2
         AND block < (SELECT max(block) FROM b)),

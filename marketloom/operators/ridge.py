@@ -345,7 +345,7 @@ class Pairs:
 
 
 FOLD_SCHEMA = ("fold int, block long, n_train_blocks int, alpha double, validation_mse double, "
-               "intercept double, mean array<double>, scale array<double>, coef array<double>")
+               "intercept double, mean array<double>, centred array<double>, scale array<double>, coef array<double>")
 
 
 def fit_folds(states: DataFrame, size: int, alphas: Sequence[float], offset: Sequence[float]) -> DataFrame:
@@ -378,7 +378,7 @@ def fit_folds(states: DataFrame, size: int, alphas: Sequence[float], offset: Seq
         return pd.DataFrame([{
             "fold": first["fold"], "block": first["block"], "n_train_blocks": first["n_train_blocks"], "alpha": alpha,
             "validation_mse": error / max(check.target()[0], 1.0), "intercept": intercept + offset[-1] if n else 0.0,
-            "mean": mean + offset[:-1], "scale": scale, "coef": coef}])
+            "mean": mean + offset[:-1], "centred": mean, "scale": scale, "coef": coef}])
 
     return states.groupBy("fold").applyInPandas(solve_fold, FOLD_SCHEMA)
 
@@ -404,10 +404,11 @@ def walk_forward(rows: DataFrame, features: Sequence[str], target: str, block_ba
     tested = marked.join(F.broadcast(folds) if small else folds, "block")
     score = F.col("intercept")
     for i, f in enumerate(features):
-        z = (F.col(f) - F.col("mean")[i]) / F.col("scale")[i]
+        # The offset goes first: the mean of a column far from zero has lost digits.
+        z = (F.col(f) - offset[i] - F.col("centred")[i]) / F.col("scale")[i]
         score = score + F.coalesce(z, F.lit(0.0)) * F.col("coef")[i]
-    predictions = tested.withColumn("prediction", score).drop("mean", "scale", "coef", "intercept")
-    return predictions, folds
+    predictions = tested.withColumn("prediction", score).drop("mean", "centred", "scale", "coef", "intercept")
+    return predictions, folds.drop("centred")
 
 
 def fold_scores(predictions: DataFrame, target: str) -> DataFrame:
