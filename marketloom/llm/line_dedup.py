@@ -21,17 +21,25 @@ VARIABLE = "<*>"
 NEW = ("n_lines", "n_dropped")
 # A word with a digit: from the start of a word, what is no digit is taken once and never given back.
 NUMBERED = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
-ODD_SPACE = ("  ", "\t", "\x0b", "\x0c", "\r")
+ODD_SPACE = ("  ", " \n", "\n ", "\t", "\x0b", "\x0c", "\r")
+# Kinds of lines, or changed documents, up to this number are sent to where the texts are; more are
+# joined by shuffle.
+BROADCAST_ROWS = 200_000
 
 
-def normal(line: Column) -> Column:
-    """The words of a line, those with a digit masked, with one space between them."""
-    trimmed = F.btrim(line, F.lit(" \t\x0b\x0c\r"))
-    odd = F.lit(False)
+def normal(text: Column) -> Column:
+    """A text whose words with a digit are masked, with one space between words and none at the ends of lines.
+
+    Line ends stay, so line i of it holds the words of line i. Only texts with digits or with odd
+    space are rewritten.
+    """
+    odd = text.startswith(" ") | text.endswith(" ")
     for space in ODD_SPACE:
-        odd = odd | F.contains(trimmed, F.lit(space))
-    spaced = F.when(odd, F.regexp_replace(trimmed, r"[\x20\x09-\x0D]+", " ")).otherwise(trimmed)
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(spaced, NUMBERED, VARIABLE)).otherwise(spaced)
+        odd = odd | F.contains(text, F.lit(space))
+    single = F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " ")
+    trimmed = F.btrim(F.replace(F.replace(single, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n")), F.lit(" "))
+    spaced = F.when(odd, trimmed).otherwise(text)
+    return F.when(text.rlike("[0-9]"), F.regexp_replace(spaced, NUMBERED, VARIABLE)).otherwise(spaced)
 
 
 def text_key(text: Column) -> Column:
@@ -42,8 +50,7 @@ def text_key(text: Column) -> Column:
 def line_table(docs: DataFrame, min_words: int, depth: int) -> DataFrame:
     """One row per line of at least ``min_words`` words: place, leaf and own template as hashes."""
     lines = docs.select("doc_id", text_key(F.col("text")).alias("text_key"),
-                        F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    lines = lines.select("doc_id", "text_key", "pos", normal(F.col("line")).alias("line"))
+                        F.posexplode(F.split(normal(F.col("text")), "\n", -1)).alias("pos", "line"))
     n = F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1
     return (lines.withColumn("n", n).filter(F.col("n") >= min_words)
             .select("doc_id", "text_key", "pos", "n",
@@ -58,18 +65,19 @@ def line_templates(docs: DataFrame, lines: DataFrame, min_docs: int, agree: floa
     kinds = lines.filter(F.col("n") > depth).groupBy("leaf", "own").agg(F.count("*").alias("lines"), F.min(place).alias("at"))
     busy = (kinds.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("lines").alias("total"))
             .filter((F.col("kinds") > 1) & (F.col("total") >= min_docs)).select("leaf"))
-    kinds = kinds.join(busy, "leaf").select("leaf", "own", "lines", "at.*")
+    kinds = cut_lineage(kinds.join(busy, "leaf").select("leaf", "own", "lines", "at.*"))
     # Words of one line of each kind. Lines of one document come back together, so its text is
     # split once.
     wanted = kinds.groupBy("doc_id", "text_key").agg(
         F.collect_list(F.struct("leaf", "own", "lines", "pos")).alias("wanted"))
-    texts = docs.select(F.col("doc_id").alias("d"), text_key(F.col("text")).alias("k"), "text")
+    if kinds.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    texts = docs.select(F.col("doc_id").alias("d"), text_key(F.col("text")).alias("k"), normal(F.col("text")).alias("text"))
     found = (wanted.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))
              .select(F.split("text", "\n", -1).alias("lines_"), F.explode("wanted").alias("w"))
              .select("w.*", F.element_at("lines_", F.col("w.pos") + 1).alias("line"))
              .dropDuplicates(["own"]))
-    words = F.split(normal(F.col("line")), " ")
-    rest = cut_lineage(found.select("leaf", "own", "lines", words.alias("words")))
+    rest = cut_lineage(found.select("leaf", "own", "lines", F.split("line", " ").alias("words")))
     last, following = F.size("words"), F.lit(depth + 1)
     settled = None
     for number, (branch, taken) in enumerate((
@@ -138,6 +146,9 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_words: int = 3, depth: i
                          & (F.col("pos") == F.col("first.pos"))))
                .groupBy("doc_id", "text_key").agg(F.collect_list("pos").alias("out"))
                .select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), "out"))
+    dropped = cut_lineage(dropped)
+    if dropped.count() <= BROADCAST_ROWS:
+        dropped = F.broadcast(dropped)
     rows = docs.select(packed(docs), F.col("doc_id").alias("_id"), "text", text_key(F.col("text")).alias("_key"))
     joined = rows.join(dropped, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
     split = F.split("text", "\n", -1)
@@ -145,6 +156,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_words: int = 3, depth: i
     kept = F.array_join(F.transform(left, lambda i: F.element_at(split, i + 1)), "\n")
     text = F.when(F.col("out").isNull(), F.col("text")).otherwise(kept).alias("text")
     whole = [text if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in NEW]
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(split))
+    breaks = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(breaks + 1)
     n_dropped = F.when(F.col("out").isNull(), 0).otherwise(F.size("out"))
     return joined.select(*whole, n_lines.cast("long").alias("n_lines"), n_dropped.cast("long").alias("n_dropped"))

@@ -36,9 +36,10 @@ def test_templates_are_found_next_to_other_lines(spark):
 
 def test_masking_is_linear_and_exact(spark):
     lines = ["  a1 b  c2d\te ", "x" * 200_000, "no digits here", "7 8 9", "ab\x0b12 é9é ü"]
-    df = spark.createDataFrame([(t,) for t in lines], "t string")
+    want = ["<*> b <*> e", "x" * 200_000, "no digits here", "<*> <*> <*>", "ab <*> <*> ü"]
+    df = spark.createDataFrame([(t,) for t in [*lines, "\n".join(lines), " \n\n  x1 \r\n y \n "]], "t string")
     got = [r[0] for r in df.select(line_dedup.normal(F.col("t"))).collect()]
-    assert got == ["<*> b <*> e", "x" * 200_000, "no digits here", "<*> <*> <*>", "ab <*> <*> ü"]
+    assert got == [*want, "\n".join(want), "\n\n<*>\ny\n"]
 
 
 def test_mix_is_the_same_on_every_layout(spark):
