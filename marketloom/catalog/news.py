@@ -286,17 +286,22 @@ clustered AS (SELECT n.id, n.version, h.id AS cluster_id
 @register("cluster_articles", f"""WITH RECURSIVE {CLUSTERS}
 SELECT id AS event_id, version, cluster_id FROM clustered""")
 def _clusters(spark, root):
-    return neardup.cluster_articles(versions(spark, root)).select(
+    return neardup.cluster_articles(_slim(versions(spark, root))).select(
         "event_id", "version", "cluster_id")
 
 
+def _slim(rows):
+    """What clustering reads: its input is written once, without the texts."""
+    return rows.select("event_id", "version", "headline", "url", "received_at", "arrival_seq")
+
+
 @register("cluster_novelty", f"""WITH RECURSIVE {CLUSTERS}
 SELECT r.id AS event_id, r.version, cluster_id, row_number() OVER (PARTITION BY cluster_id
     ORDER BY v.received_at, v.arrival_seq) AS cluster_rank,
   {num('1.0 / row_number() OVER (PARTITION BY cluster_id ORDER BY v.received_at, v.arrival_seq)', 'novelty')}
 FROM clustered r JOIN versions v ON v.id = r.id AND v.version = r.version""")
 def _novelty(spark, root):
-    clustered = neardup.cluster_articles(versions(spark, root))
+    clustered = neardup.cluster_articles(_slim(versions(spark, root)))
     return news.cluster_novelty(clustered).select(
         "event_id", "version", "cluster_id", "cluster_rank", "novelty")
 

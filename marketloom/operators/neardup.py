@@ -13,6 +13,9 @@ and only ids of pairs that are left meet their tokens again to be verified.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -136,12 +139,10 @@ def cluster_articles(events: DataFrame, threshold: float = THRESHOLD,
     """Ordered leader clustering: in receipt order an article joins the first earlier head it
     matches, otherwise it becomes a head; heads are compared with articles, never members.
 
-    The heads are the lexicographically first independent set of the match graph. It is found in
-    rounds over the links of groups, which are made and verified once: an article that matches an
-    earlier head is out, one that matches no earlier undecided article is a head. Per group and slot
-    a round needs the earliest and the latest undecided article and head only, so copies cost no
-    more than their number, and articles without any earlier match are decided before the first
-    round. There are as many rounds as the longest chain of articles that wait for each other.
+    The heads are the lexicographically first independent set of the match graph, over links of
+    groups that are made and verified once. Articles without any match are heads; the others are
+    decided in order of receipt, one pass for each component of linked groups (:func:`leaders`),
+    however long a chain of articles waits for each other.
 
     ``open_heads`` are heads of earlier, already clustered articles (same columns as ``events``):
     with them, batches arriving in receipt order give the same clusters as one large batch.
@@ -170,20 +171,8 @@ def cluster_articles(events: DataFrame, threshold: float = THRESHOLD,
     if open_heads is not None:
         out = _matched(state, linked_rows.filter("open"), links, width)
         state = cut_lineage(state.join(out, "id", "left_anti"))
-    heads = items.filter("NOT open").select("id").join(linked_rows.select("id"), "id", "left_anti")
-    waiting = state
-    while True:
-        waits = _matched(waiting, waiting, links, width).withColumn("waits", F.lit(True))
-        fate = waiting.select("id").distinct().join(waits, "id", "left")
-        chosen = waiting.join(fate.filter("waits IS NULL").select("id"), "id", "left_semi")
-        out = _matched(waiting, chosen, links, width).withColumn("out", F.lit(True))
-        fate = cut_lineage(fate.join(out, "id", "left"))
-        heads = heads.unionByName(fate.filter("waits IS NULL").select("id"))
-        undecided = fate.filter("waits AND out IS NULL").select("id")
-        if undecided.isEmpty():
-            break
-        waiting = state.join(undecided, "id", "left_semi")
-
+    free = items.filter("NOT open").select("id").join(linked_rows.select("id"), "id", "left_anti")
+    heads = free.unionByName(leaders(state, links, width))
     heads = cut_lineage(heads)
     # One group and slot holds at most one head: two would match each other.
     shown = linked_rows.join(heads.unionByName(linked_rows.filter("open").select("id")).distinct(), "id", "left_semi").select(
@@ -199,6 +188,76 @@ def cluster_articles(events: DataFrame, threshold: float = THRESHOLD,
             .select(*columns, "cluster_id", "is_head"))
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """``g, root``: the smallest node that each node of ``edges (a, b)`` reaches.
+
+    Each node hands its larger neighbours, then its smaller ones, to the smallest node it knows;
+    rounds grow with the logarithm of the longest chain. Runs jobs.
+    """
+    now = cut_lineage(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = None
+    while True:
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        now = cut_lineage(small.filter("a <> b").distinct())
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if state == before:
+            return now.select(F.col("a").alias("g"), F.col("b").alias("root"))
+        before = state
+
+
+def leaders(waiting: DataFrame, links: DataFrame, width: int) -> DataFrame:
+    """Ids of the rows of ``waiting (id, g, slot, t, me)`` that become heads.
+
+    Linked groups, and the two groups of one article, make a component. Its articles pass a task in
+    order of receipt, slot by slot behind the links of the slot; a head covers its linked groups up
+    to the horizon, and an article of a covered group is no head. A task holds the covered groups
+    of one horizon and the links of one slot, not the articles.
+    """
+    waiting = cut_lineage(waiting)
+    live = cut_lineage(links.join(waiting.select(F.col("g").alias("other"), F.col("slot").alias("at")).distinct(), ["other", "at"], "left_semi"))
+    items = cut_lineage(waiting.groupBy("me").agg(F.min("slot").alias("slot"), F.array_sort(F.collect_set("g")).alias("gs")))
+    edges = live.select(F.col("g").alias("a"), F.col("other").alias("b")).unionByName(
+        items.filter(F.size("gs") > 1).select(F.col("gs")[0].alias("a"), F.explode("gs").alias("b")))
+    roots = components(edges)
+
+    def rooted(rows: DataFrame, g: Column) -> DataFrame:
+        return rows.join(roots.withColumnRenamed("g", "_g"), g == F.col("_g"), "left").withColumn("root", F.coalesce("root", g)).drop("_g")
+
+    none = F.lit(None)
+    reach = rooted(live, F.col("other")).select("root", F.col("at").alias("slot"), F.lit(0).alias("kind"), none.cast("long").alias("t"),
+                                                none.cast(waiting.schema["me"].dataType["seq"].dataType).alias("seq"), none.cast("string").alias("id"),
+                                                F.array("other", "g").alias("gs"))
+    told = rooted(items, F.col("gs")[0]).select("root", "slot", F.lit(1).alias("kind"), F.col("me.t").alias("t"),
+                                                F.col("me.seq").alias("seq"), F.col("me.id").alias("id"), "gs")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, slot, reaches, covered = None, None, {}, {}
+        for batch in batches:
+            found = []
+            for r, s, kind, t, name, gs in zip(*(batch.column(c).to_pylist() for c in ("root", "slot", "kind", "t", "id", "gs"))):
+                if r != root:
+                    root, slot, reaches, covered = r, s, {}, {}
+                elif s != slot:
+                    slot, reaches = s, {}
+                    covered = {g: until for g, until in covered.items() if until >= s * width}
+                if kind == 0:
+                    reaches.setdefault(gs[0], []).append(gs[1])
+                elif all(covered.get(g, t - 1) < t for g in gs):
+                    found.append(name)
+                    for g in gs:
+                        for other in reaches.get(g, ()):
+                            covered[other] = t + width
+            yield pa.RecordBatch.from_pydict({"id": pa.array(found, pa.string())})
+
+    rows = (reach.unionByName(told).repartition("root")
+            .sortWithinPartitions("root", "slot", "kind", "t", "seq", "id"))
+    return rows.mapInArrow(decide, "id string").distinct()
+
+
 def _matched(rows: DataFrame, others: DataFrame, links: DataFrame, width: int) -> DataFrame:
     """Ids of ``rows`` that match an earlier row of ``others``."""
     stats = others.groupBy(F.col("g").alias("other"), F.col("slot").alias("at")).agg(F.min("me").alias("first"), F.max("t").alias("last"))

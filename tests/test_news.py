@@ -166,3 +166,17 @@ def test_rounds_follow_chains_not_block_sizes(spark, monkeypatch):
     assert got == sequential(rows)
     assert got["k1"] == "k0" and got["k2"] == "k2" and len(set(got.values())) == 400 + 1 + 2
     assert len(calls) <= 4  # two rounds
+
+
+def test_long_chains_take_no_rounds(spark, monkeypatch):
+    """Hourly copies and variants over two months: every head waits for the one of the day before."""
+    base = [f"t{k}" for k in range(14)]
+    rows = [(f"e{i}", 1, " ".join(base if i % 3 else [*base[1:], f"v{i % 2}"]), "http://u/x" if i % 50 == 0 else "",
+             BASE + timedelta(minutes=61 * i), i) for i in range(1400)]
+    df = spark.createDataFrame(rows, "event_id string, version int, headline string, url string, received_at timestamp, arrival_seq long")
+    calls = []
+    real = neardup._matched
+    monkeypatch.setattr(neardup, "_matched", lambda *a: calls.append(1) or real(*a))
+    got = {r["event_id"]: r["cluster_id"] for r in neardup.cluster_articles(df).collect()}
+    assert got == sequential(rows)
+    assert len(set(got.values())) > 50 and len(calls) <= 4
