@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
@@ -45,37 +46,53 @@ def ordered_feed(rows: DataFrame, path: str, order: list[str], batches: int) ->
         parts.filter(F.col("_part") == number).drop("_part").coalesce(1).write.mode("append").parquet(path)
 
 
+# Groups of the revision state. A call per event costs far more than its rows do.
+BUCKETS = 4096
+
+
 def version_stream(events: DataFrame, horizon: str = "30 days") -> DataFrame:
     """Revision numbering with keyed state: newest edit time and version seen so far.
 
-    A micro-batch's rows of one event are ordered by arrival before they meet the state; the
-    source's file limit bounds how many there are. Older or repeated rows are dropped. An event's
-    state is dropped once the watermark (latest receipt less ``horizon``) has passed its last receipt,
-    so the state holds what was received lately, not all that ever was; rows that come more than
-    ``horizon`` late are dropped, and a revision after that would be numbered from one.
+    Events share a fixed number of state groups, each a list of (event, newest edit, version, last
+    receipt), so Python is called per group and not per event. A micro-batch's rows are ordered by
+    arrival before they meet the state; the source's file limit bounds how many there are. Older or
+    repeated rows are dropped. An event leaves the state once the watermark (latest receipt less
+    ``horizon``) has passed its last receipt, so the state holds what was received lately, not all
+    that ever was; rows that come more than ``horizon`` late are dropped, and a revision after that
+    would be numbered from one.
     """
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        known = {event: (newest, version, last) for event, newest, version, last in json.loads(state.get[0])} if state.exists else {}
+        mark = state.getCurrentWatermarkMs()
+        met, result = set(), None
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches)).sort_values("arrival_seq")
+            kept, numbers = [], []
+            for position, (event, edited, received) in enumerate(zip(rows["event_id"], rows["updated_at"], rows["received_at"])):
+                newest, version, last = known.get(event, (None, 0, 0))
+                micros = edited.value // 1000
+                if newest is None or micros > newest:
+                    newest, version = micros, version + 1
+                    kept.append(position)
+                    numbers.append(version)
+                # Times of the state are milliseconds; an event goes when the watermark is past its last receipt.
+                last = max(last, mark + 1, 0 if pd.isna(received) else received.value // 1_000_000 + 1)
+                known[event] = (newest, version, last)
+                met.add(event)
+            result = rows.iloc[kept].drop(columns="_bucket", errors="ignore").assign(version=numbers)
+        known = {event: told for event, told in known.items() if event in met or told[2] > mark}
+        if known:
+            state.update((json.dumps([(event, *told) for event, told in known.items()]),))
+            state.setTimeoutTimestamp(min(last for _, _, last in known.values()))
+        else:
             state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values("arrival_seq")
-        newest, version, last = state.get if state.exists else (None, 0, 0)
-        kept, numbers = [], []
-        for position, edited in enumerate(rows["updated_at"]):
-            micros = edited.value // 1000
-            if newest is None or micros > newest:
-                newest, version = micros, version + 1
-                kept.append(position)
-                numbers.append(version)
-        # Times of the state are milliseconds; it goes when the watermark is past the last receipt.
-        last = max([last, state.getCurrentWatermarkMs() + 1, *(t.value // 1_000_000 + 1 for t in rows["received_at"].dropna())])
-        state.update((newest, version, last))
-        state.setTimeoutTimestamp(last)
-        yield rows.iloc[kept].assign(version=numbers)
-
-    slim = events.select("event_id", "updated_at", "arrival_seq", "headline", "url", "received_at")
-    return slim.withWatermark("received_at", horizon).groupBy("event_id").applyInPandasWithState(
-        step, VERSION_SCHEMA, "newest long, version long, last long", "append", GroupStateTimeout.EventTimeTimeout)
+        if result is not None:
+            yield result
+
+    slim = events.select("event_id", "updated_at", "arrival_seq", "headline", "url", "received_at",
+                         F.pmod(F.xxhash64("event_id"), F.lit(BUCKETS)).alias("_bucket"))
+    return slim.withWatermark("received_at", horizon).groupBy("_bucket").applyInPandasWithState(
+        step, VERSION_SCHEMA, "events string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def known_heads(spark: SparkSession, state_folder: str, batch_id: int, first: datetime,

@@ -152,3 +152,26 @@ def test_growing_features(spark, tmp_path):
         run(stream, tmp_path, "grown", batch=assign)
     got = sorted((r["id"], r["x"], r["batch"]) for r in spark.read.parquet(out).collect())
     assert got == [(0, 0.0, 0), (1, 1.0, 1), (2, 2.0, 2), (10, None, 0), (11, None, 1), (12, None, 2)]
+
+
+def test_revision_state_is_grouped(spark, tmp_path, monkeypatch):
+    """Python is called per group of events: far fewer groups than events, same numbers."""
+    monkeypatch.setattr(news_stream, "BUCKETS", 7)
+    schema = "event_id string, updated_at timestamp, arrival_seq long, headline string, url string, received_at timestamp"
+    rows = [(f"e{i % 300}", datetime(2024, 1, 1) + timedelta(hours=(i * 7) % 11, minutes=i // 300), i, "h", "", datetime(2024, 1, 1) + timedelta(hours=i // 300))
+            for i in range(1200)]
+    path = str(tmp_path / "in")
+    feed(spark, path, rows[:500], schema)
+    feed(spark, path, rows[500:], schema)
+    stream = news_stream.version_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path))
+    query = (stream.writeStream.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).format("parquet")
+             .option("path", str(tmp_path / "out")).outputMode("append").start())
+    query.awaitTermination(300)
+    assert query.exception() is None
+    want, newest, count = set(), {}, {}
+    for event, edited, seq, *_ in rows:
+        if event not in newest or edited > newest[event]:
+            newest[event], count[event] = edited, count.get(event, 0) + 1
+            want.add((event, seq, count[event]))
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("event_id", "arrival_seq", "version").collect()} == want
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 7
