@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import audit, backtest, pit
 from ..plans import views
 from ..session import scratch_path
-from ..sources import ledger_store, manifest, raw_store
+from ..sources import files, ledger_store, manifest, raw_store
 from . import backtest as backtests
 from .audit import CHAINED, records
 from .base import BARS, num, register, when
@@ -34,7 +34,7 @@ def _foreign(spark, root):
                     F.lit('", "prev_hash": "'), prev, F.lit('", "hash": "'), F.col("hash"), F.lit('", "data": '), body, F.lit("}"))
     path = scratch_path(spark, "foreign")
     built = audit.build_chain(records(spark, root))
-    built.select("chain", line.alias("value")).repartition("chain").write.partitionBy("chain").text(path)
+    files.write_keyed_text(built.select("chain", line.alias("value")), "chain", "value", path)
     ledger = ledger_store.read_foreign_ledger(spark, path)
     return ledger_store.verify_foreign(ledger, ["chain"]).select(F.col("chain").cast("long").alias("chain"), "seq", "problem")
 
@@ -51,7 +51,7 @@ def _files(spark, root):
     frozen, now = scratch_path(spark, "frozen"), scratch_path(spark, "now")
     edited = F.when(k % 10 == 5, F.concat("value", F.lit(" (edited)"))).otherwise(F.col("value"))
     for part, path in ((rows.filter(k % 10 != 3), frozen), (rows.filter(k % 10 != 4).withColumn("value", edited), now)):
-        part.write.partitionBy("s_suppkey").text(path)
+        files.write_keyed_text(part, "s_suppkey", "value", path)
     found = [manifest.file_manifest(spark, path, "*.txt").withColumn("path", F.substring_index("path", "/", 1)) for path in (frozen, now)]
     return manifest.drift(*found)
 

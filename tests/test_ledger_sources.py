@@ -125,3 +125,28 @@ def test_file_manifest(spark, tmp_path):
     assert {r["path"]: r["status"] for r in manifest.drift(frozen, now).collect()} == {"a.yaml": "changed", "d.yaml": "added"}
     with pytest.raises(manifest.ManifestDrift):
         manifest.assert_frozen(frozen, now)
+
+
+def test_one_file_per_key_without_a_committer(spark, tmp_path, monkeypatch):
+    """Repeated and NULL keys, NULL lines; read back as Spark's partitioned text; few calls however many keys."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from marketloom.sources import files
+    monkeypatch.setattr(DataFrameWriter, "text", lambda *a, **k: pytest.fail("written file by file through the committer"))
+    rows = [(i % 400, f"line {i}") for i in range(800)] + [(None, "no key"), (7, None), (7, "\u00e9")]
+    df = spark.createDataFrame(rows, "k long, value string").coalesce(1)
+    folder = tmp_path / "with space"
+    files.write_keyed_text(df, "k", "value", folder.as_uri())
+    assert (folder / "k=7" / "part.txt").read_text() == "line 7\nline 407\n\n\u00e9\n"
+    got = {(r["k"], r["value"]) for r in spark.read.text(str(folder)).collect()}
+    assert got == {(k, v or "") for k, v in rows}
+    assert manifest.file_manifest(spark, str(folder), "*.txt").count() == 401
+
+
+def test_manifest_and_foreign_queries_write_in_place(spark, root, monkeypatch):
+    import __spark_entry__ as driver
+    from pyspark.sql.readwriter import DataFrameWriter
+    monkeypatch.setattr(DataFrameWriter, "text", lambda *a, **k: pytest.fail("written file by file through the committer"))
+    found = driver.queries()["file_manifest_drift"](spark, root)
+    assert {r["status"] for r in found.collect()} <= {"added", "removed", "changed"}
+    assert set(driver.queries()["foreign_ledger_problems"](spark, root).columns) == {"chain", "seq", "problem"}
