@@ -3,12 +3,10 @@
 A k-mer of a text is a closed syncmer if the smallest of its inner s-mers (by hash, leftmost on
 ties) is the first or the last one. That depends on the k-mer alone, so an edit changes anchors
 around it only, and every window of k - s + 1 k-mers holds one. Each anchor is an id (the k-mer's
-hash) with a place. A fingerprint keeps the anchors with ids below a fixed bound, a quarter of all
-distinct anchors whatever the length of the text, and never fewer than the ``LEAST`` smallest, each
-with its place.
+hash) with a place. A fingerprint keeps every distinct anchor of the text, each with its first place.
 
-Two fingerprints are likened on the ids up to which both are complete: the part of them that both
-hold, at places that agree with the common shift, estimates how much of the texts is shared.
+Two fingerprints are likened on all their anchors: the part of them that both hold, at places that
+agree with the common shift, is counted.
 """
 
 from __future__ import annotations
@@ -24,10 +22,6 @@ from pyspark.sql import functions as F
 from .batches import small_batches
 
 K, S = 24, 12
-LEAST = 64
-# Ids below this are always kept.
-BOUND = np.uint64(1 << 62)
-ALL = np.uint64((1 << 64) - 1)
 # Characters that a place may be off the common shift.
 TOLERANCE = 256
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -74,39 +68,36 @@ def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
     return mixed(ids), at
 
 
-Print = tuple[np.ndarray, np.ndarray, np.uint64]
+Print = tuple[np.ndarray, np.ndarray]
 
 
 def fingerprint(text: str) -> Print:
-    """The kept anchors: ids ascending, the first place of each, and the id up to which none is missing."""
+    """All distinct anchors: ids ascending, and the first place of each."""
     ids, at = anchors(text)
     ids, first = np.unique(ids, return_index=True)
-    n = max(LEAST, int(np.searchsorted(ids, BOUND)))
-    limit = ALL if n >= len(ids) else max(BOUND - np.uint64(1), ids[n - 1])
-    return ids[:n], at[first[:n]], limit
+    return ids, at[first]
 
 
 def likeness(a: Print, b: Print) -> float:
-    """Estimated share of distinct anchors in common, at consistent places; 1 for equal fingerprints.
+    """Share of distinct anchors in common, at consistent places; 1 for equal fingerprints.
 
     Two empty texts are alike (1), an empty and another one are not (0). An anchor counts if its
     shift is within ``TOLERANCE`` characters of the median shift.
     """
     if len(a[0]) == 0 or len(b[0]) == 0:
         return float(len(a[0]) == len(b[0]))
-    limit = min(a[2], b[2])
-    na, nb = (int(np.searchsorted(x[0], limit, "right")) for x in (a, b))
-    both, ia, ib = np.intersect1d(a[0][:na], b[0][:nb], assume_unique=True, return_indices=True)
+    both, ia, ib = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     if not len(both):
         return 0.0
     shift = a[1][ia] - b[1][ib]
     near = np.abs(shift - np.median(shift)) <= TOLERANCE
-    return float(near.sum() / (na + nb - len(both)))
+    return float(near.sum() / (len(a[0]) + len(b[0]) - len(both)))
 
 
 def printed(f: Print) -> str:
-    """As hexadecimal text: 16 digits for the limit and for every id, then 8 for every place."""
-    return f"{int(f[2]):016x}" + f[0].astype(">u8").tobytes().hex() + f[1].astype(">u4").tobytes().hex()
+    """As hexadecimal text: 16 digits for the id up to which none is missing (the largest there can be),
+    16 for every id, then 8 for every place."""
+    return "f" * 16 + f[0].astype(">u8").tobytes().hex() + f[1].astype(">u4").tobytes().hex()
 
 
 def with_successors(docs: DataFrame, buckets: int) -> DataFrame:

@@ -121,3 +121,15 @@ def test_registered_likeness_is_that_of_the_texts(spark):
             assert r["near_edited"] == pytest.approx(plain_likeness(text, edited))
         if text and after:
             assert r["near_next"] == pytest.approx(plain_likeness(text, after))
+
+
+def test_fingerprints_keep_every_anchor():
+    """Nothing is left out at any length, and the likeness is the count over all anchors."""
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdefgh ijklmno") for _ in range(20_000))
+    ids, at = syncmers.anchors(text)
+    own = syncmers.fingerprint(text)
+    assert set(own[0].tolist()) == set(ids.tolist()) and len(own[0]) > 2500
+    assert len(syncmers.printed(own)) == 16 + 24 * len(own[0])
+    for other in (text[:15_000] + text[:5_000], text[:10_000], text[:9_000] + "####" + text[9_004:]):
+        assert abs(syncmers.likeness(own, syncmers.fingerprint(other)) - plain_likeness(text, other)) < 1e-9
