@@ -3,6 +3,7 @@
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from marketloom.session import scratch_path
 
@@ -47,3 +48,19 @@ def test_settled_results_outlive_their_scratch_tables(spark):
     with pytest.raises(ZeroDivisionError):
         settled(spark, lambda: 1 / 0)
     assert settled(spark, lambda: spark.range(2)).count() == 2
+
+
+def test_python_batches_are_bounded_in_bytes(spark):
+    """Long texts meet a model in many small batches, not in one of 10,000 rows."""
+    import pandas as pd
+
+    from marketloom.operators import news
+    from marketloom.session import tune
+    tune(spark)
+
+    def model(headline, summary):
+        return pd.DataFrame({"event_type": "jobs", "event_direction": "neutral",
+                             "confidence": [1.0 / len(summary)] * len(summary)})
+    docs = spark.range(600, numPartitions=1).select(F.lit("h").alias("headline"), F.repeat(F.lit("x"), 100_000).alias("summary"))
+    fewest = news.classify_with(docs, model, "m").agg(F.min("confidence").alias("c")).first()["c"]
+    assert 1 / fewest <= 120
