@@ -36,6 +36,9 @@ ORDERS = 3
 SKETCH_BITS = 18
 PARITY_BITS = 1024
 PARITY_WORDS = PARITY_BITS // 64
+# A sketch of PARITY_BITS tells nothing of sets that are much larger than it; sets beyond this many tokens
+# have a second one of at least half a bit for each token.
+LARGE_SET = 2 * PARITY_BITS
 # Ids up to this number (16 bytes each) are broadcast to pick texts; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -68,16 +71,17 @@ def frequency_classes(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int, num: int, den: int, classes: Broadcast) -> DataFrame:
-    """``doc_id, h, g, n, w, p0, p1, p2, parity`` per row.
+    """``doc_id, h, g, n, w, p0, p1, p2, parity, wide`` per row.
 
     Text hash, set hash, set size, the part of the first prefix that is of frequent tokens (in 255ths),
-    prefixes, parity sketch.
+    prefixes, parity sketch, that of large sets.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(strings(batch, "text"), n)
             cols: list[list] = [[] for _ in range(ORDERS)]
             parity = np.zeros((len(sets), PARITY_WORDS), dtype=np.int64)
+            wide = [np.zeros(0, np.int64)] * len(sets)
             usual = np.zeros(len(sets), dtype=np.int32)
             for i, s in enumerate(sets):
                 if not len(s):
@@ -92,18 +96,33 @@ def signatures(docs: DataFrame, n: int, num: int, den: int, classes: Broadcast)
                     cols[k].append(s[first].view(np.int64))
                     if k == 0:
                         usual[i] = np.count_nonzero(rank[first]) * 255 // len(first)
-                bits = np.bincount((mixed(s ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(PARITY_BITS - 1)).astype(np.int64),
-                                   minlength=PARITY_BITS) & 1
-                parity[i] = np.packbits(bits.astype(np.uint8)).view(np.int64)
+                places = mixed(s ^ np.uint64(0x5851F42D4C957F2D))
+                parity[i] = sketch(places, PARITY_BITS)
+                if len(s) > LARGE_SET:
+                    wide[i] = sketch(places, wide_bits(len(s)))
             arrays = [batch.column("doc_id"), batch.column("h"), pa.array([set_hash(s) for s in sets], pa.int64()),
                       pa.array([len(s) for s in sets], pa.int64()), pa.array(usual), lists(cols[0], np.int64)]
             arrays += [lists([c.astype(np.int32) for c in col], np.int32) for col in cols[1:]]
-            arrays.append(lists(list(parity), np.int64))
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "h", "g", "n", "w", "p0", "p1", "p2", "parity"])
+            arrays += [lists(list(parity), np.int64), lists(wide, np.int64)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "h", "g", "n", "w", "p0", "p1", "p2", "parity", "wide"])
 
     return small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"),
                                      "text")).mapInArrow(
-        run, "doc_id long, h long, g long, n long, w int, p0 array<long>, p1 array<int>, p2 array<int>, parity array<long>")
+        run, "doc_id long, h long, g long, n long, w int, p0 array<long>, p1 array<int>, p2 array<int>, parity array<long>, wide array<long>")
+
+
+def wide_bits(n: int) -> int:
+    """Half as many bits as tokens, rounded up to a power of two."""
+    return 1 << (-(-n // 2) - 1).bit_length()
+
+
+def sketch(places: np.ndarray, size: int) -> np.ndarray:
+    """Whether an odd number of tokens falls on each of ``size`` places, as 64-bit words.
+
+    One of twice the size has this one's words as the exclusive or of its halves.
+    """
+    bits = np.bincount((places & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
 def set_hash(s: np.ndarray) -> int:
@@ -147,7 +166,7 @@ def verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, nodes: DataFram
     are read.
     """
     pairs = cut_lineage(pairs.select("a", "b").distinct())
-    prefixes = rows.select("g", "p1", "p2").join(sized(ends(pairs)), "g", "left_semi")
+    prefixes = further_prefixes(rows, ends(pairs))
     pairs = cut_lineage(
         pairs.join(prefixes.select(F.col("g").alias("a"), F.col("p1").alias("a1"), F.col("p2").alias("a2")), "a")
         .join(prefixes.select(F.col("g").alias("b"), F.col("p1").alias("b1"), F.col("p2").alias("b2")), "b")
@@ -162,19 +181,37 @@ def verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, nodes: DataFram
     return cut_lineage(both.filter(shared * den >= (size - shared) * num).select("a", "b").distinct())
 
 
+def further_prefixes(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``g, p1, p2`` once per set in ``ids (g)``, however many documents have it."""
+    return rows.select("g", "p1", "p2").join(sized(ids), "g", "left_semi").dropDuplicates(["g"])
+
+
 def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("g")).unionByName(pairs.select(F.col("b").alias("g"))).distinct()
 
 
 def may_link(a: str, b: str, num: int, den: int) -> Column:
-    """Length filter and parity sketch."""
+    """Length filter and parity sketches."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
     parity = [F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(PARITY_WORDS)]
     apart = parity[0]
     for p in parity[1:]:
         apart = apart + p
     return ((F.least(na, nb) * den >= F.greatest(na, nb) * num)
-            & (apart * (den + num) <= (na + nb) * (den - num)))
+            & (apart * (den + num) <= (na + nb) * (den - num))
+            & F.when((F.size(f"{a}.wide") > 0) & (F.size(f"{b}.wide") > 0),
+                     wide_apart(F.col(f"{a}.wide"), F.col(f"{b}.wide")) * (den + num) <= (na + nb) * (den - num))
+            .otherwise(True))
+
+
+def wide_apart(a: Column, b: Column) -> Column:
+    """Differing bits of two sketches, the longer one folded once if need be; 0 if it is longer still."""
+    long, short = F.when(F.size(a) > F.size(b), a).otherwise(b), F.when(F.size(a) > F.size(b), b).otherwise(a)
+    half = F.size(short)
+    folded = F.zip_with(F.slice(long, 1, half), F.slice(long, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+    fitted = F.when(F.size(long) == half, long).otherwise(folded)
+    count = F.aggregate(F.zip_with(fitted, short, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return F.when(F.size(long) <= 2 * half, count).otherwise(0)
 
 
 def similarity_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -207,7 +244,7 @@ def row_components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         .select("g", F.count("*").over(held).alias("holders"), F.max(F.struct("w", "g")).over(held)["g"].alias("hub"))
         .filter("holders > 1").groupBy("hub", "g").agg(F.count("*").alias("k")))
     parts = [F.col("parity")[i].alias(f"s{i}") for i in range(PARITY_WORDS)]
-    known = cut_lineage(some.select("g", "n", *parts).join(sized(members.select("g").distinct()), "g", "left_semi")
+    known = cut_lineage(some.select("g", "n", "wide", *parts).join(sized(members.select("g").distinct()), "g", "left_semi")
                         .distinct())
     links = verified(docs, some, star_pairs(members, known, num, den), nodes, n, num, den)
     roots = connected(links)

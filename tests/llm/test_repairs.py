@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marketloom.llm import line_dedup, mixing, pieces, syncmers
+from marketloom.llm import line_dedup, mixing, ngram_join, pieces, syncmers
 from marketloom.llm.common import tokenizer_file
 
 
@@ -133,3 +133,26 @@ def test_fingerprints_keep_every_anchor():
     assert len(syncmers.printed(own)) == 16 + 24 * len(own[0])
     for other in (text[:15_000] + text[:5_000], text[:10_000], text[:9_000] + "####" + text[9_004:]):
         assert abs(syncmers.likeness(own, syncmers.fingerprint(other)) - plain_likeness(text, other)) < 1e-9
+
+
+def test_large_sets_are_told_apart_before_they_are_compared(spark):
+    """Pairs of large sets leave the candidate join only if they are near; copies are one row of it."""
+    words = [f"w{i}" for i in range(9000)]
+    # Sizes on both sides of 4096, where a wide sketch doubles; the last two share half of their shingles.
+    texts = [words[:4000], words[:4400], words[:8300], words[:8000], words[5000:9000], words[3000:7000]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)] + [(90 + i, " ".join(texts[0])) for i in range(9)],
+                               "doc_id long, text string")
+    classes = spark.sparkContext.broadcast(np.zeros(1 << ngram_join.SKETCH_BITS, dtype=np.uint64))
+    rows = ngram_join.signatures(df, 4, 85, 100, classes)
+    parts = [F.col("parity")[i].alias(f"s{i}") for i in range(ngram_join.PARITY_WORDS)]
+    known = rows.select("doc_id", "g", "n", "wide", *parts).filter("doc_id < 90")
+    near = (known.alias("x").join(known.alias("y"), (F.col("x.doc_id") < F.col("y.doc_id")) & ngram_join.may_link("x", "y", 85, 100))
+            .select("x.doc_id", "y.doc_id").collect())
+    assert sorted(map(tuple, near)) == [(0, 1), (2, 3)]
+    assert ngram_join.further_prefixes(rows, rows.select("g").distinct()).count() == len(texts)
+    assert ngram_join.wide_bits(4097) == 4096 and ngram_join.wide_bits(4096) == 2048
+    a, b = np.arange(5000, dtype=np.uint64), np.arange(3, 4999, dtype=np.uint64)
+    pair = spark.createDataFrame([(ngram_join.sketch(a, 4096).tolist(), ngram_join.sketch(b, 2048).tolist())], "a array<long>, b array<long>")
+    assert pair.select(ngram_join.wide_apart(F.col("a"), F.col("b"))).first()[0] == 4
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.similarity_components(df).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 5} | {90 + i: 0 for i in range(9)}
