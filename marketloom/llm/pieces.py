@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -149,7 +150,33 @@ class PieceModel:
         ids.reverse()
         return ids
 
+    def short(self, chars: str) -> list[int]:
+        """``stream`` for stretches within which nothing would be committed."""
+        get, longest, end = self.trie.get, self.longest, len(chars)
+        best, start, last = [-math.inf] * (end + 1), [0] * (end + 1), [None] * (end + 1)
+        best[0] = 0.0
+        for at in range(end):
+            here = best[at]
+            hit = get(chars[at])
+            if hit is None or hit[0] < 0:
+                if here + self.unknown > best[at + 1]:
+                    best[at + 1], start[at + 1], last[at + 1] = here + self.unknown, at, self.unknown_ids(chars[at])
+                if hit is None:
+                    continue
+            elif here + hit[1] > best[at + 1]:
+                best[at + 1], start[at + 1], last[at + 1] = here + hit[1], at, hit[0]
+            for to in range(at + 2, (at + longest if at + longest < end else end) + 1):
+                hit = get(chars[at:to])
+                if hit is None:
+                    break
+                piece, score = hit
+                if piece >= 0 and here + score > best[to]:
+                    best[to], start[to], last[to] = here + score, at, piece
+        return self.path(start, last, end)
+
     def stretch(self, chars: str) -> bytes:
+        if len(chars) < COMMIT:
+            return array("i", self.short(chars)).tobytes()
         return b"".join([struct.pack(f"<{len(g)}i", *g) for g in self.stream(chars)])
 
     def encode(self, text: str) -> bytes:
@@ -164,7 +191,10 @@ class PieceModel:
                 break
             if len(word) <= REMEMBERED_CHARS:
                 memory[word] = self.stretch(word)
-        return b"".join([memory[w] if w in memory else self.stretch(w) for w in words])
+        try:
+            return b"".join([memory[w] for w in words])
+        except KeyError:
+            return b"".join([memory[w] if w in memory else self.stretch(w) for w in words])
 
     def decode(self, ids: bytes) -> str:
         table, size = self.text, len(self.text)

@@ -156,3 +156,14 @@ def test_large_sets_are_told_apart_before_they_are_compared(spark):
     assert pair.select(ngram_join.wide_apart(F.col("a"), F.col("b"))).first()[0] == 4
     got = {r["doc_id"]: r["component_id"] for r in ngram_join.similarity_components(df).collect()}
     assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 5} | {90 + i: 0 for i in range(9)}
+
+
+def test_short_stretches_are_cut_as_in_a_stream():
+    import random as rnd
+
+    m = pieces.PieceModel(tokenizer_file("piece_bpe_32k.model"))
+    rng = rnd.Random(5)
+    letters = [pieces.SPACE, *"etaoinshrdlu019.,-", "é", "ß", "語", "\U0001F600", "\x00", "\n", " "]
+    words = ["".join(rng.choices(letters, k=rng.randrange(0, 60))) for _ in range(2000)]
+    for w in [*words, pieces.SPACE + "international", "z" * (pieces.COMMIT - 1)]:
+        assert m.short(w) == [i for part in m.stream(w) for i in part]
