@@ -25,6 +25,8 @@ from .common import cut_lineage
 
 GRAM = 4
 HASHES = 3
+# Distinct n-grams of one language that a task counts before it hands them over.
+MAX_GRAMS = 1 << 18
 SLOTS = 1 << 18
 UNKNOWN = "und"
 # ASCII letters stay, other bytes of several-byte characters too; the rest becomes a space.
@@ -64,13 +66,15 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            langs = np.array(batch.column("lang").to_pylist(), dtype=object)
-            code, rows = grams([t or "" for t in batch.column("text").to_pylist()])
-            for lang in sorted(set(langs)):
-                part = np.unique(code[langs[rows] == lang], return_counts=True) if len(code) else (code, code)
-                totals[lang] = merged(totals[lang], part) if lang in totals else part
-                if len(totals[lang][0]) > 1 << 20:  # bounded memory: hand over and start anew
-                    yield counted(lang, *totals.pop(lang))
+            by_lang: dict[str, list[str]] = {}
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                by_lang.setdefault(lang, []).append(text or "")
+            for lang in sorted(by_lang):
+                for texts in chunks(by_lang[lang]):
+                    part = np.unique(grams(texts)[0], return_counts=True)
+                    totals[lang] = merged(totals[lang], part) if lang in totals else part
+                    if len(totals[lang][0]) > MAX_GRAMS:  # bounded memory: hand over and start anew
+                        yield counted(lang, *totals.pop(lang))
         for lang, total in totals.items():
             yield counted(lang, *total)
 
@@ -155,8 +159,8 @@ def decide(filters: Filters, texts: list[str | None]) -> tuple[list[str], np.nda
     return [langs[b] if k else UNKNOWN for b, k in zip(best, known)], np.clip(score, 0.0, 1.0), cover
 
 
-# Characters of texts that are looked at together.
-CHARS = 1 << 21
+# Characters of texts that are looked at together; each takes dozens of bytes meanwhile.
+CHARS = 1 << 18
 
 
 def identify(docs: DataFrame, filters: Filters) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marketloom.llm import line_dedup, mixing, ngram_join, pieces, syncmers
+from marketloom.llm import langid, line_dedup, mixing, ngram_join, pieces, syncmers
 from marketloom.llm.common import tokenizer_file
 
 
@@ -158,6 +158,29 @@ def test_large_sets_are_told_apart_before_they_are_compared(spark):
     assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 5} | {90 + i: 0 for i in range(9)}
 
 
+def test_a_long_text_column_is_looked_at_in_small_parts():
+    import tracemalloc
+
+    slots = np.zeros((langid.SLOTS, 1), dtype=np.uint64)
+    filters = langid.Filters(("a", "b"), slots, np.zeros(2))
+    texts = ["some words of a text " * 100] * 1500 + [None, ""]
+    tracemalloc.start()
+    seen = [x for part in langid.chunks(texts) for x in langid.decide(filters, part)[0]]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(seen) == len(texts) and seen[-2:] == [langid.UNKNOWN] * 2
+    assert peak < 64 << 20
+
+
+def test_grams_are_counted_over_parts_as_over_all(spark):
+    texts = [("x", "ab cde " * 30_000), ("y", "ab cde"), ("x", "fgh ij " * 30_000), ("y", None), ("x", "")]
+    df = spark.createDataFrame(texts, "lang string, text string").coalesce(1)
+    want = Counter()
+    for lang, text in texts:
+        want.update((lang, int(c)) for c in langid.grams([text or ""])[0])
+    assert {(r["lang"], r["gram"]): r["n"] for r in langid.gram_counts(df).collect()} == dict(want)
+
+
 def test_short_stretches_are_cut_as_in_a_stream():
     import random as rnd
 
