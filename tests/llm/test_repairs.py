@@ -158,6 +158,15 @@ def test_large_sets_are_told_apart_before_they_are_compared(spark):
     assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 5} | {90 + i: 0 for i in range(9)}
 
 
+def test_votes_are_written_before_they_are_read_twice(spark):
+    kinds = spark.createDataFrame([(1, i, 2, ["a", "b", "c", "d", f"e{i}", "f"]) for i in range(5)],
+                                  "branch long, own long, lines long, words array<string>")
+    votes = line_dedup._vote(kinds, None, 3, 0.5, 3, False)
+    assert sorted(map(tuple, votes.collect())) == [(1, i) for i in range(5)]
+    # The words are not spread again for what is read of them.
+    assert "Generate" not in votes._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_a_long_text_column_is_looked_at_in_small_parts():
     import tracemalloc
 
