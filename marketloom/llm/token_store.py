@@ -10,12 +10,14 @@ that a range of documents reads few pages and metadata reads no ids.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,49 +37,103 @@ BESIDE = ("  ", " \n", "\n ")
 RARE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 
 
+# A word of letters, then other characters, letters, other characters: the pre-tokenizer cuts wherever the two kinds
+# meet. Apostrophes begin contractions and two line ends at a cut depend on what follows: such words stay whole.
+LETTERS, OTHERS = "[A-Za-zÀ-ÖØ-öø-ÿ]", "[\\n!-&(-@[-`{-~]"
+PARTS = re.compile(f"({LETTERS}+)({OTHERS}++)(?<!\\n\\n)(?:({LETTERS}+)({OTHERS}*+))?")
+
+
 class WordwiseTokenizer:
     """A byte-level BPE tokenizer of the tokenizers library, asked once per word.
 
     Its pre-tokenizer cuts before every single space between two other characters that are not
     white space, and merges stay within what it cuts, so words can be encoded apart and remembered.
+    Words with a sentence's end or other marks are put together from parts that are remembered too.
     Texts with other white space beside spaces, or with an added token, go to the library whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        before = self.tokenizer.pre_tokenizer
+        self.in_parts = (self.tokenizer.normalizer is None and isinstance(before, pre_tokenizers.ByteLevel)
+                         and before.use_regex and not before.add_prefix_space)
         # Words with the space before them: those met since the last change, and those before it.
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        # Later parts of words, without a space before them.
+        self.inner: dict[str, bytes] = {"": b""}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of the texts as little-endian 32-bit numbers."""
         if len(self.young) >= REMEMBERED:
             self.young, self.old = {}, self.young
-        words = [None if self.odd(t) else t.split(" ") for t in texts]
-        self.learn({x for ws in words if ws for x in ws[1:]})
-        firsts = iter(self.ask([ws[0] if ws else t for ws, t in zip(words, texts)]))
-        young = self.young
-        return [next(firsts) + b"".join([young[x] for x in ws[1:]]) if ws else next(firsts) for ws in words]
+        if len(self.inner) >= REMEMBERED:
+            self.inner = {"": b""}
+        heads, rests = [], []
+        for text in texts:
+            head, space, rest = (text, "", "") if self.odd(text) else text.partition(" ")
+            heads.append(head)
+            rests.append(rest if space else None)
+        words = pc.split_pattern(pa.array(rests, pa.large_string()), " ")
+        coded = words.flatten().dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.learn(names)
+        # All ids that the batch needs, one stretch per word and per head; then the stretches in the order of the texts.
+        parts = [*map(self.young.__getitem__, names), *self.ask(heads)]
+        ids = np.frombuffer(b"".join(parts), dtype="<i4")
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        starts = np.cumsum(sizes) - sizes
+        counts = 1 + pc.fill_null(pc.list_value_length(words), 0).to_numpy()
+        first = np.cumsum(counts) - counts
+        order = np.empty(counts.sum(), dtype=np.int64)
+        later = np.ones(len(order), dtype=bool)
+        later[first] = False
+        order[later] = coded.indices.to_numpy()
+        order[first] = len(names) + np.arange(len(texts))
+        long = sizes[order]
+        ends = np.cumsum(long)
+        moved = np.repeat(starts[order] - ends + long, long)
+        moved += np.arange(len(moved))
+        stream = ids[moved]
+        bounds = [0, *ends[first + counts - 1].tolist()]
+        return [stream[x:y].tobytes() for x, y in zip(bounds, bounds[1:])]
 
     def odd(self, text: str) -> bool:
         return any(x in text for x in BESIDE) or any(x in text for x in RARE) or any(x in text for x in self.added)
 
-    def learn(self, words: set[str]) -> None:
-        old, young, new = self.old, self.young, []
-        for word in words.difference(young):
+    def learn(self, words: list[str]) -> None:
+        old, young, inner, new, cut = self.old, self.young, self.inner, set(), []
+        for word in words:
+            if word in young:
+                continue
             known = old.get(word)
-            if known is None:
-                new.append(word)
-            else:
+            if known is not None:
                 young[word] = known
-        young.update(zip(new, self.ask([" " + w for w in new])))
+            elif self.in_parts and not word.isalpha() and (found := PARTS.fullmatch(word)):
+                cut.append((word, *found.groups("")))
+            else:
+                new.add(word)
+        for _, head, *_ in cut:
+            if head not in young:
+                known = old.get(head)
+                if known is not None:
+                    young[head] = known
+                else:
+                    new.add(head)
+        heads = list(new)
+        young.update(zip(heads, self.ask([" " + w for w in heads])))
+        parts = list({p for c in cut for p in c[2:]}.difference(inner))
+        inner.update(zip(parts, self.ask(parts)))
+        for word, head, a, b, c in cut:
+            young[word] = young[head] + inner[a] + inner[b] + inner[c]
 
     def ask(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        # The same ids as encode_batch, without places in the text.
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("i", e.ids).tobytes() for e in found]
 
 
