@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ordered import chunk_scan, previous_row, rows_chunk, running_sum
+from ..plans.ordered import chunk_scan, parted, previous_row, rows_chunk, running_sum
 from ..session import cut_lineage
 
 GENESIS = "0" * 64
@@ -150,19 +150,54 @@ def ledger_tail(ledger: DataFrame, n: int = 20, seq: str = "seq") -> DataFrame:
 
 # ------------------------------------------------------- fills → positions
 
+def _signed() -> Column:
+    return F.when(F.col("side") == "BUY", F.col("qty")).when(F.col("side") == "SELL", -F.col("qty")).otherwise(0.0)
+
+
+def _short_accounts(fills: DataFrame, rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """Fills of the accounts that lie in one chunk of ``rows`` fills, with it as ``_c``, and those of all others (or None).
+
+    Short accounts need no carry from chunk to chunk: one shuffle brings a chunk together, and windows do the rest.
+    """
+    chunk = rows_chunk("seq", rows)
+    spread = fills.groupBy("account").agg(F.min(chunk).alias("_from"), F.max(chunk).alias("_to"), F.count("*").alias("_n"),
+                                          F.count(chunk).alias("_placed"))
+    long = spread.filter((F.col("_placed") < F.col("_n")) | (F.col("_from") < F.col("_to")))
+    short, rest = parted(fills, ["account"], long)
+    return short.withColumn("_c", chunk).repartition("account", "_c"), rest
+
+
+def _positions_in_one(fills: DataFrame) -> DataFrame:
+    """:func:`running_positions` of accounts that lie in one chunk ``_c``."""
+    inner = Window.partitionBy("account", "_c", "symbol").orderBy("seq")
+    exclusive = inner.rowsBetween(Window.unboundedPreceding, -1)
+    summed = (fills.withColumn("_q", _signed())
+              .withColumn("_s", F.sum("_q").over(inner.rowsBetween(Window.unboundedPreceding, 0))))
+    low_before = F.least(F.min("_s").over(exclusive), F.lit(0.0))
+    return summed.select(*fills.columns, (F.col("_s") - F.col("_q") - low_before).alias("held_before"),
+                         (F.col("_s") - F.least(low_before, F.col("_s"))).alias("position"),
+                         F.last("fill_price").over(exclusive).alias("previous_price"))
+
+
 def running_positions(fills: DataFrame, rows: int = 65_536) -> DataFrame:
     """Held quantity before and after each fill; a sell beyond the holding leaves zero.
 
     With S the running signed quantity, clamping at zero is S − min(0, running min S). One pair
-    of chunk summaries (total, lowest prefix) carries both across chunks. Fills without account,
-    symbol or number are kept: NULL is a key like any other, and a fill without number comes first.
+    of chunk summaries (total, lowest prefix) carries both across chunks, for accounts of more than
+    one chunk. Fills without account, symbol or number are kept: NULL is a key like any other, and a
+    fill without number comes first.
     """
+    short, rest = _short_accounts(fills, rows)
+    held = _positions_in_one(short)
+    held = held.drop("_c")
+    return held if rest is None else held.unionByName(_positions_by_chunk(rest, rows))
+
+
+def _positions_by_chunk(fills: DataFrame, rows: int) -> DataFrame:
     # One struct of key and chunk: structs are equal where their fields are NULL.
     part = F.struct("account", "symbol", rows_chunk("seq", rows).alias("c"))
-    signed = F.when(F.col("side") == "BUY", F.col("qty")).when(F.col("side") == "SELL", -F.col("qty")) \
-        .otherwise(0.0)
     inner = Window.partitionBy("_k").orderBy("seq")
-    local = (fills.withColumns({"_k": part, "_q": signed})
+    local = (fills.withColumns({"_k": part, "_q": _signed()})
              .withColumn("_s", F.sum("_q").over(inner.rowsBetween(Window.unboundedPreceding, 0))))
     before = Window.partitionBy("_k.account", "_k.symbol").orderBy("_k.c").rowsBetween(Window.unboundedPreceding, -1)
     carry = (local.groupBy("_k").agg(F.sum("_q").alias("_total"), F.min("_s").alias("_low"),
@@ -187,14 +222,19 @@ def account_state(fills: DataFrame, start_cash: float, rows: int = 65_536) -> Da
     A fill changes only its own symbol's value, so the holdings value is a running sum of those
     changes; no (fill × held symbol) product is formed.
     """
-    held = running_positions(fills, rows)
     cash = F.when(F.col("side") == "BUY", -F.col("qty") * F.col("fill_price")) \
         .when(F.col("side") == "SELL", F.col("qty") * F.col("fill_price")).otherwise(0.0)
     value = F.col("position") * F.col("fill_price")
     change = value - F.coalesce(F.col("held_before") * F.col("previous_price"), F.lit(0.0))
-    state = chunk_scan(held.withColumns({"symbol_value": value}), ["account"],
-                       rows_chunk("seq", rows), ["seq"],
-                       [running_sum("_cash", cash), running_sum("gross", change)])
+    short, rest = _short_accounts(fills, rows)
+    held = _positions_in_one(short).withColumns({"symbol_value": value})
+    up_to = Window.partitionBy("account", "_c").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    state = held.select("*", *[F.coalesce(F.sum(v).over(up_to), F.lit(0)).alias(out)
+                               for out, v in (("_cash", cash), ("gross", change))]).drop("_c")
+    if rest is not None:
+        held = _positions_by_chunk(rest, rows).withColumns({"symbol_value": value})
+        state = state.unionByName(chunk_scan(held, ["account"], rows_chunk("seq", rows), ["seq"],
+                                             [running_sum("_cash", cash), running_sum("gross", change)]))
     return (state.withColumn("cash", F.col("_cash") + start_cash).drop("_cash")
             .withColumn("equity", F.col("cash") + F.col("gross")))
 

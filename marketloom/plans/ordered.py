@@ -105,6 +105,34 @@ def split_heavy(rows: DataFrame, group: Sequence[str], counts: DataFrame, order:
     return light.unionByName(parts.drop("_tie"))
 
 
+def parted(rows: DataFrame, keys: Sequence[str], apart: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``rows`` of the keys that are not in ``apart`` (one row per key), and the other rows (None if it is empty).
+
+    ``apart`` is written first. NULL is a key like any other.
+    """
+    apart = cut_lineage(apart.select(*[F.col(k).alias(f"_apart_{i}") for i, k in enumerate(keys)]))
+    if apart.isEmpty():
+        return rows, None
+    same = None
+    for i, k in enumerate(keys):
+        equal = F.col(k).eqNullSafe(F.col(f"_apart_{i}"))
+        same = equal if same is None else same & equal
+    return rows.join(apart, same, "left_anti"), rows.join(apart, same, "left_semi")
+
+
+def numbered(df: DataFrame, keys: Sequence[str], chunk: Column, order: Sequence[str], out: str,
+             max_rows: int = MAX_ROWS) -> DataFrame:
+    """``df`` with the 1-based position of each row within its key in ``order``.
+
+    Keys of at most ``max_rows`` rows are numbered in one window; those that hold more are scanned chunk by
+    ``chunk``. Only the key columns are read to tell them apart.
+    """
+    large = df.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > max_rows)
+    small, rest = parted(df, keys, large)
+    small = small.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+    return small if rest is None else small.unionByName(chunk_scan(rest, keys, chunk, order, [ordinal(out)]))
+
+
 # ---------------------------------------------------------------- scans
 
 @dataclass(frozen=True)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .ordered import chunk_scan, ordinal
+from .ordered import chunk_scan, numbered, ordinal
 
 BENCHMARK = "STANDARD"
 # The symbols of the bar view.
@@ -56,9 +56,8 @@ def fills(spark: SparkSession, root: str) -> DataFrame:
     order = ["ts", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice",
              "l_returnflag", "l_discount", "l_tax", "l_linestatus"]
     day = F.floor(F.unix_micros("ts") / 86_400_000_000)
-    numbered = chunk_scan(lines, ["l_suppkey"], day, order, [ordinal("seq")])
     return cut_lineage(
-        numbered.join(parts, "l_partkey")
+        numbered(lines, ["l_suppkey"], day, order, "seq").join(parts, "l_partkey")
         .select(F.col("l_suppkey").alias("account"), "seq", "symbol",
                 F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("side"),
                 F.col("l_quantity").alias("qty"),
