@@ -158,11 +158,12 @@ def _short_accounts(fills: DataFrame, rows: int) -> tuple[DataFrame, DataFrame |
     """Fills of the accounts that lie in one chunk of ``rows`` fills, with it as ``_c``, and those of all others (or None).
 
     Short accounts need no carry from chunk to chunk: one shuffle brings a chunk together, and windows do the rest.
+    Accounts that hold more fills than their numbers span repeat numbers and are not bounded by ``rows``: they are others.
     """
     chunk = rows_chunk("seq", rows)
     spread = fills.groupBy("account").agg(F.min(chunk).alias("_from"), F.max(chunk).alias("_to"), F.count("*").alias("_n"),
-                                          F.count(chunk).alias("_placed"))
-    long = spread.filter((F.col("_placed") < F.col("_n")) | (F.col("_from") < F.col("_to")))
+                                          F.count(chunk).alias("_placed"), (F.max("seq") - F.min("seq") + 1).alias("_span"))
+    long = spread.filter((F.col("_placed") < F.col("_n")) | (F.col("_from") < F.col("_to")) | (F.col("_n") > F.col("_span")))
     short, rest = parted(fills, ["account"], long)
     return short.withColumn("_c", chunk).repartition("account", "_c"), rest
 

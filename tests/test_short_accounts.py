@@ -46,3 +46,11 @@ def test_numbers_of_small_and_large_keys(spark):
         assert got.count() == fills(spark).count() and dict(got.dtypes)["n"] == "bigint"
         keys = [(r["qty"], r["fill_price"]) for r in got.filter("account = 'd'").orderBy("n").collect()]
         assert keys == sorted(keys) and len(keys) == 64
+
+
+def test_repeated_numbers_are_not_taken_for_a_short_account(spark):
+    twice = fills(spark).filter("seq IS NOT NULL")
+    twice = twice.unionByName(twice.filter("account = 'b'"))
+    short, rest = audit._short_accounts(twice, 100)
+    assert {r[0] for r in short.select("account").distinct().collect()} == {"a", None, "c", "d"}
+    assert {r[0] for r in rest.select("account").distinct().collect()} == {"b"}
