@@ -28,27 +28,41 @@ END = 2
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
 PAGE_ROWS = 1000
-# New words after which a Python worker forgets those it has not met since the last time.
-REMEMBERED = 300_000
+# A Python worker that remembers twice as many pieces of words, or twice as many bytes of them, keeps so many of those
+# met last.
+REMEMBERED, REMEMBERED_BYTES = 300_000, 32 << 20
 
 # Where a space is beside other white space, a cut would separate what the pre-tokenizer looks at
 # together; kinds of white space that prose rarely holds are not looked at closer.
 BESIDE = ("  ", " \n", "\n ")
 RARE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 
-
-# A word of letters, then other characters, letters, other characters: the pre-tokenizer cuts wherever the two kinds
-# meet. Apostrophes begin contractions and two line ends at a cut depend on what follows: such words stay whole.
+# The pre-tokenizer cuts wherever letters and other characters of these meet. Apostrophes begin contractions, and two line
+# ends before a letter depend on what follows: words with them or with any other character stay whole.
 LETTERS, OTHERS = "[A-Za-zÀ-ÖØ-öø-ÿ]", "[\\n!-&(-@[-`{-~]"
-PARTS = re.compile(f"({LETTERS}+)({OTHERS}++)(?<!\\n\\n)(?:({LETTERS}+)({OTHERS}*+))?")
+PLAIN = re.compile(f" {LETTERS}+")
+SPACE, LINE_END, LATIN = 0x20, 0x0A, 0xC3
+LETTER, OTHER, WHOLE = 1, 2, 3
+
+
+def kinds(first: int, characters: list[str]) -> np.ndarray:
+    """Kind of each byte from ``first`` on, which stands for one of ``characters``."""
+    found = [LETTER if re.match(LETTERS, c) else OTHER if re.match(OTHERS, c) else WHOLE for c in characters]
+    return np.array([WHOLE] * first + found + [WHOLE] * (256 - first - len(found)), dtype=np.uint8)
+
+
+# Of a byte by itself, and of one that follows the first byte of a letter of LETTERS beyond ASCII.
+KIND, LATIN_KIND = kinds(0, [*map(chr, range(128))]), kinds(0x80, [*map(chr, range(0xC0, 0x100))])
+KIND[SPACE], KIND[LATIN] = 0, LETTER
 
 
 class WordwiseTokenizer:
-    """A byte-level BPE tokenizer of the tokenizers library, asked once per word.
+    """A byte-level BPE tokenizer of the tokenizers library, asked once per piece of a word.
 
     Its pre-tokenizer cuts before every single space between two other characters that are not
-    white space, and merges stay within what it cuts, so words can be encoded apart and remembered.
-    Words with a sentence's end or other marks are put together from parts that are remembered too.
+    white space, and merges stay within what it cuts, so words can be encoded apart. So can the
+    letters and the marks of a word. Such pieces, the first of a word with the space before it, are remembered.
+    A word of letters is one piece to the pre-tokenizer, so the tokenizer's model is asked for it without it.
     Texts with other white space beside spaces, or with an added token, go to the library whole.
     """
 
@@ -61,42 +75,44 @@ class WordwiseTokenizer:
         before = self.tokenizer.pre_tokenizer
         self.in_parts = (self.tokenizer.normalizer is None and isinstance(before, pre_tokenizers.ByteLevel)
                          and before.use_regex and not before.add_prefix_space)
-        # Words with the space before them: those met since the last change, and those before it.
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        # Later parts of words, without a space before them.
-        self.inner: dict[str, bytes] = {"": b""}
+        # How the pre-tokenizer spells the bytes of a space and of letters beyond ASCII.
+        spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelling = {c: spelled(chr(c))[0][0] for c in (SPACE, *range(0xC0, 0x100))}
+        # Remembered pieces, the stretch of ``ids`` of each, and the batch that met it last.
+        self.batch = 0
+        self.pieces = pa.array([], pa.large_string())
+        self.ids = np.empty(0, dtype="<i4")
+        self.sizes, self.met = np.empty((2, 0), dtype=np.int64)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of the texts as little-endian 32-bit numbers."""
-        if len(self.young) >= REMEMBERED:
-            self.young, self.old = {}, self.young
-        if len(self.inner) >= REMEMBERED:
-            self.inner = {"": b""}
+        self.forget()
         heads, rests = [], []
         for text in texts:
             head, space, rest = (text, "", "") if self.odd(text) else text.partition(" ")
             heads.append(head)
-            rests.append(rest if space else None)
-        words = pc.split_pattern(pa.array(rests, pa.large_string()), " ")
-        coded = words.flatten().dictionary_encode()
-        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        self.learn(names)
-        # All ids that the batch needs, one stretch per word and per head; then the stretches in the order of the texts.
-        parts = [*map(self.young.__getitem__, names), *self.ask(heads)]
-        ids = np.frombuffer(b"".join(parts), dtype="<i4")
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        starts = np.cumsum(sizes) - sizes
-        counts = 1 + pc.fill_null(pc.list_value_length(words), 0).to_numpy()
+            rests.append((space + rest).encode())
+        data = b"".join(rests)
+        starts = self.cuts(data)
+        coded = pa.LargeStringArray.from_buffers(
+            len(starts), pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)).dictionary_encode()
+        places = self.places(coded.dictionary)
+        # One stretch of ids per remembered piece and per head; then the stretches in the order of the texts.
+        parts = self.ask(heads)
+        ids = np.concatenate([self.ids, np.frombuffer(b"".join(parts), dtype="<i4")])
+        sizes = np.concatenate([self.sizes, np.array([len(p) // 4 for p in parts], dtype=np.int64)])
+        begins = np.cumsum(sizes) - sizes
+        bounds = np.cumsum([0, *map(len, rests)])
+        counts = 1 + np.diff(np.searchsorted(starts, bounds))
         first = np.cumsum(counts) - counts
         order = np.empty(counts.sum(), dtype=np.int64)
         later = np.ones(len(order), dtype=bool)
         later[first] = False
-        order[later] = coded.indices.to_numpy()
-        order[first] = len(names) + np.arange(len(texts))
+        order[later] = places[coded.indices.to_numpy()]
+        order[first] = len(self.sizes) + np.arange(len(texts))
         long = sizes[order]
         ends = np.cumsum(long)
-        moved = np.repeat(starts[order] - ends + long, long)
+        moved = np.repeat(begins[order] - ends + long, long)
         moved += np.arange(len(moved))
         stream = ids[moved]
         bounds = [0, *ends[first + counts - 1].tolist()]
@@ -105,31 +121,62 @@ class WordwiseTokenizer:
     def odd(self, text: str) -> bool:
         return any(x in text for x in BESIDE) or any(x in text for x in RARE) or any(x in text for x in self.added)
 
-    def learn(self, words: list[str]) -> None:
-        old, young, inner, new, cut = self.old, self.young, self.inner, set(), []
-        for word in words:
-            if word in young:
-                continue
-            known = old.get(word)
-            if known is not None:
-                young[word] = known
-            elif self.in_parts and not word.isalpha() and (found := PARTS.fullmatch(word)):
-                cut.append((word, *found.groups("")))
+    def cuts(self, data: bytes) -> np.ndarray:
+        """Where the pieces begin in words that each have a space before them."""
+        raw = np.frombuffer(data, dtype=np.uint8)
+        begins = raw == SPACE
+        if self.in_parts:
+            words = np.flatnonzero(begins)
+            kind = KIND[raw]
+            after = np.flatnonzero(raw[:-1] == LATIN) + 1
+            kind[after] = LATIN_KIND[raw[after]]
+            whole = kind == WHOLE
+            whole[2:] |= (kind[2:] == LETTER) & (raw[1:-1] == LINE_END) & (raw[:-2] == LINE_END)
+            kept = np.zeros(len(words), dtype=bool)
+            kept[np.searchsorted(words, np.flatnonzero(whole)) - 1] = True
+            meet = np.flatnonzero(kind[1:] * kind[:-1] == LETTER * OTHER) + 1
+            begins[meet[~kept[np.searchsorted(words, meet) - 1]]] = True
+        return np.flatnonzero(begins)
+
+    def places(self, pieces: pa.LargeStringArray) -> np.ndarray:
+        """Where distinct pieces are remembered; new ones are asked for."""
+        found = pc.fill_null(pc.index_in(pieces, value_set=self.pieces), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(found < 0)
+        found[new] = len(self.pieces) + np.arange(len(new))
+        added = pieces.take(pa.array(new))
+        parts = self.learn(added.to_numpy(zero_copy_only=False).tolist())
+        self.pieces = pa.concat_arrays([self.pieces, added])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(parts), dtype="<i4")])
+        self.sizes = np.concatenate([self.sizes, np.array([len(p) // 4 for p in parts], dtype=np.int64)])
+        self.met = np.concatenate([self.met, np.empty(len(new), dtype=np.int64)])
+        self.met[found] = self.batch
+        return found
+
+    def forget(self) -> None:
+        self.batch += 1
+        if len(self.pieces) < 2 * REMEMBERED and self.pieces.nbytes < 2 * REMEMBERED_BYTES:
+            return
+        last = np.argsort(-self.met, kind="stable")[:REMEMBERED]
+        length = pc.binary_length(self.pieces).to_numpy()[last]
+        kept = np.zeros(len(self.met), dtype=bool)
+        kept[last[np.cumsum(length) <= REMEMBERED_BYTES]] = True
+        self.ids = self.ids[np.repeat(kept, self.sizes)]
+        self.pieces, self.sizes, self.met = self.pieces.filter(pa.array(kept)), self.sizes[kept], self.met[kept]
+
+    def learn(self, pieces: list[str]) -> list[bytes]:
+        """Ids of new pieces, of the tokenizer's model where letters follow a space."""
+        tokens, spelling = self.tokenizer.model.tokenize, self.spelling
+        space, found, rest = spelling[SPACE], [], []
+        for i, piece in enumerate(pieces):
+            if self.in_parts and PLAIN.fullmatch(piece):
+                spelled = space + piece[1:] if piece.isascii() else piece.translate(spelling)
+                found.append(array("i", [t.id for t in tokens(spelled)]).tobytes())
             else:
-                new.add(word)
-        for _, head, *_ in cut:
-            if head not in young:
-                known = old.get(head)
-                if known is not None:
-                    young[head] = known
-                else:
-                    new.add(head)
-        heads = list(new)
-        young.update(zip(heads, self.ask([" " + w for w in heads])))
-        parts = list({p for c in cut for p in c[2:]}.difference(inner))
-        inner.update(zip(parts, self.ask(parts)))
-        for word, head, a, b, c in cut:
-            young[word] = young[head] + inner[a] + inner[b] + inner[c]
+                found.append(b"")
+                rest.append(i)
+        for i, ids in zip(rest, self.ask([pieces[i] for i in rest])):
+            found[i] = ids
+        return found
 
     def ask(self, texts: list[str]) -> list[bytes]:
         # The same ids as encode_batch, without places in the text.
