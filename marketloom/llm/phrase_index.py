@@ -33,8 +33,12 @@ SLACK = 5
 SHARD_WORDS = 1 << 21
 # Benchmark text sent to all tasks at once; a larger benchmark goes through the index block by block.
 BLOCK_BYTES = 2 << 20
+# Row groups of the index: a reader holds one as a whole, with two levels a value, so a full shard is one alone.
+GROUP_BYTES = 4 << 20
 # Candidates held at once.
 STEP = 1 << 20
+# Windows ranked at once, and documents in a batch of results.
+ROWS = 1 << 16
 PIECE = 1 << 20
 
 _TABLE = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20
@@ -114,7 +118,8 @@ def build_index(docs: DataFrame, path: str, shard_words: int = SHARD_WORDS) -> D
     """Writes the index of ``docs`` (doc_id, text) to ``path`` and returns it.
 
     Every row is a document of its own, also one that repeats an id or has none; NULL text has no
-    words. Each list of places is stored as steps from the place before it.
+    words. Each list of places is stored as steps from the place before it. A shard has at most
+    ``shard_words`` words and documents together, or one document.
     """
     def run(batches):
         ids, counts, hashes, held, made = [], [], [], 0, 0
@@ -124,14 +129,16 @@ def build_index(docs: DataFrame, path: str, shard_words: int = SHARD_WORDS) -> D
             at = 0
             doc_ids = batch.column(0).to_pylist()
             ends = np.cumsum(sizes)
+            # A document without words takes room too.
+            room = ends + np.arange(1, len(ends) + 1)
             while at < len(texts):
                 # As many documents as fit, at least one.
-                before = int(ends[at - 1]) if at else 0
-                upto = max(at + 1, int(np.searchsorted(ends, before + shard_words - held, side="right")))
+                before, taken = (int(ends[at - 1]), int(room[at - 1])) if at else (0, 0)
+                upto = max(at + 1, int(np.searchsorted(room, taken + shard_words - held, side="right")))
                 ids += doc_ids[at:upto]
                 counts.append(sizes[at:upto])
                 hashes.append(line[before:int(ends[upto - 1])])
-                held += int(ends[upto - 1]) - before
+                held += int(room[upto - 1]) - taken
                 at = upto
                 if at < len(texts) or held >= shard_words:
                     yield _shard(f"{TaskContext.get().partitionId()}-{made}", ids, counts, hashes)
@@ -142,10 +149,16 @@ def build_index(docs: DataFrame, path: str, shard_words: int = SHARD_WORDS) -> D
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     with batches_of(spark, 2000, "8m"):
-        rows.mapInArrow(run, INDEX_SCHEMA).write.option("compression", "zstd").parquet(path)
+        _write(rows.mapInArrow(run, INDEX_SCHEMA), path)
     return read_index(docs.sparkSession, path)
 
 
+def _write(shards: DataFrame, path: str) -> None:
+    """Writes rows that hold a shard each. The writer looks at its size after every row, not after 100."""
+    (shards.write.option("compression", "zstd").option("parquet.block.size", str(GROUP_BYTES))
+     .option("parquet.page.size.row.check.min", "1").option("parquet.page.size.row.check.max", "1").parquet(path))
+
+
 def read_index(spark, path: str) -> DataFrame:
     return spark.read.schema(INDEX_SCHEMA).parquet(path)
 
@@ -210,7 +223,12 @@ class Shard:
         return np.where((at < len(self.keys)) & (key >> 32 == self.rank[term]), key & 0xFFFFFFFF, self.size + (1 << 30))
 
     def candidates(self, rows: np.ndarray):
-        """Windows whose terms all occur, in steps: (windows, terms from the rarest, their offsets, places of the rarest)."""
+        """Windows whose terms all occur, in steps: (windows, numbers in what follows, terms from the rarest, their offsets, places of the rarest)."""
+        for base in range(0, len(rows), ROWS):
+            for window, *step in self._candidates(rows[base:base + ROWS]):
+                yield window + base, *step
+
+    def _candidates(self, rows: np.ndarray):
         size = (self.high - self.low)[rows]
         alive = np.flatnonzero(size.min(axis=1) > 0) if len(self.places) else np.empty(0, dtype=np.int64)
         order = np.argsort(size[alive], axis=1, kind="stable")
@@ -227,35 +245,35 @@ class Shard:
             # One window with a list above the step is cut inside its list.
             for cut in range(0, len(which), STEP):
                 w = which[cut:cut + STEP]
-                yield alive[w], ranked[w], order[w], self.places[self.low[ranked[w, 0]] + nth[cut:cut + STEP]]
+                yield alive[w], w, ranked, order, self.places[self.low[ranked[w, 0]] + nth[cut:cut + STEP]]
             begin = end
 
     def phrases(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, start) of all exact matches."""
         out = [(np.empty(0, dtype=np.int64),) * 2]
-        for window, term, offset, place in self.candidates(rows):
-            start = place - offset[:, 0]
+        for window, own, term, offset, place in self.candidates(rows):
+            start = place - offset[own, 0]
             keep = np.flatnonzero(start >= 0)
             for k in range(1, rows.shape[1]):
-                keep = keep[self.has(term[keep, k], start[keep] + offset[keep, k])]
+                keep = keep[self.has(term[own[keep], k], start[keep] + offset[own[keep], k])]
             out.append((window[keep], start[keep]))
         return tuple(np.concatenate(c) for c in zip(*out))
 
     def proximities(self, rows: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
         """(window, start): the ``span`` places from a window word on hold all words of the window."""
         out = [(np.empty(0, dtype=np.int64),) * 2]
-        for window, term, _, place in self.candidates(rows):
+        for window, own, term, _, place in self.candidates(rows):
             keep = np.arange(len(window))
             for k in range(1, rows.shape[1]):
                 # A place of the next rarest term must lie near that of the rarest.
-                keep = keep[self.next_place(term[keep, k], place[keep] - span + 1) < place[keep] + span]
+                keep = keep[self.next_place(term[own[keep], k], place[keep] - span + 1) < place[keep] + span]
             for part in np.array_split(keep, max(1, -(-len(keep) * span // STEP))):
                 start = (place[part][:, None] - np.arange(span)[None, :]).ravel()
                 owner = np.repeat(part, span)
                 owner, start = owner[start >= 0], start[start >= 0]
                 nearest, furthest = np.full(len(start), self.size + (1 << 30)), np.zeros(len(start), dtype=np.int64)
                 for k in range(rows.shape[1]):
-                    at = self.next_place(term[owner, k], start)
+                    at = self.next_place(term[own[owner], k], start)
                     nearest, furthest = np.minimum(nearest, at), np.maximum(furthest, at)
                 ok = (nearest == start) & (furthest < start + span)
                 ok &= self.document(start) == self.document(np.where(ok, furthest, start))
@@ -281,14 +299,18 @@ def _pairs(windows: Windows, n: int, shard: Shard, window: np.ndarray, start: np
 MARK_SCHEMA = INDEX_SCHEMA + ", hit_from array<int>, hit_to array<int>, item_docs array<int>, items array<string>, " \
                              "near_docs array<int>, near_items array<string>"
 NEW = ("hit_from", "hit_to", "item_docs", "items", "near_docs", "near_items")
+FOUND_SCHEMA = "doc_id long, n_words long, spans array<struct<`start`:int,`end`:int>>, items array<string>, near_items array<string>"
 
 
 def _values(batch: pa.RecordBatch, name: str, i: int) -> np.ndarray:
     return batch.column(name)[i].values.to_numpy(zero_copy_only=False)
 
 
-def _mark(state: DataFrame, windows: Windows, names: list[str], near_words: int | None) -> DataFrame:
-    """Adds the matches of one block of windows to those of the blocks before it."""
+def _mark(state: DataFrame, windows: Windows, names: list[str], near_words: int | None, last: bool) -> DataFrame:
+    """Adds the matches of one block of windows to those of the blocks before it.
+
+    The last block gives one row per document: the shards stay where they were read.
+    """
     again = "hit_from" in state.columns
 
     def known(batch, i, docs, values):
@@ -297,28 +319,37 @@ def _mark(state: DataFrame, windows: Windows, names: list[str], near_words: int
     def named(pairs):
         return {(d, names[k]) for d, k in pairs.tolist()}
 
-    def run(batches):
+    def found(batch, i):
+        """(merged spans on the line, sorted (document, item), the same in proximity) of a shard."""
+        row = {c: _values(batch, c, i) for c in ("n_words", "terms", "counts", "steps")}
+        shard = Shard(row, windows.terms)
+        hits = [np.stack((_values(batch, "hit_from", i), _values(batch, "hit_to", i)), axis=1)] if again else []
+        items, near = known(batch, i, "item_docs", "items"), known(batch, i, "near_docs", "near_items")
+        for n, rows in windows.rows.items():
+            window, start = shard.phrases(rows)
+            hits.append(np.unique(np.stack((start, start + n), axis=1), axis=0))
+            items |= named(_pairs(windows, n, shard, window, start))
+            if near_words is not None:
+                window, start = shard.proximities(rows, n + near_words)
+                near |= named(_pairs(windows, n, shard, window, start))
+        return _merged(np.concatenate([np.empty((0, 2), dtype=np.int64), *hits])), sorted(items), sorted(near)
+
+    def marked(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: _values(batch, c, i) for c in ("n_words", "terms", "counts", "steps")}
-                shard = Shard(row, windows.terms)
-                hits = [np.stack((_values(batch, "hit_from", i), _values(batch, "hit_to", i)), axis=1)] if again else []
-                items, near = known(batch, i, "item_docs", "items"), known(batch, i, "near_docs", "near_items")
-                for n, rows in windows.rows.items():
-                    window, start = shard.phrases(rows)
-                    hits.append(np.unique(np.stack((start, start + n), axis=1), axis=0))
-                    items |= named(_pairs(windows, n, shard, window, start))
-                    if near_words is not None:
-                        window, start = shard.proximities(rows, n + near_words)
-                        near |= named(_pairs(windows, n, shard, window, start))
-                spans = _merged(np.concatenate([np.empty((0, 2), dtype=np.int64), *hits]))
+                spans, *found_items = found(batch, i)
                 new = [_one(spans[:, 0].astype(np.int32), pa.int32()), _one(spans[:, 1].astype(np.int32), pa.int32())]
-                for pairs in (sorted(items), sorted(near)):
+                for pairs in found_items:
                     new += [pa.array([[d for d, _ in pairs]], pa.list_(pa.int32())), pa.array([[v for _, v in pairs]], pa.list_(pa.string()))]
                 old = [batch.column(c).slice(i, 1) for c in INDEX_COLUMNS]
                 yield pa.RecordBatch.from_arrays(old + new, [*INDEX_COLUMNS, *NEW])
 
-    return state.mapInArrow(run, MARK_SCHEMA)
+    def per_document(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield from _documents(batch.column("doc_ids")[i].values, _values(batch, "n_words", i).astype(np.int64), *found(batch, i))
+
+    return state.mapInArrow(per_document, FOUND_SCHEMA) if last else state.mapInArrow(marked, MARK_SCHEMA)
 
 
 INDEX_COLUMNS = [c.strip().split(" ")[0] for c in INDEX_SCHEMA.split(", ")]
@@ -335,34 +366,21 @@ def _merged(spans: np.ndarray) -> np.ndarray:
     return np.stack((spans[head, 0], reach[last]), axis=1)
 
 
-def _per_document(state: DataFrame) -> DataFrame:
-    kind = "struct<`start`:int,`end`:int>"
-    schema = f"doc_id long, n_words long, spans array<{kind}>, items array<string>, near_items array<string>"
-
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                n_words = _values(batch, "n_words", i).astype(np.int64)
-                first = np.concatenate(([0], np.cumsum(n_words + 1)))
-                low, high = _values(batch, "hit_from", i), _values(batch, "hit_to", i)
-                ids = batch.column("doc_ids")[i].as_py()
-                owner = np.searchsorted(first, low, side="right") - 1
-                parts = np.searchsorted(owner, np.arange(len(ids) + 1))
-                lists = []
-                for d, v in (("item_docs", "items"), ("near_docs", "near_items")):
-                    cut = np.searchsorted(_values(batch, d, i), np.arange(len(ids) + 1))
-                    lists.append((cut.tolist(), batch.column(v)[i].as_py()))
-                out = {"doc_id": ids, "n_words": n_words.tolist(), "spans": [
-                    [{"start": int(low[k] - first[j]), "end": int(high[k] - first[j])} for k in range(parts[j], parts[j + 1])]
-                    for j in range(len(ids))]}
-                for name, (cut, values) in zip(("items", "near_items"), lists):
-                    out[name] = [values[cut[j]:cut[j + 1]] for j in range(len(ids))]
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([
-                    ("doc_id", pa.int64()), ("n_words", pa.int64()),
-                    ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                    ("items", pa.list_(pa.string())), ("near_items", pa.list_(pa.string()))]))
-
-    return state.mapInArrow(run, schema)
+def _documents(ids: pa.Array, n_words: np.ndarray, spans: np.ndarray, items: list, near: list) -> Iterator[pa.RecordBatch]:
+    """The rows of a shard's documents, in batches."""
+    first = np.concatenate(([0], np.cumsum(n_words + 1)))
+    owner = np.searchsorted(first, spans[:, 0], side="right") - 1
+    inside = (spans - first[owner][:, None]).astype(np.int32)
+    lists = [(owner, pa.StructArray.from_arrays([pa.array(inside[:, 0]), pa.array(inside[:, 1])], ["start", "end"]))]
+    for pairs in (items, near):
+        lists.append((np.array([d for d, _ in pairs], dtype=np.int64), pa.array([v for _, v in pairs], pa.string())))
+    for low in range(0, len(n_words), ROWS):
+        high = min(low + ROWS, len(n_words))
+        columns = [ids[low:high], pa.array(n_words[low:high])]
+        for of, values in lists:
+            cut = np.searchsorted(of, np.arange(low, high + 1))
+            columns.append(pa.ListArray.from_arrays(pa.array((cut - cut[0]).astype(np.int32)), values[int(cut[0]):int(cut[-1])]))
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "spans", "items", "near_items"])
 
 
 def search(index: DataFrame, items: DataFrame, window: int = WINDOW, near_words: int | None = SLACK,
@@ -388,10 +406,13 @@ def search(index: DataFrame, items: DataFrame, window: int = WINDOW, near_words:
             names = sorted({r["item_id"] for r in rows})
             number = {name: k for k, name in enumerate(names)}
             windows = Windows.of([r["text"] for r in rows], [number[r["item_id"]] for r in rows], window)
-            state = _mark(state, windows, names, near_words)
-            if block % 8 == 7:
-                state = cut_lineage(state)
-        return cut_lineage(_per_document(state))
+            last = block == blocks - 1
+            state = _mark(state, windows, names, near_words, last)
+            if block % 8 == 7 and not last:
+                path = scratch_path(spark, "phrases")
+                _write(state, path)
+                state = spark.read.schema(MARK_SCHEMA).parquet(path)
+        return cut_lineage(state)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, near_words: int | None = SLACK) -> DataFrame:
