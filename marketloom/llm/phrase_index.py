@@ -154,8 +154,12 @@ def build_index(docs: DataFrame, path: str, shard_words: int = SHARD_WORDS) -> D
 
 
 def _write(shards: DataFrame, path: str) -> None:
-    """Writes rows that hold a shard each. The writer looks at its size after every row, not after 100."""
+    """Writes rows that hold a shard each. The writer looks at its size after every row, not after 100.
+
+    Terms are distinct and steps seldom repeat enough: a dictionary would be filled first and then given up.
+    """
     (shards.write.option("compression", "zstd").option("parquet.block.size", str(GROUP_BYTES))
+     .option("parquet.enable.dictionary#terms.list.element", "false").option("parquet.enable.dictionary#steps.list.element", "false")
      .option("parquet.page.size.row.check.min", "1").option("parquet.page.size.row.check.max", "1").parquet(path))
 
 
